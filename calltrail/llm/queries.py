@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltrail.llm import langid
+from calltrail.llm import langid, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +25,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, ["doc_id", held_out.alias("held_out")])
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = _table(spark, sf_dir, "documents"), _fold("doc_id", 5) == 0
+    labels = _table(spark, sf_dir, "labels").where(~held_out & F.col("toxic").isNotNull()).select("doc_id", "toxic")
+    model = toxicity.fit(labels.join(docs.select("doc_id", "text"), "doc_id"))
+    return toxicity.score(docs, model, ["doc_id", held_out.alias("held_out")])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_language_id": op8_language_id}
+    return {"op4_toxicity": op4_toxicity, "op8_language_id": op8_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
