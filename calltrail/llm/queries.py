@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltrail.llm import langid, toxicity
+from calltrail.llm import chat, langid, toxicity, urllists, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,9 +32,121 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, ["doc_id", held_out.alias("held_out")])
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_conversations(turns.unionByName(extra)))
+
+
+_START = 1704067200  # 2024-01-01
+_DAY = 86400
+
+
+def url_history(captures: DataFrame) -> DataFrame:
+    """Dated entries for the hosts of captures, by a rule on a hash of the name: ad hosts come, go and some return; malware domains; one path."""
+    hosts = captures.select(urllists.host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
+    number = lambda c: F.conv(F.substring(F.md5(c), 1, 6), 16, 10).cast("long")
+    h = hosts.withColumn("h", number(F.col("host")))
+    d = hosts.select(F.regexp_replace("host", r"^[^.]+\.", "").alias("domain")).distinct().withColumn("h", number(F.col("domain"))).where("h % 4 = 0")
+    row = lambda df, name, key, action, day: df.select(F.lit(name).alias("list"), key.alias("key"), F.lit(action).alias("action"), F.timestamp_seconds(F.expr(f"{_START} + {_DAY} * ({day})")).alias("at"))
+    host = F.col("host")
+    parts = [
+        row(h, "ads", host, "add", "h % 300"),
+        row(h, "ads", host, "remove", "h % 300 + 20 + h % 50"),
+        row(h.where("h % 3 = 0"), "ads", host, "add", "h % 300 + 100"),
+        row(d, "malware", F.col("domain"), "add", "h % 200"),
+        row(d, "malware", F.col("domain"), "remove", "h % 200 + 30"),
+        row(h.where("h % 5 = 0"), "adult", F.concat(host, F.lit("/en")), "add", "h % 365"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def op7_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, fetched at a time that its id gives (within 2024), against the entries active then."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.timestamp_seconds(F.lit(_START) + F.col("page_id") * 7919 % (366 * _DAY)).alias("fetched_at"))
+    found = urllists.evaluate(pages, urllists.intervals(url_history(pages)))
+    return found.withColumns({"fetched_at": F.unix_seconds("fetched_at"), "listed_from": F.unix_seconds("listed_from")})
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_toxicity": op4_toxicity, "op8_language_id": op8_language_id}
+    return {
+        "op4_toxicity": op4_toxicity,
+        "op6_chat_format": op6_chat_format,
+        "op7_url_lists": op7_url_lists,
+        "op8_language_id": op8_language_id,
+        "op10_warc": op10_warc,
+    }
+
+
+def _op6_sql() -> str:
+    t = chat.Template()
+    escaped = "replace(text, '\\', '\\\\')"
+    for c in t.controls:
+        escaped = f"replace({escaped}, '{c}', '{c[0]}\\{c[1:]}')"
+    marks = " ".join(f"WHEN '{r}' THEN {len(a) + len(b)}" for r, (a, b) in t.marks.items())
+    return f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+walked AS (SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn), '') AS before FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn)) AS loss_sha256,
+  CAST(sum(length({escaped}) + CASE role {marks} END) AS BIGINT) AS formatted_chars,
+  bool_and((before = '' AND role IN ('system', 'user')) OR (before IN ('system', 'assistant') AND role = 'user') OR (before = 'user' AND role = 'assistant'))
+    AND max_by(role, turn) = 'assistant' AS valid
+FROM walked GROUP BY conv_id"""
+
+
+_OP7_SQL = f"""
+WITH caps AS (
+  SELECT page_id, regexp_extract(lower(url), '{urllists._HOST}', 1) AS host, regexp_extract(lower(url), '{urllists._SEGMENT}', 1) AS segment,
+         {_START} + (page_id * 7919) % {366 * _DAY} AS fetched_at FROM pages),
+h AS (SELECT host, CAST('0x' || substr(md5(host), 1, 6) AS BIGINT) AS h FROM (SELECT DISTINCT host FROM caps WHERE host <> '')),
+d AS (SELECT domain, CAST('0x' || substr(md5(domain), 1, 6) AS BIGINT) AS h FROM (SELECT DISTINCT regexp_replace(host, '^[^.]+[.]', '') AS domain FROM h)),
+history AS (
+  SELECT 'ads' AS list, host AS key, 'add' AS action, {_START} + {_DAY} * (h % 300) AS t FROM h
+  UNION ALL SELECT 'ads', host, 'remove', {_START} + {_DAY} * (h % 300 + 20 + h % 50) FROM h
+  UNION ALL SELECT 'ads', host, 'add', {_START} + {_DAY} * (h % 300 + 100) FROM h WHERE h % 3 = 0
+  UNION ALL SELECT 'malware', domain, 'add', {_START} + {_DAY} * (h % 200) FROM d WHERE h % 4 = 0
+  UNION ALL SELECT 'malware', domain, 'remove', {_START} + {_DAY} * (h % 200 + 30) FROM d WHERE h % 4 = 0
+  UNION ALL SELECT 'adult', host || '/en', 'add', {_START} + {_DAY} * (h % 365) FROM h WHERE h % 5 = 0),
+state AS (SELECT list, key, t, max(action) AS action FROM history GROUP BY list, key, t),
+changed AS (SELECT * FROM (SELECT *, lag(action) OVER (PARTITION BY list, key ORDER BY t) AS before FROM state) WHERE before IS NULL OR before <> action),
+spans AS (SELECT * FROM (SELECT list, key, action, t AS valid_from, lead(t) OVER (PARTITION BY list, key ORDER BY t) AS valid_to FROM changed) WHERE action = 'add'),
+hits AS (
+  SELECT c.page_id, s.list, s.key, s.valid_from,
+         row_number() OVER (PARTITION BY c.page_id ORDER BY length(s.key) DESC, s.key, s.valid_from, s.list) AS n
+  FROM caps c JOIN spans s
+    ON (c.host = s.key OR ends_with(c.host, '.' || s.key) OR (c.segment <> '' AND s.key = c.host || '/' || c.segment))
+   AND s.valid_from <= c.fetched_at AND (s.valid_to IS NULL OR c.fetched_at < s.valid_to)),
+found AS (
+  SELECT page_id, count(*) AS n_entries, string_agg(DISTINCT list, ',' ORDER BY list) AS lists,
+         max(CASE WHEN n = 1 THEN key END) AS rule, max(CASE WHEN n = 1 THEN valid_from END) AS listed_from FROM hits GROUP BY page_id)
+SELECT c.page_id, c.host, c.fetched_at, f.page_id IS NOT NULL AS blocked, CAST(coalesce(n_entries, 0) AS BIGINT) AS n_entries,
+       coalesce(lists, '') AS lists, rule, listed_from
+FROM caps c LEFT JOIN found f ON c.page_id = f.page_id"""
+
+_OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS holder FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < holder THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < holder THEN holder END AS refers_to
+FROM g"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_chat_format": _op6_sql(), "op7_url_lists": _OP7_SQL, "op10_warc": _OP10_SQL}
