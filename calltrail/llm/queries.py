@@ -27,8 +27,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = _table(spark, sf_dir, "documents"), _fold("doc_id", 5) == 0
-    labels = _table(spark, sf_dir, "labels").where(~held_out & F.col("toxic").isNotNull()).select("doc_id", "toxic")
-    model = toxicity.fit(labels.join(docs.select("doc_id", "text"), "doc_id"))
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(~held_out))
     return toxicity.score(docs, model, ["doc_id", held_out.alias("held_out")])
 
 

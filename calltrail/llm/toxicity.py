@@ -233,15 +233,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.05)
     return b
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_rows_per_class: int = 3000, max_terms: int = 2000) -> Model:
-    """Learn lexicon and weights from labelled rows (label 0 or 1; other labels and nulls are left out)."""
-    rows = labelled.where(F.col(label).isin(0, 1))
-    counts = {r[0]: r[1] for r in rows.groupBy(F.col(label).cast("int")).count().collect()}
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_rows_per_class: int = 3000, max_terms: int = 2000) -> Model:
+    """Learn from the rows of docs that labels (key and label) names; other labels than 0 and 1, and nulls, are left out.
+
+    The sample is drawn from labels, so its ids are few enough to broadcast and no text is shuffled to find it.
+    """
+    rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("y"))
+    counts = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
     if len(counts) < 2:
         return Model()
-    spread = F.pmod(F.xxhash64(F.col(key), F.lit(4)), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    sample = rows.where(spread < F.when(F.col(label) == 1, min(1.0, max_rows_per_class / counts[1])).otherwise(min(1.0, max_rows_per_class / counts[0])))
-    sample = sample.select(F.col(label).cast("int").alias("y"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    spread = F.pmod(F.xxhash64("key", F.lit(4)), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    chosen = rows.where(spread < F.when(F.col("y") == 1, min(1.0, max_rows_per_class / counts[1])).otherwise(min(1.0, max_rows_per_class / counts[0])))
+    sample = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "key").select("y", "text")
 
     def signed(batches):
         for b in batches:
