@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltrail.llm import chat, langid, toxicity, urllists, warc
+from calltrail.llm import chat, cws, langid, toxicity, urllists, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, ["doc_id", held_out.alias("held_out")])
 
 
+def op5_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cws.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     says = "</s>[INST] ok [/INST]"
@@ -79,6 +83,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_toxicity": op4_toxicity,
+        "op5_weighted_fingerprints": op5_weighted_fingerprints,
         "op6_chat_format": op6_chat_format,
         "op7_url_lists": op7_url_lists,
         "op8_language_id": op8_language_id,
