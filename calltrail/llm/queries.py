@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltrail.llm import chat, cws, langid, toxicity, urllists, warc
+from calltrail.llm import chat, cws, langid, minhash, toxicity, urllists, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, ["doc_id", held_out.alias("held_out")])
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = _table(spark, sf_dir, "documents"), _fold("doc_id", 5) == 0
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(~held_out))
@@ -82,6 +86,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_minhash_dedup": op3_minhash_dedup,
         "op4_toxicity": op4_toxicity,
         "op5_weighted_fingerprints": op5_weighted_fingerprints,
         "op6_chat_format": op6_chat_format,
