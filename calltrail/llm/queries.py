@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltrail.llm import chat, cws, langid, minhash, toxicity, urllists, warc
+from calltrail.llm import chat, cws, decontaminate, langid, minhash, toxicity, urllists, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ _START = 1704067200  # 2024-01-01
 _DAY = 86400
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def url_history(captures: DataFrame) -> DataFrame:
     """Dated entries for the hosts of captures, by a rule on a hash of the name: ad hosts come, go and some return; malware domains; one path."""
     hosts = captures.select(urllists.host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
@@ -92,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_chat_format": op6_chat_format,
         "op7_url_lists": op7_url_lists,
         "op8_language_id": op8_language_id,
+        "op9_decontamination": op9_decontamination,
         "op10_warc": op10_warc,
     }
 
