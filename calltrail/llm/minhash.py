@@ -94,15 +94,16 @@ def estimate(a: str, b: str) -> Column:
     return F.expr(f"(1 - ({differ}) / {BANDS * ROWS}D - {chance}D) / {1 - chance}D")
 
 
-def _if_small(df: DataFrame) -> DataFrame:
-    """A hint to broadcast ids where they were counted to be few; else Spark joins as it sees fit."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def if_small(ids: DataFrame) -> DataFrame:
+    """A table of ids with a hint to broadcast it where it was counted to be small; else Spark joins as it sees fit."""
+    ids = written(ids, "ids")
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
 def proved(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets have 100 * intersection >= percent * union."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    used = texts.join(_if_small(ids), "doc_id", "left_semi")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    used = texts.join(if_small(ids), "doc_id", "left_semi")
     both = pairs.join(used.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(used.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
@@ -145,7 +146,7 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return written(moved.union(labels.join(known.select("id"), "id", "left_anti").select("id", "comp")), "components")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 80, least_estimate: float = 0.6, small: int = 32) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, least_estimate: float = 0.6, small: int = 32) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (it is the smallest of its component) for every row."""
     sigs = written(signatures(docs, key, text, width), "signatures")
     full = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltrail.llm import chat, cws, decontaminate, langid, minhash, toxicity, urllists, warc
+import corpus_pipeline
+from calltrail.llm import chat, cws, decontaminate, langid, minhash, mixing, toxicity, urllists, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +26,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, ["doc_id", held_out.alias("held_out")])
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(_table(spark, sf_dir, "documents"))
+    return found.select("_mix.*", "probability", "kept")
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +96,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_mixing": op2_mixing,
         "op3_minhash_dedup": op3_minhash_dedup,
         "op4_toxicity": op4_toxicity,
         "op5_weighted_fingerprints": op5_weighted_fingerprints,
@@ -98,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_decontamination": op9_decontamination,
         "op10_warc": op10_warc,
+        "pipeline": corpus_pipeline.run,
     }
 
 
@@ -162,5 +170,36 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM g"""
 
 
+def _op2_sql(rounds: int = 10, keep_share: float = 0.3) -> str:
+    """The same rounds as a chain of small tables over the cells."""
+    parts = ["""
+d AS (SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang,
+  CASE WHEN contains(t, ' | ') THEN 'table' WHEN contains(t, '!!') THEN 'shouted' WHEN contains(t, '###') OR contains(t, '$$$') THEN 'noise'
+       WHEN contains(t, 'icensed under') THEN 'licensed' WHEN length(t) < 1000 THEN 'short' WHEN length(t) >= 5000 THEN 'long' ELSE 'prose' END AS topic,
+  CASE WHEN length(t) > 0 THEN length(t) - length(replace(t, ' ', '')) + 1 ELSE 0 END AS tokens
+  FROM (SELECT *, coalesce(text, '') AS t FROM documents)),
+cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM d GROUP BY source, lang, topic)"""]
+    for x in mixing.DIMENSIONS:
+        parts.append(f"m_{x} AS (SELECT {x}, sqrt(sum(tokens)) AS s FROM cells GROUP BY {x} HAVING sum(tokens) > 0)")
+        parts.append(f"aim_{x} AS MATERIALIZED (SELECT {x}, s / (SELECT sum(s) FROM m_{x}) * (SELECT sum(tokens) FROM cells) AS aim FROM m_{x})")
+    last = "(SELECT source, lang, topic, tokens, tokens AS w FROM cells)"
+    for i in range(rounds):
+        for x in mixing.DIMENSIONS:
+            name = f"w{i}_{x}"
+            parts.append(f"f{i}_{x} AS MATERIALIZED (SELECT a.{x}, max(a.aim) / sum(p.w) AS by_ FROM {last} p JOIN aim_{x} a ON p.{x} = a.{x} GROUP BY a.{x} HAVING sum(p.w) > 0)")
+            parts.append(f"{name} AS MATERIALIZED (SELECT p.source, p.lang, p.topic, p.tokens, p.w * coalesce(f.by_, 0) AS w FROM {last} p LEFT JOIN f{i}_{x} f ON p.{x} = f.{x})")
+            last = name
+    parts.append(f"final AS MATERIALIZED (SELECT source, lang, topic, tokens, CASE WHEN tokens > 0 THEN w / tokens ELSE 1 END AS factor FROM {last})")
+    parts.append(f"r0 AS MATERIALIZED (SELECT CAST({keep_share} AS DOUBLE) AS rate)")
+    for i in range(12):
+        parts.append(f"""r{i + 1} AS MATERIALIZED (SELECT greatest(max(rate), coalesce(({keep_share} * sum(tokens) - sum(CASE WHEN factor * rate >= 1 THEN tokens ELSE 0 END))
+  / nullif(sum(CASE WHEN factor * rate < 1 THEN tokens * factor ELSE 0 END), 0), max(rate))) AS rate FROM final, r{i})""")
+    parts.append("p AS (SELECT source, lang, topic, round(least(1.0, factor * rate), 6) AS probability FROM final, r12)")
+    return "WITH " + ",\n".join(parts) + """
+SELECT d.doc_id, d.source, d.lang, d.topic, CAST(d.tokens AS BIGINT) AS tokens, p.probability,
+  CAST('0x' || substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 12) AS BIGINT) / 281474976710656.0 < p.probability AS kept
+FROM d JOIN p ON d.source = p.source AND d.lang = p.lang AND d.topic = p.topic"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": _op6_sql(), "op7_url_lists": _OP7_SQL, "op10_warc": _OP10_SQL}
+    return {"op2_mixing": _op2_sql(), "op6_chat_format": _op6_sql(), "op7_url_lists": _OP7_SQL, "op10_warc": _OP10_SQL}

@@ -1,4 +1,57 @@
-"""A corpus pipeline of five stages over documents."""
+"""A corpus pipeline over documents: toxicity, language, near duplicates, benchmark leaks, mixing.
 
-STAGES = []
+STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is
+written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from calltrail.llm import decontaminate, langid, minhash, mixing, toxicity
+from calltrail.llm.shared import shared_dir
+
+LEAST_LANGUAGE_SCORE = 0.1
+#: A mixture has no oracle: two classifiers, a sketch and a latent space come before it.
 ORACLE_SQL = None
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the ids; counted first, and broadcast only where they are few."""
+    return docs.join(minhash.if_small(ids.distinct()), "doc_id", "left_anti").select(*docs.columns)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    return toxicity.score(docs, toxicity.fit(docs, labels), docs.columns).where("predicted = 0").select(*docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = langid.fit(docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
+    found = langid.identify(docs, model, docs.columns)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, minhash.near_duplicates(docs).where("NOT kept").select("doc_id"))
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.select("doc_id"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs).where("kept").select(*docs.columns, F.col("_mix.topic").alias("topic"), "probability")
+
+
+STAGES = [("toxicity", toxic), ("language", language), ("near_duplicates", near_duplicates), ("leaks", leaks), ("mixture", mixture)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_dir(spark)
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs
