@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from calltrail.llm import chat, cws, decontaminate, langid, minhash, mixing, toxicity, urllists, warc
+from calltrail.llm import chat, cws, decontaminate, langid, minhash, mixing, suffixtree, toxicity, urllists, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, ["doc_id", held_out.alias("held_out")])
 
 
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.score_texts(_table(spark, sf_dir, "documents"), _fold("doc_id", 5) == 1, files=True)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(_table(spark, sf_dir, "documents"))
     return found.select("_mix.*", "probability", "kept")
@@ -96,6 +100,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_tree": op1_suffix_tree,
         "op2_mixing": op2_mixing,
         "op3_minhash_dedup": op3_minhash_dedup,
         "op4_toxicity": op4_toxicity,
