@@ -10,9 +10,10 @@ similarity, and pairs under ``least_estimate`` (five standard deviations under 0
 
 Buckets never give all their pairs at once. In each round a bucket that still holds more than one component pairs a few
 centres with its members of other components; found links merge components, so a group of copies is settled by its first centre.
-Centres are then done with and leave the bucket, and their number grows fourfold a round, so every pair across
+Centres are then done with and leave the bucket, and their number grows sixteenfold a round, so every pair across
 components is tested in the end: in large buckets of unlike texts in logarithmically many rounds, in buckets of up to ``small`` members
-at once. No bucket is capped or dropped.
+at once. After the first round the shingles of what is left are counted: what a set shares with no other candidate can't be in an intersection, so
+pairs whose sizes rule a link out are never made (independent edits of one text, unlike each other, fall here). No bucket is capped or dropped.
 
 Null text or text without words: an empty set, linked with nothing. Rows with equal ids are one document whose rows' links all count; each
 row is returned. A null id is its own component (null). Extra columns are ignored. No rows, no output.
@@ -146,6 +147,24 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return written(moved.union(labels.join(known.select("id"), "id", "left_anti").select("id", "comp")), "components")
 
 
+def _shareable(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """members with e counted: shingles that a set shares with no other candidate can't be in an intersection.
+
+    Where too few are left for a link to a set of its own size or less, the member goes.
+    """
+    used = texts.join(if_small(members.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi")
+
+    def run(batches):
+        for b in batches:
+            ids = np.array(b.column(0).to_pylist(), np.int64)
+            for first, h, off in word_hashes(b.column(1).cast(pa.binary()).to_pylist()):
+                sets = [np.unique(shingles(h[lo:hi], width)) for lo, hi in zip(off[:-1], off[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(sets)), _signed(np.repeat(ids[first : first + len(sets)], [len(x) for x in sets]))], ["shingle", "id"])
+
+    alone = used.select("doc_id", "text").mapInArrow(run, "shingle long, id long").groupBy("shingle").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").alias("own"))
+    return members.join(alone, "id", "left").withColumn("e", F.col("n") - F.coalesce("own", F.lit(0))).drop("own").where(f"100 * e >= {percent} * n")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, least_estimate: float = 0.6, small: int = 32) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (it is the smallest of its component) for every row."""
     sigs = written(signatures(docs, key, text, width), "signatures")
@@ -157,21 +176,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     rows = reps.select(F.col("doc_id").alias("id"), F.explode("buckets").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
     members = written(rows.join(shared, "bucket").select("bucket", "id", F.col("id").alias("comp")), "members")
+    # n: shingles of the set; e: those of them that another candidate may share (all, until they are counted)
+    members = members.join(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n")), "id").select("bucket", "id", "comp", "n", F.col("n").alias("e"))
     comps, tested, centres = None, None, 1
     while True:
-        sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket", "n")
-        members = written(members.join(sizes, "bucket").select("bucket", "id", "comp", "n"), "members")
+        sizes = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("first")).where("lo < hi").select("bucket", "size", "first")
+        members = written(members.join(sizes, "bucket"), "members")
         if members.isEmpty():
             break
-        # some members of a large bucket, the same ids wherever they are members
-        by_hash = F.xxhash64("id", F.lit(centres))
-        rank_below = F.pmod(by_hash, F.lit(1 << 30)) * F.col("n") < F.lit(centres * (1 << 30))
-        first = members.groupBy("bucket").agg(F.min("id").alias("id")).withColumn("first", F.lit(True))
-        marked = members.join(first, ["bucket", "id"], "left").withColumn("centre", F.col("first").isNotNull() | rank_below | (F.col("n") <= (0 if centres == 1 else small))).drop("first")
-        marked = written(marked, "marked")
-        c = marked.where("centre").select("bucket", F.col("id").alias("a"), F.col("comp").alias("ac"))
-        m = marked.select("bucket", F.col("id").alias("b"), F.col("comp").alias("bc"), F.col("centre").alias("b_centre"))
-        found = c.join(m, "bucket").where("ac <> bc AND a <> b AND (NOT b_centre OR a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if centres == 16:
+            members = written(_shareable(members, texts, width, percent), "members")
+        # the smallest id, and some others: the same ids in whatever bucket they are
+        some = F.pmod(F.xxhash64("id", F.lit(centres)), F.lit(1 << 30)) * F.col("size") < F.lit(centres * (1 << 30))
+        marked = members.withColumn("centre", (F.col("id") == F.col("first")) | (F.lit(centres > 1) & (some | (F.col("size") <= small))))
+        c = marked.where("centre").select("bucket", F.col("id").alias("a"), F.col("comp").alias("ac"), F.col("n").alias("an"), F.col("e").alias("ae"))
+        m = marked.select("bucket", F.col("id").alias("b"), F.col("comp").alias("bc"), F.col("n").alias("bn"), F.col("e").alias("be"), F.col("centre").alias("b_centre"))
+        possible = f"(100 + {percent}) * least(ae, be) >= {percent} * (an + bn)"
+        found = c.join(m, "bucket").where(f"ac <> bc AND a <> b AND (NOT b_centre OR a < b) AND {possible}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")
         found = written(found, "pairs")
@@ -179,9 +200,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         likely = found.join(packs.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(packs.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b").where(estimate("x", "y") >= least_estimate).select("a", "b")
         links = written(proved(written(likely, "likely"), texts, width, percent), "links")
         comps = components(links, comps)
-        rest = marked.where("NOT centre").select("bucket", "id", "comp")
-        members = rest.join(comps.withColumnRenamed("comp", "now"), "id", "left").select("bucket", "id", F.coalesce("now", "comp").alias("comp"))
-        centres *= 4
+        rest = marked.where("NOT centre").drop("size", "first", "centre")
+        members = rest.join(comps.withColumnRenamed("comp", "now"), "id", "left").select("bucket", "id", F.coalesce("now", "comp").alias("comp"), "n", "e")
+        centres *= 16
     by_class = classes if comps is None else classes.join(comps, "id", "left").withColumn("id", F.coalesce("comp", "id"))
     named = sigs.select("doc_id", "n_shingles", "d0", "d1").join(by_class.select("n_shingles", "d0", "d1", F.col("id").alias("comp")), ["n_shingles", "d0", "d1"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id"))
