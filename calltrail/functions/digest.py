@@ -12,6 +12,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from calltrail.functions.scalars import CREDENTIALS, SENSITIVE_NAMES
 
@@ -47,7 +48,8 @@ def tagged(value, redact: bool = False) -> str:
     return text if len(text) <= CANONICAL_CAP else text[:CANONICAL_CAP] + "<truncated>"
 
 
-@F.pandas_udf("digest string, rendered string")
+# A type object: a type in words needs a session, which is not there yet on import.
+@F.pandas_udf(T.StructType().add("digest", "string").add("rendered", "string"))
 def json_digest(values: pd.Series) -> pd.DataFrame:
     """digest and rendered text of JSON texts; text that is no JSON is a string value, null stays null."""
     out = []

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calltrail.operators.keys import KEY
 
-_SIGNATURE = F.concat_ws("|", *[F.coalesce(c, F.lit("-")) for c in ("args_digest", "return_digest", "exception_type")])
+def _signature() -> Column:
+    return F.concat_ws("|", *[F.coalesce(c, F.lit("-")) for c in ("args_digest", "return_digest", "exception_type")])
 
 
 def trace_summary(events: DataFrame) -> DataFrame:
@@ -29,7 +30,7 @@ def count_spread(events: DataFrame) -> DataFrame:
 
 def key_signatures(events: DataFrame) -> DataFrame:
     """Per key and run: calls and the sorted multiset of call signatures, hashed (a set's text never leaves the aggregation)."""
-    return events.where("NOT is_harness").groupBy("run", *KEY).agg(F.count("*").alias("calls"), F.sha2(F.array_join(F.array_sort(F.collect_list(_SIGNATURE)), "\n"), 256).alias("signature"))
+    return events.where("NOT is_harness").groupBy("run", *KEY).agg(F.count("*").alias("calls"), F.sha2(F.array_join(F.array_sort(F.collect_list(_signature())), "\n"), 256).alias("signature"))
 
 
 def noise_growth(events: DataFrame, run_order: list[str]) -> DataFrame:
@@ -54,7 +55,7 @@ def order_instability(left: DataFrame, right: DataFrame) -> DataFrame:
     """Keys called equally often whose call at some position differs between two runs of the same build, with the first such position."""
     rows = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1))).repartition(*KEY)
     w = Window.partitionBy(*KEY, "side").orderBy("ordinal", "process", "line_number")
-    at = rows.withColumn("pos", F.row_number().over(w) - 1).withColumn("signature", _SIGNATURE)
+    at = rows.withColumn("pos", F.row_number().over(w) - 1).withColumn("signature", _signature())
     per = at.groupBy(*KEY, "pos").agg(F.count("*").alias("n"), F.count_distinct("signature").alias("kinds"))
     return per.groupBy(*KEY).agg(F.max(F.col("pos")).alias("last"), F.min("n").alias("least"), F.min(F.when(F.col("kinds") > 1, F.col("pos"))).alias("first_unlike")).where("least = 2 AND first_unlike IS NOT NULL").select(*KEY, (F.col("last") + 1).alias("calls"), "first_unlike")
 
