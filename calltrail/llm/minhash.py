@@ -5,15 +5,16 @@ with 100 * intersection >= 80 * union are linked, and a component is all that li
 
 Documents with equal sets are one class, and only its smallest id goes on. Each class has ``bands`` x ``rows`` minima. A band's
 minima, hashed together, are a bucket; a pair at similarity 0.8 shares none of the buckets with probability (1 - 0.8**5)**32 = 3e-6. The
-two low bits of each minimum are packed into longs; with m the share of equal fields, (m - 1/4) / (3/4) estimates the
-similarity, and pairs under ``least_estimate`` (five standard deviations under 0.8) go no further. All others are proved on whole texts.
+two low bits of each minimum are packed into longs, which travel with the bucket's rows; with m the share of equal fields, (m - 1/4) / (3/4)
+estimates the similarity by counting bits in the join itself, and pairs five standard deviations under 0.8 are never made. All others are proved on whole texts.
 
 Buckets never give all their pairs at once. In each round a bucket that still holds more than one component pairs a few
 centres with its members of other components; found links merge components, so a group of copies is settled by its first centre.
 Centres are then done with and leave the bucket, and their number grows sixteenfold a round, so every pair across
 components is tested in the end: in large buckets of unlike texts in logarithmically many rounds, in buckets of up to ``small`` members
 at once. After the first round the shingles of what is left are counted: what a set shares with no other candidate can't be in an intersection, so
-pairs whose sizes rule a link out are never made (independent edits of one text, unlike each other, fall here). No bucket is capped or dropped.
+pairs whose sizes rule a link out are never made. What is still left (often edits of one text, each a little too unlike the others) gets a
+longer signature, whose five deviations are a third as wide. No bucket is capped or dropped.
 
 Null text or text without words: an empty set, linked with nothing. Rows with equal ids are one document whose rows' links all count; each
 row is returned. A null id is its own component (null). Extra columns are ignored. No rows, no output.
@@ -32,9 +33,10 @@ from calltrail.llm.text import mix, word_hashes
 BANDS, ROWS, BITS = 32, 5, 2
 _FIELDS = 64 // BITS
 _LONGS = BANDS * ROWS // _FIELDS
+_FINE_LONGS = 32
 _rng = np.random.default_rng(7)
-_A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_A = _rng.integers(1, 1 << 63, _FINE_LONGS * _FIELDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 1 << 63, _FINE_LONGS * _FIELDS, dtype=np.uint64)
 _ONES = 0x5555555555555555
 BROADCAST_ROWS = 1_000_000
 
@@ -54,6 +56,26 @@ def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64) if a.dtype == np.uint64 else a, pa.int64())
 
 
+def _sets(column: pa.Array, width: int):
+    """(index of the first text, its distinct shingles and those of the texts after it) for a column of texts, a piece at a time."""
+    for first, h, off in word_hashes(column.cast(pa.binary()).to_pylist()):
+        yield first, [np.unique(shingles(h[lo:hi], width)) for lo, hi in zip(off[:-1], off[1:], strict=True)]
+
+
+def _minima(every: np.ndarray, start: np.ndarray, fields: int) -> np.ndarray:
+    """The least of each hash function over each set; sets lie one after the other in every, from start on."""
+    low = np.empty((len(start), fields), np.uint64)
+    for k in range(fields):
+        low[:, k] = np.minimum.reduceat(every * _A[k] + _B[k], start)
+    return low
+
+
+def _packed(low: np.ndarray) -> np.ndarray:
+    """The minima's low bits, _FIELDS of them in a long."""
+    bits = (low >> np.uint64(40)) & np.uint64((1 << BITS) - 1)
+    return (bits.reshape(len(low), -1, _FIELDS) << (np.arange(_FIELDS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64)
+
+
 def signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """doc_id, n_shingles, d0, d1 (digest of the set), buckets (one hash per band), s0.. (packed low bits)."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -62,8 +84,7 @@ def signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     def run(batches):
         for b in batches:
             ids, out = b.column(0), []
-            for _, h, off in word_hashes(b.column(1).cast(pa.binary()).to_pylist()):
-                sets = [np.unique(shingles(h[lo:hi], width)) for lo, hi in zip(off[:-1], off[1:], strict=True)]
+            for _, sets in _sets(b.column(1), width):
                 n = np.array([len(s) for s in sets], np.int64)
                 every = np.concatenate(sets)
                 full = np.flatnonzero(n)
@@ -72,13 +93,11 @@ def signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 if len(full):
                     for k, x in enumerate((every, mix(every))):
                         digest[full, k] = np.add.reduceat(mix(x + np.uint64(k)), start)
-                    for k in range(BANDS * ROWS):
-                        low[full, k] = np.minimum.reduceat(every * _A[k] + _B[k], start)
+                    low[full] = _minima(every, start, BANDS * ROWS)
                 bucket = np.zeros((len(n), BANDS), np.uint64)
                 for r in range(ROWS):
                     bucket = mix(bucket + low[:, r::ROWS] + np.arange(BANDS, dtype=np.uint64))
-                bits = (low >> np.uint64(40)) & np.uint64((1 << BITS) - 1)
-                packed = (bits.reshape(len(n), _LONGS, _FIELDS) << (np.arange(_FIELDS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64)
+                packed = _packed(low)
                 out.append((n, digest, bucket, packed))
             if out:
                 n, digest, bucket, packed = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -88,11 +107,18 @@ def signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_shingles long, d0 long, d1 long, buckets array<long>, " + ", ".join(f"{p} long" for p in packs))
 
 
-def estimate(a: str, b: str) -> Column:
+def estimate(a: str, b: str, longs: int) -> Column:
     """The collision-corrected similarity of two packed signatures, by counting fields whose bits differ."""
-    differ = " + ".join(f"bit_count((({a}.s{i} ^ {b}.s{i}) | shiftrightunsigned({a}.s{i} ^ {b}.s{i}, 1)) & {_ONES}L)" for i in range(_LONGS))
+    differ = " + ".join(f"bit_count((({a}.s{i} ^ {b}.s{i}) | shiftrightunsigned({a}.s{i} ^ {b}.s{i}, 1)) & {_ONES}L)" for i in range(longs))
+    chance = 0.5**BITS
+    return F.expr(f"(1 - ({differ}) / {longs * _FIELDS}D - {chance}D) / {1 - chance}D")
+
+
+def least_estimate(percent: int, longs: int) -> float:
+    """Five standard deviations under the threshold."""
     chance = 0.5**BITS
-    return F.expr(f"(1 - ({differ}) / {BANDS * ROWS}D - {chance}D) / {1 - chance}D")
+    m = chance + (1 - chance) * percent / 100
+    return percent / 100 - 5 * (m * (1 - m) / (longs * _FIELDS)) ** 0.5 / (1 - chance)
 
 
 def if_small(ids: DataFrame) -> DataFrame:
@@ -112,8 +138,7 @@ def proved(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
             for b in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 sets = []
                 for name in ("text_a", "text_b"):
-                    got = [s for _, h, off in word_hashes(b.column(name).cast(pa.binary()).to_pylist()) for s in (np.unique(shingles(h[lo:hi], width)) for lo, hi in zip(off[:-1], off[1:], strict=True))]
-                    sets.append(got)
+                    sets.append([x for _, part in _sets(b.column(name), width) for x in part])
                 keep = []
                 for x, y in zip(*sets, strict=True):
                     i = len(np.intersect1d(x, y, assume_unique=True))
@@ -157,51 +182,67 @@ def _shareable(members: DataFrame, texts: DataFrame, width: int, percent: int) -
     def run(batches):
         for b in batches:
             ids = np.array(b.column(0).to_pylist(), np.int64)
-            for first, h, off in word_hashes(b.column(1).cast(pa.binary()).to_pylist()):
-                sets = [np.unique(shingles(h[lo:hi], width)) for lo, hi in zip(off[:-1], off[1:], strict=True)]
+            for first, sets in _sets(b.column(1), width):
                 yield pa.RecordBatch.from_arrays([_signed(np.concatenate(sets)), _signed(np.repeat(ids[first : first + len(sets)], [len(x) for x in sets]))], ["shingle", "id"])
 
     alone = used.select("doc_id", "text").mapInArrow(run, "shingle long, id long").groupBy("shingle").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").alias("own"))
     return members.join(alone, "id", "left").withColumn("e", F.col("n") - F.coalesce("own", F.lit(0))).drop("own").where(f"100 * e >= {percent} * n")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, least_estimate: float = 0.6, small: int = 32) -> DataFrame:
+def _finer(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """members with longer signatures."""
+    used = texts.join(if_small(members.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    packs = [f"s{i}" for i in range(_FINE_LONGS)]
+
+    def run(batches):
+        for b in batches:
+            for first, sets in _sets(b.column(1), width):
+                low = _minima(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])[:-1].astype(np.int64), _FINE_LONGS * _FIELDS)
+                packed = _packed(low)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(sets)), *[_signed(np.ascontiguousarray(packed[:, i])) for i in range(_FINE_LONGS)]], ["id", *packs])
+
+    fine = used.select("doc_id", "text").mapInArrow(run, "id long, " + ", ".join(f"{p} long" for p in packs)).dropDuplicates(["id"])
+    return members.drop("sig").join(fine.select("id", F.struct(*packs).alias("sig")), "id")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, small: int = 32) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (it is the smallest of its component) for every row."""
     sigs = written(signatures(docs, key, text, width), "signatures")
     full = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(full.groupBy("n_shingles", "d0", "d1").agg(F.min("doc_id").alias("id")), "classes")
     reps = full.join(classes.withColumnRenamed("id", "doc_id"), ["n_shingles", "d0", "d1", "doc_id"], "left_semi")
-    packs = reps.select(F.col("doc_id").alias("id"), F.struct(*[f"s{i}" for i in range(_LONGS)]).alias("sig"))
+    sig = F.struct(*[f"s{i}" for i in range(_LONGS)]).alias("sig")
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = reps.select(F.col("doc_id").alias("id"), F.explode("buckets").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
     members = written(rows.join(shared, "bucket").select("bucket", "id", F.col("id").alias("comp")), "members")
     # n: shingles of the set; e: those of them that another candidate may share (all, until they are counted)
-    members = members.join(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n")), "id").select("bucket", "id", "comp", "n", F.col("n").alias("e"))
-    comps, tested, centres = None, None, 1
+    members = members.join(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), sig).dropDuplicates(["id"]), "id").select("bucket", "id", "comp", "n", F.col("n").alias("e"), "sig")
+    comps, tested, centres, longs = None, None, 1, _LONGS
     while True:
         sizes = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("first")).where("lo < hi").select("bucket", "size", "first")
         members = written(members.join(sizes, "bucket"), "members")
         if members.isEmpty():
             break
         if centres == 16:
-            members = written(_shareable(members, texts, width, percent), "members")
+            members = written(_finer(written(_shareable(members, texts, width, percent), "members"), texts, width), "members")
+            longs = _FINE_LONGS
         # the smallest id, and some others: the same ids in whatever bucket they are
         some = F.pmod(F.xxhash64("id", F.lit(centres)), F.lit(1 << 30)) * F.col("size") < F.lit(centres * (1 << 30))
         marked = members.withColumn("centre", (F.col("id") == F.col("first")) | (F.lit(centres > 1) & (some | (F.col("size") <= small))))
-        c = marked.where("centre").select("bucket", F.col("id").alias("a"), F.col("comp").alias("ac"), F.col("n").alias("an"), F.col("e").alias("ae"))
-        m = marked.select("bucket", F.col("id").alias("b"), F.col("comp").alias("bc"), F.col("n").alias("bn"), F.col("e").alias("be"), F.col("centre").alias("b_centre"))
+        c = marked.where("centre").select("bucket", F.col("id").alias("a"), F.col("comp").alias("ac"), F.col("n").alias("an"), F.col("e").alias("ae"), F.col("sig").alias("x"))
+        m = marked.select("bucket", F.col("id").alias("b"), F.col("comp").alias("bc"), F.col("n").alias("bn"), F.col("e").alias("be"), F.col("centre").alias("b_centre"), F.col("sig").alias("y"))
         possible = f"(100 + {percent}) * least(ae, be) >= {percent} * (an + bn)"
-        found = c.join(m, "bucket").where(f"ac <> bc AND a <> b AND (NOT b_centre OR a < b) AND {possible}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        likely = estimate("x", "y", longs) >= least_estimate(percent, longs)
+        found = c.join(m, "bucket").where(f"ac <> bc AND a <> b AND (NOT b_centre OR a < b) AND {possible}").where(likely).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")
         found = written(found, "pairs")
         tested = found if tested is None else tested.union(found)
-        likely = found.join(packs.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(packs.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b").where(estimate("x", "y") >= least_estimate).select("a", "b")
-        links = written(proved(written(likely, "likely"), texts, width, percent), "links")
+        links = written(proved(found, texts, width, percent), "links")
         comps = components(links, comps)
         rest = marked.where("NOT centre").drop("size", "first", "centre")
-        members = rest.join(comps.withColumnRenamed("comp", "now"), "id", "left").select("bucket", "id", F.coalesce("now", "comp").alias("comp"), "n", "e")
+        members = rest.join(comps.withColumnRenamed("comp", "now"), "id", "left").select("bucket", "id", F.coalesce("now", "comp").alias("comp"), "n", "e", "sig")
         centres *= 16
     by_class = classes if comps is None else classes.join(comps, "id", "left").withColumn("id", F.coalesce("comp", "id"))
     named = sigs.select("doc_id", "n_shingles", "d0", "d1").join(by_class.select("n_shingles", "d0", "d1", F.col("id").alias("comp")), ["n_shingles", "d0", "d1"], "left")
