@@ -1,7 +1,8 @@
 """The call tree: parents within a process, orphans, transitive closures and call paths.
 
-Closures are driver loops of joins on (run, process, call_id), a level each; a level's rows are written to the shared folder, so
-lineage does not grow and a lost executor costs one level. Only calls that are asked for are walked.
+Closures double their reach each round: a table of jumps (call, ancestor 2**k calls up) steps what was found by 2**k calls and then
+itself, so a tree of depth d takes about log2(d) rounds of joins on (run, process, call_id). What a round finds is written to the
+shared folder, so lineage does not grow and a lost executor costs one round. Only calls that are asked for are kept.
 """
 
 from __future__ import annotations
@@ -35,38 +36,41 @@ def roots(events: DataFrame) -> DataFrame:
     return events.where("parent_call_id IS NULL")
 
 
-def closure(events: DataFrame, start: DataFrame, down: bool, max_depth: int = 10_000) -> DataFrame:
-    """(run, process, origin, call_id, distance) for every proper descendant (down) or ancestor of start's calls."""
-    edges = events.where("parent_call_id IS NOT NULL").select("run", "process", "call_id", "parent_call_id")
-    at, to = ("parent_call_id", "call_id") if down else ("call_id", "parent_call_id")
-    level = start.select("run", "process", F.col("call_id").alias("origin"), "call_id").distinct()
-    out = None
-    for distance in range(1, max_depth + 1):
-        step = level.withColumnRenamed("call_id", "at").join(edges.select("run", "process", F.col(at).alias("at"), F.col(to).alias("to")), ["run", "process", "at"])
-        step = step.select("run", "process", "origin", F.col("to").alias("call_id"), F.lit(distance).alias("distance")).where("call_id <> origin").distinct()
-        if out is not None:  # a cycle comes back to what was seen
-            step = step.join(out.select("run", "process", "origin", "call_id"), ["run", "process", "origin", "call_id"], "left_anti")
-        step = stored(step)
-        if step.isEmpty():
-            break
-        out = step if out is None else out.unionByName(step)
-        level = step.select("run", "process", "origin", "call_id")
-    return out if out is not None else level.withColumn("distance", F.lit(0)).where("false")
+def _jumps(events: DataFrame) -> DataFrame:
+    """(run, process, lo, hi): hi is lo's parent."""
+    return stored(events.where("parent_call_id IS NOT NULL").select("run", "process", F.col("call_id").alias("lo"), F.col("parent_call_id").alias("hi")).distinct())
+
+
+def _twice(jumps: DataFrame) -> DataFrame:
+    further = jumps.select("run", "process", F.col("lo").alias("hi"), F.col("hi").alias("top"))
+    return stored(jumps.join(further, ["run", "process", "hi"]).select("run", "process", "lo", F.col("top").alias("hi")).distinct())
+
+
+def closure(events: DataFrame, start: DataFrame, down: bool) -> DataFrame:
+    """(run, process, origin, call_id, distance) for every proper descendant (down) or ancestor of start's calls; a cycle ends where it closes."""
+    at, to = ("hi", "lo") if down else ("lo", "hi")
+    pair = ["run", "process", "origin", "call_id"]
+    jumps, step = _jumps(events), 1
+    found = stored(start.select("run", "process", F.col("call_id").alias("origin"), "call_id").distinct().withColumn("distance", F.lit(0)))
+    while True:
+        on = jumps.select("run", "process", F.col(at).alias("call_id"), F.col(to).alias("next"))
+        further = found.join(on, ["run", "process", "call_id"]).select("run", "process", "origin", F.col("next").alias("call_id"), (F.col("distance") + step).alias("distance"))
+        further = stored(further.groupBy(*pair).agg(F.min("distance").alias("distance")).join(found.select(*pair), pair, "left_anti"))
+        if further.isEmpty():
+            return found.where("distance > 0")
+        found, jumps, step = found.unionByName(further), _twice(jumps), 2 * step
 
 
 def marked_ancestors(events: DataFrame, start: DataFrame) -> DataFrame:
-    """(run, process, call_id) of every proper ancestor of any of start's calls; each call is visited once."""
-    edges = events.where("parent_call_id IS NOT NULL").select("run", "process", "call_id", F.col("parent_call_id").alias("up"))
-    level, seen = start.select(*CALL).distinct(), None
+    """(run, process, call_id) of every proper ancestor of any of start's calls; each call is kept once."""
+    jumps = _jumps(events)
+    seen = stored(start.select(*CALL).distinct().join(jumps.withColumnRenamed("lo", "call_id"), CALL).select("run", "process", F.col("hi").alias("call_id")).distinct())
     while True:
-        level = level.join(edges, CALL).select("run", "process", F.col("up").alias("call_id")).distinct()
-        if seen is not None:
-            level = level.join(seen, CALL, "left_anti")
-        level = stored(level)
-        if level.isEmpty():
-            break
-        seen = level if seen is None else seen.unionByName(level)
-    return seen if seen is not None else level
+        further = seen.join(jumps.withColumnRenamed("lo", "call_id"), CALL).select("run", "process", F.col("hi").alias("call_id")).distinct()
+        further = stored(further.join(seen, CALL, "left_anti"))
+        if further.isEmpty():
+            return seen
+        seen, jumps = seen.unionByName(further), _twice(jumps)
 
 
 def call_paths(events: DataFrame, start: DataFrame, max_depth: int = 10_000) -> DataFrame:

@@ -55,14 +55,22 @@ def _gaps(spark):
 
 
 def _nodes(spark, sf_dir):
-    found = tree.stored(_compare(spark, sf_dir))
-    left = keys.without_noise(found, keys.noise_keys(_bases(spark, sf_dir)))
-    nodes = frontier.frontier(left, found.where("is_harness"), _of(spark, sf_dir, "base1"), _matched(spark, sf_dir), _members(spark))
-    return frontier.attribute(nodes, adapter.changed(spark))
+    return _walked(spark, sf_dir)[0]
+
+
+def _walked(spark, sf_dir):
+    """Nodes of the frontier, what was left to walk, and the runs: each read many times, so each a table."""
+    events = tree.stored(adapter.runs(spark, sf_dir))
+    of = lambda name: events.where(F.col("run") == name)
+    base, pr = of("base1"), of("pr")
+    found = tree.stored(keys.compare(base, pr))
+    left = tree.stored(keys.without_noise(found, keys.noise_keys(events.where(F.col("run").isin(_B)))))
+    nodes = frontier.frontier(left, found.where("is_harness"), base, keys.matched_keys(base, pr), _members(spark))
+    return tree.stored(frontier.attribute(nodes, adapter.changed(spark))), left, base, pr
 
 
 def _found(spark, sf_dir):
-    return findings.members(_nodes(spark, sf_dir), _remaining(spark, sf_dir), _of(spark, sf_dir, "base1"), _of(spark, sf_dir, "pr"))
+    return findings.members(*_walked(spark, sf_dir))
 
 
 def _documents(spark, sf_dir, *cols):
