@@ -18,7 +18,7 @@ class InputError(ValueError):
 
 def lines(spark: SparkSession, path: str, glob: str = "*.ndjson", skip_manifests: bool = True) -> DataFrame:
     """process (file stem), line_number (from 1), raw of every line that is not blank. One process writes one file, so a file is a row."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
     if skip_manifests:
         files = files.where(~F.endswith("file", F.lit(".manifest.ndjson")))
     each = files.select(F.regexp_replace("file", r"(\.manifest)?\.ndjson$", "").alias("process"), F.posexplode(F.split("value", "\r?\n")).alias("n", "raw"))
