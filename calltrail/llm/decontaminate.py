@@ -1,11 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval, then longest common subsequences and answer checks.
 
 Benchmark items and documents are cut into passages of ``2 * half`` words, a half passage apart. Features are the items' words
-(others cannot add to a product with an item), weighted by tf-idf with document frequencies over all documents; words in more
-than ``common`` of the documents weigh nothing. A randomised SVD finds the latent space: every document passage and every
+(others cannot add to a product with an item), weighted by tf-idf with document frequencies over all documents; no word weighs
+nothing, for a word may be common because the leaked document is. A randomised SVD finds the latent space: every document passage and every
 item passage is a row of A, items scaled up to the same total weight as the corpus; tasks compute their part of A'(A G) for a random
 matrix G, the parts are summed by Spark, and the leading left singular vectors of the sum (words x rank, at the driver) span the
-space. Each document passage with a latent cosine of ``least_cosine`` or more to an item passage is a candidate.
+space. Each document passage with a latent cosine of ``least_cosine`` or more to an item passage is a candidate, and so, whatever
+the weights, is each place where a document and an item have ``RUN`` words in a row in common (found exactly, by hash).
 
 A candidate's neighbourhood is compared with the whole item: lcs is the share of the item's words in the longest common subsequence,
 answer the share of the item's ``answer_words`` rarest words that occur there. It is a leak when lcs >= ``exact``, or lcs >=
@@ -26,8 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calltrail.llm.shared import written
-from calltrail.llm.text import word_hashes
+from calltrail.llm.text import mix, word_hashes
 
+#: Words in a row that make a candidate without a cosine; items have at least ``min_words``, which is as many.
+RUN = 8
 SCHEMA = "doc_id long, item_id long, cosine double, lcs double, answer double, leak string"
 
 
@@ -46,6 +49,14 @@ def lcs_length(words: np.ndarray, item: np.ndarray) -> int:
     return len(item) - v.bit_count()
 
 
+def _runs(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the RUN words that begin at each place."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(RUN):
+        out = mix(out + h[at + k])
+    return out
+
+
 class Items:
     """One block of items: words, vocabulary, and (once fitted) weights, space and passage vectors."""
 
@@ -58,6 +69,13 @@ class Items:
         self.words = [w for _, w in kept]
         self.vocab = np.unique(np.concatenate(self.words)) if kept else np.zeros(0, np.uint64)
         self.idf = np.ones(len(self.vocab), np.float32)
+        at = [np.arange(max(0, len(w) - RUN + 1)) for w in self.words]
+        runs = np.concatenate([_runs(w, a) for w, a in zip(self.words, at, strict=True)]) if kept else np.zeros(0, np.uint64)
+        order = np.argsort(runs, kind="stable")
+        self.run_item = np.repeat(np.arange(len(at)), [len(a) for a in at])[order]
+        self.run_place = np.concatenate(at)[order] if kept else np.zeros(0, np.int64)
+        self.runs, first = np.unique(runs[order], return_index=True)
+        self.run_first = np.append(first, len(runs))
 
     def term(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in the vocabulary, and whether the word is there."""
@@ -72,12 +90,29 @@ class Items:
         owner = np.repeat(np.arange(len(n)), pieces)
         begin = (np.arange(base[-1]) - base[owner]) * step
         at, known = self.term(h)
-        known &= self.idf[at] > 0
         where = np.flatnonzero(known)
         text = np.searchsorted(off, where, side="right") - 1
         piece = base[text] + (where - off[text]) // step
         return at[where], piece, owner, begin
 
+    def shared_runs(self, h: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text, place in it, item, place in it) where a run of RUN or more words in common begins."""
+        if not len(self.runs) or len(h) < RUN:
+            return []
+        unknown = np.concatenate([[0], np.cumsum(~self.term(h)[1])])
+        p = np.flatnonzero(unknown[RUN:] == unknown[:-RUN])
+        p = p[np.searchsorted(off, p, side="right") == np.searchsorted(off, p + RUN - 1, side="right")]
+        run = _runs(h, p)
+        g = np.minimum(np.searchsorted(self.runs, run), len(self.runs) - 1)
+        hit = self.runs[g] == run
+        p, g = p[hit], g[hit]
+        out = []
+        for x, t, lo, hi in zip(p.tolist(), (np.searchsorted(off, p, side="right") - 1).tolist(), self.run_first[g].tolist(), self.run_first[g + 1].tolist(), strict=True):
+            for k, q in zip(self.run_item[lo:hi].tolist(), self.run_place[lo:hi].tolist(), strict=True):
+                if not q or x == off[t] or h[x - 1] != self.words[k][q - 1]:
+                    out.append((t, x - int(off[t]), k, q))
+        return out
+
     def vectors(self, h: np.ndarray, off: np.ndarray):
         """Latent vectors (length 1) of all overlapping passages, the text of each, its first word, its number of weighted words."""
         term, piece, owner, begin = self.cut(h, off, self.half)
@@ -114,7 +149,7 @@ def _gram(items: Items, h, off, g: np.ndarray) -> np.ndarray:
     return _sums(y[piece[order]] * scaled[order][:, None], term[order], len(items.vocab))
 
 
-def fit(items: Items, docs: DataFrame, text: str, rank: int, common: float, seed: int = 11) -> None:
+def fit(items: Items, docs: DataFrame, text: str, rank: int, seed: int = 11) -> None:
     """Document frequencies, then the latent space, each by a pass over all documents."""
     m = len(items.vocab)
     texts = docs.select(F.col(text).alias("text"))
@@ -133,7 +168,7 @@ def fit(items: Items, docs: DataFrame, text: str, rank: int, common: float, seed
     got = dict(texts.mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n")).collect())
     n = max(1, got.get(-1, 0))
     df = np.array([got.get(i, 0) for i in range(m)])
-    items.idf = np.where(df > max(2, common * n), 0, np.log((n + 1) / (df + 0.5))).astype(np.float32)
+    items.idf = np.maximum(0.05, np.log((n + 1) / (df + 0.5))).astype(np.float32)
     width = min(m, rank + 8)
     g = np.random.default_rng(seed).standard_normal((m, width)).astype(np.float32)
 
@@ -165,9 +200,9 @@ def search(items: Items, docs: DataFrame, key: str, text: str, least_cosine: flo
         rare.append(items.vocab[at[np.lexsort((at, -items.idf[at]))[:answer_words]]])
     distinct = [np.unique(w) for w in items.words]
 
-    def leaks(words: np.ndarray, begin: int, k: int):
+    def leaks(words: np.ndarray, begin: int, end: int, k: int):
         item = items.words[k]
-        lo, hi = max(0, begin - len(item)), begin + 2 * items.half + len(item)
+        lo, hi = max(0, begin - len(item)), end + len(item)
         near = words[lo:hi]
         if np.isin(distinct[k], near).sum() < paraphrase * 0.8 * len(distinct[k]):
             return None
@@ -182,15 +217,23 @@ def search(items: Items, docs: DataFrame, key: str, text: str, least_cosine: flo
                 vectors, owner, begin, n = items.vectors(h, off)
                 use = np.flatnonzero(n >= min_terms)
                 found: dict[tuple[int, int], tuple] = {}
+
+                def note(t, k, begin, end, cosine):
+                    got = leaks(h[off[t] : off[t + 1]], begin, end, k)  # noqa: B023
+                    if got and (got[0] >= exact or (got[0] >= paraphrase and got[1] >= least_answer)):
+                        found[t, k] = max(found.get((t, k), (0, 0, -1)), (got[0], got[1], cosine))  # noqa: B023
+
                 for lo in range(0, len(use), 4096):
                     part = use[lo : lo + 4096]
                     cosines = vectors[part] @ items.passages.T
                     for i, j in zip(*np.nonzero(cosines >= least_cosine), strict=True):
                         p, k = part[i], int(items.passage_of[j])
-                        t = int(owner[p])
-                        got = leaks(h[off[t] : off[t + 1]], int(begin[p]), k)
-                        if got and (got[0] >= exact or (got[0] >= paraphrase and got[1] >= least_answer)):
-                            found[t, k] = max(found.get((t, k), (0, 0, 0)), (got[0], got[1], float(cosines[i, j])))
+                        note(int(owner[p]), k, int(begin[p]), int(begin[p]) + 2 * items.half, float(cosines[i, j]))
+                for t, at, k, _ in items.shared_runs(h, off):
+                    lo, hi = np.searchsorted(owner, [t, t + 1])
+                    over = lo + np.flatnonzero((begin[lo:hi] <= at) & (at < begin[lo:hi] + 2 * items.half))
+                    cosines = vectors[over] @ items.passages[items.passage_of == k].T
+                    note(t, k, at, at + RUN, float(cosines.max(initial=0)))
                 out += [(ids[first + t], items.ids[k], c, s, a, "exact" if s >= exact else "paraphrase") for (t, k), (s, a, c) in sorted(found.items())]
             if out:
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string()]
@@ -201,7 +244,7 @@ def search(items: Items, docs: DataFrame, key: str, text: str, least_cosine: flo
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", half: int = 16, rank: int = 64,
-    least_cosine: float = 0.5, exact: float = 0.8, paraphrase: float = 0.5, least_answer: float = 0.5, answer_words: int = 8, common: float = 0.05, min_words: int = 8, block_items: int = 2000,
+    least_cosine: float = 0.5, exact: float = 0.8, paraphrase: float = 0.5, least_answer: float = 0.5, answer_words: int = 8, min_words: int = 8, block_items: int = 2000,
 ) -> DataFrame:
     """doc_id, item_id, cosine, lcs, answer, leak (exact or paraphrase) for every pair found."""
     numbered = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).alias("text"))
@@ -215,7 +258,7 @@ def find_leaks(
         items = Items([tuple(r) for r in rows.orderBy("item_id").collect()], half, min_words)
         if not len(items.vocab):
             continue
-        fit(items, docs, text, rank, common)
+        fit(items, docs, text, rank)
         found = search(items, docs, key, text, least_cosine, exact, paraphrase, least_answer, answer_words)
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out

@@ -220,6 +220,23 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert whole <= got and len({d for d, _ in got}) < 0.1 * len(docs)
 
 
+def _prose(seed, n, vocabulary=3000):
+    import random
+
+    r = random.Random(seed)
+    return [f"w{r.randrange(vocabulary)}" for _ in range(n)]
+
+
+@pytest.mark.parametrize(("rows", "leaked"), [(40, 3), (300, 100), (60, 60)])
+def test_leaks_carried_by_many_documents(spark, rows, leaked):
+    """A document with an item, copied to many rows; every word of the item is common for that."""
+    items = {k: " ".join(_prose(k, 40)) for k in range(8)}
+    hot = " ".join([*_prose(50, 60), items[3], *_prose(51, 60)])
+    docs = [(i, hot if i < leaked else " ".join(_prose(100 + i, 150))) for i in range(rows)]
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["leak"]) for r in got) == [(i, 3, "exact") for i in range(leaked)]
+
+
 def test_lcs_against_the_table():
     import numpy as np
 
