@@ -10,7 +10,9 @@ the weights, is each place where a document and an item have ``RUN`` words in a
 
 A candidate's neighbourhood is compared with the whole item: lcs is the share of the item's words in the longest common subsequence,
 answer the share of the item's ``answer_words`` rarest words that occur there. It is a leak when lcs >= ``exact``, or lcs >=
-``paraphrase`` and answer >= ``least_answer``.
+``paraphrase`` and answer >= ``least_answer``. Where RUN words in a row are shared, each of the item's passages of ``2 * half`` words around
+them (a quarter of half apart) is compared with the neighbourhood too, so that a part of a long item is found: with an lcs of a passage >= ``exact`` it
+is a leak named excerpt. Its lcs and answer are those of the whole item.
 
 Items are handled in blocks of ``block_items``, each searched against all documents, so what is sent to the tasks is bounded.
 Null or empty texts and items leak nothing. Items shorter than ``min_words`` are left out (they would match by chance). Repeated rows
@@ -200,11 +202,24 @@ def search(items: Items, docs: DataFrame, key: str, text: str, least_cosine: flo
         rare.append(items.vocab[at[np.lexsort((at, -items.idf[at]))[:answer_words]]])
     distinct = [np.unique(w) for w in items.words]
 
-    def leaks(words: np.ndarray, begin: int, end: int, k: int):
+    def excerpt(words: np.ndarray, begin: int, k: int, place: int) -> bool:
+        """Whether one of the item's passages around a shared run (at begin, and at place in the item) is in the text."""
+        item, size = items.words[k], 2 * items.half
+        if len(item) <= size:
+            return False  # it is its only passage
+        near = words[max(0, begin - size) : begin + RUN + size]
+        known = np.isin(item[max(0, place - 2 * size) : place + 2 * size], near)
+        for at in sorted({min(max(0, place - i), len(item) - size) for i in range(0, size - RUN + 1, max(1, items.half // 4))}, reverse=True):
+            lo = at - max(0, place - 2 * size)
+            if known[lo : lo + size].sum() >= exact * size and lcs_length(near, item[at : at + size]) >= exact * size:
+                return True
+        return False
+
+    def leaks(words: np.ndarray, begin: int, end: int, k: int, least: bool = True):
         item = items.words[k]
         lo, hi = max(0, begin - len(item)), end + len(item)
         near = words[lo:hi]
-        if np.isin(distinct[k], near).sum() < paraphrase * 0.8 * len(distinct[k]):
+        if least and np.isin(distinct[k], near).sum() < paraphrase * 0.8 * len(distinct[k]):
             return None
         share = lcs_length(near, item) / len(item)
         answer = float(np.isin(rare[k], near).mean())
@@ -218,10 +233,14 @@ def search(items: Items, docs: DataFrame, key: str, text: str, least_cosine: flo
                 use = np.flatnonzero(n >= min_terms)
                 found: dict[tuple[int, int], tuple] = {}
 
-                def note(t, k, begin, end, cosine):
-                    got = leaks(h[off[t] : off[t + 1]], begin, end, k)  # noqa: B023
-                    if got and (got[0] >= exact or (got[0] >= paraphrase and got[1] >= least_answer)):
-                        found[t, k] = max(found.get((t, k), (0, 0, -1)), (got[0], got[1], cosine))  # noqa: B023
+                def note(t, k, begin, end, cosine, place=None):
+                    words = h[off[t] : off[t + 1]]  # noqa: B023
+                    got = leaks(words, begin, end, k)
+                    kind = "" if not got else "exact" if got[0] >= exact else "paraphrase" if got[0] >= paraphrase and got[1] >= least_answer else ""
+                    if not kind and place is not None and excerpt(words, begin, k, place):
+                        got, kind = leaks(words, begin, end, k, least=False), "excerpt"
+                    if kind:
+                        found[t, k] = max(found.get((t, k), (False, 0, 0, -1, "")), (kind != "excerpt", got[0], got[1], cosine, kind))  # noqa: B023
 
                 for lo in range(0, len(use), 4096):
                     part = use[lo : lo + 4096]
@@ -229,12 +248,12 @@ def search(items: Items, docs: DataFrame, key: str, text: str, least_cosine: flo
                     for i, j in zip(*np.nonzero(cosines >= least_cosine), strict=True):
                         p, k = part[i], int(items.passage_of[j])
                         note(int(owner[p]), k, int(begin[p]), int(begin[p]) + 2 * items.half, float(cosines[i, j]))
-                for t, at, k, _ in items.shared_runs(h, off):
+                for t, at, k, place in items.shared_runs(h, off):
                     lo, hi = np.searchsorted(owner, [t, t + 1])
                     over = lo + np.flatnonzero((begin[lo:hi] <= at) & (at < begin[lo:hi] + 2 * items.half))
                     cosines = vectors[over] @ items.passages[items.passage_of == k].T
-                    note(t, k, at, at + RUN, float(cosines.max(initial=0)))
-                out += [(ids[first + t], items.ids[k], c, s, a, "exact" if s >= exact else "paraphrase") for (t, k), (s, a, c) in sorted(found.items())]
+                    note(t, k, at, at + RUN, float(cosines.max(initial=0)), place)
+                out += [(ids[first + t], items.ids[k], c, s, a, kind) for (t, k), (_, s, a, c, kind) in sorted(found.items())]
             if out:
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "item_id", "cosine", "lcs", "answer", "leak"])
@@ -246,7 +265,7 @@ def find_leaks(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", half: int = 16, rank: int = 64,
     least_cosine: float = 0.5, exact: float = 0.8, paraphrase: float = 0.5, least_answer: float = 0.5, answer_words: int = 8, min_words: int = 8, block_items: int = 2000,
 ) -> DataFrame:
-    """doc_id, item_id, cosine, lcs, answer, leak (exact or paraphrase) for every pair found."""
+    """doc_id, item_id, cosine, lcs, answer, leak (exact, paraphrase or excerpt) for every pair found."""
     numbered = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     n = numbered.count()
     blocks = max(1, math.ceil(n / block_items))

@@ -237,6 +237,16 @@ def test_leaks_carried_by_many_documents(spark, rows, leaked):
     assert sorted((r["doc_id"], r["item_id"], r["leak"]) for r in got) == [(i, 3, "exact") for i in range(leaked)]
 
 
+@pytest.mark.parametrize(("length", "share", "first"), [(59, 28 / 59, 13), (500, 0.2, 37), (500, 0.4, 250), (200, 0.5, 99), (140, 0.2, 111)])
+def test_leaks_of_a_part_of_an_item(spark, length, share, first):
+    items = {k: _prose(k, length) for k in range(4)}
+    part = items[2][first : first + round(share * length)]
+    docs = [(i, " ".join([*_prose(60 + i, 70 + i), *(part if i % 2 else []), *_prose(90 + i, 80)])) for i in range(20)]
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(i, 2) for i in range(1, 20, 2)]
+    assert all(r["lcs"] >= len(part) / length for r in got)
+
+
 def test_lcs_against_the_table():
     import numpy as np
 
