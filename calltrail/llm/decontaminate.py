@@ -115,9 +115,9 @@ class Items:
                     out.append((t, x - int(off[t]), k, q))
         return out
 
-    def vectors(self, h: np.ndarray, off: np.ndarray):
+    def vectors(self, h: np.ndarray, off: np.ndarray, cut: tuple | None = None):
         """Latent vectors (length 1) of all overlapping passages, the text of each, its first word, its number of weighted words."""
-        term, piece, owner, begin = self.cut(h, off, self.half)
+        term, piece, owner, begin = cut or self.cut(h, off, self.half)
         halves = _sums(self.space[term], piece, len(owner))
         count = np.bincount(piece, minlength=len(owner))
         follows = np.concatenate([owner[1:] == owner[:-1], [False]])
@@ -202,6 +202,26 @@ def search(items: Items, docs: DataFrame, key: str, text: str, least_cosine: flo
         rare.append(items.vocab[at[np.lexsort((at, -items.idf[at]))[:answer_words]]])
     distinct = [np.unique(w) for w in items.words]
 
+    places = [items.term(d)[0] for d in distinct]
+    wide = np.array([-(-len(w) // items.half) for w in items.words])
+
+    def likely(term, piece, lo, hi, k):
+        """Which candidates have enough different words of item k in their pieces lo to hi, which hold the neighbourhood: leaks() would refuse the others."""
+        first = lo.min()
+        rows = int(hi.max() - first) + 1
+        seen = np.zeros((rows, len(items.vocab)), np.int16 if rows < 30_000 else np.int32)
+        at = slice(*np.searchsorted(piece, [first, first + rows - 1]))
+        seen[piece[at] - first + 1, term[at]] = 1
+        for r in range(1, len(seen)):  # much faster than a sum down the columns
+            seen[r] += seen[r - 1]
+        keep = np.zeros(len(k), bool)
+        order = np.argsort(k, kind="stable")
+        for c in np.split(order, np.flatnonzero(np.diff(k[order])) + 1):
+            of = places[k[c[0]]]
+            n = (seen[np.ix_(hi[c] - first, of)] > seen[np.ix_(lo[c] - first, of)]).sum(axis=1)
+            keep[c] = n >= paraphrase * 0.8 * len(of)
+        return keep
+
     def excerpt(words: np.ndarray, begin: int, k: int, place: int) -> bool:
         """Whether one of the item's passages around a shared run (at begin, and at place in the item) is in the text."""
         item, size = items.words[k], 2 * items.half
@@ -229,7 +249,9 @@ def search(items: Items, docs: DataFrame, key: str, text: str, least_cosine: flo
         for b in batches:
             ids, out = b.column(0).to_pylist(), []
             for first, h, off in word_hashes(b.column(1).cast(pa.binary()).to_pylist()):
-                vectors, owner, begin, n = items.vectors(h, off)
+                cut = items.cut(h, off, items.half)
+                vectors, owner, begin, n = items.vectors(h, off, cut)
+                pieces = np.searchsorted(cut[2], np.arange(len(off)))  # the first piece of each text
                 use = np.flatnonzero(n >= min_terms)
                 found: dict[tuple[int, int], tuple] = {}
 
@@ -242,12 +264,21 @@ def search(items: Items, docs: DataFrame, key: str, text: str, least_cosine: flo
                     if kind:
                         found[t, k] = max(found.get((t, k), (False, 0, 0, -1, "")), (kind != "excerpt", got[0], got[1], cosine, kind))  # noqa: B023
 
-                for lo in range(0, len(use), 4096):
-                    part = use[lo : lo + 4096]
+                step = max(256, min(4096, (1 << 24) // len(items.vocab)))
+                for lo in range(0, len(use), step):
+                    part = use[lo : lo + step]
                     cosines = vectors[part] @ items.passages.T
-                    for i, j in zip(*np.nonzero(cosines >= least_cosine), strict=True):
-                        p, k = part[i], int(items.passage_of[j])
-                        note(int(owner[p]), k, int(begin[p]), int(begin[p]) + 2 * items.half, float(cosines[i, j]))
+                    i, j = np.nonzero(cosines >= least_cosine)
+                    if not len(i):
+                        continue
+                    cosine, p, k = cosines[i, j], part[i], items.passage_of[j]
+                    order = np.lexsort((-cosine, k, p))
+                    best = order[np.concatenate([[True], (np.diff(p[order]) != 0) | (np.diff(k[order]) != 0)])]
+                    cosine, p, k = cosine[best], p[best], k[best]
+                    piece, t = pieces[owner[p]] + begin[p] // items.half, owner[p]
+                    keep = likely(cut[0], cut[1], np.maximum(pieces[t], piece - wide[k]), np.minimum(pieces[t + 1], piece + 2 + wide[k]), k)
+                    for c, x, y in zip(cosine[keep].tolist(), p[keep].tolist(), k[keep].tolist(), strict=True):
+                        note(int(owner[x]), y, int(begin[x]), int(begin[x]) + 2 * items.half, c)
                 for t, at, k, place in items.shared_runs(h, off):
                     lo, hi = np.searchsorted(owner, [t, t + 1])
                     over = lo + np.flatnonzero((begin[lo:hi] <= at) & (at < begin[lo:hi] + 2 * items.half))
