@@ -2,9 +2,9 @@
 
 The lexicon holds seed terms and, learned from labelled rows, words and word beginnings (stems) that
 mark the toxic class. Its trie is intersected with a Levenshtein automaton: a state is a set of (trie
-node, edits spent), its successors are worked out the first time a character needs them, and most
-words die after two or three characters. Substitutions that look alike (0 for o, 1 for i, ...) cost no
-edit, and an edit never touches the first character. Misspelt forms that occur in clean labelled rows
+node, edits spent) closed under omissions, and its successors are worked out the first time a character
+needs them. Substitutions that look alike (0 for o, 1 for i, ...) cost no edit; otherwise it accepts
+what plain edit distance does, whichever character is touched. Misspelt forms that occur in clean labelled rows
 are ordinary words and are let pass.
 
 Each hit is weighed by a window around it: inside quotation marks or beside a reporting word it counts
@@ -38,6 +38,8 @@ REPORTING = frozenset("said says say called calls quote quoted quotes word words
 ADDRESS = frozenset("you your youre yourself du dich dein tu vous toi te usted ustedes".split())
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 WINDOW = 6
+#: States kept at once; beyond it they are worked out again.
+MAX_STATES = 50_000
 _WORD = re.compile(r"[^\W_](?:[\w@$!]*[^\W_])?")
 _QUOTES = re.compile("[\"“”„«»‘]|(?<!\\w)'|'(?!\\w)")
 NAMES = ("exact", "fuzzy", "stem", "quoted", "terms", "rate")
@@ -57,6 +59,8 @@ class Automaton:
         self.allowed = [0]
         for word, is_stem in [*((t, False) for t in terms), *((s, True) for s in stems)]:
             node = 0
+            if not is_stem:
+                self.allowed[0] = max(self.allowed[0], max_edits(len(word)))
             for ch in word:
                 if ch not in self.next[node]:
                     self.next[node][ch] = len(self.next)
@@ -71,21 +75,34 @@ class Automaton:
                 self.stem[node] = word
             else:
                 self.end[node] = word
+        self._reset()
+
+    def _reset(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
         self.accepts: list[tuple[int, str] | None] = []
-        self.start = self._state(frozenset({(0, 0)}))
+        self.start = self._state(self._closed({0: 0}))
         self.dead = self._state(frozenset())
 
+    def _closed(self, best: dict[int, int]) -> frozenset:
+        """The least edits of each node, with those reached by leaving out characters of a term."""
+        todo = list(best)
+        while todo:
+            node = todo.pop()
+            e = best[node] + 1
+            for child in self.next[node].values():
+                if e <= self.allowed[child] and e < best.get(child, 9):
+                    best[child] = e
+                    todo.append(child)
+        return frozenset(best.items())
+
     def _state(self, items: frozenset) -> int:
         if items not in self.states:
             self.states[items] = len(self.sets)
             self.sets.append(items)
             self.moves.append({})
             found = [(e, self.end[n]) for n, e in items if self.end[n] and e <= max_edits(len(self.end[n]))]
-            # a character left unread at the end of the term is one more edit
-            found += [(e + 1, self.end[m]) for n, e in items if n for m in self.next[n].values() if self.end[m] and e + 1 <= max_edits(len(self.end[m]))]
             self.accepts.append(min(found) if found else None)
         return self.states[items]
 
@@ -101,19 +118,19 @@ class Automaton:
             for c in (ch, *LOOKS_LIKE.get(ch, "")):
                 if c in children:
                     put(children[c], e)
-            if node and e < self.allowed[node]:
+            if e < self.allowed[node]:
                 put(node, e + 1)  # an extra character
-                for c, child in children.items():
+                for child in children.values():
                     if e + 1 <= self.allowed[child]:
                         put(child, e + 1)  # another character
-                        if ch in self.next[child]:
-                            put(self.next[child][ch], e + 1)  # a missing character
-        to = self._state(frozenset(best.items()))
+        to = self._state(self._closed(best))
         self.moves[state][ch] = to
         return to
 
     def match(self, word: str) -> tuple[str, str, int] | None:
         """(kind, lexicon entry, edits) or None; kind is exact, stem or fuzzy, in this order of preference."""
+        if len(self.sets) > MAX_STATES:
+            self._reset()
         state, stem, moves = self.start, None, self.moves
         for ch in word:
             to = moves[state].get(ch)

@@ -135,6 +135,30 @@ def test_automaton_against_edit_distance():
         assert (got is not None) == bool(near), w
 
 
+def test_automaton_accepts_all_near_variants():
+    """Every word one or two edits from a term, against plain edit distance; no edit is special."""
+    terms = dict.fromkeys(["idiot", "moron", "worthless", "disgusting", "scum"], 3.0)
+    automaton = toxicity.Automaton(terms, {})
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y and y not in toxicity.LOOKS_LIKE.get(x, "")))
+        return row[-1]
+
+    def edits(w):
+        cut = [(w[:i], w[i:]) for i in range(len(w) + 1)]
+        return {a + b[1:] for a, b in cut if b} | {a + c + b[k:] for a, b in cut for c in "xo1" for k in (0, 1)}
+
+    words = {v for t in terms for w in {t} | edits(t) for v in {w} | edits(w)} | {"ediot", "diot", "ldiot", "xmoron", "worthss", "disgting"}
+    for w in words:
+        least = min((d for t in terms if (d := distance(w, t)) <= toxicity.max_edits(len(t))), default=None)
+        got = automaton.match(w)
+        assert (got and got[2]) == least, w
+
+
 def test_quotation_weighs_less_than_abuse():
     s = toxicity.Scorer(toxicity.Model())
     assert s.score('The report said the word "idiot" was used.') < s.score("You idiot, go away, you idiot.")
