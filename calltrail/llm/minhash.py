@@ -8,13 +8,13 @@ minima, hashed together, are a bucket; a pair at similarity 0.8 shares none of t
 two low bits of each minimum are packed into longs, which travel with the bucket's rows; with m the share of equal fields, (m - 1/4) / (3/4)
 estimates the similarity by counting bits in the join itself, and pairs five standard deviations under 0.8 are never made. All others are proved on whole texts.
 
-Buckets never give all their pairs at once. In each round a bucket that still holds more than one component pairs a few
-centres with its members of other components; found links merge components, so a group of copies is settled by its first centre.
-Centres are then done with and leave the bucket, and their number grows sixteenfold a round, so every pair across
-components is tested in the end: in large buckets of unlike texts in logarithmically many rounds, in buckets of up to ``small`` members
-at once. After the first round the shingles of what is left are counted: what a set shares with no other candidate can't be in an intersection, so
-pairs whose sizes rule a link out are never made. What is still left (often edits of one text, each a little too unlike the others) gets a
-longer signature, whose five deviations are a third as wide. No bucket is capped or dropped.
+Copies never give all their pairs. First the shingles of all candidates are counted: what a set shares with no other candidate can't be in an intersection, so
+classes with too few others leave (``settled`` gives the bound, which loses no link). Each bucket's leader is the member with the smallest share of such shingles, the
+middle of its group, and every class meets the leaders of its buckets, each pair once: a group of copies makes about as many pairs as it has members. Links found
+merge components; buckets that hold one component, and members without a possible partner in another, are done. Only what is then left is compared pair by pair, by the bits of longer
+signatures, whose five deviations are a third as wide: a bucket is cut into blocks of ``block`` members, two blocks are a task's work, and a pair is
+handed on from its first common band only. The cost of this last step grows with the square of the classes of a bucket that are no link of its leader but may be one of each other; it
+has no cap. All pairs handed on are proved.
 
 Null text or text without words: an empty set, linked with nothing. Rows with equal ids are one document whose rows' links all count; each
 row is returned. A null id is its own component (null). Extra columns are ignored. No rows, no output.
@@ -172,12 +172,9 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return written(moved.union(labels.join(known.select("id"), "id", "left_anti").select("id", "comp")), "components")
 
 
-def _shareable(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """members with e counted: shingles that a set shares with no other candidate can't be in an intersection.
-
-    Where too few are left for a link to a set of its own size or less, the member goes.
-    """
-    used = texts.join(if_small(members.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi")
+def _own_shingles(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """id, own: how many shingles of a set no other of these sets has."""
+    used = texts.join(if_small(ids.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
 
     def run(batches):
         for b in batches:
@@ -185,66 +182,128 @@ def _shareable(members: DataFrame, texts: DataFrame, width: int, percent: int) -
             for first, sets in _sets(b.column(1), width):
                 yield pa.RecordBatch.from_arrays([_signed(np.concatenate(sets)), _signed(np.repeat(ids[first : first + len(sets)], [len(x) for x in sets]))], ["shingle", "id"])
 
-    alone = used.select("doc_id", "text").mapInArrow(run, "shingle long, id long").groupBy("shingle").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").alias("own"))
-    return members.join(alone, "id", "left").withColumn("e", F.col("n") - F.coalesce("own", F.lit(0))).drop("own").where(f"100 * e >= {percent} * n")
+    found = used.select("doc_id", "text").mapInArrow(run, "shingle long, id long")
+    alone = found.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
+    return alone.groupBy("id").agg(F.count("*").alias("own"))
 
 
-def _finer(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """members with longer signatures."""
-    used = texts.join(if_small(members.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi")
-    packs = [f"s{i}" for i in range(_FINE_LONGS)]
+def _finer(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """id, a longer signature (bytes) and the shingles themselves."""
+    used = texts.join(if_small(ids.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
 
     def run(batches):
         for b in batches:
             for first, sets in _sets(b.column(1), width):
-                low = _minima(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])[:-1].astype(np.int64), _FINE_LONGS * _FIELDS)
-                packed = _packed(low)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(sets)), *[_signed(np.ascontiguousarray(packed[:, i])) for i in range(_FINE_LONGS)]], ["id", *packs])
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+                every = np.concatenate(sets)
+                packed = _packed(_minima(every, ends[:-1].astype(np.int64), _FINE_LONGS * _FIELDS))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(sets)), pa.array([x.tobytes() for x in packed], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(every))], ["id", "sig", "shingles"])
+
+    return used.select("doc_id", "text").mapInArrow(run, "id long, sig binary, shingles array<long>").dropDuplicates(["id"])
+
+
+def _block_pairs(members: DataFrame, percent: int, block: int) -> DataFrame:
+    """(a, b): likely links between members (bucket, band, id, comp, n, e, buckets, sig) of other components in a bucket, two blocks at a time."""
+    size = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    mine = members.join(size, "bucket").withColumn("i", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")
+    cells = mine.select("*", other).withColumns({"lo": F.least("i", "j"), "hi": F.greatest("i", "j")}).drop("j", "blocks")
+    chance, least = 0.5**BITS, least_estimate(percent, _FINE_LONGS)
+
+    def run(t: pa.Table) -> pa.Table:
+        band, lo, hi = t.column("band")[0].as_py(), t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        i, ids, comp, n, e = (t.column(c).to_numpy() for c in ("i", "id", "comp", "n", "e"))
+        bands = np.array(t.column("buckets").to_pylist(), np.int64)
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(len(ids), _FINE_LONGS)
+        left, right = np.flatnonzero(i == lo), np.flatnonzero(i == hi)
+        out = []
+        for x in left.tolist():
+            y = right[(comp[right] != comp[x]) & (ids[right] > ids[x])] if lo == hi else right[comp[right] != comp[x]]
+            size = n[y] + n[x]
+            y = y[((100 + percent) * np.minimum(e[y], e[x]) >= percent * size) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+            differ = sig[y] ^ sig[x]
+            differ = np.bitwise_count((differ | (differ >> np.uint64(1))) & np.uint64(_ONES)).sum(axis=1)
+            y = y[(1 - differ / (_FINE_LONGS * _FIELDS) - chance) / (1 - chance) >= least]
+            y = y[(bands[y] == bands[x]).argmax(axis=1) == band]
+            out += [(min(ids[x], k), max(ids[x], k)) for k in ids[y].tolist()]
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return cells.groupBy("bucket", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
+
+
+def _proved_sets(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose whole sets, here as arrays, have 100 * intersection >= percent * union."""
+    side = lambda c: fine.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}"))
+
+    def run(batches):
+        for batch in batches:
+            x, y = batch.column(2), batch.column(3)
+            keep = []
+            for p, q in zip(x, y, strict=True):
+                p, q = p.values.to_numpy(), q.values.to_numpy()
+                i = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(100 * i >= percent * (len(p) + len(q) - i))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
-    fine = used.select("doc_id", "text").mapInArrow(run, "id long, " + ", ".join(f"{p} long" for p in packs)).dropDuplicates(["id"])
-    return members.drop("sig").join(fine.select("id", F.struct(*packs).alias("sig")), "id")
 
+def settled(members: DataFrame, percent: int) -> DataFrame:
+    """The members (bucket, band, id, comp, n, e, far) that may still link to one of another component in their bucket.
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, small: int = 32) -> DataFrame:
+    An intersection is at most e, the shingles shared with any candidate, so a link needs (100 + percent) * e >= percent * (n + the other's n),
+    the same the other way round, and a share of percent between the sizes. A bucket's sizes are counted, and each member asks for a size that fits.
+    """
+    before = None
+    while True:
+        sizes = members.groupBy("bucket", F.col("n").alias("other")).agg(F.max("e").alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        fits = f"(100 + {percent}) * least(e, most) >= {percent} * (n + other) AND 100 * least(n, other) >= {percent} * greatest(n, other) AND (lo <> comp OR hi <> comp)"
+        live = written(members.alias("m").join(sizes.alias("s"), (F.col("m.bucket") == F.col("s.bucket")) & F.expr(fits), "left_semi"), "members")
+        members, before = live, members.count() if before is None else before
+        after = members.count()
+        if before == after:
+            return members
+        before = after
+
+
+def _renamed(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """members with the components that they are in by now."""
+    return members.join(comps.withColumnRenamed("comp", "now"), "id", "left").select("bucket", "id", F.coalesce("now", "comp").alias("comp"), "n", "e", "far", "band")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, block: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (it is the smallest of its component) for every row."""
     sigs = written(signatures(docs, key, text, width), "signatures")
     full = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(full.groupBy("n_shingles", "d0", "d1").agg(F.min("doc_id").alias("id")), "classes")
-    reps = full.join(classes.withColumnRenamed("id", "doc_id"), ["n_shingles", "d0", "d1", "doc_id"], "left_semi")
-    sig = F.struct(*[f"s{i}" for i in range(_LONGS)]).alias("sig")
+    packed = F.struct(*[f"s{i}" for i in range(_LONGS)])
+    # equal sets have equal signatures, so any row of the class has its buckets
+    reps = written(full.groupBy("n_shingles", "d0", "d1").agg(F.min_by(F.struct("doc_id", "buckets", packed.alias("sig")), "doc_id").alias("r")).select("n_shingles", "d0", "d1", F.col("r.doc_id").alias("id"), "r.buckets", "r.sig"), "classes")
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = reps.select(F.col("doc_id").alias("id"), F.explode("buckets").alias("bucket"))
+    rows = reps.select("id", F.posexplode("buckets").alias("band", "bucket"))
     shared = rows.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
-    members = written(rows.join(shared, "bucket").select("bucket", "id", F.col("id").alias("comp")), "members")
-    # n: shingles of the set; e: those of them that another candidate may share (all, until they are counted)
-    members = members.join(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), sig).dropDuplicates(["id"]), "id").select("bucket", "id", "comp", "n", F.col("n").alias("e"), "sig")
-    comps, tested, centres, longs = None, None, 1, _LONGS
-    while True:
-        sizes = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("first")).where("lo < hi").select("bucket", "size", "first")
-        members = written(members.join(sizes, "bucket"), "members")
-        if members.isEmpty():
-            break
-        if centres == 16:
-            members = written(_finer(written(_shareable(members, texts, width, percent), "members"), texts, width), "members")
-            longs = _FINE_LONGS
-        # the smallest id, and some others: the same ids in whatever bucket they are
-        some = F.pmod(F.xxhash64("id", F.lit(centres)), F.lit(1 << 30)) * F.col("size") < F.lit(centres * (1 << 30))
-        marked = members.withColumn("centre", (F.col("id") == F.col("first")) | (F.lit(centres > 1) & (some | (F.col("size") <= small))))
-        c = marked.where("centre").select("bucket", F.col("id").alias("a"), F.col("comp").alias("ac"), F.col("n").alias("an"), F.col("e").alias("ae"), F.col("sig").alias("x"))
-        m = marked.select("bucket", F.col("id").alias("b"), F.col("comp").alias("bc"), F.col("n").alias("bn"), F.col("e").alias("be"), F.col("centre").alias("b_centre"), F.col("sig").alias("y"))
-        possible = f"(100 + {percent}) * least(ae, be) >= {percent} * (an + bn)"
-        likely = estimate("x", "y", longs) >= least_estimate(percent, longs)
-        found = c.join(m, "bucket").where(f"ac <> bc AND a <> b AND (NOT b_centre OR a < b) AND {possible}").where(likely).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            found = found.join(tested, ["a", "b"], "left_anti")
-        found = written(found, "pairs")
-        tested = found if tested is None else tested.union(found)
-        links = written(proved(found, texts, width, percent), "links")
-        comps = components(links, comps)
-        rest = marked.where("NOT centre").drop("size", "first", "centre")
-        members = rest.join(comps.withColumnRenamed("comp", "now"), "id", "left").select("bucket", "id", F.coalesce("now", "comp").alias("comp"), "n", "e", "sig")
-        centres *= 16
-    by_class = classes if comps is None else classes.join(comps, "id", "left").withColumn("id", F.coalesce("comp", "id"))
-    named = sigs.select("doc_id", "n_shingles", "d0", "d1").join(by_class.select("n_shingles", "d0", "d1", F.col("id").alias("comp")), ["n_shingles", "d0", "d1"], "left")
+    members = written(rows.join(shared, "bucket"), "members")
+    candidates = written(members.select("id").distinct(), "candidates")
+    own = F.coalesce("own", F.lit(0))
+    # own shingles are what keeps a set from all others: the fewer, the nearer to the middle of its group
+    far = own / F.col("n") + F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(float(1 << 50))
+    sizes = reps.select("id", F.col("n_shingles").alias("n"))
+    known = candidates.join(sizes, "id").join(_own_shingles(candidates, texts, width), "id", "left").select("id", F.col("id").alias("comp"), "n", (F.col("n") - own).alias("e"), far.alias("far"))
+    members, comps = settled(members.join(known, "id"), percent), reps.select("id", F.col("id").alias("comp"))
+    side = lambda c: reps.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}"))
+    if not members.isEmpty():
+        leader = members.groupBy("bucket").agg(F.min_by("id", "far").alias("leader"))
+        led = members.join(leader, "bucket")
+        pairs = led.where("leader <> id").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
+        likely = estimate("sig_a", "sig_b", _LONGS) >= least_estimate(percent, _LONGS)
+        likely_pairs = written(pairs.join(side("b"), "b").join(side("a"), "a").where(likely).select("a", "b"), "pairs")
+        comps = components(written(proved(likely_pairs, texts, width, percent), "links"))
+        members = settled(_renamed(led.where("leader <> id"), comps), percent)
+        if not members.isEmpty():
+            fine = written(_finer(written(members.select("id").distinct(), "rest"), texts, width), "fine")
+            wide = members.join(reps.select("id", "buckets"), "id").join(fine.select("id", "sig"), "id")
+            comps = components(written(_proved_sets(written(_block_pairs(wide, percent, block), "pairs"), fine, percent), "links"), comps)
+    by_class = reps.join(comps, "id", "left").select("n_shingles", "d0", "d1", F.coalesce("comp", "id").alias("comp"))
+    named = sigs.select("doc_id", "n_shingles", "d0", "d1").join(by_class, ["n_shingles", "d0", "d1"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id"))
     return named.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))

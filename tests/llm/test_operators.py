@@ -90,7 +90,25 @@ def test_near_duplicates_in_large_unlike_groups(spark):
     base = [f"w{i}" for i in range(120)]
     rows = [(i, " ".join("x%d_%d" % (i, j) if (j * 7 + i * 13) % 60 < 2 else w for j, w in enumerate(base))) for i in range(60)]
     rows += [(100 + i, " ".join(base)) for i in range(40)] + [(200 + i, " ".join(base[: 120 - i])) for i in range(0, 40, 5)]
-    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (1024, 7):
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, block=block).collect()}
+        assert got == components({i: shingles(t, 5) for i, t in rows})
+
+
+def test_near_duplicates_of_edited_copies_against_all_pairs(spark):
+    """Copies of two texts with one to seven words changed: many pairs lie a little under the bound, and few are links of the middle."""
+    import random
+
+    r = random.Random(5)
+    bases = [[f"w{r.randrange(400)}" for _ in range(150)] for _ in range(2)]
+    rows = []
+    for i in range(160):
+        w = list(bases[i % 2])
+        for k in r.sample(range(150), 1 + i % 7):
+            w[k] = f"e{i}_{k}" if i % 3 else f"e{k}"
+        rows.append((i, " ".join(w)))
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == components({i: shingles(t, 5) for i, t in rows})
 
 
