@@ -1,22 +1,24 @@
 """Language-model scores by a probabilistic suffix tree over words, its counts kept in hash buckets.
 
 Symbols are lower-cased words and one end per text. The root predicts by smoothed frequencies, (c + 0.5) / (N + 0.5 (V + 1)), where
-all unknown words are one symbol. A context (the last word, then the last two) is a node of the tree if it was seen ``least_count``
+all unknown words are one symbol. A context (the last 1 to ``max_depth`` words) is a node of the tree if it was seen ``least_count``
 times in training and its next-symbol distribution diverges from its parent's: the log-likelihood ratio of its own training symbols,
-each left out of the counts in turn, must be ``least_gain`` nats or more. A node predicts w by (c(s, w) + d P(w | parent)) / (c(s) + d), d being
-the number of different symbols seen after it. A symbol is scored in the state of the longest suffix that is a node.
+each left out of the counts in turn and shrunk towards the parent by ``PRIOR`` symbols, must be ``least_gain`` nats or more. A node predicts w by
+(c(s, w) + d P(w | parent)) / (c(s) + d), d being the number of different symbols seen after it; a context that is no node hands on its
+parent's prediction, so a symbol is scored in the state of the longest suffix that is a node.
 
-The corpus is cut into blocks of about ``block_tokens`` words, in file order. For each order (word, pair, triple) a block
+The corpus is cut into blocks of about ``block_tokens`` words, in file order. For each order (words, then contexts of one word, of two, ...) a block
 sends every distinct gram once, with its training count, to the bucket of its context's hash; a bucket sums the
 blocks, tests its contexts, and answers each block with the sums, in the order asked. So what is shuffled are
 distinct grams per block, never one row per occurrence, and a task holds one block or one bucket, whose number
-follows the number of rows. Answers are a table in the shared folder, partitioned by block, which the next pass reads for its own block.
+follows the bytes of text. Answers are a table in the shared folder, partitioned by block, which the next pass reads for its own block.
 
-A word with over 1 / (4 buckets) of all training tokens (there are fewer than 4 buckets of those) would fill its bucket: its pairs are spread over all
-buckets, it is a node without a test, and its d is c(s) ** 0.85.
+How often a context occurs in all is known from the order before. One that would fill a bucket is dealt over several by symbol; each of
+these adds up its part of the context's gain and of its d, and the parts are summed in one small table (a row per such context, of which there are fewer than
+four a bucket) that every task reads. So each context meets the same test with the same numbers, whatever the number of buckets, blocks or partitions.
 
-Null text counts as empty (an end only). Rows are scored each, also with repeated ids. No training row: N = V = 0 and every symbol is
-unknown. Extra columns are ignored. No rows, no output.
+Null text counts as empty (an end only). Rows are scored each, also with repeated ids; a very long text is a block of its own, so it must fit a task's memory
+(about 150 bytes a word). No training row: N = V = 0 and every symbol is unknown. Extra columns are ignored. No rows, no output.
 """
 
 from __future__ import annotations
@@ -35,6 +37,10 @@ from calltrail.llm.text import mix, word_hashes
 
 END = np.uint64(0x5851F42D4C957F2D)
 _TAG = np.uint64((1 << 40) - 1)
+#: Symbols of the parent's prediction that the divergence test mixes in.
+PRIOR = 4.0
+#: Answer for a context whose test is in the table of dealt contexts.
+_DEALT = np.uint32(0xFFFFFFFF)
 REQUEST = "block long, bucket int, payload binary, lengths array<long>"
 _REQUEST_NAMES = ["block", "bucket", "payload", "lengths"]
 
@@ -112,35 +118,43 @@ def _words_asked(block: Block) -> list[tuple]:
 class Grams:
     """The distinct (context, symbol) pairs of a block, ordered by bucket; where says which one a position has (-1: none)."""
 
-    def __init__(self, block: Block, position: np.ndarray, context: np.ndarray, spread: np.ndarray, parent: np.ndarray):
-        """position: token indices with a context; context: its hash at each; spread: whether it is dealt by symbol too; parent: ln P(symbol | parent)."""
-        symbol = block.words[block.ranks[position]]
-        tag = mix(symbol + np.uint64(1)) & _TAG
-        bucket = np.where(spread, mix(context + tag), context) % np.uint64(block.buckets)
-        contexts, c = np.unique(context, return_inverse=True)
-        key = (c.astype(np.uint64) << np.uint64(40)) | tag
-        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        order = np.lexsort((key[first], bucket[first]))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        first = first[order]
-        self.block, self.bucket, self.context, self.tag, self.spread = block, bucket[first], context[first], tag[first], spread[first]
-        self.parent = parent[first]
-        mine = place[inverse]
-        self.count = np.bincount(mine, block.trained[position], len(first)).astype(np.uint32)
+    def __init__(self, block: Block, at: np.ndarray, context: np.ndarray, hashes: np.ndarray, totals: np.ndarray, share: float, parent: np.ndarray):
+        """at: positions; context: the number of each one's context; hashes, totals: of all contexts; share: most tokens of one bucket's part of a context; parent: ln P."""
+        m = np.int64(len(block.words))
+        key = context * m + block.ranks[at]
+        order = np.argsort(key)
+        key = key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+        first = order[new]
+        self.context, symbol = np.divmod(key[new], m)
+        self.tag = mix(block.words[symbol] + np.uint64(1)) & _TAG
+        own = hashes[self.context]
+        fan = np.maximum(1, np.ceil(totals[self.context] / share)).astype(np.uint64)
+        self.bucket = np.where(fan > 1, mix(own + mix(self.tag % fan)), own) % np.uint64(block.buckets)
+        by_bucket = np.argsort(self.bucket.astype(np.uint16 if block.buckets < 1 << 16 else np.int64), kind="stable")
+        place = np.empty(len(by_bucket), np.int64)
+        place[by_bucket] = np.arange(len(by_bucket))
         self.where = np.full(len(block.ranks), -1, np.int64)
-        self.where[position] = mine
+        self.where[at[order]] = place[np.cumsum(new) - 1]
+        self.block, self.bucket, self.context, self.tag, self.dealt = block, self.bucket[by_bucket], self.context[by_bucket], self.tag[by_bucket], fan[by_bucket] > 1
+        self.hash, self.total, self.parent = own[by_bucket], totals[self.context], parent[first[by_bucket]]
+        self.count = np.bincount(self.where[at], block.trained[at], len(place)).astype(np.uint32)
+        # where a context's grams begin in a bucket
+        self.starts = np.flatnonzero(np.concatenate([[True], (self.context[1:] != self.context[:-1]) | (self.bucket[1:] != self.bucket[:-1])])) if len(place) else np.zeros(0, np.int64)
+
+    def keys(self) -> np.ndarray:
+        """Hashes of the grams, as contexts of the next order."""
+        return mix(self.hash * np.uint64(3) + self.tag)
 
     def asked(self) -> list[tuple]:
         at, out = self.block.spans(self.bucket), []
-        for k, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)):
-            if hi > lo:
-                s = self.context[lo:hi]
-                starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-                level = np.clip(np.round(-8 * self.parent[lo:hi]), 0, 255).astype(np.uint8)
-                tag = self.tag[lo:hi]
-                payload = _pack(s[starts], np.diff(np.append(starts, hi - lo)).astype(np.uint32), self.spread[lo:hi][starts].astype(np.uint8), (tag & np.uint64(0xFFFFFFFF)).astype(np.uint32), (tag >> np.uint64(32)).astype(np.uint8), level, self.count[lo:hi])
-                out.append((self.block.key, k, *payload))
+        level = np.clip(np.round(-2048 * self.parent), 0, 65535).astype(np.uint16)
+        sizes = np.diff(np.append(self.starts, len(self.bucket))).astype(np.uint32)
+        spans = np.searchsorted(self.starts, at)
+        for k in np.flatnonzero(np.diff(at)).tolist():
+            lo, hi = at[k], at[k + 1]
+            s, tag = self.starts[spans[k] : spans[k + 1]], self.tag[lo:hi]
+            out.append((self.block.key, k, *_pack(self.hash[s], sizes[spans[k] : spans[k + 1]], self.dealt[s].astype(np.uint8), self.total[s].astype(np.int64), (tag & np.uint64(0xFFFFFFFF)).astype(np.uint32), (tag >> np.uint64(32)).astype(np.uint8), level[lo:hi], self.count[lo:hi])))
         return out
 
 
@@ -151,41 +165,62 @@ def _sum_words(table: pa.Table) -> pa.Table:
     total = np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
     ends = np.cumsum([len(p[0]) for p in parts])
     bucket = table.column("bucket")[0].as_py()
-    rows = [(b, bucket, *_pack(total[at[e - len(p[0]) : e]].astype(np.uint32))) for b, p, e in zip(table.column("block").to_pylist(), parts, ends.tolist(), strict=True)]
+    rows = [(b, bucket, *_pack(total[at[e - len(p[0]) : e]])) for b, p, e in zip(table.column("block").to_pylist(), parts, ends.tolist(), strict=True)]
     return pa.Table.from_batches([_batch([*rows, (-1, bucket, b"", [int(total.sum()), int((total > 0).sum())])])])
 
 
-def _sum_grams(least_count: int, least_gain: float):
+def _sum_grams(least_gain: float):
+    """A bucket's answers to each block: d of each context it asked for (0: no node) and each gram's count; block -1 carries its part of dealt contexts."""
+
     def run(table: pa.Table) -> pa.Table:
-        parts = [_unpack(p, n, np.uint64, np.uint32, np.uint8, np.uint32, np.uint8, np.uint8, np.uint32) for p, n in zip(table.column("payload").to_pylist(), table.column("lengths").to_pylist(), strict=True)]
+        parts = [_unpack(p, n, np.uint64, np.uint32, np.uint8, np.int64, np.uint32, np.uint8, np.uint16, np.uint32) for p, n in zip(table.column("payload").to_pylist(), table.column("lengths").to_pylist(), strict=True)]
         join = lambda k: np.concatenate([p[k] for p in parts])
-        contexts, c = np.unique(join(0), return_inverse=True)
-        spread = np.zeros(len(contexts), bool)
-        spread[c] = join(2) > 0
+        contexts, at, c = np.unique(join(0), return_index=True, return_inverse=True)
+        dealt, total = join(2)[at] > 0, join(3)[at].astype(np.float64)
         owner = np.repeat(c, join(1))
-        tag = join(3).astype(np.uint64) | (join(4).astype(np.uint64) << np.uint64(32))
+        tag = join(4).astype(np.uint64) | (join(5).astype(np.uint64) << np.uint64(32))
         _, first, gram = np.unique((owner.astype(np.uint64) << np.uint64(40)) | tag, return_index=True, return_inverse=True)
-        n = np.bincount(gram, join(6))
+        n = np.bincount(gram, join(7))
         s = owner[first]
         # n can be 0 where only held-out texts have the gram
-        total, different = np.bincount(s, n, len(contexts)), np.bincount(s, n > 0, len(contexts))
-        parent = np.exp(join(5)[first] / -8.0)
-        d = np.maximum(different, 1)[s]
-        left_out = (np.maximum(n - 1, 0) + d * parent) / np.maximum(total[s] - 1 + d, 1e-9)
+        different = np.bincount(s, n > 0, len(contexts))
+        parent = np.exp(join(6)[first] / -2048.0)
+        left_out = (np.maximum(n - 1, 0) + PRIOR * parent) / (total[s] - 1 + PRIOR)
         gain = np.bincount(s, n * (np.log(left_out) - np.log(parent)), len(contexts))
-        node = spread | ((total >= least_count) & (gain >= least_gain))
-        d_of = np.where(node, np.maximum(different, 1), 0).astype(np.uint32)
-        counts, bucket = n[gram].astype(np.uint32), table.column("bucket")[0].as_py()
+        d = np.where(dealt, _DEALT, np.where(gain >= least_gain, np.maximum(different, 1), 0)).astype(np.uint32)
+        counts, bucket = n[gram].astype(np.int64), table.column("bucket")[0].as_py()
         rows, i, j = [], 0, 0
         for b, p in zip(table.column("block").to_pylist(), parts, strict=True):
-            mine = c[i : i + len(p[0])]
-            rows.append((b, bucket, *_pack(np.repeat(d_of[mine], p[1]), np.repeat(total[mine].astype(np.uint32), p[1]), counts[j : j + len(p[3])])))
-            i, j = i + len(p[0]), j + len(p[3])
+            rows.append((b, bucket, *_pack(d[c[i : i + len(p[0])]], counts[j : j + len(p[4])])))
+            i, j = i + len(p[0]), j + len(p[4])
+        if dealt.any():
+            rows.append((-1, bucket, *_pack(contexts[dealt], gain[dealt], different[dealt])))
         return pa.Table.from_batches([_batch(rows)])
 
     return run
 
 
+def _dealt_parts(batches):
+    for b in batches:
+        for payload, lengths in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            contexts, gain, different = _unpack(payload, lengths, np.uint64, np.float64, np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(contexts.view(np.int64)), pa.array(gain), pa.array(different)], ["context", "gain", "different"])
+
+
+def _dealt_contexts(folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and d of the contexts that were dealt over buckets."""
+    where, path = fs.FileSystem.from_uri(folder)
+    parts = []
+    for info in where.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+        if info.is_file and info.base_name.endswith(".parquet"):
+            with where.open_input_file(info.path) as f:
+                parts.append(pq.ParquetFile(f).read(["context", "d"]))
+    t = pa.concat_tables(parts) if parts else pa.table({"context": pa.array([], pa.int64()), "d": pa.array([], pa.int64())})
+    hashes, d = t.column("context").to_numpy().view(np.uint64), t.column("d").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], d[order]
+
+
 def _answers(folder: str, block: int, *types) -> list[np.ndarray]:
     """A block's answers, its buckets in order."""
     where, path = fs.FileSystem.from_uri(folder)
@@ -209,59 +244,50 @@ class Totals:
 
 @dataclass
 class Walk:
-    """What a block knows after the answers so far: ln P of each token, and the grams of each order."""
+    """What a block knows after the answers so far: ln P of each token, the depth of its state, and the grams of the last order."""
 
     block: Block
     totals: Totals
     least_count: int
 
     def words(self, answer: str) -> None:
-        self.c = _answers(answer, self.block.key, np.uint32)[0].astype(np.int64)
+        self.c = _answers(answer, self.block.key, np.int64)[0]
         self.p = self.totals.root(self.c)[self.block.ranks]
         self.base = self.p.copy()
-
-    def pairs(self) -> Grams:
-        first = np.zeros(len(self.block.ranks), bool)
-        first[self.block.offsets[:-1]] = True
-        at = np.flatnonzero(~first)
-        c = self.c[self.block.ranks[at - 1]]
-        at = at[c >= self.least_count]
-        before = self.block.ranks[at - 1]
-        share = self.totals.tokens / (4 * self.block.buckets)
-        self.spread = self.c[before] > share
-        self.pair = Grams(self.block, at, self.block.words[before], self.spread, self.p[at])
-        return self.pair
-
-    def take(self, grams: Grams, answer: str, context_count=None) -> None:
-        """Moves tokens whose context is a node from their parent's prediction to the node's."""
-        d, total, n = (a.astype(np.float64) for a in _answers(answer, self.block.key, np.uint32, np.uint32, np.uint32))
+        self.depth = np.zeros(len(self.p), np.uint8)
+        # the number, hash and count of the contexts of the next order, by the position of their last word
+        self.context, self.hashes, self.seen = self.block.ranks.astype(np.int64), self.block.words, self.c
+
+    def grams(self) -> Grams:
+        """Those of the next order: a context ends right before each position, in the same text."""
+        inner = np.ones(len(self.p), bool)
+        inner[self.block.offsets[:-1][np.diff(self.block.offsets) > 0]] = False
+        at = np.flatnonzero(inner)
+        at = at[self.context[at - 1] >= 0]
+        context = self.context[at - 1]
+        often = self.seen[context] >= self.least_count
+        at, context = at[often], context[often]
+        return Grams(self.block, at, context, self.hashes, self.seen, self.totals.tokens / (4 * self.block.buckets), self.p[at])
+
+    def take(self, grams: Grams, answer: str, dealt: str) -> None:
+        """Moves tokens whose context is a node from their parent's prediction to the node's, and goes on to the next order."""
+        d_of, n = _answers(answer, self.block.key, np.uint32, np.int64)
+        large, d_large = _dealt_contexts(dealt)
+        hashes, d_of = grams.hash[grams.starts], d_of.astype(np.int64)
+        ask = np.flatnonzero(d_of == _DEALT)
+        if len(ask):
+            d_of[ask] = d_large[np.searchsorted(large, hashes[ask])]
+        d = np.repeat(d_of, np.diff(np.append(grams.starts, len(grams.bucket))))
         at = np.flatnonzero(grams.where >= 0)
         g = grams.where[at]
-        d, total, n = d[g], total[g], n[g]
-        if context_count is not None:  # spread contexts: their total is the word's own count
-            total = np.where(grams.spread[g], context_count[self.block.ranks[at - 1]], total)
-            d = np.where(grams.spread[g], total**0.85, d)
-        node = d > 0
-        at, d, total, n = at[node], d[node], total[node], n[node]
-        self.p[at] = np.log((n + d * np.exp(self.p[at])) / (total + d))
+        node = d[g] > 0
+        at, g = at[node], g[node]
+        self.p[at] = np.log((n[g] + d[g] * np.exp(self.p[at])) / (grams.total[g] + d[g]))
         self.depth[at] += 1
+        self.context, self.hashes, self.seen = grams.where, grams.keys(), n
 
-    def triples(self, answer: str) -> Grams:
-        n = _answers(answer, self.block.key, np.uint32, np.uint32, np.uint32)[2]
-        inside = np.zeros(len(self.block.ranks), bool)
-        inside[2:] = True
-        for k in (0, 1):
-            starts = self.block.offsets[:-1] + k
-            inside[starts[starts < len(inside)]] = False
-        at = np.flatnonzero(inside)
-        before = self.pair.where[at - 1]
-        at = at[(before >= 0) & (np.where(before >= 0, n[before] if len(n) else 0, 0) >= self.least_count)]
-        words, r = self.block.words, self.block.ranks
-        context = mix(words[r[at - 2]] * np.uint64(3) + mix(words[r[at - 1]]))
-        return Grams(self.block, at, context, np.zeros(len(at), bool), self.p[at])
-
-
-def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", least_count: int = 8, least_gain: float = 2.0, block_tokens: int = 4_000_000, rows_per_bucket: int = 8000, files: bool = False) -> DataFrame:
+
+def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", max_depth: int = 3, least_count: int = 8, least_gain: float = 2.0, block_tokens: int = 1_500_000, files: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) and mean_depth (of the states used) for every row.
 
     files: docs is a plain read of files, whose splits then name the blocks; otherwise docs is first written to the shared folder.
@@ -270,7 +296,8 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), held_out.alias("held_out"))
     if not files:
         rows = written(rows, "texts")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // rows_per_bucket + 1)
+    # about six bytes a word; only the size of tasks hangs on it
+    buckets = int((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (6 * block_tokens)) + 1
     # the file and the place in it where the split begins
     rows = rows.select("*", F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("split"))
     folder = shared_dir(spark)
@@ -315,43 +342,41 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
     sums = spark.read.schema(REQUEST).parquet(f"{a0}/block=-1").agg(F.sum(F.element_at("lengths", 1)), F.sum(F.element_at("lengths", 2))).first() if encoded.head(1) else (0, 0)
     totals = Totals(int(sums[0] or 0), int(sums[1] or 0))
     blocks = encoded.where("bucket = -1").select("block", "payload", "lengths")
+    known: list[tuple[str, str]] = []
 
-    def each(batches):
+    def each(batches, answers):
         for b in batches:
             for i in range(b.num_rows):
                 w = Walk(Block.back(b.column(0)[i].as_py(), buckets, b.column(1)[i].as_py(), b.column(2)[i].as_py()), totals, least_count)
                 w.words(a0)
-                w.depth = np.zeros(len(w.p), np.uint8)
+                for answer, dealt in answers:
+                    w.take(w.grams(), answer, dealt)
                 yield w
 
-    def ask_pairs(batches):
-        for w in each(batches):
-            asked = w.pairs().asked()
-            if asked:
-                yield _batch(asked)
-
-    sum_grams = _sum_grams(least_count, least_gain)
-    a1 = answered(blocks.mapInArrow(ask_pairs, REQUEST).groupBy("bucket").applyInArrow(sum_grams, REQUEST), "pair_counts")
-
-    def ask_triples(batches):
-        for w in each(batches):
-            w.take(w.pairs(), a1, w.c)
-            asked = w.triples(a1).asked()
-            if asked:
-                yield _batch(asked)
-
-    a2 = answered(blocks.mapInArrow(ask_triples, REQUEST).groupBy("bucket").applyInArrow(sum_grams, REQUEST), "triple_counts")
+    def asking(answers):
+        def ask(batches):
+            for w in each(batches, answers):
+                asked = w.grams().asked()
+                if asked:
+                    yield _batch(asked)
+
+        return ask
+
+    for k in range(1, max_depth + 1):
+        answer = answered(blocks.mapInArrow(asking(tuple(known)), REQUEST).groupBy("bucket").applyInArrow(_sum_grams(least_gain), REQUEST), f"counts_{k}")
+        parts = spark.read.schema(REQUEST).parquet(answer).where("block = -1").select("payload", "lengths")
+        large = parts.mapInArrow(_dealt_parts, "context long, gain double, different double").groupBy("context").agg(F.sum("gain").alias("gain"), F.sum("different").cast("long").alias("d"))
+        node = F.when(F.col("gain") >= least_gain, F.greatest("d", F.lit(1))).otherwise(0)
+        known.append((answer, stored(large.select("context", node.alias("d")).coalesce(1), f"dealt_{k}")))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "mean_depth"]
 
     def finish(batches):
-        for w in each(batches):
-            w.take(w.pairs(), a1, w.c)
-            w.take(w.triples(a1), a2)
+        for w in each(batches, tuple(known)):
             block, lo = w.block, w.block.offsets[:-1]
             n = np.diff(block.offsets)
             sums = lambda x: np.add.reduceat(x, lo) if len(lo) else x
-            known = sums((w.c[block.ranks] > 0).astype(np.int64))
-            cols = [pa.array(block.ids.tolist(), pa.int64()), pa.array(block.held), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), totals.tokens), pa.int64())]
+            seen = sums((w.c[block.ranks] > 0).astype(np.int64))
+            cols = [pa.array(block.ids.tolist(), pa.int64()), pa.array(block.held), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(np.full(len(n), totals.tokens), pa.int64())]
             cols += [pa.array(sums(x) / np.log(10), pa.float64()) for x in (w.base, w.p)] + [pa.array(sums(w.depth.astype(np.float64)) / n, pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names)
 

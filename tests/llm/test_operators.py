@@ -4,7 +4,7 @@ import hashlib
 import re
 from collections import Counter
 from itertools import combinations
-from math import log10
+from math import log, log10
 
 import pytest
 from oracle import SF
@@ -52,6 +52,59 @@ def test_suffix_tree_base_is_exact_and_contexts_help(spark, texts):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def brute_tree(tokens, held, depth, least_count=8, least_gain=2.0, prior=suffixtree.PRIOR):
+    """log10 P of each text by a tree of dictionaries, straight from the definition."""
+    train = [t for i, t in tokens.items() if not held[i]]
+    c = Counter(w for t in train for w in t)
+    n, v = sum(c.values()), len(c)
+    follow = {}
+    for t in train:
+        for i in range(len(t)):
+            for k in range(1, min(depth, i) + 1):
+                follow.setdefault(tuple(t[i - k : i]), Counter())[t[i]] += 1
+    node = {}
+
+    def p(context, w):
+        if not context:
+            return (c[w] + 0.5) / (n + 0.5 * (v + 1))
+        low = p(context[1:], w)
+        if not node.get(context):
+            return low
+        f = follow[context]
+        return (f[w] + len(f) * low) / (sum(f.values()) + len(f))
+
+    for context in sorted(follow, key=len):
+        f = follow[context]
+        total = sum(f.values())
+        if total >= least_count:
+            gain = sum(m * (log((m - 1 + prior * q) / (total - 1 + prior)) - log(q)) for w, m in f.items() for q in [p(context[1:], w)])
+            node[context] = gain >= least_gain
+    return {i: sum(log10(p(tuple(t[max(0, j - depth) : j]), t[j])) for j in range(len(t))) for i, t in tokens.items()}
+
+
+def test_suffix_tree_scores_against_a_tree_of_dictionaries(spark, texts):
+    """Whatever the number of buckets, blocks and partitions, and with contexts dealt over many buckets."""
+    tokens = {i: [*words(t), None] for i, t in texts.items()}
+    held = {i: __import__("zlib").crc32(str(i).encode()) % 5 == 1 for i in texts}
+    want = brute_tree(tokens, held, 3)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for block_tokens, parts in ((1_500_000, 4), (2_000, 64)):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {r["doc_id"]: r["score"] for r in suffixtree.score_texts(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1, block_tokens=block_tokens).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        # the test's parent probabilities travel in steps of 1/2048 nat, so a context at the very bound may fall otherwise
+        assert sum(abs(got[i] - want[i]) > 1e-6 * abs(want[i]) for i in want) <= 0.02 * len(want)
+        assert all(got[i] == pytest.approx(want[i], rel=1e-3) for i in want)
+
+
+def test_suffix_tree_depth_is_a_parameter(spark):
+    rows = [(i, " ".join(f"a{i % 4} b c d{i % 4}" for _ in range(20))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    score = lambda k: suffixtree.score_texts(docs, F.lit(False), max_depth=k).agg(F.sum("score"), F.max("mean_depth")).first()
+    (p1, d1), (p2, _), (p3, d3) = score(1), score(2), score(3)
+    assert p1 < p3 and p2 < p3 and d1 <= 1 < d3 <= 3
+
+
 def test_suffix_tree_odd(odd, empty):
     got = suffixtree.score_texts(odd, F.coalesce(F.col("doc_id") == 7, F.lit(False))).collect()
     assert len(got) == len(ODD) and {r["n_tokens"] for r in got if r["doc_id"] in (2, 3, 4)} == {1}
