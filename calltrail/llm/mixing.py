@@ -1,16 +1,17 @@
 """Mixing sources to target weights: iterative proportional fitting of token weights, then calibrated sampling.
 
-Documents are counted into cells (source, language, topic). Each round scales the cells to the target shares of one dimension after
-the other; after ``rounds`` rounds a cell's weight over its tokens is its calibration factor. A document is kept with probability
-min(1, rate * factor), where rate makes the expected tokens ``keep_share`` of all (cells that reach 1 hand their
-surplus to the others), decided by a hash of its id, so equal ids are decided alike on every run.
+Documents are counted into cells (source, language, topic). A cell's weight is its tokens times one factor for each of its three values; a step sets
+the factors of one dimension so that its values have their target shares, and rounds over the dimensions go on until no
+share is off by more than ``tolerance`` (or ``rounds`` are over, where the targets contradict each other; the residual is
+returned). A document is kept with probability min(1, rate * the product of its factors), where rate makes the expected tokens ``keep_share`` of all (cells that
+reach 1 hand their surplus to the others), decided by a hash of its id, so equal ids are decided alike on every run.
 
-Only the table of cells is iterated, not the documents: up to ``one_task_cells`` cells (counted first) it is one partition and
-rounds shuffle nothing; beyond that the same plan aggregates and joins by dimension.
+Only the cells are iterated, not the documents, by aggregations and joins with tables of a row per value; each step's factors are a table in the
+shared folder, so plans stay small and no step is computed twice.
 
 Targets of values that do not occur are left out and the others scaled up. A null source, language or topic is a value of its own,
-``unknown``. Null or empty text has no tokens and is kept with its cell's probability (rate where the cell has no tokens). Extra columns are ignored;
-repeated rows are counted and decided each. No rows, no output.
+``unknown``. Null or empty text has no tokens and is kept with its cell's probability (rate where the cell has no tokens). Extra columns are
+passed on; those called like a column of the result get the ending ``_in``. Repeated rows are counted and decided each; a null id is never kept. No rows, no output.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calltrail.llm.shared import written
+from calltrail.llm.shared import apart, written
 
 DIMENSIONS = ("source", "lang", "topic")
+SYMBOLS = "!#$%&*+-/<=>@^_|~{}[]()"
 
 
 def tokens(text: Column) -> Column:
@@ -29,9 +31,10 @@ def tokens(text: Column) -> Column:
 
 
 def form(text: Column) -> Column:
-    """A topic by form, for corpora without topic labels."""
-    has = lambda s: F.contains(text, F.lit(s))
-    return F.when(has(" | "), "table").when(has("!!"), "shouted").when(has("###") | has("$$$"), "noise").when(has("icensed under"), "licensed").when(F.length(text) < 1000, "short").when(F.length(text) >= 5000, "long").otherwise("prose")
+    """A topic for corpora without topic labels: what kinds of characters a text is made of, and its length."""
+    n = F.length(text)
+    share = lambda chars: (n - F.length(F.translate(text, chars, ""))) / n
+    return F.when(n == 0, "empty").when(share("0123456789") > 0.08, "numeric").when(share(SYMBOLS) > 0.08, "symbols").when(n < 1000, "short").when(n >= 5000, "long").otherwise("prose")
 
 
 def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
@@ -44,47 +47,59 @@ def described(docs: DataFrame, topic: Column, key: str = "doc_id", text: str = "
     return docs.select("*", F.struct(F.col(key).alias("doc_id"), known(F.col(source)).alias("source"), known(F.col(lang)).alias("lang"), known(topic).alias("topic"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens")).alias("_mix"))
 
 
-def calibrated(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 10, keep_share: float = 0.3, one_task_cells: int = 100_000) -> tuple[DataFrame, float]:
-    """source, lang, topic, factor for each cell, and the rate; targets have value and share (any scale) for each dimension."""
+def calibrated(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 30, tolerance: float = 1e-6, keep_share: float = 0.3) -> tuple[DataFrame, float, float]:
+    """source, lang, topic, factor for each cell, the rate and the residual; targets have value and share (any scale) for each dimension."""
     cells = written(cells, "cells")
-    small = cells.count() <= one_task_cells
-    single = (lambda d: d.coalesce(1)) if small else (lambda d: d)
-    w = single(cells.withColumn("w", F.col("tokens").cast("double")))
-    wanted = {}
     total = cells.agg(F.sum("tokens")).first()[0] or 0
+    aims, factors = {}, {}
     for d in DIMENSIONS:
         present = cells.where("tokens > 0").select(F.col(d).alias("value")).distinct()
-        share = targets[d].join(present, "value", "left_semi")
+        share = written(targets[d].join(present, "value", "left_semi"), f"share_{d}")
         mass = share.agg(F.sum("share")).first()[0] or 1.0
-        wanted[d] = single(written(share.select(F.col("value").alias(d), (F.col("share") / mass * total).alias("aim")), f"aim_{d}"))
-    for i in range(rounds):
+        aims[d] = share.select(F.col("value").alias(d), (F.col("share") / mass * total).alias("aim"))
+        factors[d] = aims[d].select(d, F.lit(1.0).alias(f"f_{d}"))
+
+    def weighed(without: str | None = None) -> DataFrame:
+        """The cells with the product of the factors so far (0 where a value has no target)."""
+        out, product = cells, F.lit(1.0)
+        for d in DIMENSIONS:
+            if d != without:
+                out = out.join(factors[d].select(d, f"f_{d}"), d, "left")
+                product = product * F.coalesce(f"f_{d}", F.lit(0.0))
+        return out.select(*DIMENSIONS, "tokens", product.alias("factor"))
+
+    residual = 0.0
+    for _ in range(rounds if total else 0):
         for d in DIMENSIONS:
-            factor = w.groupBy(d).agg(F.sum("w").alias("now")).join(wanted[d], d).where("now > 0").select(d, (F.col("aim") / F.col("now")).alias("by"))
-            w = w.join(factor, d, "left").withColumn("w", F.col("w") * F.coalesce("by", F.lit(0.0))).select(*DIMENSIONS, "tokens", "w")
-        if i % 2 or i == rounds - 1:
-            w = single(written(w, "round"))
-    final = w.select(*DIMENSIONS, "tokens", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0).alias("factor"))
+            now = weighed(d).groupBy(d).agg(F.sum(F.col("tokens") * F.col("factor")).alias("now"))
+            step = now.join(aims[d], d).join(factors[d].select(d, F.col(f"f_{d}").alias("last")), d)
+            new = F.when(F.col("now") > 0, F.col("aim") / F.col("now")).otherwise(0.0)
+            off = F.when((F.col("aim") > 0) & (F.col("now") > 0), F.abs(F.col("last") * F.col("now") / F.col("aim") - 1)).otherwise(0.0)
+            factors[d] = written(step.select(d, new.alias(f"f_{d}"), off.alias("off")), f"factor_{d}")
+        offs = [factors[d].select("off") for d in DIMENSIONS]
+        residual = float(offs[0].union(offs[1]).union(offs[2]).agg(F.max("off")).first()[0] or 0.0)
+        if residual <= tolerance:
+            break
+    final = written(weighed().withColumn("factor", F.when(F.col("tokens") > 0, F.col("factor")).otherwise(1.0)), "calibrated")
     rate = keep_share
-    for _ in range(12):
+    while True:  # each time more cells are full, or the rate is found
         full, rest = final.agg(F.sum(F.when(F.col("factor") * rate >= 1, F.col("tokens")).otherwise(0)).cast("double"), F.sum(F.when(F.col("factor") * rate < 1, F.col("tokens") * F.col("factor")).otherwise(0.0)).cast("double")).first()
-        if not rest:
-            break
-        now = max(rate, (keep_share * total - full) / rest)
-        if now == rate:
-            break
+        now = (keep_share * total - full) / rest if rest else rate
+        if now <= rate:
+            return final, float(rate), residual
         rate = now
-    return final, float(rate)
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, powers: dict[str, float] | None = None, topic: Column | None = None, rounds: int = 10, keep_share: float = 0.3) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, powers: dict[str, float] | None = None, topic: Column | None = None, keep_share: float = 0.3) -> DataFrame:
     """docs' columns, _mix (doc_id, source, lang, topic, tokens), probability and kept for every row.
 
     targets: value and share by dimension; a dimension without them aims at its shares of tokens to the power in powers (0.5).
     """
+    docs = apart(docs, ("_mix", "_p", "probability", "kept"))
     rows = described(docs, form(F.coalesce(F.col("text"), F.lit(""))) if topic is None else topic)
     cells = written(rows.groupBy(*[F.col(f"_mix.{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("_mix.tokens").alias("tokens")), "counts")
     aims = {d: (targets or {}).get(d, tempered(cells, d, (powers or {}).get(d, 0.5))) for d in DIMENSIONS}
-    factors, rate = calibrated(cells, aims, rounds, keep_share)
+    factors, rate, _ = calibrated(cells, aims, keep_share=keep_share)
     p = factors.select(*DIMENSIONS, F.round(F.least(F.lit(1.0), F.col("factor") * rate), 6).alias("probability"))
     keys = [F.col(f"_mix.{d}") == F.col(f"_p.{d}") for d in DIMENSIONS]
     joined = rows.join(p.select(F.struct(*DIMENSIONS).alias("_p"), "probability"), keys[0] & keys[1] & keys[2], "left").drop("_p")

@@ -175,12 +175,13 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM g"""
 
 
-def _op2_sql(rounds: int = 10, keep_share: float = 0.3) -> str:
-    """The same rounds as a chain of small tables over the cells."""
+def _op2_sql(rounds: int = 30, tolerance: float = 1e-6, keep_share: float = 0.3) -> str:
+    """The same rounds as a chain of small tables over the cells; s says whether the round before was the last."""
     parts = ["""
 d AS (SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang,
-  CASE WHEN contains(t, ' | ') THEN 'table' WHEN contains(t, '!!') THEN 'shouted' WHEN contains(t, '###') OR contains(t, '$$$') THEN 'noise'
-       WHEN contains(t, 'icensed under') THEN 'licensed' WHEN length(t) < 1000 THEN 'short' WHEN length(t) >= 5000 THEN 'long' ELSE 'prose' END AS topic,
+  CASE WHEN length(t) = 0 THEN 'empty' WHEN (length(t) - length(regexp_replace(t, '[0-9]', '', 'g'))) / length(t) > 0.08 THEN 'numeric'
+       WHEN (length(t) - length(regexp_replace(t, '[-!#$%&*+/<=>@^_|~{}()\\[\\]]', '', 'g'))) / length(t) > 0.08 THEN 'symbols'
+       WHEN length(t) < 1000 THEN 'short' WHEN length(t) >= 5000 THEN 'long' ELSE 'prose' END AS topic,
   CASE WHEN length(t) > 0 THEN length(t) - length(replace(t, ' ', '')) + 1 ELSE 0 END AS tokens
   FROM (SELECT *, coalesce(text, '') AS t FROM documents)),
 cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM d GROUP BY source, lang, topic)"""]
@@ -188,12 +189,15 @@ cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) A
         parts.append(f"m_{x} AS (SELECT {x}, sqrt(sum(tokens)) AS s FROM cells GROUP BY {x} HAVING sum(tokens) > 0)")
         parts.append(f"aim_{x} AS MATERIALIZED (SELECT {x}, s / (SELECT sum(s) FROM m_{x}) * (SELECT sum(tokens) FROM cells) AS aim FROM m_{x})")
     last = "(SELECT source, lang, topic, tokens, tokens AS w FROM cells)"
+    parts.append("s0 AS MATERIALIZED (SELECT false AS s)")
     for i in range(rounds):
         for x in mixing.DIMENSIONS:
             name = f"w{i}_{x}"
-            parts.append(f"f{i}_{x} AS MATERIALIZED (SELECT a.{x}, max(a.aim) / sum(p.w) AS by_ FROM {last} p JOIN aim_{x} a ON p.{x} = a.{x} GROUP BY a.{x} HAVING sum(p.w) > 0)")
+            parts.append(f"f{i}_{x} AS MATERIALIZED (SELECT a.{x}, CASE WHEN (SELECT s FROM s{i}) THEN 1.0 ELSE max(a.aim) / sum(p.w) END AS by_ FROM {last} p JOIN aim_{x} a ON p.{x} = a.{x} GROUP BY a.{x} HAVING sum(p.w) > 0)")
             parts.append(f"{name} AS MATERIALIZED (SELECT p.source, p.lang, p.topic, p.tokens, p.w * coalesce(f.by_, 0) AS w FROM {last} p LEFT JOIN f{i}_{x} f ON p.{x} = f.{x})")
             last = name
+        offs = " UNION ALL ".join(f"SELECT abs(1 / by_ - 1) AS off FROM f{i}_{x}" for x in mixing.DIMENSIONS)
+        parts.append(f"s{i + 1} AS MATERIALIZED (SELECT coalesce(max(off), 0) <= {tolerance} AS s FROM ({offs}))")
     parts.append(f"final AS MATERIALIZED (SELECT source, lang, topic, tokens, CASE WHEN tokens > 0 THEN w / tokens ELSE 1 END AS factor FROM {last})")
     parts.append(f"r0 AS MATERIALIZED (SELECT CAST({keep_share} AS DOUBLE) AS rate)")
     for i in range(12):

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's name under spark.checkpoint.dir; a local one only where that is unset."""
+    """A new folder's name under spark.checkpoint.dir; a local one only where that is unset and one machine does all the work."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = Path(tempfile.gettempdir(), "calltrail-shared").as_uri()
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/calltrail-{uuid.uuid4().hex}"
@@ -24,3 +26,17 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def apart(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """docs with columns that are called like one of names (whatever the case) renamed to name_in, name_in_in, ..."""
+    taken = {c.lower() for c in docs.columns} | set(names)
+    out = []
+    for c in docs.columns:
+        new = c
+        if c.lower() in names:
+            while new.lower() in taken:
+                new += "_in"
+            taken.add(new.lower())
+        out.append(new)
+    return docs.toDF(*out)
