@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from pathlib import Path
@@ -20,11 +21,27 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/calltrail-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def without_leftovers(spark: SparkSession):
+    """Writes inside it drop their shuffle files when they are done: nothing reads them once the table is there."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """df as a Parquet table in the shared folder, read again: survives lost executors and is computed once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
+    with without_leftovers(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

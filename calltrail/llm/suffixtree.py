@@ -32,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calltrail.llm.shared import shared_dir, written
+from calltrail.llm.shared import shared_dir, without_leftovers, written
 from calltrail.llm.text import mix, word_hashes
 
 END = np.uint64(0x5851F42D4C957F2D)
@@ -154,7 +154,7 @@ class Grams:
         for k in np.flatnonzero(np.diff(at)).tolist():
             lo, hi = at[k], at[k + 1]
             s, tag = self.starts[spans[k] : spans[k + 1]], self.tag[lo:hi]
-            out.append((self.block.key, k, *_pack(self.hash[s], sizes[spans[k] : spans[k + 1]], self.dealt[s].astype(np.uint8), self.total[s].astype(np.int64), (tag & np.uint64(0xFFFFFFFF)).astype(np.uint32), (tag >> np.uint64(32)).astype(np.uint8), level[lo:hi], self.count[lo:hi])))
+            out.append((self.block.key, k, *_pack(self.hash[s], sizes[spans[k] : spans[k + 1]] | (self.dealt[s].astype(np.uint32) << np.uint32(31)), (tag & np.uint64(0xFFFFFFFF)).astype(np.uint32), (tag >> np.uint64(32)).astype(np.uint8), level[lo:hi], self.count[lo:hi])))
         return out
 
 
@@ -173,28 +173,30 @@ def _sum_grams(least_gain: float):
     """A bucket's answers to each block: d of each context it asked for (0: no node) and each gram's count; block -1 carries its part of dealt contexts."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [_unpack(p, n, np.uint64, np.uint32, np.uint8, np.int64, np.uint32, np.uint8, np.uint16, np.uint32) for p, n in zip(table.column("payload").to_pylist(), table.column("lengths").to_pylist(), strict=True)]
+        parts = [_unpack(p, n, np.uint64, np.uint32, np.uint32, np.uint8, np.uint16, np.uint32) for p, n in zip(table.column("payload").to_pylist(), table.column("lengths").to_pylist(), strict=True)]
         join = lambda k: np.concatenate([p[k] for p in parts])
         contexts, at, c = np.unique(join(0), return_index=True, return_inverse=True)
-        dealt, total = join(2)[at] > 0, join(3)[at].astype(np.float64)
-        owner = np.repeat(c, join(1))
-        tag = join(4).astype(np.uint64) | (join(5).astype(np.uint64) << np.uint64(32))
+        sizes = join(1)
+        dealt = sizes[at] >> np.uint32(31) > 0
+        owner = np.repeat(c, sizes & np.uint32(0x7FFFFFFF))
+        tag = join(2).astype(np.uint64) | (join(3).astype(np.uint64) << np.uint64(32))
         _, first, gram = np.unique((owner.astype(np.uint64) << np.uint64(40)) | tag, return_index=True, return_inverse=True)
-        n = np.bincount(gram, join(7))
+        n = np.bincount(gram, join(5))
         s = owner[first]
         # n can be 0 where only held-out texts have the gram
-        different = np.bincount(s, n > 0, len(contexts))
-        parent = np.exp(join(6)[first] / -2048.0)
-        left_out = (np.maximum(n - 1, 0) + PRIOR * parent) / (total[s] - 1 + PRIOR)
-        gain = np.bincount(s, n * (np.log(left_out) - np.log(parent)), len(contexts))
+        different, total = np.bincount(s, n > 0, len(contexts)), np.bincount(s, n, len(contexts))
+        parent = np.exp(join(4)[first] / -2048.0)
+        # the gain but for what all symbols of a context have in common
+        part = np.bincount(s, n * (np.log(np.maximum(n - 1, 0) + PRIOR * parent) - np.log(parent)), len(contexts))
+        gain = part - total * np.log(np.maximum(total - 1, 0) + PRIOR)
         d = np.where(dealt, _DEALT, np.where(gain >= least_gain, np.maximum(different, 1), 0)).astype(np.uint32)
         counts, bucket = n[gram].astype(np.int64), table.column("bucket")[0].as_py()
         rows, i, j = [], 0, 0
         for b, p in zip(table.column("block").to_pylist(), parts, strict=True):
-            rows.append((b, bucket, *_pack(d[c[i : i + len(p[0])]], counts[j : j + len(p[4])])))
-            i, j = i + len(p[0]), j + len(p[4])
+            rows.append((b, bucket, *_pack(d[c[i : i + len(p[0])]], counts[j : j + len(p[2])])))
+            i, j = i + len(p[0]), j + len(p[2])
         if dealt.any():
-            rows.append((-1, bucket, *_pack(contexts[dealt], gain[dealt], different[dealt])))
+            rows.append((-1, bucket, *_pack(contexts[dealt], part[dealt], different[dealt], total[dealt])))
         return pa.Table.from_batches([_batch(rows)])
 
     return run
@@ -203,8 +205,8 @@ def _sum_grams(least_gain: float):
 def _dealt_parts(batches):
     for b in batches:
         for payload, lengths in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            contexts, gain, different = _unpack(payload, lengths, np.uint64, np.float64, np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(contexts.view(np.int64)), pa.array(gain), pa.array(different)], ["context", "gain", "different"])
+            contexts, *sums = _unpack(payload, lengths, np.uint64, np.float64, np.float64, np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(contexts.view(np.int64)), *map(pa.array, sums)], ["context", "part", "different", "total"])
 
 
 def _dealt_contexts(folder: str) -> tuple[np.ndarray, np.ndarray]:
@@ -329,12 +331,14 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
             yield flush()
 
     def stored(df: DataFrame, name: str) -> str:
-        df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+        with without_leftovers(spark):
+            df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
         return f"{folder}/{name}"
 
     def answered(df: DataFrame, name: str) -> str:
         # one file for each block, found by its name
-        df.repartition("block").write.partitionBy("block").option("compression", "zstd").parquet(f"{folder}/{name}")
+        with without_leftovers(spark):
+            df.repartition("block").write.partitionBy("block").option("compression", "zstd").parquet(f"{folder}/{name}")
         return f"{folder}/{name}"
 
     encoded = spark.read.schema(REQUEST).parquet(stored(rows.mapInArrow(encode, REQUEST), "words"))
@@ -365,8 +369,9 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
     for k in range(1, max_depth + 1):
         answer = answered(blocks.mapInArrow(asking(tuple(known)), REQUEST).groupBy("bucket").applyInArrow(_sum_grams(least_gain), REQUEST), f"counts_{k}")
         parts = spark.read.schema(REQUEST).parquet(answer).where("block = -1").select("payload", "lengths")
-        large = parts.mapInArrow(_dealt_parts, "context long, gain double, different double").groupBy("context").agg(F.sum("gain").alias("gain"), F.sum("different").cast("long").alias("d"))
-        node = F.when(F.col("gain") >= least_gain, F.greatest("d", F.lit(1))).otherwise(0)
+        large = parts.mapInArrow(_dealt_parts, "context long, part double, different double, total double").groupBy("context").agg(F.sum("part").alias("part"), F.sum("different").cast("long").alias("d"), F.sum("total").alias("total"))
+        gain = F.col("part") - F.col("total") * F.log(F.greatest(F.col("total") - 1, F.lit(0.0)) + PRIOR)
+        node = F.when(gain >= least_gain, F.greatest("d", F.lit(1))).otherwise(0)
         known.append((answer, stored(large.select("context", node.alias("d")).coalesce(1), f"dealt_{k}")))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "mean_depth"]
 
