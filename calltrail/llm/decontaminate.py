@@ -15,7 +15,10 @@ them (a quarter of half apart) is compared with the neighbourhood too, so that a
 is a leak named excerpt. Its lcs and answer are those of the whole item.
 
 Items are handled in blocks of ``block_items``, each searched against all documents, so what is sent to the tasks is bounded.
-Null or empty texts and items leak nothing. Items shorter than ``min_words`` are left out (they would match by chance). Repeated rows
+Items of fewer than RUN words are leaks where all their words stand in a row; fewer than ``min_words`` are no evidence and are left out. Whatever a candidate's
+words, it is refused before its longest common subsequence is worked out only where the item's words that occur in the neighbourhood at all are too few.
+
+Null or empty texts and items leak nothing. A very long text is read whole, its passages in steps. Repeated rows
 give their own results; a repeated item is reported under each id. Extra columns are ignored.
 """
 
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from calltrail.llm.shared import written
 from calltrail.llm.text import mix, word_hashes
 
-#: Words in a row that make a candidate without a cosine; items have at least ``min_words``, which is as many.
+#: Words in a row that make a candidate without a cosine.
 RUN = 8
 SCHEMA = "doc_id long, item_id long, cosine double, lcs double, answer double, leak string"
 
@@ -51,10 +54,10 @@ def lcs_length(words: np.ndarray, item: np.ndarray) -> int:
     return len(item) - v.bit_count()
 
 
-def _runs(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Hashes of the RUN words that begin at each place."""
+def _runs(h: np.ndarray, at: np.ndarray, length: int = RUN) -> np.ndarray:
+    """Hashes of the words, as many as length, that begin at each place."""
     out = np.zeros(len(at), np.uint64)
-    for k in range(RUN):
+    for k in range(length):
         out = mix(out + h[at + k])
     return out
 
@@ -78,6 +81,10 @@ class Items:
         self.run_place = np.concatenate(at)[order] if kept else np.zeros(0, np.int64)
         self.runs, first = np.unique(runs[order], return_index=True)
         self.run_first = np.append(first, len(runs))
+        self.short: dict[int, dict[int, list[int]]] = {}  # by length, then by the hash of all words
+        for k, w in enumerate(self.words):
+            if len(w) < RUN:
+                self.short.setdefault(len(w), {}).setdefault(int(_runs(w, np.zeros(1, np.int64), len(w))[0]), []).append(k)
 
     def term(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in the vocabulary, and whether the word is there."""
@@ -99,16 +106,23 @@ class Items:
 
     def shared_runs(self, h: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, place in it, item, place in it) where a run of RUN or more words in common begins."""
+        unknown, out = np.concatenate([[0], np.cumsum(~self.term(h)[1])]), []
+        for n, items in self.short.items():
+            p = np.flatnonzero(unknown[n:] == unknown[:-n]) if len(h) >= n else np.zeros(0, np.int64)
+            p = p[np.searchsorted(off, p, side="right") == np.searchsorted(off, p + n - 1, side="right")]
+            run = _runs(h, p, n)
+            hit = np.isin(run, np.array(list(items), np.uint64))
+            for x, r in zip(p[hit].tolist(), run[hit].tolist(), strict=True):
+                t = int(np.searchsorted(off, x, side="right")) - 1
+                out += [(t, x - int(off[t]), k, 0) for k in items[r]]
         if not len(self.runs) or len(h) < RUN:
-            return []
-        unknown = np.concatenate([[0], np.cumsum(~self.term(h)[1])])
+            return out
         p = np.flatnonzero(unknown[RUN:] == unknown[:-RUN])
         p = p[np.searchsorted(off, p, side="right") == np.searchsorted(off, p + RUN - 1, side="right")]
         run = _runs(h, p)
         g = np.minimum(np.searchsorted(self.runs, run), len(self.runs) - 1)
         hit = self.runs[g] == run
         p, g = p[hit], g[hit]
-        out = []
         for x, t, lo, hi in zip(p.tolist(), (np.searchsorted(off, p, side="right") - 1).tolist(), self.run_first[g].tolist(), self.run_first[g + 1].tolist(), strict=True):
             for k, q in zip(self.run_item[lo:hi].tolist(), self.run_place[lo:hi].tolist(), strict=True):
                 if not q or x == off[t] or h[x - 1] != self.words[k][q - 1]:
@@ -116,19 +130,17 @@ class Items:
         return out
 
     def vectors(self, h: np.ndarray, off: np.ndarray, cut: tuple | None = None):
-        """Latent vectors (length 1) of all overlapping passages, the text of each, its first word, its number of weighted words."""
+        """Latent vectors (length 1) of all overlapping passages, the text of each and its first word."""
         term, piece, owner, begin = cut or self.cut(h, off, self.half)
-        halves = _sums(self.space[term], piece, len(owner))
-        count = np.bincount(piece, minlength=len(owner))
+        halves = _piece_sums(self.space, term, None, piece, len(owner))
         follows = np.concatenate([owner[1:] == owner[:-1], [False]])
-        both, n = halves.copy(), count.copy()
+        both = halves.copy()
         at = np.flatnonzero(follows)
         both[at] += halves[at + 1]
-        n[at] += count[at + 1]
         alone = follows | np.concatenate([[True], owner[1:] != owner[:-1]])  # a last half is kept only where it is the whole text
         length = np.linalg.norm(both, axis=1)
         keep = np.flatnonzero(alone & (length > 1e-6))
-        return both[keep] / length[keep][:, None], owner[keep], begin[keep], n[keep]
+        return both[keep] / length[keep][:, None], owner[keep], begin[keep]
 
 
 def _sums(rows: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
@@ -140,13 +152,31 @@ def _sums(rows: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _piece_sums(table: np.ndarray, term: np.ndarray, weight: np.ndarray | None, piece: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the table's rows of terms by a sorted piece number: all first words, then all second words, and so on, as pieces are short."""
+    out = np.zeros((n, table.shape[1]), np.float32)
+    if not len(piece):
+        return out
+    starts = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
+    size = np.diff(np.append(starts, len(piece)))
+    order = np.argsort(-size, kind="stable")
+    starts, size = starts[order], size[order]
+    row = (lambda at: table[term[at]]) if weight is None else (lambda at: table[term[at]] * weight[at][:, None])
+    total = row(starts)
+    for k in range(1, int(size[0])):
+        m = np.searchsorted(-size, -k)  # those with more than k words
+        total[:m] += row(starts[:m] + k)
+    out[piece[starts]] = total
+    return out
+
+
 def _gram(items: Items, h, off, g: np.ndarray) -> np.ndarray:
     """A'(A g) for the passages of some texts, rows of A scaled to length 1."""
     term, piece, owner, _ = items.cut(h, off, 2 * items.half)
     w = items.idf[term]
     length = np.sqrt(np.bincount(piece, w * w, len(owner)))  # repeats within a passage count as they are
     scaled = (w / np.maximum(length[piece], 1e-6)).astype(np.float32)
-    y = _sums(g[term] * scaled[:, None], piece, len(owner))
+    y = _piece_sums(g, term, scaled, piece, len(owner))
     order = np.argsort(term, kind="stable")
     return _sums(y[piece[order]] * scaled[order][:, None], term[order], len(items.vocab))
 
@@ -194,32 +224,45 @@ def fit(items: Items, docs: DataFrame, text: str, rank: int, seed: int = 11) ->
     items.passages, items.passage_of = items.vectors(h, off)[:2]
 
 
-def search(items: Items, docs: DataFrame, key: str, text: str, least_cosine: float, exact: float, paraphrase: float, least_answer: float, answer_words: int, min_terms: int = 3) -> DataFrame:
+def search(items: Items, docs: DataFrame, key: str, text: str, least_cosine: float, exact: float, paraphrase: float, least_answer: float, answer_words: int) -> DataFrame:
     """Leaks of one block's items in all documents."""
     rare = []
     for w in items.words:
         at, _ = items.term(np.unique(w))
         rare.append(items.vocab[at[np.lexsort((at, -items.idf[at]))[:answer_words]]])
-    distinct = [np.unique(w) for w in items.words]
-
-    places = [items.term(d)[0] for d in distinct]
+    tokens = [dict(zip(*(x.tolist() for x in np.unique(w, return_counts=True)), strict=True)) for w in items.words]
+    rare_words = [r.tolist() for r in rare]
     wide = np.array([-(-len(w) // items.half) for w in items.words])
-
-    def likely(term, piece, lo, hi, k):
-        """Which candidates have enough different words of item k in their pieces lo to hi, which hold the neighbourhood: leaks() would refuse the others."""
-        first = lo.min()
-        rows = int(hi.max() - first) + 1
-        seen = np.zeros((rows, len(items.vocab)), np.int16 if rows < 30_000 else np.int32)
-        at = slice(*np.searchsorted(piece, [first, first + rows - 1]))
-        seen[piece[at] - first + 1, term[at]] = 1
-        for r in range(1, len(seen)):  # much faster than a sum down the columns
-            seen[r] += seen[r - 1]
+    # an absent word takes at least one token from the longest common subsequence
+    enough = np.array([len(n) - (1 - paraphrase) * len(w) for n, w in zip(tokens, items.words, strict=True)])
+    longs = -(-len(items.vocab) // 64)
+    of_item = np.zeros((len(items.words), longs), np.uint64)
+    for k, n in enumerate(tokens):
+        at = items.term(np.array(list(n), np.uint64))[0]
+        np.bitwise_or.at(of_item[k], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+
+    def windows(term: np.ndarray, piece: np.ndarray, first: int, n: int, reach: int) -> np.ndarray:
+        """Which terms, as bits, occur in the reach pieces from each of n pieces on, beginning with first."""
+        bits = np.zeros((n + reach, longs), np.uint64)
+        at = slice(*np.searchsorted(piece, [first, first + n + reach]))
+        np.bitwise_or.at(bits.reshape(-1), (piece[at] - first) * longs + (term[at] >> 6), np.uint64(1) << (term[at] & 63).astype(np.uint64))
+        size = 1
+        while size < reach:
+            more = min(size, reach - size)
+            bits[: len(bits) - more] |= bits[more:]
+            size += more
+        return bits
+
+    def likely(term, piece, near, k):
+        """Which candidates have enough different words of item k in the pieces around piece near: leaks() would refuse the others."""
         keep = np.zeros(len(k), bool)
-        order = np.argsort(k, kind="stable")
-        for c in np.split(order, np.flatnonzero(np.diff(k[order])) + 1):
-            of = places[k[c[0]]]
-            n = (seen[np.ix_(hi[c] - first, of)] > seen[np.ix_(lo[c] - first, of)]).sum(axis=1)
-            keep[c] = n >= paraphrase * 0.8 * len(of)
+        for w in np.unique(wide[k]).tolist():
+            mine = np.flatnonzero(wide[k] == w)
+            first = int(near[mine].min()) - w
+            seen = windows(term, piece, first, int(near[mine].max()) - w - first + 1, 2 + 2 * w)
+            for lo in range(0, len(mine), 4096):
+                c = mine[lo : lo + 4096]
+                keep[c] = np.bitwise_count(seen[near[c] - w - first] & of_item[k[c]]).sum(axis=1) >= enough[k[c]]
         return keep
 
     def excerpt(words: np.ndarray, begin: int, k: int, place: int) -> bool:
@@ -236,26 +279,26 @@ def search(items: Items, docs: DataFrame, key: str, text: str, least_cosine: flo
         return False
 
     def leaks(words: np.ndarray, begin: int, end: int, k: int, least: bool = True):
-        item = items.words[k]
-        lo, hi = max(0, begin - len(item)), end + len(item)
-        near = words[lo:hi]
-        if least and np.isin(distinct[k], near).sum() < paraphrase * 0.8 * len(distinct[k]):
-            return None
+        item, n = items.words[k], tokens[k]
+        near = words[max(0, begin - len(item)) : end + len(item)]
+        there = set(near.tolist())
+        if least and sum(c for x, c in n.items() if x in there) < paraphrase * len(item):
+            return None  # the longest common subsequence can't be longer than that
         share = lcs_length(near, item) / len(item)
-        answer = float(np.isin(rare[k], near).mean())
-        return share, answer
+        return share, sum(x in there for x in rare_words[k]) / max(1, len(rare_words[k]))
 
     def run(batches):
         for b in batches:
             ids, out = b.column(0).to_pylist(), []
             for first, h, off in word_hashes(b.column(1).cast(pa.binary()).to_pylist()):
                 cut = items.cut(h, off, items.half)
-                vectors, owner, begin, n = items.vectors(h, off, cut)
+                vectors, owner, begin = items.vectors(h, off, cut)
                 pieces = np.searchsorted(cut[2], np.arange(len(off)))  # the first piece of each text
-                use = np.flatnonzero(n >= min_terms)
                 found: dict[tuple[int, int], tuple] = {}
 
                 def note(t, k, begin, end, cosine, place=None):
+                    if place is None and len(items.words[k]) < RUN:
+                        return  # only a run is evidence
                     words = h[off[t] : off[t + 1]]  # noqa: B023
                     got = leaks(words, begin, end, k)
                     kind = "" if not got else "exact" if got[0] >= exact else "paraphrase" if got[0] >= paraphrase and got[1] >= least_answer else ""
@@ -265,8 +308,8 @@ def search(items: Items, docs: DataFrame, key: str, text: str, least_cosine: flo
                         found[t, k] = max(found.get((t, k), (False, 0, 0, -1, "")), (kind != "excerpt", got[0], got[1], cosine, kind))  # noqa: B023
 
                 step = max(256, min(4096, (1 << 24) // len(items.vocab)))
-                for lo in range(0, len(use), step):
-                    part = use[lo : lo + step]
+                for lo in range(0, len(vectors), step):
+                    part = np.arange(lo, min(lo + step, len(vectors)))
                     cosines = vectors[part] @ items.passages.T
                     i, j = np.nonzero(cosines >= least_cosine)
                     if not len(i):
@@ -276,7 +319,7 @@ def search(items: Items, docs: DataFrame, key: str, text: str, least_cosine: flo
                     best = order[np.concatenate([[True], (np.diff(p[order]) != 0) | (np.diff(k[order]) != 0)])]
                     cosine, p, k = cosine[best], p[best], k[best]
                     piece, t = pieces[owner[p]] + begin[p] // items.half, owner[p]
-                    keep = likely(cut[0], cut[1], np.maximum(pieces[t], piece - wide[k]), np.minimum(pieces[t + 1], piece + 2 + wide[k]), k)
+                    keep = likely(cut[0], cut[1], piece, k)
                     for c, x, y in zip(cosine[keep].tolist(), p[keep].tolist(), k[keep].tolist(), strict=True):
                         note(int(owner[x]), y, int(begin[x]), int(begin[x]) + 2 * items.half, c)
                 for t, at, k, place in items.shared_runs(h, off):
@@ -294,7 +337,7 @@ def search(items: Items, docs: DataFrame, key: str, text: str, least_cosine: flo
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", half: int = 16, rank: int = 64,
-    least_cosine: float = 0.5, exact: float = 0.8, paraphrase: float = 0.5, least_answer: float = 0.5, answer_words: int = 8, min_words: int = 8, block_items: int = 2000,
+    least_cosine: float = 0.5, exact: float = 0.8, paraphrase: float = 0.5, least_answer: float = 0.5, answer_words: int = 8, min_words: int = 3, block_items: int = 2000,
 ) -> DataFrame:
     """doc_id, item_id, cosine, lcs, answer, leak (exact, paraphrase or excerpt) for every pair found."""
     numbered = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).alias("text"))
