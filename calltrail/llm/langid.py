@@ -40,7 +40,7 @@ FAMILIES = {
 }
 UNKNOWN = "und"
 #: Spreads below the usual at which a text counts as half like its language.
-SPREADS = 16.0
+SPREADS = 14.0
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _STEP = 1 << 18
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)

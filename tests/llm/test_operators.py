@@ -300,6 +300,16 @@ def test_languages_on_held_out_rows(spark):
     assert right / n > 0.95
 
 
+def test_languages_that_were_not_learned_and_junk_are_rejected(spark):
+    docs = spark.read.parquet(f"{BIG}/documents.parquet")
+    model = langid.fit(docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
+    other = {"pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem", "ru": "Все люди рождаются свободными и равными в своем достоинстве", "junk": "xkq zzvbj qwrt kjhgf zxcvb qqq wrtplk mnbvc xzzk jkl qwx vbnm zzxq xqz kkjh", "none": "½ ² ³ 12"}
+    got = {r["k"]: r for r in langid.identify(spark.createDataFrame(list(other.items()), "k string, text string"), model, ["k"]).collect()}
+    assert got["none"]["lang_pred"] == langid.UNKNOWN and all(r["score"] < 0.1 for r in got.values())
+    n, kept = langid.identify(docs.where("lang IS NOT NULL"), model, ["doc_id"]).where("lang_pred <> 'und'").agg(F.count("*"), F.count_if(F.col("score") >= 0.1)).first()
+    assert kept >= 0.995 * n
+
+
 def test_languages_odd(odd, empty):
     got = langid.identify(odd, langid.fit(odd), ["doc_id"]).collect()
     assert len(got) == len(ODD) and {r["lang_pred"] for r in got if r["doc_id"] in (2, 3, 4)} == {langid.UNKNOWN}
@@ -342,6 +352,40 @@ def test_leaks_of_a_part_of_an_item(spark, length, share, first):
     assert all(r["lcs"] >= len(part) / length for r in got)
 
 
+def test_leaks_of_short_and_repetitive_items(spark):
+    """Items under RUN words stand in a row; items that repeat their words are judged by their longest common subsequence."""
+    items = {1: "quick brown fox", 2: "one two one two one two one two one two three", 3: "ab cd", 4: "quick brown fox jumps over it", 5: "la " * 30}
+    docs = {1: "the quick brown fox sat", 2: "quick red brown fox", 3: "x one two one two one two one two one two three y", 4: "one two three", 5: "ab cd", 6: "quick brown fox jumps over it", 7: "la " * 25 + "di", 8: "la la la"}
+    frame = lambda d, k: spark.createDataFrame([(i, t, 0) for i, t in [*d.items(), *list(d.items())[:1]]], f"{k} long, text string, leak int")
+    got = decontaminate.find_leaks(frame(docs, "doc_id"), frame(items, "item_id")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (6, 1), (3, 2), (6, 4), (7, 5)}
+    assert len([r for r in got if r["doc_id"] == 1]) == 4  # both rows, both items
+
+
+def test_leaks_of_paraphrases_against_all_pairs(spark):
+    """Items with words dropped, added and replaced: every pair whose longest common subsequence is long enough, over all places of a document."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(3)
+    items = {k: _prose(k, 30 + 3 * k) for k in range(8)}
+    docs = {}
+    for i in range(120):
+        w = list(items[i % 8])
+        for _ in range(r.randrange(4, 20)):
+            at = r.randrange(len(w))
+            w[at : at + 1] = r.choice([[], [f"n{i}"], [w[at], f"n{i}_{at}"]])
+        docs[i] = [*_prose(200 + i, 90), *(w if i % 3 else _prose(400 + i, 40)), *_prose(600 + i, 90)]
+    number: dict[str, int] = {}
+    code = lambda ws: np.array([number.setdefault(w, len(number)) for w in ws])
+    want = {(i, k) for i, d in docs.items() for k, t in items.items() if decontaminate.lcs_length(code(d[90 - len(t) : len(d) - 90 + len(t)]), code(t)) >= 0.55 * len(t)}
+    got = decontaminate.find_leaks(spark.createDataFrame([(i, " ".join(d)) for i, d in docs.items()], "doc_id long, text string"), spark.createDataFrame([(k, " ".join(t)) for k, t in items.items()], "item_id long, text string"))
+    found = {(x["doc_id"], x["item_id"]) for x in got.collect()}
+    assert len(want) > 50 and len(want & found) >= 0.9 * len(want)
+    assert all(i % 8 == k and i % 3 for i, k in found)
+
+
 def test_lcs_against_the_table():
     import numpy as np
 
