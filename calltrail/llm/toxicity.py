@@ -10,12 +10,13 @@ are ordinary words and are let pass.
 Each hit is weighed by a window around it: inside quotation marks or beside a reporting word it counts
 as quoted, beside a word of address it counts more. A logistic model over sums of hits gives the score.
 
-Fitting reads at most ``max_rows_per_class`` labelled rows of each class, picked by a hash of the id;
+Fitting reads about ``max_rows_per_class`` labelled rows of each class, picked by a hash of the id;
 near copies among them count once, and an entry must
-pass a likelihood test whose bar rises with the number of candidates. Only the lexicon (at most
-``max_terms`` words and stems each) and the sample's features reach the driver. Scoring reads
-every whole text. Null text counts as empty; an empty text scores the model's intercept. With no labelled
-row of both classes a fixed model over the seed terms is used. Extra columns are ignored.
+pass a likelihood test whose bar rises with the number of candidates. All entries that pass and all misspelt forms found in clean
+rows of that sample are used; they and the sample's features are what reaches the driver, so its bound is the sample's. Scoring reads
+every whole text, however long. Null text counts as empty; an empty text scores the model's intercept. With no labelled
+row of both classes a fixed model over the seed terms is used. Repeated rows are scored each, and alike; a repeated label counts once, contrary labels of one id
+both count. Kept columns that are called like a result get the ending ``_in``.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from calltrail.llm.shared import written
+from calltrail.llm.shared import apart, written
 from calltrail.llm.text import mix, word_hashes
 
 #: Common English insults; labelled rows add to them or strike them out.
@@ -220,7 +222,7 @@ def _marks(text: str) -> set[str]:
 
 def _lexicon(rows: list) -> tuple[dict[str, float], dict[str, float]]:
     """Terms and stems with their log odds from marks that passed the test of evidence."""
-    odds = {r["mark"]: (r["odds"], r["pos"]) for r in rows}
+    odds = {r["mark"]: (r["odds"], r["pos"]) for r in sorted(rows, key=lambda r: (-r["odds"], r["mark"]))}
     stems: dict[str, float] = {}
     for mark in sorted((m for m in odds if m.endswith("*")), key=lambda m: (len(m), m)):
         stem = mark[:-1]
@@ -250,12 +252,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.05)
     return b
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_rows_per_class: int = 3000, max_terms: int = 2000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_rows_per_class: int = 3000) -> Model:
     """Learn from the rows of docs that labels (key and label) names; other labels than 0 and 1, and nulls, are left out.
 
     The sample is drawn from labels, so its ids are few enough to broadcast and no text is shuffled to find it.
     """
-    rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("y"))
+    rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")).distinct()
     counts = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
     if len(counts) < 2:
         return Model()
@@ -293,10 +295,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     evidence = pos * F.log(pos / (pos + neg) / prior) + F.when(neg > 0, neg * F.log(neg / (pos + neg) / (1 - prior))).otherwise(0)
     stats = written(sample.mapInArrow(marked, "mark string, pos long, neg long").groupBy("mark").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "toxicity_marks")
     enough = float(np.log(max(2, stats.count()))) + 3
-    best = stats.where((pos >= 3) & (log_odds >= 2.5) & (evidence >= enough)).select("mark", "pos", log_odds.alias("odds")).orderBy(F.desc("odds"), "mark").limit(5 * max_terms).collect()
+    best = stats.where((pos >= 3) & (log_odds >= 2.5) & (evidence >= enough)).select("mark", "pos", log_odds.alias("odds")).collect()
     terms, stems = _lexicon(best)
-    terms = dict(sorted(terms.items(), key=lambda t: (-t[1], t[0]))[:max_terms])
-    stems = dict(sorted(stems.items(), key=lambda t: (-t[1], t[0]))[:max_terms])
     contrary = {r["mark"] for r in stats.where(F.col("mark").isin(*SEEDS) & (log_odds < 1) & (F.col("pos") + F.col("neg") >= 5)).collect()}
     model = Model(dict.fromkeys([s for s in SEEDS if s not in contrary], 3.0) | terms, stems)
 
@@ -306,7 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
             found = Counter(w for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if not y for w in set(_WORD.findall(t.lower())) if (h := scorer.hit(w)) and h[0] == "fuzzy")
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["word"])
 
-    clean = frozenset(r[0] for r in sample.mapInArrow(ordinary, "word string").distinct().limit(20_000).collect())
+    clean = frozenset(r[0] for r in sample.mapInArrow(ordinary, "word string").distinct().collect())
     known = Model(model.terms, model.stems, clean)
 
     def featured(batches):
@@ -330,15 +330,15 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
 
 
 def score(docs: DataFrame, model: Model, keep: list[str | Column], text: str = "text") -> DataFrame:
-    """keep's columns with score, predicted and hits (number of lexicon hits) for every row of docs."""
-    kept = docs.select(*keep, F.col(text).alias("_toxicity_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1]) + ", score double, predicted int"
+    """keep's columns with score and predicted for every row of docs."""
+    kept = apart(docs.select(*keep, F.col(text).alias("_toxicity_text")), ("score", "predicted"))
+    schema = StructType([*kept.schema.fields[:-1], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
 
     def run(batches):
         scorer = Scorer(model)
         for b in batches:
             p = [scorer.score(t) for t in b.column(b.num_columns - 1).to_pylist()]
             cols = [b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(p, pa.float64()), pa.array([int(v >= 0.5) for v in p], pa.int32())], [*b.schema.names[:-1], "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(p, pa.float64()), pa.array([int(v >= 0.5) for v in p], pa.int32())], schema.names)
 
     return kept.mapInArrow(run, schema)
