@@ -3,18 +3,21 @@
 Writing: every task streams its rows into archives of its own in the given folder, one gzip member per
 record, and returns an index row (archive, offset, length, URL, digest) for each. An archive's name is new
 for every attempt, and only a task that succeeded hands in index rows, so what a lost executor left
-behind is never read. Reading: selected index rows are range-partitioned by archive and offset, and each
-task merges ranges that lie close together into one read.
+behind is never read. Reading: selected index rows are range-partitioned by archive and offset, into as many tasks as their bytes
+call for, and each task merges ranges that lie close together into one read. Length and digest of a response are computed from the payload that was read; a
+revisit, which has none, reports what its head says. A damaged gzip member or a record of another length than it says raises an error.
 
 Equal payloads of ``min_revisit_bytes`` or more are stored once: rows with a smaller page_id than the
 group's largest become revisit records, whose HTTP head keeps the payload's length. Null html counts as empty, a
 null URL is left out of the record, control characters in a URL are percent-encoded. Repeated rows are
-all written (equal rows at the largest page_id are all responses). A null page_id is always a response. Extra columns are ignored;
+all written (equal rows at the largest page_id are all responses). A null page_id is always a response. A very long html is one record, which
+must fit a task's memory a few times. Extra columns are ignored, whatever their names;
 no rows, no archives.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 import zlib
@@ -100,9 +103,10 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = 256 << 20)
     return written(rows.select("page_id", "url", "html", "payload_digest", "refers_to").mapInArrow(run, INDEX), "index")
 
 
-def read_records(index: DataFrame, folder: str, max_gap: int = 64 << 10, max_range: int = 8 << 20, with_payload: bool = True) -> DataFrame:
+def read_records(index: DataFrame, folder: str, max_gap: int = 64 << 10, max_range: int = 8 << 20, task_bytes: int = 64 << 20, with_payload: bool = True) -> DataFrame:
     """page_id, url, record_type, refers_to, payload_bytes, payload_digest (and payload) of the index rows given."""
-    chosen = index.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    tasks = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), (index.agg(F.sum("length")).first()[0] or 0) // task_bytes + 1)
+    chosen = index.select("archive", "offset", "length").repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", *["payload"] * with_payload]
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * with_payload]
 
@@ -114,7 +118,9 @@ def read_records(index: DataFrame, folder: str, max_gap: int = 64 << 10, max_ran
         for o, n in group:
             r = parse(data[o - lo : o - lo + n])
             page, refers = r["warc-record-id"][10:-1], r.get("warc-refers-to")
-            yield (int(page) if page else None, r.get("warc-target-uri"), r["warc-type"], int(refers[10:-1]) if refers else None, r["declared"], r["warc-payload-digest"].removeprefix("sha1:"), *[r["payload"]] * with_payload)
+            read = r["payload"]
+            of = (r["declared"], r["warc-payload-digest"].removeprefix("sha1:")) if refers else (len(read), hashlib.sha1(read).hexdigest())
+            yield (int(page) if page else None, r.get("warc-target-uri"), r["warc-type"], int(refers[10:-1]) if refers else None, *of, *[read] * with_payload)
 
     def run(batches):
         where, path = fs.FileSystem.from_uri(folder)
