@@ -9,8 +9,8 @@ A fingerprint is ``samples`` numbers of 32 bits in hex; 0 stands for a text with
 
 Rows are dealt out once, by blocks of consecutive ids. A block's rows are ordered by (id, text), so repeated ids are rows of
 their own. The text that follows a block's last row comes from a table with one row per block; the order of blocks is
-found within superblocks first, so that no task sees more than one row in a million of them. Word counts and
-sample minima are then aggregated inside the same partitions.
+found in groups of ``FAN`` numbers, that of the groups in groups again, ``LEVELS`` times, so that no window holds more, with dense ids or hashed ones. Word counts and
+sample minima are then aggregated inside the same partitions. Rows that share an id are one window's work (ids name documents).
 
 Null text counts as empty. A single row is its own successor. Extra columns are ignored. Null ids form a block before all others.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from calltrail.llm.shared import written
 
 BLOCK = 256
-SUPER = 4096
+FAN, LEVELS = 4096, 4
 
 
 def _sample(k: int) -> Column:
@@ -38,13 +38,21 @@ def _sample(k: int) -> Column:
 
 
 def next_block(blocks: DataFrame) -> DataFrame:
-    """block, next_block for distinct blocks; the last one's next is the first."""
-    sb = blocks.select("block").withColumn("super", F.floor(F.col("block") / SUPER))
-    within = sb.withColumn("following", F.lead("block").over(Window.partitionBy("super").orderBy("block")))
-    firsts = sb.groupBy("super").agg(F.min("block").alias("first"))
-    order = Window.partitionBy(F.lit(0)).orderBy("super")  # a row for each million of rows
-    heads = firsts.select("super", F.coalesce(F.lead("first").over(order), F.min("first").over(Window.partitionBy(F.lit(0)))).alias("next_first"))
-    return within.join(heads, "super").select("block", F.coalesce("following", "next_first").alias("next_block"))
+    """block, next_block for distinct blocks; the last one's next is the first. No window holds more than FAN rows, however ids are spread."""
+
+    def following(numbers: DataFrame, level: int) -> DataFrame:
+        """n, next for distinct n."""
+        if level == LEVELS:
+            w = Window.partitionBy(F.lit(0))  # FAN ** LEVELS blocks of BLOCK ids are more than there are long integers
+            return numbers.select("n", F.coalesce(F.lead("n").over(w.orderBy("n")), F.min("n").over(w)).alias("next"))
+        grouped = numbers.select("n", F.floor(F.col("n") / FAN).alias("g"))
+        firsts = grouped.groupBy("g").agg(F.min("n").alias("first"))
+        after = following(firsts.select(F.col("g").alias("n")), level + 1)
+        heads = after.join(firsts, after["next"] == firsts["g"]).select(after["n"].alias("g"), F.col("first").alias("head"))
+        within = grouped.withColumn("lead", F.lead("n").over(Window.partitionBy("g").orderBy("n")))
+        return within.join(heads, "g").select("n", F.coalesce("lead", "head").alias("next"))
+
+    return following(blocks.select(F.col("block").alias("n")).distinct(), 0).select(F.col("n").alias("block"), F.col("next").alias("next_block"))
 
 
 def _links(rows: DataFrame, value: str, order: list[str]) -> DataFrame:

@@ -435,3 +435,25 @@ def test_archives(spark, tmp_path):
     some = warc.read_records(index.where("page_id = 5"), folder, max_gap=0).collect()
     assert [(r["page_id"], bytes(r["payload"])) for r in some] == [(5, b"small")]
     assert warc.round_trip(pages.where("false")).count() == 0
+
+
+def test_archives_report_the_payload_that_was_read(spark, tmp_path):
+    """A payload that is not what the head says is seen; a damaged member raises."""
+    import zlib
+
+    html = "<p>" + "x" * 3000
+    folder = tmp_path / "w"
+    index = warc.write_archives(warc.with_revisits(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")), folder.as_uri())
+    row = index.first()
+    path = folder / row["archive"]
+    raw = zlib.decompress(path.read_bytes(), 31).replace(b"xxxx\r\n", b"xxyx\r\n")
+    z = zlib.compressobj(4, zlib.DEFLATED, 31)
+    data = z.compress(raw) + z.flush()
+    path.write_bytes(data)
+    moved = index.withColumn("length", F.lit(len(data)).cast("long"))
+    got = warc.read_records(moved, folder.as_uri()).first()
+    changed = html[:-2] + "yx"
+    assert (got["payload_digest"], got["payload_bytes"]) == (hashlib.sha1(changed.encode()).hexdigest(), 3003) and got["payload_digest"] != row["payload_digest"]
+    path.write_bytes(data[:40] + bytes([data[40] ^ 1]) + data[41:])
+    with pytest.raises(Exception, match="(?i)error"):
+        warc.read_records(moved, folder.as_uri()).collect()
