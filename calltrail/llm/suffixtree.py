@@ -121,7 +121,7 @@ class Grams:
     def __init__(self, block: Block, at: np.ndarray, context: np.ndarray, hashes: np.ndarray, totals: np.ndarray, share: float, parent: np.ndarray):
         """at: positions; context: the number of each one's context; hashes, totals: of all contexts; share: most tokens of one bucket's part of a context; parent: ln P."""
         m = np.int64(len(block.words))
-        key = context * m + block.ranks[at]
+        key = context.astype(np.int64) * m + block.ranks[at]
         order = np.argsort(key)
         key = key[order]
         new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
@@ -134,7 +134,7 @@ class Grams:
         by_bucket = np.argsort(self.bucket.astype(np.uint16 if block.buckets < 1 << 16 else np.int64), kind="stable")
         place = np.empty(len(by_bucket), np.int64)
         place[by_bucket] = np.arange(len(by_bucket))
-        self.where = np.full(len(block.ranks), -1, np.int64)
+        self.where = np.full(len(block.ranks), -1, np.int32)
         self.where[at[order]] = place[np.cumsum(new) - 1]
         self.block, self.bucket, self.context, self.tag, self.dealt = block, self.bucket[by_bucket], self.context[by_bucket], self.tag[by_bucket], fan[by_bucket] > 1
         self.hash, self.total, self.parent = own[by_bucket], totals[self.context], parent[first[by_bucket]]
@@ -255,10 +255,9 @@ class Walk:
     def words(self, answer: str) -> None:
         self.c = _answers(answer, self.block.key, np.int64)[0]
         self.p = self.totals.root(self.c)[self.block.ranks]
-        self.base = self.p.copy()
         self.depth = np.zeros(len(self.p), np.uint8)
         # the number, hash and count of the contexts of the next order, by the position of their last word
-        self.context, self.hashes, self.seen = self.block.ranks.astype(np.int64), self.block.words, self.c
+        self.context, self.hashes, self.seen = self.block.ranks.view(np.int32), self.block.words, self.c
 
     def grams(self) -> Grams:
         """Those of the next order: a context ends right before each position, in the same text."""
@@ -289,7 +288,7 @@ class Walk:
         self.context, self.hashes, self.seen = grams.where, grams.keys(), n
 
 
-def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", max_depth: int = 3, least_count: int = 8, least_gain: float = 2.0, block_tokens: int = 1_500_000, files: bool = False) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", max_depth: int = 3, least_count: int = 8, least_gain: float = 2.0, block_tokens: int = 1_000_000, files: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) and mean_depth (of the states used) for every row.
 
     files: docs is a plain read of files, whose splits then name the blocks; otherwise docs is first written to the shared folder.
@@ -382,7 +381,7 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
             sums = lambda x: np.add.reduceat(x, lo) if len(lo) else x
             seen = sums((w.c[block.ranks] > 0).astype(np.int64))
             cols = [pa.array(block.ids.tolist(), pa.int64()), pa.array(block.held), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(np.full(len(n), totals.tokens), pa.int64())]
-            cols += [pa.array(sums(x) / np.log(10), pa.float64()) for x in (w.base, w.p)] + [pa.array(sums(w.depth.astype(np.float64)) / n, pa.float64())]
+            cols += [pa.array(sums(x) / np.log(10), pa.float64()) for x in (totals.root(w.c)[block.ranks], w.p)] + [pa.array(sums(w.depth.astype(np.float64)) / n, pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return blocks.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, mean_depth double")
