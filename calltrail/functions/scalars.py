@@ -13,7 +13,8 @@ MARKERS = ("skipped", "depth", "error", "truncated")
 MARKER_TEXT = {"skipped": "<skipped:", "depth": "<depth:", "error": "<error:", "truncated": "<truncated>"}
 USABLE_RESOLUTIONS = ("debugInfo", "generatedState", "sequencePoints", "stateMachine")
 ALIASES = {"sequencePoints": "debugInfo", "stateMachine": "generatedState"}
-SENSITIVE_NAMES = ("password", "passwd", "secret", "token", "apikey", "authorization", "credential", "connectionstring")
+SENSITIVE_NAMES = ("password", "token", "secret", "key", "ssn", "email", "auth", "credential")
+# Fixed values too: the credential patterns.
 CREDENTIALS = {
     "jwt": r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b",
     "aws": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
@@ -21,7 +22,8 @@ CREDENTIALS = {
     "base64": r"(?:^|[^A-Za-z0-9+/])(?:[A-Za-z0-9+/]{40,}={0,2})(?:$|[^A-Za-z0-9+/=])",
 }
 GENERATED = r"(^|/)(obj|generated|target/generated-(test-)?sources)/|\.(g|generated)\.(cs|java|js|ts)$"
-STOP_WORDS = ("this", "that", "with", "from", "return", "null", "true", "false", "void", "string")
+# Words that name nothing in a patch.
+STOP_WORDS = ("private", "public", "protected", "internal", "static", "const", "readonly", "decimal", "string", "bool", "true", "false", "return", "class", "record", "struct", "namespace")
 
 
 def backslashes_to_slashes(path: Column) -> Column:
@@ -112,7 +114,22 @@ def truncate(text: Column, limit: int = 2000, mark: str = "<truncated>") -> Colu
 
 
 def sensitive_name(name: Column, words: tuple[str, ...] = SENSITIVE_NAMES) -> Column:
-    return F.lower(name).rlike("|".join(words))
+    """Whether the name contains one of the words, whatever the case; null is no name."""
+    return F.coalesce(F.lower(name).rlike("|".join(words)), F.lit(False))
+
+
+def digest_only_type(name: Column, prefixes: tuple[str, ...]) -> Column:
+    """Types whose values are never shown, by whole-segment prefixes of their full names."""
+    n = F.lower(name)
+    under = lambda p: (n == p) | F.startswith(n, F.lit(p + ".")) | F.startswith(n, F.lit(p + "`"))
+    return F.coalesce(reduce(or_, (under(p.lower()) for p in prefixes), F.lit(False)), F.lit(False))
+
+
+def digest_only_path(path: Column, parts: tuple[str, ...]) -> Column:
+    """Files whose values are never shown: a part is a run of whole path segments, wherever it stands."""
+    p = F.concat(F.lit("/"), F.lower(F.trim(backslashes_to_slashes(path), F.lit("/"))), F.lit("/"))
+    inside = [F.contains(p, F.lit("/" + x.replace("\\", "/").strip("/").lower() + "/")) for x in parts]
+    return F.coalesce(reduce(or_, inside, F.lit(False)) & (F.trim(path) != ""), F.lit(False))
 
 
 def has_credential(text: Column) -> Column:
@@ -157,7 +174,17 @@ def share_percent(part: Column, whole: Column, if_none: float) -> Column:
 
 
 def identifiers(text: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
-    return F.array_except(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"([A-Za-z_][A-Za-z0-9_]{3,})"), 1), F.lower)), F.array(*map(F.lit, stop)))
+    """Distinct identifiers of four characters or more, as they are spelt."""
+    return F.array_except(F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\b"), 1), lambda x: F.length(x) >= 4)), F.array(*map(F.lit, stop)))
+
+
+def side_identifiers(patch: Column) -> Column:
+    """Identifiers of a patch that stand on one side only (added or removed lines); all of both sides where there is none such."""
+    lines = F.split(patch, "\n")
+    side = lambda sign: identifiers(F.array_join(F.filter(lines, lambda x: F.startswith(x, F.lit(sign)) & ~F.startswith(x, F.lit(sign * 3))), "\n"))
+    added, removed = side("+"), side("-")
+    only = F.concat(F.array_except(added, removed), F.array_except(removed, added))
+    return F.when(F.size(only) > 0, only).otherwise(F.array_union(added, removed))
 
 
 def source_rule(n: Column, exact: Column) -> Column:
@@ -181,6 +208,7 @@ def implausible_change_set(commits: Column, files: Column) -> Column:
     return (commits <= 3) & (files > 250)
 
 
+# The sentences of a report.
 def assertion_reaction(executing: Column, reacted: Column) -> Column:
     ran = F.concat(executing.cast("string"), F.when(executing == 1, " test executed this; ").otherwise(" tests executed this; "))
     asserted = F.when(reacted == 0, "none asserted on the changed value.").when(reacted == 1, "1 test had an assertion react.").otherwise(F.concat(reacted.cast("string"), F.lit(" tests had an assertion react.")))

@@ -40,13 +40,16 @@ def descendants(nodes: DataFrame, base_events: DataFrame) -> DataFrame:
     return below.join(call, tree.CALL).join(origin, ["run", "process", "origin"]).select(*KEY, "d_test_id", "d_method").distinct()
 
 
-def downgrade_reasons(nodes: DataFrame, below: DataFrame, matched: DataFrame, members: DataFrame, base_events: DataFrame, strict_aliases: bool = False) -> DataFrame:
-    """(test_id, method, reasons): the first of each category by name, in the order of REASONS; none means verified."""
+def downgrade_reasons(nodes: DataFrame, below: DataFrame, matched: DataFrame, members: DataFrame, strict_aliases: bool = False) -> DataFrame:
+    """(test_id, method, reasons): the first of each category by name, in the order of REASONS; none means verified.
+
+    A member's source is unresolved where its own manifest record says so; a record without a resolution says nothing.
+    """
     partial = matched.where("confidence = 'Partial'").select(*KEY)
     usable = S.USABLE_RESOLUTIONS[2:] if strict_aliases else S.USABLE_RESOLUTIONS
-    unresolved = base_events.where(~F.coalesce(F.col("resolution").isin(*usable), F.lit(False))).groupBy("method").agg(F.min(F.coalesce("resolution", F.lit("unresolved"))).alias("resolution"))
-    skipped = members.where("status = 'Skipped' AND NOT (skip_reason <=> 'Unobservable')").select(S.declaring_type(F.col("method")).alias("type"), "method", "process", "line_number")
-    last_skipped = skipped.groupBy("type").agg(F.max_by("method", F.struct("process", "line_number")).alias("skipped"))
+    unresolved = members.where(F.col("source_resolution").isNotNull() & ~F.col("source_resolution").isin(*usable)).groupBy("method").agg(F.max_by("source_resolution", F.struct("process", "line_number")).alias("resolution"))
+    skipped = members.where("status = 'Skipped' AND NOT (skip_reason <=> 'Unobservable')").select(S.declaring_type(F.col("method")).alias("type"), F.concat(F.col("method"), F.coalesce(F.concat(F.lit(" ("), "skip_reason", F.lit(")")), F.lit(""))).alias("text"), "process", "line_number")
+    last_skipped = skipped.groupBy("type").agg(F.max_by("text", F.struct("process", "line_number")).alias("skipped"))
     own = nodes.select(*KEY, F.when(F.col("lifecycle"), "MemberLifecycle").when(F.col("unalignable"), "SubtreeUnalignable").alias("category"), F.lit("").alias("what")).where("category IS NOT NULL")
     own_partial = nodes.join(partial, KEY, "left_semi").select(*KEY, F.lit("NodePartial").alias("category"), F.lit("").alias("what"))
     d_partial = below.join(partial.select(F.col("test_id").alias("d_test_id"), F.col("method").alias("d_method")), ["d_test_id", "d_method"], "left_semi").select(*KEY, F.lit("DescendantPartial").alias("category"), F.col("d_method").alias("what"))
@@ -76,7 +79,7 @@ def frontier(divergences: DataFrame, harness_divergences: DataFrame, base_events
     collateral = tree.stored(collateral_keys(keys, base_events))
     nodes = tree.stored(keys.join(collateral, KEY, "left_anti"))
     below = tree.stored(descendants(nodes, base_events))
-    reasons = downgrade_reasons(nodes, below, matched, members, base_events, strict_aliases)
+    reasons = downgrade_reasons(nodes, below, matched, members, strict_aliases)
     compared = below.groupBy(*KEY).agg(F.count("*").alias("descendant_keys_compared"))
     line = base_events.join(keys.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.min_by("line", F.struct("process", "line_number")).alias("line"))
     reacted = reacting_tests(harness_divergences, members).withColumn("reacted", F.lit(True))

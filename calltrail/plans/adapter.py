@@ -9,6 +9,8 @@ from calltrail.sources import schema
 
 BASES = ["base1", "base2", "base3"]
 CHANGED = ["src/purchase.py", "src/removed.py"]
+#: Resolutions of a member's source by its manifest record; others have debugInfo.
+RESOLUTIONS = {"App.click()": "unresolved", "App.view()": None}
 #: run, method, status, skip_reason
 MEMBERS = [(r, f"App.{t}()", "Patched", None) for r in [*BASES, "pr"] for t in ("view", "signup", "click", "error", "purchase")]
 MEMBERS += [(r, "App.removed()", "Patched", None) for r in BASES]
@@ -43,8 +45,8 @@ def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def members(spark: SparkSession) -> DataFrame:
-    rows = [(r, "p0", i, "App", m, s, k, m != "App.signup()") for i, (r, m, s, k) in enumerate(MEMBERS)]
-    return spark.createDataFrame(rows, "run string, process string, line_number int, assembly string, method string, status string, skip_reason string, is_test_root boolean").withColumn("is_test_root", ~F.col("is_test_root"))
+    rows = [(r, "p0", i, "App", m, s, k, m != "App.signup()", RESOLUTIONS.get(m, "debugInfo")) for i, (r, m, s, k) in enumerate(MEMBERS)]
+    return spark.createDataFrame(rows, "run string, process string, line_number int, assembly string, method string, status string, skip_reason string, is_test_root boolean, source_resolution string").withColumn("is_test_root", ~F.col("is_test_root"))
 
 
 def modules(spark: SparkSession) -> DataFrame:
@@ -80,5 +82,5 @@ tr AS (
     'sha256:' || sha256(CAST(cents + bump AS VARCHAR)) AS return_digest, CAST(cents + bump AS VARCHAR) AS return_rendered,
     CASE WHEN event_type = 'error' AND event_id % 5 = 0 THEN 'AppError' END AS exception_type, event_id % 4 AS thread_id, event_type = 'signup' AS is_harness
   FROM rn),
-mem AS (SELECT * FROM ({_values(MEMBERS)}) AS m(run, method, status, skip_reason)),
+mem AS (SELECT * FROM ({_values([(*m, RESOLUTIONS.get(m[1], "debugInfo")) for m in MEMBERS])}) AS m(run, method, status, skip_reason, source_resolution)),
 changed AS (SELECT * FROM ({_values([(p,) for p in CHANGED])}) AS c(path))"""

@@ -141,7 +141,9 @@ def queries() -> dict[str, Query]:
         "top_untested": lambda s, p: _nodes(s, p).where("classification <> 'collateral' AND untested").groupBy("method", "attribution").agg(F.count("*").alias("call_sites")).orderBy(F.desc("call_sites"), "method").limit(50),
         "path_normalize": _paths,
         "declaring_type": lambda s, p: _documents(s, p, "doc_id", F.concat_ws(".", F.lit("App"), "lang", F.concat("source", F.lit("`1")), F.concat(F.lit("Run("), "lang", F.lit(".X)"))).alias("m")).select("doc_id", S.declaring_type(F.col("m")).alias("type"), S.simple_type(S.declaring_type(F.col("m"))).alias("simple"), S.short_member(F.col("m")).alias("short")),
-        "redact": lambda s, p: _documents(s, p, "doc_id", F.when(S.has_credential(F.col("text")), "<redacted>").otherwise(F.left("text", F.lit(40))).alias("shown"), S.sensitive_name(F.col("source")).alias("sensitive")),
+        "redact": lambda s, p: _documents(s, p, "doc_id", F.sha2(S.redact(F.col("text")), 256).alias("shown"), S.sensitive_name(F.element_at(F.split("text", " "), 1)).alias("sensitive")),
+        "sensitive_members": lambda s, p: _of(s, p, "base1").select("call_id", S.sensitive_name(F.concat("method", "args_rendered")).alias("sensitive"), S.digest_only_path(F.col("file_path"), ("src/click.py", "purchase.py")).alias("digest_only_path"), S.digest_only_type(S.declaring_type(F.col("method")), ("app",)).alias("digest_only_type")),
+        "side_identifiers": lambda s, p: _documents(s, p, "doc_id", S.side_identifiers(F.concat(F.lit("+"), F.replace("text", F.lit(". "), F.lit("\n-")))).alias("i")).select("doc_id", F.array_join(F.array_sort("i"), " ").alias("identifiers")),
         "sha_digest": lambda s, p: _documents(s, p, "doc_id", S.sha_digest(F.col("text")).alias("digest"), F.length(S.truncate(F.col("text"))).cast("long").alias("rendered_chars")),
         "marker_classify": lambda s, p: _of(s, p, "base1").select("call_id", S.partial_markers(F.col("args_rendered"), F.col("return_rendered")).alias("m")).select("call_id", F.array_join("m", "|").alias("markers"), S.confidence(F.col("m")).alias("confidence")),
         "marker_histogram": lambda s, p: _of(s, p, "base1").select(F.explode(S.partial_markers(F.col("args_rendered"))).alias("marker")).groupBy("marker").agg(F.count("*").alias("n")),
@@ -197,7 +199,8 @@ rs AS (
   SELECT test_id, method, 2 AS r, 'SubtreeUnalignable' AS t FROM nd WHERE unalignable
   UNION ALL SELECT n.test_id, n.method, 3, 'NodePartial' FROM nd n JOIN mk m ON m.test_id = n.test_id AND m.method = n.method
   UNION ALL SELECT l.test_id, l.method, 4, 'DescendantPartial: ' || min(l.dm) FROM bl l JOIN mk m ON m.test_id = l.dt AND m.method = l.dm GROUP BY l.test_id, l.method
-  UNION ALL SELECT test_id, method, 6, 'DescendantSourceUnresolved: App.click()=unresolved' FROM (SELECT DISTINCT test_id, method FROM bl WHERE dm = 'App.click()')),
+  UNION ALL SELECT l.test_id, l.method, 6, 'DescendantSourceUnresolved: ' || min(l.dm || '=' || m.source_resolution) FROM bl l JOIN mem m ON m.method = l.dm AND m.run = 'base1'
+    WHERE m.source_resolution NOT IN ('debugInfo', 'generatedState', 'sequencePoints', 'stateMachine') GROUP BY l.test_id, l.method),
 ra AS (SELECT test_id, method, string_agg(t, '|' ORDER BY r) AS reasons FROM rs GROUP BY test_id, method),
 ht AS (SELECT DISTINCT test_id FROM dv WHERE is_harness),
 fr AS (SELECT k.test_id, k.method, k.path, CASE WHEN c.test_id IS NOT NULL THEN 'collateral' WHEN ra.reasons IS NOT NULL THEN 'frontier_unverified' ELSE 'frontier' END AS classification,
@@ -276,7 +279,13 @@ def oracle_sql() -> dict[str, str]:
           CASE WHEN starts_with(x, '/_/') THEN substr(x, 4) WHEN starts_with(lower(x), 'c:/repo/') THEN substr(x, 9) ELSE x END AS relative
           FROM (SELECT page_id, replace({path}, '\\', '/') AS x FROM pages)""",
         "declaring_type": "SELECT doc_id, 'App.' || lang || '.' || source || '`1' AS type, source AS simple, source || '.Run' AS short FROM documents",
-        "redact": f"SELECT doc_id, CASE WHEN {creds} THEN '<redacted>' ELSE substr(text, 1, 40) END AS shown, regexp_matches(lower(source), '{'|'.join(S.SENSITIVE_NAMES)}') AS sensitive FROM documents",
+        "redact": f"SELECT doc_id, sha256(CASE WHEN {creds} THEN '<redacted>' ELSE text END) AS shown, regexp_matches(lower(split_part(text, ' ', 1)), 'password|token|secret|key|ssn|email|auth|credential') AS sensitive FROM documents",
+        "sensitive_members": tr("SELECT call_id, regexp_matches(lower(method || args_rendered), 'password|token|secret|key|ssn|email|auth|credential') AS sensitive, path IN ('src/click.py', 'src/purchase.py') AS digest_only_path, true AS digest_only_type FROM tr WHERE run = 'base1'"),
+        "side_identifiers": """WITH l AS (SELECT doc_id, unnest(string_split('+' || replace(text, '. ', chr(10) || '-'), chr(10))) AS line FROM documents),
+          w AS (SELECT DISTINCT doc_id, line[1] AS sign, unnest(regexp_extract_all(line, '[\\p{L}\\p{N}\\p{M}_]+')) AS i FROM l WHERE line[1] IN ('+', '-') AND NOT starts_with(line, '+++') AND NOT starts_with(line, '---')),
+          k AS (SELECT doc_id, i, count(*) AS sides FROM w WHERE length(i) >= 4 AND regexp_full_match(i, '[A-Za-z_][A-Za-z0-9_]*') AND i NOT IN ('private', 'public', 'protected', 'internal', 'static', 'const', 'readonly', 'decimal', 'string', 'bool', 'true', 'false', 'return', 'class', 'record', 'struct', 'namespace') GROUP BY doc_id, i),
+          o AS (SELECT doc_id, string_agg(i, ' ' ORDER BY i) AS every, string_agg(CASE WHEN sides = 1 THEN i END, ' ' ORDER BY i) AS one FROM k GROUP BY doc_id)
+          SELECT d.doc_id, coalesce(o.one, o.every, '') AS identifiers FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id""",
         "sha_digest": "SELECT doc_id, 'sha256:' || sha256(text) AS digest, CASE WHEN length(text) > 2000 THEN 2011 ELSE length(text) END AS rendered_chars FROM documents",
         "marker_classify": tr("SELECT call_id, CASE WHEN contains(args_rendered, '<depth:') THEN 'depth' ELSE '' END AS markers, CASE WHEN contains(args_rendered, '<depth:') THEN 'Partial' ELSE 'Exact' END AS confidence FROM tr WHERE run = 'base1'"),
         "marker_histogram": tr("SELECT 'depth' AS marker, count(*) AS n FROM tr WHERE run = 'base1' AND contains(args_rendered, '<depth:')"),

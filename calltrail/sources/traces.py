@@ -104,7 +104,7 @@ def checked_manifest(spark: SparkSession, path: str, strict: bool = False) -> Da
 
 
 def members(manifest: DataFrame, run: str) -> DataFrame:
-    return manifest.where("kind = 'member'").select(F.lit(run).alias("run"), "process", "line_number", "assembly", "method", "status", F.col("skipReason").alias("skip_reason"), F.col("isTestRoot").alias("is_test_root"), "sourceResolution", "returnKind")
+    return manifest.where("kind = 'member'").select(F.lit(run).alias("run"), "process", "line_number", "assembly", "method", "status", F.col("skipReason").alias("skip_reason"), F.col("sourceResolution").alias("source_resolution"), F.col("isTestRoot").alias("is_test_root"), "sourceResolution", "returnKind")
 
 
 def modules(manifest: DataFrame, run: str) -> DataFrame:

@@ -94,7 +94,7 @@ def _analyse(spark, n=120, changed=("src/a.py",), flip=True):
             rows.append(event(run, f"T{t}", "App.Test.t()", 3 * t, harness=True, path="test/t.py"))
             rows.append(event(run, f"T{t}", "App.outer()", 3 * t + 1, 3 * t, value="2" if flip and run == "pr" and t < 3 else "1", path="src/b.py"))
             rows.append(event(run, f"T{t}", "App.inner()", 3 * t + 2, 3 * t + 1, value="2" if flip and run == "pr" and t < 3 else "1"))
-    members = spark.createDataFrame([(r, "p", i, "App", m, "Patched", None, m == "App.Test.t()") for r in ("base1", "base2", "pr") for i, m in enumerate(("App.Test.t()", "App.outer()", "App.inner()"))], "run string, process string, line_number int, assembly string, method string, status string, skip_reason string, is_test_root boolean")
+    members = spark.createDataFrame([(r, "p", i, "App", m, "Patched", None, m == "App.Test.t()", "sequencePoints") for r in ("base1", "base2", "pr") for i, m in enumerate(("App.Test.t()", "App.outer()", "App.inner()"))], "run string, process string, line_number int, assembly string, method string, status string, skip_reason string, is_test_root boolean, source_resolution string")
     modules = spark.createDataFrame([(r, "p", 0, "App", True, False, False) for r in ("base1", "base2", "pr")], "run string, process string, line_number int, assembly string, instrumented boolean, source_unavailable boolean, source_partial boolean")
     files = spark.createDataFrame([(c,) for c in changed], "path string")
     return analysis.analyze(frame(spark, rows), members, modules, files, ["base1", "base2"])
