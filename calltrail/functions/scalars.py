@@ -152,7 +152,7 @@ def in_scope(value: Column, include: list[str], exclude: list[str] = (), sep: st
 
 
 def list_items(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.split(text, "[;,]"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(text, "[;,]"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def display_text(text: Column) -> Column:

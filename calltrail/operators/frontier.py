@@ -109,6 +109,12 @@ def members_of_files(changed: DataFrame, members: DataFrame) -> DataFrame:
     return by_module.select(*cols).unionByName(by_type.select(*cols)).distinct()
 
 
+def skip_reasons(changed: DataFrame, members: DataFrame) -> DataFrame:
+    """(path, skip_reason, members): why members of edited files were not observed."""
+    skipped = members_of_files(changed, members).where("status = 'Skipped'")
+    return skipped.groupBy("path", F.coalesce("skip_reason", F.lit("")).alias("skip_reason")).agg(F.count("*").alias("members"))
+
+
 def changed_file_coverage(changed: DataFrame, base_events: DataFrame, pr_events: DataFrame) -> DataFrame:
     """Per edited file: distinct members, distinct call sites (keys), calls of either run, exercised."""
     side = lambda df, b: df.where("NOT is_harness").select(F.col("relative_path").alias("path"), *KEY, F.lit(b).alias("in_base"))

@@ -116,3 +116,8 @@ def without_noise(divergences: DataFrame, noise: DataFrame, gap_methods: DataFra
     """Subject divergences whose key is no noise and whose method has no observability gap."""
     out = divergences.where("NOT is_harness").join(noise.select(*KEY), KEY, "left_anti")
     return out if gap_methods is None else out.join(gap_methods.select("method").distinct(), "method", "left_anti").select(*divergences.columns)
+
+
+def noise_histogram(noise: DataFrame, limit: int = 15) -> DataFrame:
+    """The methods with most noise keys (a report's list, so it has an end)."""
+    return noise.groupBy("method").agg(F.count("*").alias("keys")).orderBy(F.desc("keys"), "method").limit(limit)

@@ -95,3 +95,7 @@ def gap_methods(gaps: DataFrame, changed: DataFrame, base: DataFrame, pr: DataFr
     with_file = gaps.where("method IS NOT NULL").join(method_files(base, pr), "method", "left")
     edited = with_file.where(is_lifecycle()).join(changed.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_semi").select("method")
     return with_file.join(edited, "method", "left_anti").select("method").distinct()
+
+
+def gaps_by_scope(gaps: DataFrame) -> DataFrame:
+    return gaps.groupBy("scope").agg(F.count("*").alias("gaps"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from calltrail.operators import tree
 from calltrail.operators.keys import KEY
 
 def _signature() -> Column:
@@ -99,3 +100,18 @@ def first_roots(events: DataFrame) -> DataFrame:
     """Synthetic test ids: root#n, the n-th call of a root method in entry order."""
     w = Window.partitionBy("run", "process", "method").orderBy("call_id")
     return events.where("parent_call_id IS NULL").select("run", "process", "call_id", F.concat_ws("#", "method", F.row_number().over(w).cast("string")).alias("synthetic_test_id"))
+
+
+def entry_ordinals(events: DataFrame) -> DataFrame:
+    """Adds entry_ordinal: a call's place among its key's calls of a process in the order in which they began (ids are given on entry), not ended."""
+    w = Window.partitionBy("run", "process", *KEY).orderBy("call_id")
+    return events.withColumn("entry_ordinal", F.row_number().over(w) - 1)
+
+
+def nearest_roots(events: DataFrame, members: DataFrame) -> DataFrame:
+    """(run, process, call_id, root_call_id, distance): the nearest call of a test root at or above each call; calls without one are left out."""
+    roots = events.join(members.where("is_test_root").select("method").distinct(), "method", "left_semi").select(*tree.CALL)
+    below = tree.closure(events, roots, down=True).select("run", "process", "call_id", F.col("origin").alias("root_call_id"), "distance")
+    own = roots.select("run", "process", "call_id", F.col("call_id").alias("root_call_id"), F.lit(0).alias("distance"))
+    nearest = F.min_by(F.struct("root_call_id", "distance"), "distance").alias("r")
+    return below.unionByName(own).groupBy(*tree.CALL).agg(nearest).select(*tree.CALL, "r.root_call_id", F.col("r.distance").cast("int").alias("distance"))

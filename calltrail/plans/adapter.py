@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from calltrail.sources import schema
 
 BASES = ["base1", "base2", "base3"]
-CHANGED = ["src/purchase.py", "src/removed.py"]
+CHANGED = ["src/purchase.py", "src/removed.py", "src/error.py", "src/App.py"]
 #: Resolutions of a member's source by its manifest record; others have debugInfo.
 RESOLUTIONS = {"App.click()": "unresolved", "App.view()": None}
 #: run, method, status, skip_reason
-MEMBERS = [(r, f"App.{t}()", "Patched", None) for r in [*BASES, "pr"] for t in ("view", "signup", "click", "error", "purchase")]
+MEMBERS = [(r, f"App.{t}()", "Patched", None) for r in [*BASES, "pr"] for t in ("view", "signup", "click", "error", "purchase") if (r, t) != ("pr", "error")]
 MEMBERS += [(r, "App.removed()", "Patched", None) for r in BASES]
 MEMBERS += [(r, "App.audit()", "Patched", None) for r in BASES] + [("pr", "App.audit()", "Skipped", "UnsupportedShape")]
 MEMBERS += [("pr", "App.hidden()", "Skipped", "ExcludedByScope")]

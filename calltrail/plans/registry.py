@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from calltrail.functions import digest
 from calltrail.functions import scalars as S
 from calltrail.operators import checks, findings, frontier, keys, manifests, studies, tree
-from calltrail.plans import adapter
+from calltrail.plans import adapter, audits
 from calltrail.sources import traces
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,7 +137,7 @@ def queries() -> dict[str, Query]:
         "attribution": lambda s, p: _nodes(s, p).where("classification <> 'collateral'").groupBy("attribution", "classification").agg(F.count("*").alias("nodes"), F.count_distinct("method").alias("members")),
         "changed_file_coverage": lambda s, p: frontier.changed_file_coverage(d(s), _of(s, p, "base1"), _of(s, p, "pr")),
         "findings_members": lambda s, p: _found(s, p).select("method", "attribution", "file_path", "call_sites", "executing_tests", "observing_tests", "reacting_tests", "assertion_reaction", "descendants_compared", "untested_call_sites"),
-        "findings_summary": lambda s, p: findings.summary(_found(s, p)).drop("verified_members"),
+        "findings_summary": lambda s, p: findings.summary(_found(s, p)),
         "top_untested": lambda s, p: _nodes(s, p).where("classification <> 'collateral' AND untested").groupBy("method", "attribution").agg(F.count("*").alias("call_sites")).orderBy(F.desc("call_sites"), "method").limit(50),
         "path_normalize": _paths,
         "declaring_type": lambda s, p: _documents(s, p, "doc_id", F.concat_ws(".", F.lit("App"), "lang", F.concat("source", F.lit("`1")), F.concat(F.lit("Run("), "lang", F.lit(".X)"))).alias("m")).select("doc_id", S.declaring_type(F.col("m")).alias("type"), S.simple_type(S.declaring_type(F.col("m"))).alias("simple"), S.short_member(F.col("m")).alias("short")),
@@ -149,7 +149,7 @@ def queries() -> dict[str, Query]:
         "marker_histogram": lambda s, p: _of(s, p, "base1").select(F.explode(S.partial_markers(F.col("args_rendered"))).alias("marker")).groupBy("marker").agg(F.count("*").alias("n")),
         "scope_match": lambda s, p: _of(s, p, "base1").select("call_id", S.in_scope(F.substring_index("method", "(", 1), ["App"], ["App.view"]).alias("in_scope")),
         "module_source_rule": lambda s, p: _of(s, p, "base1").groupBy(F.col("process").alias("module")).agg(F.count_distinct("method").alias("n"), F.count_distinct(F.when(F.col("resolution") == "debugInfo", F.col("method"))).alias("exact")).select("module", S.source_rule(F.col("n"), F.col("exact")).alias("rule"), S.exact_percent(F.col("n"), F.col("exact")).alias("exact_percent"), S.source_unavailable(F.col("n"), F.col("exact")).alias("unavailable"), S.source_partial(F.col("n"), F.col("exact")).alias("partial")),
-        "conformance_guards": lambda s, p: checks.conformance(_of(s, p, "base1"), _of(s, p, "pr")).where("guard <> 'matched_key_floor'"),
+        "conformance_guards": lambda s, p: checks.conformance(_of(s, p, "base1"), _of(s, p, "pr")),
         "call_order_stability": lambda s, p: studies.order_instability(_of(s, p, "base1"), _of(s, p, "base2")),
         "test_shapes": lambda s, p: studies.test_shapes(_of(s, p, "base1")).select("test_id", "threads"),
         "shape_differences": lambda s, p: studies.shape_differences(_of(s, p, "base1"), _of(s, p, "pr")).agg(F.count("*").alias("shapes"), F.coalesce(F.sum("left_tests"), F.lit(0)).alias("left_tests"), F.coalesce(F.sum("right_tests"), F.lit(0)).alias("right_tests")),
@@ -158,7 +158,7 @@ def queries() -> dict[str, Query]:
         "labelled_share": lambda s, p: checks.labelled_share(_of(s, p, "base1")),
         "normalize_roundtrip": _parsed_back,
         "canonical_digest": _digests,
-    }
+    } | audits.queries(_walked, _found)
 
 
 _COMPARE = """
@@ -210,7 +210,7 @@ fr AS (SELECT k.test_id, k.method, k.path, CASE WHEN c.test_id IS NOT NULL THEN
   LEFT JOIN ht ON ht.test_id = k.test_id LEFT JOIN sy ON sy.test_id = k.test_id AND sy.method = k.method
   LEFT JOIN (SELECT test_id, method, count(*) AS n FROM bl GROUP BY test_id, method) x ON x.test_id = k.test_id AND x.method = k.method)"""
 _FOUND = """
-fm AS (SELECT method, lower(min(attribution)) AS attribution, min(path) AS file_path, count(*) AS call_sites, CAST(sum(descendant_keys_compared) AS BIGINT) AS descendants_compared, CAST(sum(CASE WHEN untested THEN 1 ELSE 0 END) AS BIGINT) AS untested_call_sites
+fm AS (SELECT method, lower(min(attribution)) AS attribution, min(path) AS file_path, count(*) AS call_sites, CAST(sum(descendant_keys_compared) AS BIGINT) AS descendants_compared, CAST(sum(CASE WHEN untested THEN 1 ELSE 0 END) AS BIGINT) AS untested_call_sites, arg_min(classification, test_id) = 'frontier' AS verified
   FROM fr WHERE classification <> 'collateral' GROUP BY method),
 ex AS (SELECT method, count(DISTINCT test_id) AS executing_tests FROM tr WHERE run IN ('base1', 'pr') GROUP BY method),
 ob AS (SELECT d.method, count(*) AS observing_tests, CAST(sum(CASE WHEN NOT f.untested AND f.classification <> 'collateral' THEN 1 ELSE 0 END) AS BIGINT) AS reacting_tests FROM (SELECT DISTINCT test_id, method FROM rem) d LEFT JOIN fr f ON f.test_id = d.test_id AND f.method = d.method GROUP BY d.method),
@@ -273,7 +273,7 @@ def oracle_sql() -> dict[str, str]:
         "attribution": fr("SELECT attribution, classification, count(*) AS nodes, count(DISTINCT method) AS members FROM fr WHERE classification <> 'collateral' GROUP BY attribution, classification"),
         "changed_file_coverage": tr("SELECT c.path, count(DISTINCT x.method) AS members, count(DISTINCT CASE WHEN x.method IS NOT NULL THEN x.test_id || '/' || x.method END) AS call_sites, CAST(sum(CASE WHEN x.run = 'base1' THEN 1 ELSE 0 END) AS BIGINT) AS base_calls, CAST(sum(CASE WHEN x.run = 'pr' THEN 1 ELSE 0 END) AS BIGINT) AS pr_calls, count(x.run) > 0 AS exercised FROM changed c LEFT JOIN (SELECT * FROM tr WHERE run IN ('base1', 'pr') AND NOT is_harness) x ON x.path = c.path GROUP BY c.path"),
         "findings_members": fo("SELECT method, attribution, file_path, call_sites, executing_tests, observing_tests, reacting_tests, assertion_reaction, descendants_compared, untested_call_sites FROM fo"),
-        "findings_summary": fo("SELECT count(*) AS members, CAST(sum(CASE WHEN attribution = 'unexpected' THEN 1 ELSE 0 END) AS BIGINT) AS unexpected_members, CAST(sum(CASE WHEN attribution = 'expected' THEN 1 ELSE 0 END) AS BIGINT) AS expected_members, CAST(coalesce(sum(CASE WHEN attribution = 'unexpected' THEN call_sites END), 0) AS BIGINT) AS unexpected_call_sites, CAST(coalesce(sum(CASE WHEN attribution = 'expected' THEN call_sites END), 0) AS BIGINT) AS expected_call_sites, CAST(coalesce(sum(untested_call_sites), 0) AS BIGINT) AS untested_call_sites, sum(CASE WHEN attribution = 'unexpected' THEN 1 ELSE 0 END) = 0 AS is_clean FROM fo"),
+        "findings_summary": fo("SELECT count(*) AS members, CAST(sum(CASE WHEN verified THEN 1 ELSE 0 END) AS BIGINT) AS verified_members, CAST(sum(CASE WHEN attribution = 'unexpected' THEN 1 ELSE 0 END) AS BIGINT) AS unexpected_members, CAST(sum(CASE WHEN attribution = 'expected' THEN 1 ELSE 0 END) AS BIGINT) AS expected_members, CAST(coalesce(sum(CASE WHEN attribution = 'unexpected' THEN call_sites END), 0) AS BIGINT) AS unexpected_call_sites, CAST(coalesce(sum(CASE WHEN attribution = 'expected' THEN call_sites END), 0) AS BIGINT) AS expected_call_sites, CAST(coalesce(sum(untested_call_sites), 0) AS BIGINT) AS untested_call_sites, sum(CASE WHEN attribution = 'unexpected' THEN 1 ELSE 0 END) = 0 AS is_clean FROM fo"),
         "top_untested": fr("SELECT method, attribution, count(*) AS call_sites FROM fr WHERE classification <> 'collateral' AND untested GROUP BY method, attribution ORDER BY call_sites DESC, method LIMIT 50"),
         "path_normalize": f"""SELECT page_id, CASE WHEN x IS NULL THEN 'missing' WHEN NOT regexp_matches(x, '^(/|[A-Z]:)') THEN 'relative' WHEN starts_with(x, '/_/') OR starts_with(lower(x), 'c:/repo/') THEN 'normalized' ELSE 'still-absolute' END AS path_class,
           CASE WHEN starts_with(x, '/_/') THEN substr(x, 4) WHEN starts_with(lower(x), 'c:/repo/') THEN substr(x, 9) ELSE x END AS relative
@@ -291,7 +291,7 @@ def oracle_sql() -> dict[str, str]:
         "marker_histogram": tr("SELECT 'depth' AS marker, count(*) AS n FROM tr WHERE run = 'base1' AND contains(args_rendered, '<depth:')"),
         "scope_match": tr("SELECT call_id, starts_with(method, 'App.') AND method <> 'App.view()' AS in_scope FROM tr WHERE run = 'base1'"),
         "module_source_rule": _with(t, "ms AS (SELECT process AS module, count(DISTINCT method) AS n, count(DISTINCT CASE WHEN resolution = 'debugInfo' THEN method END) AS e FROM tr WHERE run = 'base1' GROUP BY process)", select="SELECT module, CASE WHEN n = 0 THEN 'notApplicable' WHEN n < 5 THEN 'anyNone' ELSE 'ratio' END AS rule, CAST(floor(e * 100.0 / n) AS INTEGER) AS exact_percent, CASE WHEN n < 5 THEN e = 0 ELSE floor(e * 100.0 / n) < 80 END AS unavailable, n >= 5 AND floor(e * 100.0 / n) BETWEEN 80 AND 99 AS partial FROM ms"),
-        "conformance_guards": _with(t, _COMPARE, select="SELECT 'call_counts' AS guard, CAST(sum(CASE WHEN bn IS DISTINCT FROM pn THEN 1 ELSE 0 END) AS BIGINT) AS failures FROM kk WHERE NOT h UNION ALL SELECT 'ordinal_sequences', CAST(sum(CASE WHEN bn IS DISTINCT FROM pn THEN 1 ELSE 0 END) AS BIGINT) FROM kk WHERE NOT h UNION ALL SELECT 'method_set', 0 UNION ALL SELECT 'unusable_source', CAST(sum(CASE WHEN resolution <> 'debugInfo' THEN 1 ELSE 0 END) AS BIGINT) FROM b WHERE NOT is_harness"),
+        "conformance_guards": _with(t, _COMPARE, select="SELECT 'matched_key_floor' AS guard, greatest(0, 100 - count(*)) AS failures FROM kk WHERE NOT h AND bn IS NOT NULL AND pn IS NOT NULL UNION ALL SELECT 'call_counts' AS guard, CAST(sum(CASE WHEN bn IS DISTINCT FROM pn THEN 1 ELSE 0 END) AS BIGINT) AS failures FROM kk WHERE NOT h UNION ALL SELECT 'ordinal_sequences', CAST(sum(CASE WHEN bn IS DISTINCT FROM pn THEN 1 ELSE 0 END) AS BIGINT) FROM kk WHERE NOT h UNION ALL SELECT 'method_set', 0 UNION ALL SELECT 'unusable_source', CAST(sum(CASE WHEN resolution <> 'debugInfo' THEN 1 ELSE 0 END) AS BIGINT) FROM b WHERE NOT is_harness"),
         "call_order_stability": _with(t, "ps AS (SELECT x.test_id, x.method, x.pos, x.return_digest <> y.return_digest AS unlike FROM tr x JOIN tr y ON x.run = 'base1' AND y.run = 'base2' AND x.test_id = y.test_id AND x.method = y.method AND x.pos = y.pos)", select="SELECT test_id, method, CAST(max(pos) + 1 AS INTEGER) AS calls, min(CASE WHEN unlike THEN pos END) AS first_unlike FROM ps GROUP BY test_id, method HAVING bool_or(unlike)"),
         "test_shapes": tr("SELECT test_id, CAST(count(DISTINCT thread_id) AS INTEGER) AS threads FROM tr WHERE run = 'base1' GROUP BY test_id"),
         "shape_differences": _with(t, """sh AS (SELECT run, test_id, string_agg(method || '=' || CAST(n AS VARCHAR), ';' ORDER BY method) AS s FROM (SELECT run, test_id, method, count(*) AS n FROM tr WHERE run IN ('base1', 'pr') GROUP BY run, test_id, method) GROUP BY run, test_id),
@@ -300,4 +300,4 @@ def oracle_sql() -> dict[str, str]:
         "source_census": tr("SELECT run, resolution, count(*) AS events, count(DISTINCT method) AS methods FROM tr GROUP BY run, resolution"),
         "labelled_share": "SELECT count(*) AS events, count(*) AS labelled, CAST(100.0 AS DOUBLE) AS share_percent FROM events",
         "normalize_roundtrip": tr("SELECT test_id, method, call_id, parent_call_id, pos AS ordinal, return_rendered, is_harness, CAST(NULL AS VARCHAR) AS error FROM tr WHERE run = 'base1'"),
-    }
+    } | audits.oracle_sql(tr, noise, fr, fo)
