@@ -84,21 +84,32 @@ class Block:
         inner[offsets[1:] - 1] = False
         flat[inner] = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         words, ranks = np.unique(flat, return_inverse=True)
+        return cls.by_bucket(key, buckets, np.array(ids, object), np.array(held, bool), offsets, words, ranks)
+
+    @classmethod
+    def by_bucket(cls, key: int, buckets: int, ids, held, offsets, words: np.ndarray, ranks: np.ndarray) -> Block:
         order = np.lexsort((words, words % np.uint64(buckets)))
-        place = np.empty(len(order), np.int64)
+        place = np.empty(len(order), np.uint32)
         place[order] = np.arange(len(order))
-        return cls(key, buckets, np.array(ids, object), np.array(held, bool), offsets, words[order], place[ranks].astype(np.uint32))
+        return cls(key, buckets, ids, held, offsets, words[order], place[ranks])
 
     def state(self) -> tuple:
+        """A row that holds the block; words by falling frequency and their ranks byte by byte, which compresses best."""
         ids = np.array([0 if i is None else i for i in self.ids], np.int64)
         null = np.array([i is None for i in self.ids], np.uint8)
-        payload, lengths = _pack(ids, null, self.held.astype(np.uint8), self.offsets, self.words, self.ranks)
+        seen = np.bincount(self.ranks, minlength=len(self.words))
+        order = np.argsort(-seen, kind="stable")
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order))
+        planes = place[self.ranks].view(np.uint8).reshape(-1, 4).T.ravel()
+        payload, lengths = _pack(ids, null, self.held.astype(np.uint8), self.offsets, self.words[order], planes)
         return self.key, -1, payload, lengths
 
     @classmethod
     def back(cls, key: int, buckets: int, payload: bytes, lengths: list[int]) -> Block:
-        ids, null, held, offsets, words, ranks = _unpack(payload, lengths, np.int64, np.uint8, np.uint8, np.int64, np.uint64, np.uint32)
-        return cls(key, buckets, np.array([None if x else i for i, x in zip(ids.tolist(), null.tolist(), strict=True)], object), held.astype(bool), offsets, words, ranks)
+        ids, null, held, offsets, words, planes = _unpack(payload, lengths, np.int64, np.uint8, np.uint8, np.int64, np.uint64, np.uint8)
+        ranks = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
+        return cls.by_bucket(key, buckets, np.array([None if x else i for i, x in zip(ids.tolist(), null.tolist(), strict=True)], object), held.astype(bool), offsets, words, ranks)
 
     @property
     def trained(self) -> np.ndarray:
@@ -115,6 +126,11 @@ def _words_asked(block: Block) -> list[tuple]:
     return [(block.key, k, *_pack(block.words[lo:hi], counts[lo:hi])) for k, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if hi > lo]
 
 
+def _halves(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The upper 48 bits, in two parts: with the bucket they tell a million contexts apart, but for one pair in 500 buckets."""
+    return (hashes >> np.uint64(16)).astype(np.uint32), (hashes >> np.uint64(48)).astype(np.uint16)
+
+
 class Grams:
     """The distinct (context, symbol) pairs of a block, ordered by bucket; where says which one a position has (-1: none)."""
 
@@ -154,7 +170,7 @@ class Grams:
         for k in np.flatnonzero(np.diff(at)).tolist():
             lo, hi = at[k], at[k + 1]
             s, tag = self.starts[spans[k] : spans[k + 1]], self.tag[lo:hi]
-            out.append((self.block.key, k, *_pack(self.hash[s], sizes[spans[k] : spans[k + 1]] | (self.dealt[s].astype(np.uint32) << np.uint32(31)), (tag & np.uint64(0xFFFFFFFF)).astype(np.uint32), (tag >> np.uint64(32)).astype(np.uint8), level[lo:hi], self.count[lo:hi])))
+            out.append((self.block.key, k, *_pack(*_halves(self.hash[s]), sizes[spans[k] : spans[k + 1]] | (self.dealt[s].astype(np.uint32) << np.uint32(31)), (tag & np.uint64(0xFFFFFFFF)).astype(np.uint32), (tag >> np.uint64(32)).astype(np.uint8), level[lo:hi], self.count[lo:hi])))
         return out
 
 
@@ -173,19 +189,19 @@ def _sum_grams(least_gain: float):
     """A bucket's answers to each block: d of each context it asked for (0: no node) and each gram's count; block -1 carries its part of dealt contexts."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [_unpack(p, n, np.uint64, np.uint32, np.uint32, np.uint8, np.uint16, np.uint32) for p, n in zip(table.column("payload").to_pylist(), table.column("lengths").to_pylist(), strict=True)]
+        parts = [_unpack(p, n, np.uint32, np.uint16, np.uint32, np.uint32, np.uint8, np.uint16, np.uint32) for p, n in zip(table.column("payload").to_pylist(), table.column("lengths").to_pylist(), strict=True)]
         join = lambda k: np.concatenate([p[k] for p in parts])
-        contexts, at, c = np.unique(join(0), return_index=True, return_inverse=True)
-        sizes = join(1)
+        contexts, at, c = np.unique(join(0).astype(np.uint64) | (join(1).astype(np.uint64) << np.uint64(32)), return_index=True, return_inverse=True)
+        sizes = join(2)
         dealt = sizes[at] >> np.uint32(31) > 0
         owner = np.repeat(c, sizes & np.uint32(0x7FFFFFFF))
-        tag = join(2).astype(np.uint64) | (join(3).astype(np.uint64) << np.uint64(32))
+        tag = join(3).astype(np.uint64) | (join(4).astype(np.uint64) << np.uint64(32))
         _, first, gram = np.unique((owner.astype(np.uint64) << np.uint64(40)) | tag, return_index=True, return_inverse=True)
-        n = np.bincount(gram, join(5))
+        n = np.bincount(gram, join(6))
         s = owner[first]
         # n can be 0 where only held-out texts have the gram
         different, total = np.bincount(s, n > 0, len(contexts)), np.bincount(s, n, len(contexts))
-        parent = np.exp(join(4)[first] / -2048.0)
+        parent = np.exp(join(5)[first] / -2048.0)
         # the gain but for what all symbols of a context have in common
         part = np.bincount(s, n * (np.log(np.maximum(n - 1, 0) + PRIOR * parent) - np.log(parent)), len(contexts))
         gain = part - total * np.log(np.maximum(total - 1, 0) + PRIOR)
@@ -193,8 +209,8 @@ def _sum_grams(least_gain: float):
         counts, bucket = n[gram].astype(np.int64), table.column("bucket")[0].as_py()
         rows, i, j = [], 0, 0
         for b, p in zip(table.column("block").to_pylist(), parts, strict=True):
-            rows.append((b, bucket, *_pack(d[c[i : i + len(p[0])]], counts[j : j + len(p[2])])))
-            i, j = i + len(p[0]), j + len(p[2])
+            rows.append((b, bucket, *_pack(d[c[i : i + len(p[0])]], counts[j : j + len(p[3])])))
+            i, j = i + len(p[0]), j + len(p[3])
         if dealt.any():
             rows.append((-1, bucket, *_pack(contexts[dealt], part[dealt], different[dealt], total[dealt])))
         return pa.Table.from_batches([_batch(rows)])
@@ -274,7 +290,7 @@ class Walk:
         """Moves tokens whose context is a node from their parent's prediction to the node's, and goes on to the next order."""
         d_of, n = _answers(answer, self.block.key, np.uint32, np.int64)
         large, d_large = _dealt_contexts(dealt)
-        hashes, d_of = grams.hash[grams.starts], d_of.astype(np.int64)
+        hashes, d_of = grams.hash[grams.starts] >> np.uint64(16), d_of.astype(np.int64)
         ask = np.flatnonzero(d_of == _DEALT)
         if len(ask):
             d_of[ask] = d_large[np.searchsorted(large, hashes[ask])]
@@ -288,7 +304,7 @@ class Walk:
         self.context, self.hashes, self.seen = grams.where, grams.keys(), n
 
 
-def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", max_depth: int = 3, least_count: int = 8, least_gain: float = 2.0, block_tokens: int = 1_000_000, files: bool = False) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", max_depth: int = 3, least_count: int = 8, least_gain: float = 2.0, block_tokens: int = 2_000_000, files: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) and mean_depth (of the states used) for every row.
 
     files: docs is a plain read of files, whose splits then name the blocks; otherwise docs is first written to the shared folder.
@@ -311,7 +327,7 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
             key_of = int(mix(np.array([np.int64(at).view(np.uint64) + np.uint64(part)], np.uint64))[0] >> np.uint64(2))
             block = Block.of(key_of, buckets, ids, held, hashes)
             part, size, ids, held, hashes = part + 1, 0, [], [], []
-            return _batch([block.state(), *_words_asked(block)])
+            return _batch([block.state()])
 
         for b in batches:
             key_col, split, out = b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(2).to_pylist()
@@ -340,11 +356,17 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
             df.repartition("block").write.partitionBy("block").option("compression", "zstd").parquet(f"{folder}/{name}")
         return f"{folder}/{name}"
 
-    encoded = spark.read.schema(REQUEST).parquet(stored(rows.mapInArrow(encode, REQUEST), "words"))
-    a0 = answered(encoded.where("bucket >= 0").groupBy("bucket").applyInArrow(_sum_words, REQUEST), "word_counts")
+    encoded = spark.read.schema(REQUEST).parquet(stored(rows.mapInArrow(encode, REQUEST), "blocks"))
+    blocks = encoded.select("block", "payload", "lengths")
+
+    def ask_words(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                yield _batch(_words_asked(Block.back(b.column(0)[i].as_py(), buckets, b.column(1)[i].as_py(), b.column(2)[i].as_py())))
+
+    a0 = answered(blocks.mapInArrow(ask_words, REQUEST).groupBy("bucket").applyInArrow(_sum_words, REQUEST), "word_counts")
     sums = spark.read.schema(REQUEST).parquet(f"{a0}/block=-1").agg(F.sum(F.element_at("lengths", 1)), F.sum(F.element_at("lengths", 2))).first() if encoded.head(1) else (0, 0)
     totals = Totals(int(sums[0] or 0), int(sums[1] or 0))
-    blocks = encoded.where("bucket = -1").select("block", "payload", "lengths")
     known: list[tuple[str, str]] = []
 
     def each(batches, answers):
