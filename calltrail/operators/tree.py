@@ -18,9 +18,13 @@ CALL = ["run", "process", "call_id"]
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir (a local one where that is unset), read again."""
+    """df as a table in the folder of spark.checkpoint.dir, read again; a local folder only where that is unset and one machine does all the work."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.gettempdir(), "calltrail-shared").as_uri()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = Path(tempfile.gettempdir(), "calltrail-shared").as_uri()
     path = f"{root.rstrip('/')}/tree-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -73,21 +77,19 @@ def marked_ancestors(events: DataFrame, start: DataFrame) -> DataFrame:
         seen, jumps = seen.unionByName(further), _twice(jumps)
 
 
-def call_paths(events: DataFrame, start: DataFrame, max_depth: int = 10_000) -> DataFrame:
-    """(run, process, call_id, path) from the root to each of start's calls; an unresolved parent or a cycle gives an empty path."""
+def call_paths(events: DataFrame, start: DataFrame) -> DataFrame:
+    """(run, process, call_id, path) from the root to each of start's calls, however deep; an unresolved parent or a cycle gives an empty path.
+
+    The ancestors of the calls asked for come from the doubling closure, then a path is put together once, by distance; a call's path must fit
+    in a row, as it is one value.
+    """
     node = F.struct(F.col("method").alias("member"), F.col("relative_path").alias("file_path"), "line", "is_harness")
-    nodes = events.select("run", "process", F.col("call_id").alias("at"), node.alias("node"), F.col("parent_call_id").alias("up"))
-    walking = start.select(*CALL).distinct().join(nodes.withColumnRenamed("at", "call_id"), CALL).select(*CALL, F.array("node").alias("path"), "up", F.array("call_id").alias("seen"))
-    done = None
-    empty = F.array().cast(walking.schema["path"].dataType)
-    for _ in range(max_depth):
-        walking = stored(walking)
-        finished = walking.where("up IS NULL").select(*CALL, "path")
-        done = finished if done is None else done.unionByName(finished)
-        rest = walking.where("up IS NOT NULL")
-        if rest.isEmpty():
-            break
-        stepped = rest.withColumnRenamed("up", "at").join(nodes, ["run", "process", "at"], "left")
-        broken = F.col("node").isNull() | F.array_contains("seen", F.col("at"))
-        walking = stepped.select(*CALL, F.when(broken, empty).otherwise(F.array_prepend("path", F.col("node"))).alias("path"), F.when(broken, None).otherwise(F.col("up")).alias("up"), F.array_append("seen", F.col("at")).alias("seen"))
-    return done
+    asked = start.select(*CALL).distinct().join(events.select(*CALL), CALL, "left_semi")
+    up = closure(events, asked, down=False).select("run", "process", "origin", "call_id", "distance")
+    own = asked.select("run", "process", F.col("call_id").alias("origin"), "call_id", F.lit(0).alias("distance"))
+    nodes = events.select(*CALL, node.alias("node"), F.col("parent_call_id").isNull().alias("top"))
+    steps = up.unionByName(own).join(nodes, CALL, "left")
+    # without a root among them the chain is broken or runs in a circle
+    rows = steps.groupBy("run", "process", "origin").agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("at"), "node"))).alias("steps"), F.bool_or(F.coalesce("top", F.lit(False))).alias("rooted"), F.bool_and(F.col("node").isNotNull()).alias("whole"))
+    path = F.transform("steps", lambda x: x["node"])
+    return rows.select("run", "process", F.col("origin").alias("call_id"), F.when(F.col("rooted") & F.col("whole"), path).otherwise(F.array().cast(rows.select(path.alias("p")).schema["p"].dataType)).alias("path"))

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from calltrail.operators import checks, findings, frontier, keys, manifests, tree
 
 
+#: What is kept of the base run's calls to answer for a path.
+CALL_TREE = ["run", "process", "line_number", "call_id", "parent_call_id", *keys.KEY, "ordinal", "relative_path", "line", "is_harness"]
+
+
 @dataclass
 class Divergences:
     """The comparison stage: what is left after noise and gaps, and everything that was set aside."""
@@ -38,6 +42,9 @@ class Analysis:
     members: DataFrame | None = None
     evidence: DataFrame | None = None
     coverage: DataFrame | None = None
+    call_tree: DataFrame | None = None
+    known_members: DataFrame | None = None
+    skip_reasons: DataFrame | None = None
 
 
 def diff(events: DataFrame, members: DataFrame, modules: DataFrame, changed: DataFrame, bases: list[str], pr: str = "pr") -> Divergences:
@@ -58,11 +65,19 @@ def diff(events: DataFrame, members: DataFrame, modules: DataFrame, changed: Dat
     return Divergences(tree.stored(left.unionByName(born)), found.where("is_harness"), matched, noise, gaps, quiet, measures, checks.volume_refusals(measures))
 
 
-def analyze(events: DataFrame, members: DataFrame, modules: DataFrame, changed: DataFrame, bases: list[str], pr: str = "pr", load: DataFrame | None = None) -> Analysis:
-    """exit_code: 0 clean, 1 unexpected changes, 3 attribution impossible, 4 invalid or degenerate input."""
+def analyze(events: DataFrame, members: DataFrame, modules: DataFrame, changed: DataFrame, bases: list[str], pr: str = "pr", load: DataFrame | None = None, accounting: DataFrame | None = None) -> Analysis:
+    """accounting: rows of checks.manifest_violations, none where all manifests add up.
+
+    exit_code: 0 clean, 1 unexpected changes, 3 attribution impossible, 4 invalid or degenerate input."""
     of = lambda df, r: df.where(F.col("run") == r)
     d = diff(events, members, modules, changed, bases, pr)
     refusals = d.refusals.collect() + (checks.input_refusals(load).collect() if load is not None else [])
+    gaps = keys.ordinal_violations(events.where(F.col("run").isin(*bases, pr))).count()
+    if gaps:
+        refusals.append(("ORDINALS", "keys whose calls are not numbered from 0 without a gap", float(gaps), 0.0))
+    unaccounted = 0 if accounting is None else accounting.count()
+    if unaccounted:
+        refusals.append(("MANIFESTS", "manifests whose records and sums do not add up", float(unaccounted), 0.0))
     lost = tree.orphans(of(events, bases[0])).count()
     if lost:
         refusals.append(("ORPHANS", "calls whose parent is not in their process", float(lost), 0.0))
@@ -77,4 +92,4 @@ def analyze(events: DataFrame, members: DataFrame, modules: DataFrame, changed:
     found = findings.members(nodes, d.remaining, base_events, pr_events)
     evidence = findings.evidence(d.remaining, nodes, base_events, pr_events, changed)
     code = 1 if found.where("attribution = 'unexpected'").limit(1).count() else 0
-    return Analysis("analyzed", [], code, d, nodes, found, evidence, frontier.changed_file_coverage(changed, base_events, pr_events))
+    return Analysis("analyzed", [], code, d, nodes, found, evidence, frontier.changed_file_coverage(changed, base_events, pr_events), base_events.select(*CALL_TREE), known, frontier.skip_reasons(changed, known))

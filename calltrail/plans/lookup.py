@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calltrail.operators import tree
+
 MAX_LISTED, MAX_OBSERVATIONS = 50, 5
 
 
@@ -47,9 +49,11 @@ class Run:
         return self._table("members").where(F.col("method") == member).join(ev, "method", "left").withColumns({"evidence": F.slice("e", 1, MAX_OBSERVATIONS), "evidence_truncated": F.size("e") > MAX_OBSERVATIONS}).drop("e")
 
     def get_call_path(self, member: str) -> DataFrame:
-        """The base run's path of the member's first exact occurrence."""
-        rows = self._table("evidence").where((F.col("method") == member) & F.col("base_path").isNotNull())
-        return rows.orderBy("test_id", "ordinal").limit(1).select("method", "test_id", F.posexplode("base_path").alias("depth", "node")).select("method", "test_id", "depth", "node.*")
+        """The base run's path of a member's first call, changed or not; no rows where the base never called it."""
+        calls = self._table("call_tree")
+        first = calls.where(F.col("method") == member).orderBy("test_id", "ordinal", "process", "line_number").limit(1)
+        paths = tree.call_paths(calls, first)
+        return paths.join(first.select(*tree.CALL, "test_id"), tree.CALL).select(F.lit(member).alias("method"), "test_id", F.posexplode("path").alias("depth", "node")).select("method", "test_id", "depth", "node.*")
 
     def get_untested_divergences(self) -> DataFrame:
         return self._table("members").where("untested_call_sites > 0").orderBy(F.desc("untested_call_sites"), "method").limit(MAX_LISTED)
