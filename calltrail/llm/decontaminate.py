@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calltrail.llm.shared import written
+from calltrail.llm.shared import slices, written
 from calltrail.llm.text import mix, word_hashes
 
 #: Words in a row that make a candidate without a cosine.
@@ -188,7 +188,7 @@ def fit(items: Items, docs: DataFrame, text: str, rank: int, seed: int = 11) ->
 
     def frequencies(batches):
         df, n = np.zeros(m, np.int64), 0
-        for b in batches:
+        for b in slices(batches, 512):
             n += b.num_rows
             for _, h, off in word_hashes(b.column(0).cast(pa.binary()).to_pylist()):
                 at, known = items.term(h)
@@ -206,7 +206,7 @@ def fit(items: Items, docs: DataFrame, text: str, rank: int, seed: int = 11) ->
 
     def sketch(batches):
         total = np.zeros((m, width), np.float64)
-        for b in batches:
+        for b in slices(batches, 512):
             for _, h, off in word_hashes(b.column(0).cast(pa.binary()).to_pylist()):
                 total += _gram(items, h, off, g)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(m), pa.int32()), *[pa.array(total[:, j].astype(np.float32), pa.float32()) for j in range(width)]], ["term", *[f"c{j}" for j in range(width)]])
@@ -288,7 +288,7 @@ def search(items: Items, docs: DataFrame, key: str, text: str, least_cosine: flo
         return share, sum(x in there for x in rare_words[k]) / max(1, len(rare_words[k]))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 512):
             ids, out = b.column(0).to_pylist(), []
             for first, h, off in word_hashes(b.column(1).cast(pa.binary()).to_pylist()):
                 cut = items.cut(h, off, items.half)

@@ -26,11 +26,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from calltrail.llm.shared import apart
+from calltrail.llm.shared import apart, slices
 
 #: Language families by ISO 639-1 code. A language that is not here is a family of its own.
 FAMILIES = {
@@ -208,20 +209,22 @@ def decide(model: Model, m: np.ndarray, n: int) -> tuple[str, float]:
     return lang, p * q * likeness(model, lang, m, n)
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str | Column], text: str = "text") -> DataFrame:
-    """keep's columns with lang_pred and score for every row of docs; the text itself is read, not returned, unless kept."""
-    kept = apart(docs.select(*keep, F.col(text).alias("_langid_text")), ("lang_pred", "score"))
-    schema = StructType([*kept.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+def identify(docs: DataFrame, model: Model, keep: list[str | Column] | None = None, text: str = "text") -> DataFrame:
+    """keep's columns (or, without, the whole row as one column ``row``) with lang_pred and score for every row of docs."""
+    inside = keep is None
+    kept = docs.select(F.struct("*").alias("row")) if inside else apart(docs.select(F.col(text).alias("_langid_text"), *keep), ("lang_pred", "score"))
+    names = kept.schema.fields[0 if inside else 1 :]
+    schema = StructType([*names, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches):
-        for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
+        for b in slices(batches):
+            texts = (pc.struct_field(b.column(0), text) if inside else b.column(0)).to_pylist()
             if model.weights is None:
                 found = [(UNKNOWN, 0.0)] * len(texts)
             else:
                 m, n = margins(texts, model)
                 found = [decide(model, m[i], int(n[i])) if n[i] else (UNKNOWN, 0.0) for i in range(len(texts))]
-            cols = [b.column(i) for i in range(b.num_columns - 1)]
+            cols = [b.column(i) for i in range(0 if inside else 1, b.num_columns)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], schema.names)
 
     return kept.mapInArrow(run, schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calltrail.llm.shared import written
+from calltrail.llm.shared import slices, written
 from calltrail.llm.text import mix, word_hashes
 
 BANDS, ROWS, BITS = 32, 5, 2
@@ -82,7 +82,7 @@ def signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     packs = [f"s{i}" for i in range(_LONGS)]
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 512):
             ids, out = b.column(0), []
             for _, sets in _sets(b.column(1), width):
                 n = np.array([len(s) for s in sets], np.int64)
@@ -177,7 +177,7 @@ def _own_shingles(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     used = texts.join(if_small(ids.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 512):
             ids = np.array(b.column(0).to_pylist(), np.int64)
             for first, sets in _sets(b.column(1), width):
                 yield pa.RecordBatch.from_arrays([_signed(np.concatenate(sets)), _signed(np.repeat(ids[first : first + len(sets)], [len(x) for x in sets]))], ["shingle", "id"])
@@ -192,7 +192,7 @@ def _finer(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     used = texts.join(if_small(ids.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 512):
             for first, sets in _sets(b.column(1), width):
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
                 every = np.concatenate(sets)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -57,3 +59,10 @@ def apart(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
             taken.add(new.lower())
         out.append(new)
     return docs.toDF(*out)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that what is made of them stays small too."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

@@ -27,11 +27,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from calltrail.llm.shared import apart, written
+from calltrail.llm.shared import apart, slices, written
 from calltrail.llm.text import mix, word_hashes
 
 #: Common English insults; labelled rows add to them or strike them out.
@@ -40,8 +41,8 @@ REPORTING = frozenset("said says say called calls quote quoted quotes word words
 ADDRESS = frozenset("you your youre yourself du dich dein tu vous toi te usted ustedes".split())
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 WINDOW = 6
-#: States kept at once; beyond it they are worked out again.
-MAX_STATES = 50_000
+#: States and words kept at once; beyond it they are worked out again.
+MAX_STATES, MAX_WORDS = 8_000, 100_000
 _WORD = re.compile(r"[^\W_](?:[\w@$!]*[^\W_])?")
 _QUOTES = re.compile("[\"“”„«»‘]|(?<!\\w)'|'(?!\\w)")
 NAMES = ("exact", "fuzzy", "stem", "quoted", "terms", "rate")
@@ -170,7 +171,7 @@ class Scorer:
     def hit(self, word: str):
         got = self.known.get(word, 0)
         if got == 0:
-            if len(self.known) > 300_000:
+            if len(self.known) > MAX_WORDS:
                 self.known.clear()
             got = self.automaton.match(word)
             if got and got[0] == "fuzzy" and word in self.model.clean:
@@ -329,16 +330,19 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     return known
 
 
-def score(docs: DataFrame, model: Model, keep: list[str | Column], text: str = "text") -> DataFrame:
-    """keep's columns with score and predicted for every row of docs."""
-    kept = apart(docs.select(*keep, F.col(text).alias("_toxicity_text")), ("score", "predicted"))
-    schema = StructType([*kept.schema.fields[:-1], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+def score(docs: DataFrame, model: Model, keep: list[str | Column] | None = None, text: str = "text") -> DataFrame:
+    """keep's columns (or, without, the whole row as one column ``row``) with score and predicted for every row of docs."""
+    inside = keep is None
+    kept = docs.select(F.struct("*").alias("row")) if inside else apart(docs.select(F.col(text).alias("_toxicity_text"), *keep), ("score", "predicted"))
+    names = kept.schema.fields[0 if inside else 1 :]
+    schema = StructType([*names, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
 
     def run(batches):
         scorer = Scorer(model)
-        for b in batches:
-            p = [scorer.score(t) for t in b.column(b.num_columns - 1).to_pylist()]
-            cols = [b.column(i) for i in range(b.num_columns - 1)]
+        for b in slices(batches):
+            texts = (pc.struct_field(b.column(0), text) if inside else b.column(0)).to_pylist()
+            p = [scorer.score(t) for t in texts]
+            cols = [b.column(i) for i in range(0 if inside else 1, b.num_columns)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(p, pa.float64()), pa.array([int(v >= 0.5) for v in p], pa.int32())], schema.names)
 
     return kept.mapInArrow(run, schema)
