@@ -22,11 +22,6 @@ LEAST_LANGUAGE_SCORE = 0.1
 ORACLE_SQL = None
 
 
-def _rows() -> list:
-    """The whole row as one column, so that no column of documents meets one of a result."""
-    return [F.struct("*").alias("row")]
-
-
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the ids; counted first, and broadcast only where they are few."""
     return docs.join(minhash.if_small(ids.select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
@@ -44,12 +39,12 @@ def _once(docs: DataFrame) -> DataFrame:
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    return toxicity.score(docs, toxicity.fit(docs, labels), _rows()).where("predicted = 0").select("row.*")
+    return toxicity.score(docs, toxicity.fit(docs, labels)).where("predicted = 0").select("row.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
-    found = langid.identify(docs, model, _rows())
+    found = langid.identify(docs, model)
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
 
 
