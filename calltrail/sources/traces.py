@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,8 +47,11 @@ def parse_events(raw: DataFrame) -> DataFrame:
 
 
 def read_events(spark: SparkSession, path: str, run: str, root: str | None = None, strict: bool = False, reference_roots: bool = False) -> DataFrame:
-    """Valid events of a run's directory with relative paths; strict raises on the first malformed line."""
-    parsed = parse_events(lines(spark, path))
+    """Valid events of a run's directory with relative paths; strict raises on the first malformed line. A directory without a trace line is an error, not a clean run."""
+    raw = lines(spark, path)
+    if raw.isEmpty():
+        raise InputError(f"{path}: no trace files, or only empty ones")
+    parsed = parse_events(raw)
     if strict and (bad := parsed.where("error IS NOT NULL").orderBy("process", "line_number").first()):
         raise InputError(f"{bad['process']}:{bad['line_number']}: {bad['error']}")
     valid = parsed.where("error IS NULL")
@@ -92,6 +96,8 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 def checked_manifest(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """read_manifest, or InputError for bad records, a process with several run records, and in strict mode a wrong order or capacity."""
     m = read_manifest(spark, path)
+    if m.isEmpty():
+        raise InputError(f"{path}: no manifests, or only empty ones")
     if bad := m.where("error IS NOT NULL").orderBy("process", "line_number").first():
         raise InputError(f"{bad['process']}:{bad['line_number']}: {bad['error']}")
     if twice := m.where("kind = 'run'").groupBy("process").count().where("count > 1").first():
@@ -121,8 +127,14 @@ def counters(manifest: DataFrame, run: str) -> DataFrame:
 
 
 def changed_files(spark: SparkSession, path: str) -> DataFrame:
-    """One column, path: trimmed, with slashes, distinct."""
-    text = spark.read.text(path).select(S.backslashes_to_slashes(F.trim("value")).alias("path"))
+    """One column, path: trimmed, with slashes, distinct. A list that is not there is the empty set."""
+    try:
+        raw = spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raw = spark.createDataFrame([], "value string")
+    text = raw.select(S.backslashes_to_slashes(F.trim("value")).alias("path"))
     return text.where("path <> ''").distinct()
 
 
@@ -158,10 +170,37 @@ def normalize(spark: SparkSession, path: str, out: str) -> tuple[int, int]:
     return n[0], n[1]
 
 
-def write_snapshot(events: DataFrame, path: str) -> None:
-    """Base runs kept for later comparisons, partitioned by run; refuses to overwrite."""
-    events.write.mode("errorifexists").partitionBy("run").parquet(path)
+def to_manifest_lines(records: DataFrame) -> DataFrame:
+    """process, value: canonical manifest lines of records (as of read_manifest) in file order, the contract's field order, nulls left out."""
+    fields = [f.name for f in schema.WIRE_MANIFEST.fields]
+    return records.select("process", "line_number", F.to_json(F.struct(*fields)).alias("value"))
+
 
+def write_manifests(records: DataFrame, path: str) -> None:
+    """A folder per process, its lines in order: a process writes one manifest, so it is one task's small file."""
+    lines_ = to_manifest_lines(records)
+    lines_.repartition("process").sortWithinPartitions("process", "line_number").select("process", "value").write.partitionBy("process").option("lineSep", "\n").text(path)
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+
+def write_snapshot(events: DataFrame, path: str, identity: str = "") -> None:
+    """Base runs kept for later comparisons, partitioned by run; refuses to overwrite. What they belong to is written last: it says that the rest is there."""
+    events.write.mode("errorifexists").partitionBy("run").parquet(path)
+    about = events.select("run").distinct().agg(F.array_join(F.array_sort(F.collect_set("run")), ",").alias("runs"))
+    about.select(F.lit(identity).alias("identity"), "runs", F.unix_seconds(F.current_timestamp()).alias("written_at")).coalesce(1).write.json(f"{path}/_about")
+
+
+def read_snapshot(spark: SparkSession, path: str, identity: str | None = None, max_age_seconds: int | None = None, runs: list[str] | None = None) -> DataFrame:
+    """Events of a snapshot; InputError where it is incomplete, of another identity, too old, or without one of the runs."""
+    try:
+        about = spark.read.schema("identity string, runs string, written_at long").json(f"{path}/_about").withColumn("now", F.unix_seconds(F.current_timestamp())).first()
+    except AnalysisException:
+        about = None
+    if about is None:
+        raise InputError(f"{path}: the snapshot is not complete")
+    if identity is not None and about["identity"] != identity:
+        raise InputError(f"{path}: a snapshot of {about['identity']!r}, not of {identity!r}")
+    if max_age_seconds is not None and about["now"] - about["written_at"] > max_age_seconds:
+        raise InputError(f"{path}: written {about['now'] - about['written_at']} s ago")
+    if missing := set(runs or ()) - set(about["runs"].split(",")):
+        raise InputError(f"{path}: no run {', '.join(sorted(missing))}")
     return spark.read.parquet(path).select(*schema.EVENT.names)

@@ -135,3 +135,40 @@ def test_streamed_files_are_parsed_alike(spark, tmp_path):
     ingest.ingest(spark, folder, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert (got.count(), got.where("error IS NULL").count()) == (2, 1)
+
+
+def test_missing_inputs_are_told_from_clean_ones(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    for read in (traces.checked_manifest, lambda s, p: traces.read_events(s, p, "r")):
+        with pytest.raises(traces.InputError):
+            read(spark, str(tmp_path / "none"))
+    assert traces.changed_files(spark, str(tmp_path / "nothing.txt")).count() == 0
+    (tmp_path / "changed.txt").write_text(" src\\a.py \n\nsrc/a.py\n")
+    assert [r[0] for r in traces.changed_files(spark, str(tmp_path / "changed.txt")).collect()] == ["src/a.py"]
+
+
+def test_snapshots_and_manifests_are_read_back(spark, tmp_path):
+    e = frame(spark, [event(), event(run="base2")])
+    traces.write_snapshot(e, str(tmp_path / "snap"), "commit 1")
+    assert traces.read_snapshot(spark, str(tmp_path / "snap"), "commit 1", 3600, ["base1", "base2"]).count() == 2
+    for bad in ({"identity": "commit 2"}, {"max_age_seconds": -1}, {"runs": ["base3"]}):
+        with pytest.raises(traces.InputError):
+            traces.read_snapshot(spark, str(tmp_path / "snap"), **bad)
+    e.write.partitionBy("run").parquet(str(tmp_path / "half"))
+    with pytest.raises(traces.InputError):
+        traces.read_snapshot(spark, str(tmp_path / "half"))
+    given = [{"kind": "run", "schema": "java.trace/1", "language": "java"}, {"kind": "member", "assembly": "A", "status": "Patched", "method": "A.b()"}]
+    m = traces.checked_manifest(spark, write(tmp_path / "m", "p.manifest.ndjson", given))
+    assert [json.loads(r["value"]) for r in traces.to_manifest_lines(m).orderBy("line_number").collect()] == given
+    traces.write_manifests(m, str(tmp_path / "out"))
+    assert spark.read.text(str(tmp_path / "out")).count() == 2
+
+
+def test_redaction_by_name_type_and_path(spark):
+    rows = [("userPassword", "App.Key", "src/secret/x.cs"), ("AuthHeader", "App.Secrets.K", "src/x.cs"), ("name", "App.Secrets`1", "lib\\Secret\\y.cs"), (None, None, None), ("title", "App.SecretsX", "src/secrets/x.cs")]
+    df = spark.createDataFrame(rows, "n string, t string, p string")
+    got = df.select(S.sensitive_name(F.col("n")), S.digest_only_type(F.col("t"), ("app.secrets",)), S.digest_only_path(F.col("p"), ("secret",))).collect()
+    assert [tuple(r) for r in got] == [(True, False, True), (True, True, False), (False, True, True), (False, False, False), (False, False, False)]
+    patch = "--- a\n+++ b\n-return oldTotal + rate;\n+return newTotal + rate;\n same line"
+    only = spark.createDataFrame([(patch,), ("+same\n-same",)], "p string").select(S.side_identifiers(F.col("p"))).collect()
+    assert [sorted(r[0]) for r in only] == [["newTotal", "oldTotal"], ["same"]]
