@@ -457,3 +457,49 @@ def test_archives_report_the_payload_that_was_read(spark, tmp_path):
     path.write_bytes(data[:40] + bytes([data[40] ^ 1]) + data[41:])
     with pytest.raises(Exception, match="(?i)error"):
         warc.read_records(moved, folder.as_uri()).collect()
+
+
+def test_kept_columns_that_clash_get_another_name(spark, odd):
+    labels = spark.createDataFrame([(1, 0), (7, 1)], "doc_id long, toxic int")
+    got = toxicity.score(odd, toxicity.fit(odd, labels), ["doc_id", "score", "predicted"])
+    assert got.columns == ["doc_id", "score_in", "predicted_in", "score", "predicted"] and got.count() == len(ODD)
+    got = langid.identify(odd, langid.fit(odd), ["doc_id", "lang_pred", F.lit(1).alias("Score")])
+    assert got.columns == ["doc_id", "lang_pred_in", "Score_in", "lang_pred", "score"] and got.count() == len(ODD)
+    whole = langid.identify(odd, langid.fit(odd))
+    assert whole.select("row.*").columns == odd.columns
+    mixed = mixing.mix(odd.withColumns({"probability": F.lit(1), "_mix": F.lit(2)}))
+    assert {"probability_in", "_mix_in", "kept_in", "probability", "kept"} <= set(mixed.columns) and mixed.count() == len(ODD)
+
+
+def test_mixing_reports_what_contradicts(spark):
+    """Two dimensions that say the same can't have unlike targets: the residual tells, and no round runs for ever."""
+    cells = spark.createDataFrame([("a", "x", "t", 10), ("b", "y", "t", 30)], "source string, lang string, topic string, tokens long")
+    share = lambda d: spark.createDataFrame(list(d.items()), "value string, share double")
+    agree = {"source": share({"a": 1.0, "b": 1.0}), "lang": share({"x": 1.0, "y": 1.0}), "topic": share({"t": 1.0})}
+    factors, rate, residual = mixing.calibrated(cells, agree, keep_share=0.5)
+    got = {r["source"]: r["tokens"] * r["factor"] for r in factors.collect()}
+    assert residual <= 1e-6 and got["a"] == pytest.approx(20) and got["b"] == pytest.approx(20) and rate > 0
+    assert mixing.calibrated(cells, agree | {"lang": share({"x": 3.0, "y": 1.0})}, rounds=3)[2] > 0.1
+
+
+def test_archives_of_long_pages_and_extra_columns(spark, tmp_path):
+    html = "".join(chr(97 + i * i % 26) for i in range(3_000_000))
+    pages = spark.createDataFrame([(1, "u", html, 1, 2), (2, "u", html, 1, 2), (3, "v", "x", 1, 2)], "page_id long, url string, html string, archive int, length int")
+    got = {r["page_id"]: r for r in warc.round_trip(pages, (tmp_path / "w").as_uri()).collect()}
+    assert {i: (r["record_type"], r["refers_to"], r["payload_bytes"]) for i, r in got.items()} == {1: ("revisit", 2, 3_000_000), 2: ("response", None, 3_000_000), 3: ("response", None, 1)}
+    assert got[1]["payload_digest"] == got[2]["payload_digest"] == hashlib.sha1(html.encode()).hexdigest()
+
+
+def test_url_lists_with_long_hosts_and_clashing_columns(spark):
+    host = ".".join(["a" * 60] * 40) + ".x.org"
+    pages = spark.createDataFrame([(1, f"http://{host}/p", 1, 2), (2, "http://x.org.evil.net/", 1, 2)], "page_id long, url string, host int, lists int").withColumn("fetched_at", F.to_timestamp(F.lit("2024-01-05")))
+    history = spark.createDataFrame([("l", "x.org", "add", "2024-01-02")], "list string, key string, action string, at string").withColumn("at", F.to_timestamp("at"))
+    got = {r["page_id"]: r["blocked"] for r in urllists.evaluate(pages, urllists.intervals(history)).collect()}
+    assert got == {1: True, 2: False}
+
+
+def test_blocks_of_sparse_ids_follow_each_other(spark):
+    """Ids far apart, negative and next to each other: the next block is the next greater one, the last one's is the first."""
+    blocks = sorted({-(1 << 40), -5, 0, 1, 2, 4095, 4096, 1 << 30, (1 << 52) + 3, (1 << 52) + 4, -(1 << 60)})
+    got = dict(map(tuple, cws.next_block(spark.createDataFrame([(b,) for b in blocks], "block long")).collect()))
+    assert got == dict(zip(blocks, blocks[1:] + blocks[:1], strict=True))
