@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from calltrail.llm.shared import apart, slices
+from calltrail.llm.shared import apart, slices, written
 
 #: Language families by ISO 639-1 code. A language that is not here is a family of its own.
 FAMILIES = {
@@ -90,13 +90,13 @@ def counts(text: str | None, dims: int) -> np.ndarray:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 300, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
-    """A linear SVM by averaged subgradient steps on the whole (bounded) sample, classes weighted alike."""
+    """A linear SVM by averaged subgradient steps on the whole (bounded) sample, classes weighted alike; products in x's own type, as another would copy x."""
     cost = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
     w, b, total, shift = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0
     for t in range(rounds):
-        g = np.where(y * (x @ w + b) < 1, y * cost, 0)
+        g = np.where(y * (x @ w.astype(x.dtype) + b) < 1, y * cost, 0)
         rate = 1 / (penalty * (t + 10))
-        w = (1 - rate * penalty) * w + min(rate, 2.0) * (g @ x)
+        w = (1 - rate * penalty) * w + min(rate, 2.0) * (g.astype(x.dtype) @ x)
         b += min(rate, 2.0) * 0.1 * g.sum()
         if t >= rounds // 2:
             total, shift = total + w, shift + b
@@ -123,7 +123,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
             at = [np.flatnonzero(x) for x in found]
             yield pa.RecordBatch.from_arrays([b.column("lang").cast(pa.string()), pa.array([k.astype(np.uint32).tobytes() for k in at], pa.binary()), pa.array([x[k].astype(np.uint32).tobytes() for x, k in zip(found, at, strict=True)], pa.binary())], ["lang", "at", "n"])
 
-    got = sorted((r["lang"], bytes(r["at"]), bytes(r["n"])) for r in sample.mapInArrow(featured, "lang string, at binary, n binary").toLocalIterator() if r["at"])
+    # all tasks write their share of the sample at once; what is read here then is that small table
+    small = written(sample.mapInArrow(featured, "lang string, at binary, n binary"), "sample")
+    got = sorted((r["lang"], bytes(r["at"]), bytes(r["n"])) for r in small.toLocalIterator() if r["at"])
     if not got:
         return model
     names = np.array([g[0] for g in got])
