@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from calltrail.llm import chat, cws, decontaminate, langid, minhash, mixing, suffixtree, toxicity, urllists, warc
+from calltrail.llm import chat, cws, decontaminate, importance, langid, minhash, mixing, packing, prefixtrie, suffixtree, toxicity, urllists, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +98,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of conversations whose head is that of the first conversation of their five."""
+    turns = prefixtrie.hashed(prefixtrie.numbered(_table(spark, sf_dir, "conversations")))
+    return prefixtrie.prefix_trie(*prefixtrie.rebuilt(turns, 5, _fold("conv_id", 9), 8))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), by_words=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_tree": op1_suffix_tree,
@@ -110,6 +126,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_decontamination": op9_decontamination,
         "op10_warc": op10_warc,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_importance_resampling": op12_importance_resampling,
+        "op13_best_fit_packing": op13_best_fit_packing,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -210,5 +229,66 @@ SELECT d.doc_id, d.source, d.lang, d.topic, CAST(d.tokens AS BIGINT) AS tokens,
 FROM d JOIN p ON d.source = p.source AND d.lang = p.lang AND d.topic = p.topic"""
 
 
+#: Values of one byte's eight steps of CRC-32 with the reversed polynomial 0xEDB88320.
+_CRC_TABLE = "(SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc)"
+
+
+def _crc(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a text's UTF-8 bytes, where crc (as of _CRC_TABLE) is in scope."""
+    hexed = f"hex(encode({text}))"
+    octets = f"list_transform(range(1, length({hexed}), 2), lambda i: CAST('0x' || substr({hexed}, i, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+_OP11_SQL = f"""
+WITH own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT conv_id, count(*) AS n FROM own GROUP BY conv_id),
+convs AS (
+  SELECT s.conv_id, s.n, s.conv_id - s.conv_id % 5 AS base, {_crc("CAST(s.conv_id AS VARCHAR)")} % 9 AS h, coalesce(b.n, 0) AS n_base
+  FROM sizes s LEFT JOIN sizes b ON b.conv_id = s.conv_id - s.conv_id % 5, {_CRC_TABLE}),
+steps AS (
+  SELECT c.conv_id, o.pos AS depth, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.base WHERE o.pos <= c.h
+  UNION ALL SELECT c.conv_id, least(c.h, c.n_base) + o.pos - c.h, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id WHERE o.pos > c.h),
+paths AS (
+  SELECT conv_id, depth, octet_length(encode(text)) AS bytes,
+    string_agg(length(role) || ':' || role || length(text) || ':' || text, '' ORDER BY depth) OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING) AS prefix FROM steps
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+ends AS (SELECT conv_id, max(depth) AS depth FROM paths GROUP BY conv_id),
+nodes AS (
+  SELECT p.depth, p.prefix, min(p.conv_id) AS conv_id, count(*) AS n_convs, max(p.bytes) AS bytes,
+    coalesce(string_agg(CAST(e.conv_id AS VARCHAR), ',' ORDER BY e.conv_id), '') AS ended
+  FROM paths p LEFT JOIN ends e ON e.conv_id = p.conv_id AND e.depth = p.depth GROUP BY p.depth, p.prefix),
+up AS (
+  SELECT n.depth, n.prefix, a.depth AS a_depth, a.prefix AS a_prefix FROM nodes n JOIN paths a ON a.conv_id = n.conv_id AND a.depth <= n.depth),
+children AS (SELECT a_depth AS depth, a_prefix AS prefix, count(*) AS n_children FROM up WHERE depth = a_depth + 1 GROUP BY ALL),
+below AS (
+  SELECT u.a_depth AS depth, u.a_prefix AS prefix, sum((n.n_convs - 1) * n.bytes) AS saved, count(*) FILTER (c.n_children IS NULL) AS leaves
+  FROM up u JOIN nodes n ON n.depth = u.depth AND n.prefix = u.prefix LEFT JOIN children c ON c.depth = u.depth AND c.prefix = u.prefix GROUP BY u.a_depth, u.a_prefix)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, b.leaves AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, sha256(n.ended) AS ends_sha256
+FROM nodes n JOIN below b ON b.depth = n.depth AND b.prefix = n.prefix LEFT JOIN children c ON c.depth = n.depth AND c.prefix = n.prefix
+LEFT JOIN up u ON u.depth = n.depth AND u.prefix = n.prefix AND u.a_depth = n.depth - 1 LEFT JOIN nodes p ON p.depth = u.a_depth AND p.prefix = u.a_prefix"""
+
+_OP12_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), '{importance._UPPER}', '{importance._LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{importance._UPPER}', '{importance._LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+dw AS (SELECT row, unnest(words) AS word FROM d),
+vocabulary AS (SELECT word, {_crc("word")} % 10000 AS bucket FROM (SELECT DISTINCT word FROM (SELECT word FROM dw UNION ALL SELECT word FROM b)), {_CRC_TABLE}),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN vocabulary USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN vocabulary USING (word) GROUP BY bucket),
+totals AS (SELECT (SELECT count(*) FROM dw) AS all_s, (SELECT count(*) FROM b) AS all_t),
+gains AS (
+  SELECT range AS bucket, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST(totals.all_s + 10000 AS DOUBLE) / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * CAST(totals.all_t + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+  FROM range(10000) r LEFT JOIN s ON s.bucket = r.range LEFT JOIN t ON t.bucket = r.range, totals),
+weights AS (SELECT row, sum(gain) AS weight FROM dw JOIN vocabulary USING (word) JOIN gains USING (bucket) GROUP BY row),
+scored AS (
+  SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_features, CAST(coalesce(w.weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(w.weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM d LEFT JOIN weights w USING (row)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS eligible FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= eligible * 10 // 100 THEN place END AS rank FROM ranked"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": _op2_sql(), "op6_chat_format": _op6_sql(), "op7_url_lists": _OP7_SQL, "op10_warc": _OP10_SQL}
+    return {"op11_prefix_trie": _OP11_SQL, "op12_importance_resampling": _OP12_SQL, "op2_mixing": _op2_sql(), "op6_chat_format": _op6_sql(), "op7_url_lists": _OP7_SQL, "op10_warc": _OP10_SQL}
