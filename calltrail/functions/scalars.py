@@ -21,6 +21,7 @@ CREDENTIALS = {
     "pem": r"-----BEGIN [A-Z0-9 ]*(?:PRIVATE KEY|CERTIFICATE)-----",
     "base64": r"(?:^|[^A-Za-z0-9+/])(?:[A-Za-z0-9+/]{40,}={0,2})(?:$|[^A-Za-z0-9+/=])",
 }
+# A fixed value too: paths of generated source.
 GENERATED = r"(^|/)(obj|generated|target/generated-(test-)?sources)/|\.(g|generated)\.(cs|java|js|ts)$"
 # Words that name nothing in a patch.
 STOP_WORDS = ("private", "public", "protected", "internal", "static", "const", "readonly", "decimal", "string", "bool", "true", "false", "return", "class", "record", "struct", "namespace")
@@ -58,10 +59,13 @@ def normalize_path(path: Column, root: Column, segment_safe: bool = True) -> Col
 
 
 def common_root(paths: Column) -> Column:
-    """Aggregate: longest common directory of paths, compared without case; the extremes share what all share."""
-    folder = F.regexp_replace(backslashes_to_slashes(paths), r"/[^/]*$", "")
-    lo, hi = F.split(F.min(F.lower(folder)), "/"), F.split(F.max(F.lower(folder)), "/")
-    spelled = F.split(F.min_by(folder, F.lower(folder)), "/")
+    """Aggregate: longest common directory of paths, segment by segment and without case.
+
+    Folders are compared as arrays of segments, so what lies between the least and the greatest shares what these share; as strings, A.Tests would lie between A and A/B.
+    """
+    folder = F.split(F.regexp_replace(backslashes_to_slashes(paths), r"/[^/]*$", ""), "/")
+    lower = F.transform(folder, F.lower)
+    lo, hi, spelled = F.min(lower), F.max(lower), F.min_by(folder, lower)
     same = F.transform(F.sequence(F.lit(1), F.least(F.size(lo), F.size(hi))), lambda i: F.slice(lo, F.lit(1), i) == F.slice(hi, F.lit(1), i))
     return F.array_join(F.slice(spelled, F.lit(1), F.size(F.filter(same, lambda x: x))), "/")
 

@@ -18,7 +18,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from calltrail.operators.tree import stored
+from calltrail.tables import stored
 
 PART = "_part"
 _COMBINE = {"sum": F.sum, "count": F.count, "xor": F.bit_xor}

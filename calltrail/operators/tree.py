@@ -7,27 +7,12 @@ shared folder, so lineage does not grow and a lost executor costs one round. Onl
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CALL = ["run", "process", "call_id"]
-
+from calltrail.tables import stored
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir, read again; a local folder only where that is unset and one machine does all the work."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = Path(tempfile.gettempdir(), "calltrail-shared").as_uri()
-    path = f"{root.rstrip('/')}/tree-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+CALL = ["run", "process", "call_id"]
 
 
 def orphans(events: DataFrame) -> DataFrame:

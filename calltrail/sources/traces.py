@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from calltrail.functions import scalars as S
 from calltrail.sources import schema
+from calltrail.tables import stored
 
 _CORRUPT = "_corrupt"
+#: More splits than this are joined by an exchange.
+MAX_BROADCAST_SPLITS = 100_000
 
 
 class InputError(ValueError):
@@ -18,12 +21,22 @@ class InputError(ValueError):
 
 
 def lines(spark: SparkSession, path: str, glob: str = "*.ndjson", skip_manifests: bool = True) -> DataFrame:
-    """process (file stem), line_number (from 1), raw of every line that is not blank. One process writes one file, so a file is a row."""
-    files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
+    """process (file stem), line_number (from 1), raw of every line that is not blank; a line ends with a line feed, a carriage return or both.
+
+    Files are read in splits, so one of any size is many tasks' work and no value is larger than a line. Lines are written once with the split they come from and their place in
+    the reading task, as a second reading may be split otherwise. A line's number is its place in the split plus the lines of the file's earlier splits, whose
+    counts are one row per split.
+    """
+    read = spark.read.option("pathGlobFilter", glob).text(path)
+    each = read.select("value", F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
     if skip_manifests:
-        files = files.where(~F.endswith("file", F.lit(".manifest.ndjson")))
-    each = files.select(F.regexp_replace("file", r"(\.manifest)?\.ndjson$", "").alias("process"), F.posexplode(F.split("value", "\r?\n")).alias("n", "raw"))
-    return each.where(F.trim("raw") != "").select("process", (F.col("n") + 1).alias("line_number"), "raw")
+        each = each.where(~F.endswith("name", F.lit(".manifest.ndjson")))
+    each = stored(each)
+    counts = each.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = stored(counts.select("file", "split", (before - F.col("first") + 1).alias("shift")))
+    numbered = each.join(F.broadcast(splits) if splits.count() <= MAX_BROADCAST_SPLITS else splits, ["file", "split"])
+    return numbered.where(F.trim("value") != "").select(F.regexp_replace("name", r"(\.manifest)?\.ndjson$", "").alias("process"), (F.col("at") + F.col("shift")).cast("int").alias("line_number"), F.col("value").alias("raw"))
 
 
 def parse_events(raw: DataFrame) -> DataFrame:
@@ -140,8 +153,6 @@ def changed_files(spark: SparkSession, path: str) -> DataFrame:
 
 def first_added_lines(diff: DataFrame) -> DataFrame:
     """(file, line) of the first added line of each file in a unified diff given as n, text."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(F.lit(0)).orderBy("n")  # one diff is one small text
     d = diff.withColumn("file", F.last(F.when(F.startswith("text", F.lit("+++ b/")), F.substring("text", 7, 4096)), True).over(w)).withColumn("start", F.when(F.startswith("text", F.lit("@@")), F.regexp_extract("text", r"^@@ -\S+ \+(\d+)", 1).cast("int")))
     d = d.withColumn("hunk", F.count("start").over(w)).withColumn("begin", F.last("start", True).over(w))
@@ -163,11 +174,12 @@ def write_events(events: DataFrame, path: str) -> None:
 
 
 def normalize(spark: SparkSession, path: str, out: str) -> tuple[int, int]:
-    """Writes a run's valid lines in canonical form; returns (written, skipped)."""
-    parsed = parse_events(lines(spark, path))
-    write_events(parsed.where("error IS NULL"), out)
-    n = parsed.agg(F.count_if(F.col("error").isNull()), F.count_if(F.col("error").isNotNull())).first()
-    return n[0], n[1]
+    """Writes a run's valid lines in canonical form; returns (written, skipped). Lines are parsed once: the pass that writes them counts both."""
+    seen = Observation("normalize")
+    error = F.col("error").isNotNull()
+    parsed = parse_events(lines(spark, path)).observe(seen, F.count_if(~error).alias("written"), F.count_if(error).alias("skipped"))
+    write_events(parsed.where(~error), out)
+    return seen.get["written"], seen.get["skipped"]
 
 
 def to_manifest_lines(records: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from calltrail.operators import findings, keys, tree
 from calltrail.plans import analysis, artifacts, lookup
 from calltrail.sources import schema, traces
 from calltrail.streaming import ingest
+from calltrail import tables
 
 GOOD = {"testId": "T#1", "methodFullName": "A.B.run()", "callId": 1, "ordinal": 0, "filePath": "/repo/src/a.py", "line": 3, "argsDigest": "sha256:1", "returnDigest": "sha256:2"}
 
@@ -172,3 +173,51 @@ def test_redaction_by_name_type_and_path(spark):
     patch = "--- a\n+++ b\n-return oldTotal + rate;\n+return newTotal + rate;\n same line"
     only = spark.createDataFrame([(patch,), ("+same\n-same",)], "p string").select(S.side_identifiers(F.col("p"))).collect()
     assert [sorted(r[0]) for r in only] == [["newTotal", "oldTotal"], ["same"]]
+
+
+def test_line_numbers_of_files_in_many_splits(spark, tmp_path):
+    """As reading each file whole, whatever the splits; carriage returns end lines too, and no value is longer than a line."""
+    folder = tmp_path / "big"
+    folder.mkdir()
+    for name, n in (("p1", 700), ("p2", 3)):
+        text = "".join(json.dumps(GOOD | {"callId": i, "methodFullName": "A." + "x" * (i % 90)}) + ("\n", "\r\n", "\n\n", "\r", "\n \n")[i % 5] for i in range(n))
+        (folder / f"{name}.ndjson").write_bytes(text.encode())
+    (folder / "p1.manifest.ndjson").write_text("{}\n")
+    want = sorted((f.stem, i, x) for f in folder.glob("p?.ndjson") for i, x in enumerate(f.read_bytes().decode().replace("\r\n", "\n").replace("\r", "\n").split("\n"), 1) if x.strip())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    spark.conf.set("spark.sql.files.openCostInBytes", "16")
+    try:
+        read = traces.lines(spark, str(folder))
+        splits = spark.read.text(str(folder / "p1.ndjson")).rdd.getNumPartitions()
+        got = sorted(tuple(r) for r in read.collect())
+        events = traces.read_events(spark, str(folder), "r").orderBy("process", "line_number").select("call_id", "line_number").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert splits > 20 and got == want
+    assert [r["line_number"] for r in events] == [n for _, n, _ in want]
+
+
+def test_normalize_counts_in_the_pass_that_writes(spark, tmp_path):
+    folder = write(tmp_path / "run", "p.ndjson", [GOOD, "{torn", GOOD | {"callId": 2, "extra": 1, "line": None}])
+    assert traces.normalize(spark, folder, str(tmp_path / "out")) == (2, 1)
+    again = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert sorted(r["callId"] for r in again) == [1, 2] and all("extra" not in r for r in again)
+
+
+@pytest.mark.parametrize(("paths", "root"), [
+    (["/w/App/P.cs", "/w/App.Tests/T.cs", "/w/App/Sub/X.cs"], "/w"), (["/w/src/a.py", "/w/src-gen/a.py", "/w/src/lib/b.py"], "/w"), (["C:\\r\\A\\x.cs", "c:/R/B/y.cs"], "C:/r"), (["/one/a.py"], "/one"), (["/a/x", "/b/y"], ""),
+    (["/w/a b/x", "/w/a/x", "/w/a+/x"], "/w"),
+])
+def test_common_root_by_segments(spark, paths, root):
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert df.agg(S.common_root(F.col("p"))).first()[0] == root
+
+
+def test_stored_tables_go_when_their_user_says_so(spark):
+    with tables.scratch(spark):
+        kept = tables.stored(spark.range(3))
+        path = kept.inputFiles()[0]
+        assert kept.count() == 3
+    with pytest.raises(Exception, match="(?i)not.?exist|not.?found"):
+        spark.read.parquet(path)
