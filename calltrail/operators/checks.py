@@ -71,13 +71,13 @@ def labelled_share(events: DataFrame) -> DataFrame:
 def conformance(left: DataFrame, right: DataFrame, min_keys: int = 100) -> DataFrame:
     """(guard, failures) of two runs of the same build; all zero means conformant."""
     subj = lambda df: df.where("NOT is_harness")
-    per = lambda df, n: subj(df).groupBy(*KEY).agg(F.count("*").alias(f"{n}_calls"), F.array_sort(F.collect_list("ordinal")).alias(f"{n}_ordinals"))
-    both = per(left, "l").join(per(right, "r"), KEY, "full_outer")
-    keys = both.agg(
-        F.greatest(F.lit(0), F.lit(min_keys) - F.count_if(F.col("l_calls").isNotNull() & F.col("r_calls").isNotNull())).alias("matched_key_floor"),
-        F.count_if(~F.col("l_calls").eqNullSafe(F.col("r_calls"))).alias("call_counts"),
-        F.count_if(~F.col("l_ordinals").eqNullSafe(F.col("r_ordinals"))).alias("ordinal_sequences"),
-    )
+    # ordinals of a key are alike if each occurs as often on both sides: counts per (key, ordinal), then per key
+    rows = subj(left).select(*KEY, "ordinal", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(subj(right).select(*KEY, "ordinal", F.lit(0).alias("l"), F.lit(1).alias("r")))
+    per = rows.groupBy(*KEY, "ordinal").agg(F.sum("l").alias("l"), F.sum("r").alias("r")).groupBy(*KEY).agg(F.sum("l").alias("l"), F.sum("r").alias("r"), F.bool_or(F.col("l") != F.col("r")).alias("unlike"))
+    keys = per.agg(
+        F.greatest(F.lit(0), F.lit(min_keys) - F.count_if((F.col("l") > 0) & (F.col("r") > 0))).alias("matched_key_floor"),
+        F.count_if(F.col("l") != F.col("r")).alias("call_counts"), F.count_if("unlike").alias("ordinal_sequences"),
+    )
     methods = subj(left).select("method").distinct().withColumn("l", F.lit(1)).join(subj(right).select("method").distinct().withColumn("r", F.lit(1)), "method", "full_outer").agg(F.count_if(F.col("l").isNull() | F.col("r").isNull()).alias("method_set"))
     source = subj(left).agg(F.count_if(~F.coalesce(F.col("resolution").isin(*S.USABLE_RESOLUTIONS), F.lit(False))).alias("unusable_source"))
     wide = keys.crossJoin(methods).crossJoin(source)  # one row each

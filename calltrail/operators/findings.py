@@ -20,28 +20,44 @@ def _paths(divergences: DataFrame, events: DataFrame, name: str) -> DataFrame:
     return first.join(paths, tree.CALL).select(*KEY, "ordinal", F.col("path").alias(name))
 
 
-def evidence(divergences: DataFrame, nodes: DataFrame, base_events: DataFrame, pr_events: DataFrame, changed: DataFrame) -> DataFrame:
-    """A row per divergence of a frontier member: values and paths of exact occurrences, whether an assertion reacted, edited files on the paths."""
-    members = nodes.where(_ATTRIBUTED).select("method").distinct()
-    mine = divergences.join(members, "method", "left_semi")
+def _described(rows: DataFrame, nodes: DataFrame, base_events: DataFrame, pr_events: DataFrame, changed: DataFrame) -> DataFrame:
+    """Divergences with values and paths of exact occurrences, whether an assertion reacted (null: not known), and edited files on the paths; other columns stay."""
     reaction = nodes.where(_ATTRIBUTED).groupBy("test_id").agg(F.bool_and("untested").alias("untested"))
-    rows = mine.join(_paths(mine, base_events, "base_path"), [*KEY, "ordinal"], "left").join(_paths(mine, pr_events, "pr_path"), [*KEY, "ordinal"], "left").join(reaction, "test_id", "left")
+    rows = rows.join(_paths(rows, base_events, "base_path"), [*KEY, "ordinal"], "left").join(_paths(rows, pr_events, "pr_path"), [*KEY, "ordinal"], "left").join(reaction, "test_id", "left")
     empty = F.array().cast(rows.schema["base_path"].dataType)
     both = F.concat(F.coalesce("base_path", empty), F.coalesce("pr_path", empty))
-    exact = F.col("ordinal") >= 0
-    out = rows.select(*KEY, "ordinal", "kind", "detail", "confidence", *[F.when(exact, F.col(c)).alias(c) for c in ("base_args", "pr_args", "base_return", "pr_return", "base_exception", "pr_exception")], "base_path", "pr_path", (~F.col("untested")).alias("assertion_reacted"), F.array_distinct(F.array_compact(F.transform(both, lambda n: n["file_path"]))).alias("files"))
+    shown = ("base_args", "pr_args", "base_return", "pr_return", "base_exception", "pr_exception")
+    out = rows.withColumns({c: F.when(F.col("ordinal") >= 0, F.col(c)) for c in shown} | {"assertion_reacted": ~F.col("untested"), "files": F.array_distinct(F.array_compact(F.transform(both, lambda n: n["file_path"])))}).drop("untested")
     on_path = out.select(*KEY, "ordinal", "kind", F.explode("files").alias("path")).join(changed.select("path").distinct(), "path", "left_semi").groupBy(*KEY, "ordinal", "kind").agg(F.array_sort(F.collect_set("path")).alias("changed_files_on_path"))
     return out.drop("files").join(on_path, [*KEY, "ordinal", "kind"], "left").withColumn("changed_files_on_path", F.coalesce("changed_files_on_path", F.array().cast("array<string>")))
 
 
+EVIDENCE = [*KEY, "ordinal", "kind", "detail", "confidence", "base_args", "pr_args", "base_return", "pr_return", "base_exception", "pr_exception", "base_path", "pr_path", "assertion_reacted", "changed_files_on_path"]
+
+
+def evidence(divergences: DataFrame, nodes: DataFrame, base_events: DataFrame, pr_events: DataFrame, changed: DataFrame) -> DataFrame:
+    """A row per divergence of a frontier member, as of _described."""
+    members = nodes.where(_ATTRIBUTED).select("method").distinct()
+    return _described(divergences.join(members, "method", "left_semi"), nodes, base_events, pr_events, changed).select(*EVIDENCE)
+
+
+def first_evidence(ev: DataFrame) -> DataFrame:
+    """The first evidence of each member and test: by ordinal, then kind and detail."""
+    kept = [c for c in ev.columns if c not in KEY]
+    return ev.groupBy("method", "test_id").agg(F.min_by(F.struct(*kept), F.struct("ordinal", "kind", "detail")).alias("e")).select("test_id", "method", "e.*").select(*ev.columns)
+
+
 def members(nodes: DataFrame, divergences: DataFrame, base_events: DataFrame, pr_events: DataFrame) -> DataFrame:
     """A row per frontier member, from attributed nodes."""
     n = nodes.where(_ATTRIBUTED)
-    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    # distinct texts first: a member may have very many call sites with the same few
+    distinct = lambda c: n.select("method", F.explode(c).alias("x")).distinct().groupBy("method").agg(F.array_sort(F.collect_list("x")).alias(c))
     rolled = n.groupBy("method").agg(
-        F.min_by(F.struct("attribution", "file_path", "line", "classification"), "test_id").alias("first"), F.count("*").alias("call_sites"), flat("symptoms").alias("symptoms"), flat("reasons").alias("reasons"),
+        F.min_by(F.struct("attribution", "file_path", "line", "classification"), "test_id").alias("first"), F.count("*").alias("call_sites"),
         F.sum("descendant_keys_compared").cast("long").alias("descendants_compared"), F.count_if("untested").alias("untested_call_sites"),
     )
+    empty = F.array().cast("array<string>")
+    rolled = rolled.join(distinct("symptoms"), "method", "left").join(distinct("reasons"), "method", "left").withColumns({c: F.coalesce(c, empty) for c in ("symptoms", "reasons")})
     executing = base_events.select(*KEY).unionByName(pr_events.select(*KEY)).join(n.select("method").distinct(), "method", "left_semi").groupBy("method").agg(F.count_distinct("test_id").alias("executing_tests"))
     observing = divergences.select("test_id", "method").distinct().join(n.select("test_id", "method", "untested"), KEY, "left").groupBy("method").agg(F.count("*").alias("observing_tests"), F.count_if(~F.col("untested")).alias("reacting_tests"))
     out = rolled.join(executing, "method", "left").join(observing, "method", "left").na.fill(0, ["executing_tests", "observing_tests", "reacting_tests"])
@@ -63,14 +79,16 @@ def summary(found: DataFrame) -> DataFrame:
     return one.withColumn("is_clean", F.col("unexpected_members") == 0)
 
 
-def consequences(ev: DataFrame, divergences: DataFrame) -> DataFrame:
-    """(member, test_id, consequence, ordinal, values): the outermost subject ancestor on an evidence path, at its first call whose result differs."""
+def consequences(ev: DataFrame, divergences: DataFrame, nodes: DataFrame, base_events: DataFrame, pr_events: DataFrame, changed: DataFrame) -> DataFrame:
+    """(member, test_id, consequence, and the rest of an evidence row): the outermost subject ancestor on a member's evidence path, at its first call whose result differs."""
     product = lambda c: F.filter(F.coalesce(c, F.array().cast(ev.schema["base_path"].dataType)), lambda n: ~n["is_harness"] & (n["member"] != F.col("method")))
     first = lambda c: F.try_element_at(product(F.col(c)), F.lit(1))["member"]
-    outer = ev.select("method", "test_id", F.coalesce(first("base_path"), first("pr_path")).alias("consequence")).where("consequence IS NOT NULL").distinct()
-    changed = divergences.where("ordinal >= 0 AND NOT (base_return <=> pr_return AND base_exception <=> pr_exception)")
-    d = changed.groupBy(*KEY).agg(F.min_by(F.struct("ordinal", "kind", "detail", "base_return", "pr_return", "base_exception", "pr_exception"), "ordinal").alias("d"))
-    return outer.join(d.withColumnRenamed("method", "consequence"), ["test_id", "consequence"]).select(F.col("method").alias("member"), "test_id", "consequence", "d.*")
+    outer = ev.select(F.col("method").alias("member"), "test_id", F.coalesce(first("base_path"), first("pr_path")).alias("method")).where("method IS NOT NULL").distinct()
+    differs = divergences.where("ordinal >= 0 AND NOT (base_return <=> pr_return AND base_exception <=> pr_exception)").join(outer.select(*KEY).distinct(), KEY, "left_semi")
+    kept = [c for c in EVIDENCE if c in divergences.columns and c not in KEY]
+    d = tree.stored(differs.groupBy(*KEY).agg(F.min_by(F.struct(*kept), F.struct("ordinal", "kind")).alias("d")).select(*KEY, "d.*"))
+    described = _described(d, nodes, base_events, pr_events, changed)
+    return outer.join(described, KEY).select("member", "test_id", F.col("method").alias("consequence"), *[c for c in EVIDENCE if c not in KEY])
 
 
 def observations(ev: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,17 +12,28 @@ from calltrail.operators import tree
 from calltrail.operators.keys import KEY
 
 REASONS = ("MemberLifecycle", "SubtreeUnalignable", "NodePartial", "DescendantPartial", "DescendantSkipped", "DescendantSourceUnresolved")
+# The texts of reasons; %s stands for what the reason is about.
+REASON_TEXT = {
+    "MemberLifecycle": "MemberLifecycle: the member exists on only one side, so it has no counterpart to compare descendants against. This says the PR added or removed it, not that it caused anything.",
+    "SubtreeUnalignable": "SubtreeUnalignable: call count differs, descendants are not alignable",
+    "NodePartial": "NodePartial: this key's own digest is Partial",
+    "DescendantPartial": "DescendantPartial: %s has a Partial digest, so 'identical' does not establish identical behavior",
+    "DescendantSkipped": "DescendantSkipped: %s, which was never instrumented, so a call to it from this subtree would be invisible",
+    "DescendantSourceUnresolved": "DescendantSourceUnresolved: %s, so a divergence in it could not be attributed",
+}
 
 
 def diverged_keys(divergences: DataFrame) -> DataFrame:
-    """A row per key: symptoms (kind:detail, by kind), and whether its calls can be aligned between the runs."""
+    """A row per key: distinct symptoms (kind:detail, by kind, then first occurrence), how often each occurs, and whether its calls can be aligned between the runs."""
     kinds = F.col("kind")
-    return divergences.groupBy(*KEY).agg(
-        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("kind", "ordinal", "detail"))), lambda x: F.concat_ws(":", x["kind"], x["detail"]))).alias("symptoms"),
+    per = divergences.groupBy(*KEY, "kind", "detail").agg(F.min("ordinal").alias("ordinal"), F.count("*").alias("n"), F.min_by("file_path", "ordinal").alias("file_path"))
+    s = F.array_sort(F.collect_list(F.struct("kind", "ordinal", "detail", "n")))  # a row per kind and detail
+    return per.groupBy(*KEY).agg(
+        F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["detail"])).alias("symptoms"), F.transform(s, lambda x: x["n"]).alias("symptom_counts"),
         F.min_by("file_path", F.struct("ordinal", "kind")).alias("file_path"),
         F.bool_or(kinds.isin("MethodAdded", "MethodRemoved")).alias("lifecycle"),
         F.bool_or(kinds.isin("MethodAdded", "MethodRemoved", "CallCountChange")).alias("unalignable"),
-    )
+    )
 
 
 def collateral_keys(keys: DataFrame, base_events: DataFrame) -> DataFrame:
@@ -32,16 +45,18 @@ def collateral_keys(keys: DataFrame, base_events: DataFrame) -> DataFrame:
 
 
 def descendants(nodes: DataFrame, base_events: DataFrame) -> DataFrame:
-    """(test_id, method, d_test_id, d_method): distinct keys below each alignable node's calls."""
+    """(test_id, method, d_test_id, d_method, found_at): distinct keys below each alignable node's calls, and where a walk of these calls, as they were loaded, first meets each."""
     calls = base_events.join(nodes.where("NOT unalignable").select(*KEY), KEY, "left_semi")
     below = tree.closure(base_events, calls, down=True)
-    origin = calls.select("run", "process", F.col("call_id").alias("origin"), *KEY)
-    call = base_events.select("run", "process", "call_id", F.col("test_id").alias("d_test_id"), F.col("method").alias("d_method"))
-    return below.join(call, tree.CALL).join(origin, ["run", "process", "origin"]).select(*KEY, "d_test_id", "d_method").distinct()
+    order = tree.labels(base_events)
+    origin = calls.select("run", "process", F.col("call_id").alias("origin"), "line_number", *KEY)
+    call = base_events.select("run", "process", "call_id", F.col("test_id").alias("d_test_id"), F.col("method").alias("d_method")).join(order, tree.CALL)
+    found_at = F.struct("process", "line_number", "pre")
+    return below.join(call, tree.CALL).join(origin, ["run", "process", "origin"]).groupBy(*KEY, "d_test_id", "d_method").agg(F.min(found_at).alias("found_at"))
 
 
 def downgrade_reasons(nodes: DataFrame, below: DataFrame, matched: DataFrame, members: DataFrame, strict_aliases: bool = False) -> DataFrame:
-    """(test_id, method, reasons): the first of each category by name, in the order of REASONS; none means verified.
+    """(test_id, method, reasons): of each category the first that a walk meets (the node's own method comes after those below it), in the order of REASONS; none means verified.
 
     A member's source is unresolved where its own manifest record says so; a record without a resolution says nothing.
     """
@@ -50,16 +65,26 @@ def downgrade_reasons(nodes: DataFrame, below: DataFrame, matched: DataFrame, me
     unresolved = members.where(F.col("source_resolution").isNotNull() & ~F.col("source_resolution").isin(*usable)).groupBy("method").agg(F.max_by("source_resolution", F.struct("process", "line_number")).alias("resolution"))
     skipped = members.where("status = 'Skipped' AND NOT (skip_reason <=> 'Unobservable')").select(S.declaring_type(F.col("method")).alias("type"), F.concat(F.col("method"), F.coalesce(F.concat(F.lit(" ("), "skip_reason", F.lit(")")), F.lit(""))).alias("text"), "process", "line_number")
     last_skipped = skipped.groupBy("type").agg(F.max_by("text", F.struct("process", "line_number")).alias("skipped"))
-    own = nodes.select(*KEY, F.when(F.col("lifecycle"), "MemberLifecycle").when(F.col("unalignable"), "SubtreeUnalignable").alias("category"), F.lit("").alias("what")).where("category IS NOT NULL")
-    own_partial = nodes.join(partial, KEY, "left_semi").select(*KEY, F.lit("NodePartial").alias("category"), F.lit("").alias("what"))
-    d_partial = below.join(partial.select(F.col("test_id").alias("d_test_id"), F.col("method").alias("d_method")), ["d_test_id", "d_method"], "left_semi").select(*KEY, F.lit("DescendantPartial").alias("category"), F.col("d_method").alias("what"))
-    methods = below.select(*KEY, "d_method").unionByName(nodes.select(*KEY, F.col("method").alias("d_method"))).distinct()
-    d_skipped = methods.withColumn("type", S.declaring_type(F.col("d_method"))).join(last_skipped, "type").select(*KEY, F.lit("DescendantSkipped").alias("category"), F.concat_ws(" also declares ", "type", "skipped").alias("what"))
-    d_unresolved = below.select(*KEY, F.col("d_method").alias("dm")).distinct().join(unresolved.withColumnRenamed("method", "dm"), "dm").select(*KEY, F.lit("DescendantSourceUnresolved").alias("category"), F.concat_ws("=", "dm", "resolution").alias("what"))
-    every = own.unionByName(own_partial).unionByName(d_partial).unionByName(d_skipped).unionByName(d_unresolved)
-    first = every.groupBy(*KEY, "category").agg(F.min("what").alias("what"))
+    category = lambda df, name, what: df.select(*KEY, F.lit(name).alias("category"), what.alias("what"), "at")
+    at = F.struct(F.lit(0).alias("own"), "found_at").alias("at")
+    of_node = nodes.withColumn("at", F.struct(F.lit(1).alias("own"), F.lit(None).cast(below.schema["found_at"].dataType).alias("found_at")))
+    seen = below.select(*KEY, "d_test_id", "d_method", at)
+    d_partial = seen.join(partial.select(F.col("test_id").alias("d_test_id"), F.col("method").alias("d_method")), ["d_test_id", "d_method"], "left_semi")
+    methods = seen.drop("d_test_id").unionByName(of_node.select(*KEY, F.col("method").alias("d_method"), "at"))
+    d_skipped = methods.withColumn("type", S.declaring_type(F.col("d_method"))).join(last_skipped, "type")
+    d_unresolved = seen.select(*KEY, F.col("d_method").alias("dm"), "at").join(unresolved.withColumnRenamed("method", "dm"), "dm")
+    parts = [
+        category(of_node.where("lifecycle"), "MemberLifecycle", F.lit("")),
+        category(of_node.where("unalignable AND NOT lifecycle"), "SubtreeUnalignable", F.lit("")),
+        category(of_node.join(partial, KEY, "left_semi"), "NodePartial", F.lit("")),
+        category(d_partial, "DescendantPartial", F.col("d_method")),
+        category(d_skipped, "DescendantSkipped", F.concat_ws(" also declares ", "type", "skipped")),
+        category(d_unresolved, "DescendantSourceUnresolved", F.concat("dm", F.lit(" resolved its source as '"), "resolution", F.lit("'"))),
+    ]
+    first = reduce(DataFrame.unionByName, parts).groupBy(*KEY, "category").agg(F.min_by("what", F.struct("at", "what")).alias("what"))
     rank = F.array_position(F.array(*map(F.lit, REASONS)), F.col("category"))
-    text = F.when(F.col("what") == "", F.col("category")).otherwise(F.concat_ws(": ", "category", "what"))
+    texts = F.create_map(*[F.lit(x) for pair in REASON_TEXT.items() for x in pair])
+    text = F.replace(texts[F.col("category")], F.lit("%s"), F.col("what"))
     return first.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("r"), text.alias("t")))), lambda x: x["t"]).alias("reasons"))
 
 
@@ -88,7 +113,7 @@ def frontier(divergences: DataFrame, harness_divergences: DataFrame, base_events
     hidden = F.coalesce("is_collateral", F.lit(False))
     found = F.when(hidden, empty).otherwise(F.coalesce("reasons", empty))
     return out.select(
-        *KEY, "file_path", "line", "symptoms", found.alias("reasons"), F.when(hidden, "collateral").when(F.size(found) > 0, "frontier_unverified").otherwise("frontier").alias("classification"),
+        *KEY, "file_path", "line", "symptoms", "symptom_counts", found.alias("reasons"), F.when(hidden, "collateral").when(F.size(found) > 0, "frontier_unverified").otherwise("frontier").alias("classification"),
         F.coalesce("descendant_keys_compared", F.lit(0)).cast("long").alias("descendant_keys_compared"), F.coalesce("reacted", F.lit(False)).__invert__().alias("untested"),
     )
 

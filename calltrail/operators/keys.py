@@ -2,7 +2,8 @@
 
 Everything about a key is computed in partitions of (test_id, method): positions, per-key counts, first calls and positional
 alignment need one exchange between them. Both sides of a comparison travel in it as one table with a side column, so the
-full outer join on keys and the join on positions are aggregations with no join at all.
+full outer join on keys and the join on positions are aggregations with no join at all. A key with more than ``HOT_ROWS`` calls is
+cut along its ordinals and spread over tasks (``scans``); alignment then deals by (key, position).
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calltrail.functions import scalars as S
+from calltrail.operators import scans
 
 KEY = ["test_id", "method"]
 _COMPARED = ["args_digest", "return_digest", "exception_type"]
@@ -18,10 +20,19 @@ _CARRIED = [*_COMPARED, "args_rendered", "return_rendered", "relative_path", "is
 DIVERGENCE = [*KEY, "ordinal", "kind", "detail", "confidence", "markers", "file_path", "base_args", "pr_args", "base_return", "pr_return", "base_exception", "pr_exception", "is_harness"]
 
 
-def positions(events: DataFrame) -> DataFrame:
-    """Adds pos, a call's place among its key's calls in its run: by ordinal, then process and line."""
-    w = Window.partitionBy("run", *KEY).orderBy("ordinal", "process", "line_number")
-    return events.withColumn("pos", F.row_number().over(w) - 1)
+#: Calls of one key that are one task's work.
+HOT_ROWS = 1_000_000
+
+
+def placed(calls: DataFrame, beside: tuple[str, ...], hot_rows: int = HOT_ROWS, deal: bool = False) -> DataFrame:
+    """Adds pos, a call's place from 0 among those with its key and the columns beside: by ordinal, then process and line. deal: in partitions by key, where no key is hot."""
+    found = scans.running(calls, [*beside, *KEY], F.col("ordinal"), [F.col("process"), F.col("line_number")], {"pos": ("count", F.lit(1))}, hot_rows, KEY if deal else ())
+    return found.withColumn("pos", (F.col("pos") - 1).cast("int"))
+
+
+def positions(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Adds pos, a call's place among its key's calls in its run."""
+    return placed(events, ("run",), hot_rows)
 
 
 def ordinal_violations(events: DataFrame) -> DataFrame:
@@ -30,13 +41,11 @@ def ordinal_violations(events: DataFrame) -> DataFrame:
     return g.where("least <> 0 OR most <> calls - 1 OR distinct_ordinals <> calls")
 
 
-def _sides(base: DataFrame, pr: DataFrame) -> DataFrame:
+def _sides(base: DataFrame, pr: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     cols = ["run", "process", "line_number", "ordinal", *KEY, *_CARRIED]
     side = lambda df, name: df.select(*cols).withColumn("side", F.lit(name))
-    # dealt once by key; every window and aggregation below is content with it
-    rows = side(base, "base").unionByName(side(pr, "pr")).repartition(*KEY)
-    w = Window.partitionBy(*KEY, "side").orderBy("ordinal", "process", "line_number")
-    return rows.withColumn("pos", F.row_number().over(w) - 1)
+    # dealt once by key; every aggregation below is content with it
+    return placed(side(base, "base").unionByName(side(pr, "pr")), ("side",), hot_rows, deal=True)
 
 
 def _of(side: str, alias: str):
@@ -60,15 +69,15 @@ def _described(df: DataFrame) -> DataFrame:
     return out.select("*", *[F.col(v).alias(k) for k, v in names.items()])
 
 
-def matched_keys(base: DataFrame, pr: DataFrame) -> DataFrame:
+def matched_keys(base: DataFrame, pr: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Subject keys on both sides, with call counts and the confidence of their first calls."""
-    both = _firsts(_sides(base, pr)).where("base_calls > 0 AND pr_calls > 0 AND NOT b.is_harness")
+    both = _firsts(_sides(base, pr, hot_rows)).where("base_calls > 0 AND pr_calls > 0 AND NOT b.is_harness")
     return _described(both).select(*KEY, "base_calls", "pr_calls", "confidence", "markers", F.col("b.relative_path").alias("file_path"))
 
 
-def compare(base: DataFrame, pr: DataFrame) -> DataFrame:
+def compare(base: DataFrame, pr: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """All divergences of two runs, harness keys included (is_harness): missing keys, changed counts, and the first difference of each aligned call."""
-    rows = _sides(base, pr)
+    rows = _sides(base, pr, hot_rows)
     owner = F.coalesce("b", "p")
     keys = _firsts(rows)
     level = keys.where("base_calls = 0 OR pr_calls = 0 OR base_calls <> pr_calls").withColumns({
@@ -76,24 +85,22 @@ def compare(base: DataFrame, pr: DataFrame) -> DataFrame:
         "detail": F.when(F.col("base_calls") == 0, F.format_string("key absent from base, %d call(s) in PR", "pr_calls")).when(F.col("pr_calls") == 0, F.format_string("key absent from PR, %d call(s) in base", "base_calls")).otherwise(F.format_string("called %d time(s) in base, %d in PR", "base_calls", "pr_calls")),
         "ordinal": F.lit(-1), "is_harness": owner["is_harness"], "file_path": owner["relative_path"],
     })
-    # a key is harness or subject by its first base call, which stands at position 0 of the same partition
-    w = Window.partitionBy(*KEY)
-    flagged = rows.withColumn("key_harness", F.max(F.when((F.col("pos") == 0) & (F.col("side") == "base"), F.col("is_harness"))).over(w))
-    aligned = flagged.groupBy(*KEY, "pos").agg(_of("base", "b"), _of("pr", "p"), F.first("key_harness").alias("is_harness")).where("b IS NOT NULL AND p IS NOT NULL")
+    aligned = rows.groupBy(*KEY, "pos").agg(_of("base", "b"), _of("pr", "p")).where("b IS NOT NULL AND p IS NOT NULL")
     difference = S.first_difference(*[F.col(f"{s}.{c}") for c in _COMPARED for s in ("b", "p")])
     calls = aligned.withColumns({"kind": F.lit("DigestDiff"), "detail": difference, "ordinal": F.col("pos"), "file_path": F.col("b.relative_path")}).where("detail IS NOT NULL")
+    # a key is harness or subject by its first base call; only calls that differ ask
+    harness = rows.where("side = 'base' AND pos = 0").select(*[F.col(k).alias(f"_{k}") for k in KEY], "is_harness")
+    calls = calls.join(harness, (F.col("test_id") == F.col("_test_id")) & (F.col("method") == F.col("_method")))
     return _described(level).select(*DIVERGENCE).unionByName(_described(calls).select(*DIVERGENCE))
 
 
-def noise_keys(bases: DataFrame) -> DataFrame:
+def noise_keys(bases: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Subject keys on which any two of the base runs differ: missing in one, called differently often, or unlike at a position.
 
     One pass for any number of runs; two runs differ in a key exactly if not all runs agree in it.
     """
     runs = bases.select("run").distinct().count()
-    rows = bases.select("run", "process", "line_number", "ordinal", *KEY, *_COMPARED, "is_harness").repartition(*KEY)
-    w = Window.partitionBy(*KEY, "run").orderBy("ordinal", "process", "line_number")
-    at = rows.withColumn("pos", F.row_number().over(w) - 1)
+    at = placed(bases.select("run", "process", "line_number", "ordinal", *KEY, *_COMPARED, "is_harness"), ("run",), hot_rows, deal=True)
     call = F.struct(*[F.coalesce(c, F.lit("\u0000")) for c in _COMPARED])
     per = at.groupBy(*KEY, "pos").agg(F.count("*").alias("n"), F.count_distinct(call).alias("kinds"), F.min_by("is_harness", "run").alias("is_harness"))
     keys = per.groupBy(*KEY).agg(F.bool_or((F.col("n") < runs) | (F.col("kinds") > 1)).alias("varies"), F.max(F.when(F.col("pos") == 0, F.col("is_harness"))).alias("is_harness"))
@@ -107,9 +114,10 @@ def noise_divergences(bases: DataFrame, run_order: list[str]) -> DataFrame:
     for n, (a, b) in enumerate(pairs):
         part = compare(bases.where(F.col("run") == a), bases.where(F.col("run") == b)).where("NOT is_harness").withColumns({"pair": F.lit(n), "left_run": F.lit(a), "right_run": F.lit(b)})
         found = part if found is None else found.unionByName(part)
-    w = Window.partitionBy(*KEY)
-    first = found.withColumn("n", F.row_number().over(w.orderBy("pair", "ordinal", "kind"))).withColumn("difference_count", F.count("*").over(w))
-    return first.where("n = 1").drop("n", "pair")
+    kept = [c for c in found.columns if c not in (*KEY, "pair")]
+    # one row a key leaves each task; no window over all differences of a key
+    first = F.min_by(F.struct(*kept), F.struct("pair", "ordinal", "kind")).alias("first")
+    return found.groupBy(*KEY).agg(first, F.count("*").alias("difference_count")).select(*[F.col(k) if k in KEY else F.col(f"first.{k}").alias(k) for k in found.columns if k != "pair"], "difference_count")
 
 
 def without_noise(divergences: DataFrame, noise: DataFrame, gap_methods: DataFrame | None = None) -> DataFrame:

@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calltrail.operators import tree
-from calltrail.operators.keys import KEY
+from calltrail.operators import scans, tree
+from calltrail.operators.keys import HOT_ROWS, KEY, placed
+
 
 def _signature() -> Column:
     return F.concat_ws("|", *[F.coalesce(c, F.lit("-")) for c in ("args_digest", "return_digest", "exception_type")])
 
 
 def trace_summary(events: DataFrame) -> DataFrame:
-    """Counters of each run in one aggregation; duplicate call ids are counted within processes."""
-    per = events.groupBy("run").agg(
-        F.count("*").alias("events"), F.count_distinct("test_id").alias("tests"), F.count_distinct("method").alias("methods"), F.count_distinct("thread_id").alias("threads"),
-        F.count_if(F.col("parent_call_id").isNull()).alias("roots"), F.max("call_depth").alias("max_depth"), F.count_if(F.col("exception_type").isNotNull()).alias("threw"),
-        (F.count("*") - F.count_distinct("process", "call_id")).alias("duplicate_call_ids"),
-    )
-    return per
+    """Counters of each run; duplicate call ids are counted within processes.
+
+    Distinct values are counted in two levels, a small grouping each, as several distinct counts in one aggregation would multiply every row.
+    """
+    per = events.groupBy("run", "process").agg(
+        F.count("*").alias("events"), F.count_if(F.col("parent_call_id").isNull()).alias("roots"), F.max("call_depth").alias("max_depth"), F.count_if(F.col("exception_type").isNotNull()).alias("threw"),
+    ).groupBy("run").agg(F.sum("events").alias("events"), F.sum("roots").alias("roots"), F.max("max_depth").alias("max_depth"), F.sum("threw").alias("threw"))
+    for name, column in (("tests", "test_id"), ("methods", "method"), ("threads", "thread_id")):
+        per = per.join(events.groupBy("run", column).agg(F.lit(1).alias("one")).groupBy("run").agg(F.count(column).alias(name)), "run")
+    calls = events.groupBy("run", "process", "call_id").agg(F.lit(1).alias("one")).groupBy("run").agg(F.count("call_id").alias("calls"))
+    return per.join(calls, "run").select("run", "events", "tests", "methods", "threads", "roots", "max_depth", "threw", (F.col("events") - F.col("calls")).alias("duplicate_call_ids"))
 
 
 def count_spread(events: DataFrame) -> DataFrame:
@@ -29,9 +34,18 @@ def count_spread(events: DataFrame) -> DataFrame:
     return per.select("method", F.when(F.col("present") < runs, 0).otherwise(F.col("lo")).alias("least"), "most").withColumn("spread", F.col("most") - F.col("least"))
 
 
+def multiset_hash(*values: Column) -> Column:
+    """Aggregate: a hash of the values as a multiset, whatever their order. Its state is four sums: the halves of two 64-bit hashes of each row, so that no sum overflows below 2**31 rows."""
+    sums = []
+    for seed in (1, 2):
+        h = F.xxhash64(F.lit(seed), *values)
+        sums += [F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))), F.sum(F.shiftrightunsigned(h, 32))]
+    return F.sha2(F.concat_ws(",", *[x.cast("string") for x in sums], F.count(F.lit(1)).cast("string")).cast("binary"), 256)
+
+
 def key_signatures(events: DataFrame) -> DataFrame:
-    """Per key and run: calls and the sorted multiset of call signatures, hashed (a set's text never leaves the aggregation)."""
-    return events.where("NOT is_harness").groupBy("run", *KEY).agg(F.count("*").alias("calls"), F.sha2(F.array_join(F.array_sort(F.collect_list(_signature())), "\n"), 256).alias("signature"))
+    """Per key and run: calls and a hash of the multiset of call signatures, in constant state per key."""
+    return events.where("NOT is_harness").groupBy("run", *KEY).agg(F.count("*").alias("calls"), multiset_hash(_signature()).alias("signature"))
 
 
 def noise_growth(events: DataFrame, run_order: list[str]) -> DataFrame:
@@ -52,20 +66,20 @@ def classify_variation(events: DataFrame) -> DataFrame:
     return keys.join(totals, "method").groupBy(F.when(F.col("constant"), "moved").otherwise("extra").alias("class")).agg(F.count("*").alias("keys"), F.count_distinct("method").alias("methods"))
 
 
-def order_instability(left: DataFrame, right: DataFrame) -> DataFrame:
+def order_instability(left: DataFrame, right: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys called equally often whose call at some position differs between two runs of the same build, with the first such position."""
-    rows = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1))).repartition(*KEY)
-    w = Window.partitionBy(*KEY, "side").orderBy("ordinal", "process", "line_number")
-    at = rows.withColumn("pos", F.row_number().over(w) - 1).withColumn("signature", _signature())
+    rows = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
+    at = placed(rows, ("side",), hot_rows, deal=True).withColumn("signature", _signature())
     per = at.groupBy(*KEY, "pos").agg(F.count("*").alias("n"), F.count_distinct("signature").alias("kinds"))
     return per.groupBy(*KEY).agg(F.max(F.col("pos")).alias("last"), F.min("n").alias("least"), F.min(F.when(F.col("kinds") > 1, F.col("pos"))).alias("first_unlike")).where("least = 2 AND first_unlike IS NOT NULL").select(*KEY, (F.col("last") + 1).alias("calls"), "first_unlike")
 
 
 def test_shapes(events: DataFrame) -> DataFrame:
     """Per run and test: threads used, and its shape, a hash of how often it calls each method."""
-    per = events.groupBy("run", "test_id", "method").agg(F.count("*").alias("n"), F.collect_set("thread_id").alias("t"))
-    shape = F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "method", F.col("n").cast("string")))), ";"), 256)
-    return per.groupBy("run", "test_id").agg(shape.alias("shape"), F.size(F.array_distinct(F.flatten(F.collect_list("t")))).alias("threads"))
+    per = events.groupBy("run", "test_id", "method").agg(F.count("*").alias("n"))
+    shapes = per.groupBy("run", "test_id").agg(multiset_hash(F.col("method"), F.col("n")).alias("shape"))
+    threads = events.groupBy("run", "test_id").agg(F.count_distinct("thread_id").cast("int").alias("threads"))
+    return shapes.join(threads, ["run", "test_id"])
 
 
 def shape_differences(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -96,16 +110,17 @@ def run_integrity(events: DataFrame, modules: DataFrame, expected_tests: int | N
     return rows.where("observed <> expected")
 
 
-def first_roots(events: DataFrame) -> DataFrame:
+def first_roots(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Synthetic test ids: root#n, the n-th call of a root method in entry order."""
-    w = Window.partitionBy("run", "process", "method").orderBy("call_id")
-    return events.where("parent_call_id IS NULL").select("run", "process", "call_id", F.concat_ws("#", "method", F.row_number().over(w).cast("string")).alias("synthetic_test_id"))
+    roots = events.where("parent_call_id IS NULL").select("run", "process", "method", "call_id")
+    found = scans.running(roots, ["run", "process", "method"], F.col("call_id"), [], {"n": ("count", F.lit(1))}, hot_rows)
+    return found.select("run", "process", "call_id", F.concat_ws("#", "method", F.col("n").cast("string")).alias("synthetic_test_id"))
 
 
-def entry_ordinals(events: DataFrame) -> DataFrame:
+def entry_ordinals(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds entry_ordinal: a call's place among its key's calls of a process in the order in which they began (ids are given on entry), not ended."""
-    w = Window.partitionBy("run", "process", *KEY).orderBy("call_id")
-    return events.withColumn("entry_ordinal", F.row_number().over(w) - 1)
+    found = scans.running(events, ["run", "process", *KEY], F.col("call_id"), [], {"entry_ordinal": ("count", F.lit(1))}, hot_rows)
+    return found.withColumn("entry_ordinal", (F.col("entry_ordinal") - 1).cast("int"))
 
 
 def nearest_roots(events: DataFrame, members: DataFrame) -> DataFrame:

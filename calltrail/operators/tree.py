@@ -3,6 +3,9 @@
 Closures double their reach each round: a table of jumps (call, ancestor 2**k calls up) steps what was found by 2**k calls and then
 itself, so a tree of depth d takes about log2(d) rounds of joins on (run, process, call_id). What a round finds is written to the
 shared folder, so lineage does not grow and a lost executor costs one round. Only calls that are asked for are kept.
+
+``labels`` numbers the calls of a forest in depth-first order by the same jumps: how many calls lie below each, then, going down, what comes before it. A subtree is then
+an interval of numbers, and the order in which a walk would discover calls is a column.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from calltrail.operators import scans
 from calltrail.tables import stored
 
 CALL = ["run", "process", "call_id"]
@@ -50,6 +54,38 @@ def closure(events: DataFrame, start: DataFrame, down: bool) -> DataFrame:
         found, jumps, step = found.unionByName(further), _twice(jumps), 2 * step
 
 
+def labels(events: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
+    """(run, process, call_id, pre, size): a call's number in the depth-first walk of its process, from 0, and the number of calls of its subtree, itself included.
+
+    Roots and siblings are walked in the order of their lines. d lies below c exactly if pre(c) < pre(d) < pre(c) + size(c) in the same process. A call whose parent does not exist
+    counts as a root; calls in a cycle and below one have no row. Both passes take as many rounds as the depth has binary digits; siblings of a call with very
+    many children are cut over tasks.
+    """
+    calls = events.select(*CALL, "parent_call_id", F.col("line_number").cast("long").alias("line_number"))
+    known = events.select("run", "process", F.col("call_id").alias("parent_call_id"), F.lit(True).alias("known")).distinct()
+    calls = stored(calls.join(known, ["run", "process", "parent_call_id"], "left").select(*CALL, F.when(F.col("known"), F.col("parent_call_id")).alias("parent"), "line_number"))
+    jumps = stored(calls.where("parent IS NOT NULL").select("run", "process", F.col("call_id").alias("lo"), F.col("parent").alias("hi")))
+    sizes = calls.select(*CALL, F.lit(1).cast("long").alias("size"))
+    levels, most = [], calls.count().bit_length() + 1
+    # a subtree to twice the depth: what is known of it, and of those that begin just below
+    while not jumps.isEmpty() and len(levels) < most:
+        levels.append(jumps)
+        below = jumps.join(sizes.withColumnRenamed("call_id", "lo"), ["run", "process", "lo"]).groupBy("run", "process", F.col("hi").alias("call_id")).agg(F.sum("size").alias("more"))
+        sizes = stored(sizes.join(below, CALL, "left").select(*CALL, (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
+        jumps = _twice(jumps)
+    if not jumps.isEmpty():  # jumps longer than there are calls run in circles
+        circling = jumps.select("run", "process", F.col("lo").alias("call_id")).distinct()
+        calls = stored(calls.join(circling, CALL, "left_anti"))
+    sized = stored(calls.join(sizes, CALL))
+    ordered = scans.running(sized, ["run", "process", "parent"], F.col("line_number"), [F.col("call_id")], {"upto": ("sum", F.col("size"))}, hot_rows)
+    # what comes between a call and its parent's own number: one, and the earlier siblings' subtrees
+    pre = stored(ordered.select(*CALL, "size", (F.col("upto") - F.col("size") + F.when(F.col("parent").isNull(), 0).otherwise(1)).alias("pre")))
+    for jump in levels:
+        above = jump.select("run", "process", F.col("lo").alias("call_id"), "hi").join(pre.select("run", "process", F.col("call_id").alias("hi"), F.col("pre").alias("before")), ["run", "process", "hi"])
+        pre = stored(pre.join(above.select(*CALL, "before"), CALL, "left").select(*CALL, "size", (F.col("pre") + F.coalesce("before", F.lit(0))).alias("pre")))
+    return pre.select(*CALL, "pre", "size")
+
+
 def marked_ancestors(events: DataFrame, start: DataFrame) -> DataFrame:
     """(run, process, call_id) of every proper ancestor of any of start's calls; each call is kept once."""
     jumps = _jumps(events)

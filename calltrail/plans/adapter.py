@@ -58,8 +58,66 @@ def changed(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(p,) for p in CHANGED], "path string")
 
 
+def quoted(text: str) -> str:
+    """A text as an SQL literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+def page_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as members of their hosts' modules in four runs, by rules on the id: some appear, vanish, flicker or are skipped, some have a second record in another process."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("assembly"))
+    r = p.withColumn("run", F.explode(F.array(*map(F.lit, [*BASES, "pr"])))).withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("page_id") % 3 == 0).cast("int"))))
+    r = r.where("NOT (run = 'pr' AND page_id % 19 = 0) AND NOT (run = 'base2' AND page_id % 23 = 0) AND NOT (run <> 'pr' AND page_id % 29 = 0)")
+    status = F.expr("CASE WHEN copy = 0 AND page_id % 7 = 0 THEN 'Skipped' WHEN run = 'pr' AND page_id % 11 = 0 THEN 'Skipped' WHEN run = 'base3' AND page_id % 31 = 0 THEN 'PatchFailed' ELSE 'Patched' END")
+    reason = F.expr("CASE WHEN status = 'Skipped' THEN CASE page_id % 5 WHEN 0 THEN 'ExcludedByScope' WHEN 1 THEN 'UnsupportedShape' WHEN 2 THEN 'Unobservable' END END")
+    method = F.concat(F.lit("Ns.T"), (F.col("page_id") % 50).cast("string"), F.lit(".M"), F.col("page_id").cast("string"), F.lit("()"))
+    return r.withColumns({"process": F.concat(F.lit("p"), F.col("copy").cast("string")), "method": method, "status": status}).select("run", "process", F.col("page_id").cast("int").alias("line_number"), "assembly", "method", "status", reason.alias("skip_reason"))
+
+
+def page_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hosts as modules: instrumented ones, and for some a second record that says otherwise; coverage flags that differ between runs."""
+    m = page_members(spark, sf_dir).select("run", "assembly").distinct().withColumn("copy", F.explode(F.sequence(F.lit(0), (F.length("assembly") % 2 == 0).cast("int"))))
+    flag = lambda text: F.expr(text)
+    return m.select("run", F.concat(F.lit("p"), (1 - F.col("copy")).cast("string")).alias("process"), F.lit(1).alias("line_number"), "assembly", flag("copy = 0 AND length(assembly) % 11 <> 0").alias("instrumented"), flag("copy = 1 OR (run = 'base2' AND length(assembly) % 3 = 0)").alias("source_unavailable"), flag("run = 'pr' AND length(assembly) % 4 = 0").alias("source_partial"))
+
+
+def page_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edited files: some types' sources, and some modules by their names."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    types = p.where("page_id % 13 = 0").select(F.concat(F.lit("src/T"), (F.col("page_id") % 50).cast("string"), F.lit(".cs")).alias("path"))
+    return types.unionByName(p.where("page_id % 17 = 0").select(F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("path"))).distinct()
+
+
+PAGE_SQL = """
+pm AS (
+  SELECT run, 'p' || copy AS process, page_id AS line_number, assembly, 'Ns.T' || page_id % 50 || '.M' || page_id || '()' AS method, status,
+    CASE WHEN status = 'Skipped' THEN CASE page_id % 5 WHEN 0 THEN 'ExcludedByScope' WHEN 1 THEN 'UnsupportedShape' WHEN 2 THEN 'Unobservable' END END AS skip_reason
+  FROM (SELECT *, CASE WHEN copy = 0 AND page_id % 7 = 0 THEN 'Skipped' WHEN run = 'pr' AND page_id % 11 = 0 THEN 'Skipped' WHEN run = 'base3' AND page_id % 31 = 0 THEN 'PatchFailed' ELSE 'Patched' END AS status
+    FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS assembly, unnest(CASE WHEN page_id % 3 = 0 THEN [0, 1] ELSE [0] END) AS copy FROM pages), (VALUES ('base1'), ('base2'), ('base3'), ('pr')) r(run)
+    WHERE NOT (run = 'pr' AND page_id % 19 = 0) AND NOT (run = 'base2' AND page_id % 23 = 0) AND NOT (run <> 'pr' AND page_id % 29 = 0))),
+pmm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run, method ORDER BY status <> 'Patched', process, line_number) AS n FROM pm) WHERE n = 1),
+pmod AS (
+  SELECT run, 'p' || (1 - copy) AS process, assembly, copy = 0 AND length(assembly) % 11 <> 0 AS instrumented, copy = 1 OR (run = 'base2' AND length(assembly) % 3 = 0) AS source_unavailable, run = 'pr' AND length(assembly) % 4 = 0 AS source_partial
+  FROM (SELECT DISTINCT run, assembly, unnest(CASE WHEN length(assembly) % 2 = 0 THEN [0, 1] ELSE [0] END) AS copy FROM pm)),
+pmodm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run, assembly ORDER BY NOT instrumented, process) AS n FROM pmod) WHERE n = 1),
+pch AS (SELECT 'src/T' || page_id % 50 || '.cs' AS path FROM pages WHERE page_id % 13 = 0 UNION SELECT regexp_extract(url, '^[a-z]+://([^/]*)', 1) FROM pages WHERE page_id % 17 = 0)"""
+
+
+def page_gap_sql(left: str, right: str) -> str:
+    """Gaps between two runs of the pages' manifests: scope, assembly, method, base_state, pr_state."""
+    flags = " UNION ALL ".join(
+        f"""SELECT 'assembly:{name}', coalesce(b.assembly, p.assembly), NULL, coalesce(CASE WHEN b.{c} THEN 'True' WHEN NOT b.{c} THEN 'False' END, 'absent'), coalesce(CASE WHEN p.{c} THEN 'True' WHEN NOT p.{c} THEN 'False' END, 'absent')
+        FROM (SELECT * FROM pmodm WHERE run = '{left}') b FULL JOIN (SELECT * FROM pmodm WHERE run = '{right}') p ON b.assembly = p.assembly WHERE (coalesce(b.instrumented, false) OR coalesce(p.instrumented, false)) AND b.{c} IS DISTINCT FROM p.{c}"""
+        for name, c in (("sourceUnavailable", "source_unavailable"), ("sourcePartial", "source_partial"))
+    )
+    return f"""SELECT 'member' AS scope, coalesce(b.assembly, p.assembly) AS assembly, coalesce(b.method, p.method) AS method, coalesce(b.status, 'absent') AS base_state, coalesce(p.status, 'absent') AS pr_state
+      FROM (SELECT * FROM pmm WHERE run = '{left}') b FULL JOIN (SELECT * FROM pmm WHERE run = '{right}') p ON b.method = p.method
+      WHERE coalesce(b.status, 'absent') <> coalesce(p.status, 'absent') AND NOT ((b.status IS NULL OR p.status IS NULL) AND coalesce(b.status, p.status) = 'Skipped' AND coalesce(coalesce(b.skip_reason, p.skip_reason) = 'ExcludedByScope', false))
+      UNION ALL {flags}"""
+
+
 def _values(rows: list[tuple]) -> str:
-    lit = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else f"'{v}'"
+    lit = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else quoted(v)
     return "VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
 
 

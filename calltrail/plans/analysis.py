@@ -41,6 +41,7 @@ class Analysis:
     nodes: DataFrame | None = None
     members: DataFrame | None = None
     evidence: DataFrame | None = None
+    consequences: DataFrame | None = None
     coverage: DataFrame | None = None
     call_tree: DataFrame | None = None
     known_members: DataFrame | None = None
@@ -90,6 +91,7 @@ def analyze(events: DataFrame, members: DataFrame, modules: DataFrame, changed:
     if gates:
         return Analysis("refused", gates, 3 if any(g[0] == "ATTRIBUTION_UNOBSERVED" for g in gates) else 4, d)
     found = findings.members(nodes, d.remaining, base_events, pr_events)
-    evidence = findings.evidence(d.remaining, nodes, base_events, pr_events, changed)
+    evidence = tree.stored(findings.evidence(d.remaining, nodes, base_events, pr_events, changed))
+    effects = findings.consequences(evidence, d.remaining, nodes, base_events, pr_events, changed)
     code = 1 if found.where("attribution = 'unexpected'").limit(1).count() else 0
-    return Analysis("analyzed", [], code, d, nodes, found, evidence, frontier.changed_file_coverage(changed, base_events, pr_events), base_events.select(*CALL_TREE), known, frontier.skip_reasons(changed, known))
+    return Analysis("analyzed", [], code, d, nodes, found, evidence, effects, frontier.changed_file_coverage(changed, base_events, pr_events), base_events.select(*CALL_TREE), known, frontier.skip_reasons(changed, known))

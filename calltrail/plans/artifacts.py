@@ -13,7 +13,7 @@ def store(result: Analysis, path: str, spark: SparkSession) -> None:
     status = spark.createDataFrame([(result.status, result.exit_code)], "status string, exit_code int")
     spark.createDataFrame(result.refusals, "code string, message string, observed double, required double").write.mode("overwrite").parquet(f"{path}/refusals")
     if result.status == "analyzed":
-        for name in ("nodes", "members", "evidence", "coverage", "call_tree", "known_members", "skip_reasons"):
+        for name in ("nodes", "members", "evidence", "consequences", "coverage", "call_tree", "known_members", "skip_reasons"):
             getattr(result, name).write.mode("overwrite").parquet(f"{path}/{name}")
         d = result.divergences
         parts = {"divergences": d.remaining, "harness_divergences": d.harness, "matched_keys": d.matched, "noise_keys": d.noise, "noise_histogram": keys.noise_histogram(d.noise), "gaps": d.gaps, "gaps_by_scope": manifests.gaps_by_scope(d.gaps), "manifest_noise": d.manifest_noise, "measures": d.measures}
@@ -21,7 +21,6 @@ def store(result: Analysis, path: str, spark: SparkSession) -> None:
             part.write.mode("overwrite").parquet(f"{path}/{name}")
         counts = result.nodes.groupBy("classification", "attribution").agg(F.count("*").alias("nodes"), F.count_distinct("method").alias("members"))
         counts.write.mode("overwrite").json(f"{path}/frontier_counts")
-        findings.consequences(result.evidence, d.remaining).write.mode("overwrite").parquet(f"{path}/consequences")
         findings.summary(result.members).write.mode("overwrite").json(f"{path}/summary")
     status.write.mode("overwrite").json(f"{path}/status")  # last: it says that the rest is there
 

@@ -45,7 +45,11 @@ class Run:
         return m.orderBy(F.desc("call_sites"), "method").limit(n).crossJoin(totals).withColumn("truncated", F.col("total_members") > n)  # one row of totals
 
     def get_divergence(self, member: str) -> DataFrame:
-        ev = self._table("evidence").where(F.col("method") == member).groupBy("method").agg(F.array_sort(F.collect_list(F.struct("test_id", "ordinal", "kind", "detail", "base_args", "base_return", "pr_return", "assertion_reacted"))).alias("e"))
+        """The member with its first observations and whether there are more; each task hands on its first few only."""
+        shown = ("test_id", "ordinal", "kind", "detail", "base_args", "base_return", "pr_return", "assertion_reacted")
+        of = self._table("evidence").where(F.col("method") == member)
+        first = of.orderBy(*shown).limit(MAX_OBSERVATIONS + 1)  # a top-k: no sort of all of them
+        ev = first.groupBy("method").agg(F.array_sort(F.collect_list(F.struct(*shown))).alias("e"))
         return self._table("members").where(F.col("method") == member).join(ev, "method", "left").withColumns({"evidence": F.slice("e", 1, MAX_OBSERVATIONS), "evidence_truncated": F.size("e") > MAX_OBSERVATIONS}).drop("e")
 
     def get_call_path(self, member: str) -> DataFrame:

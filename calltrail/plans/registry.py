@@ -125,9 +125,6 @@ def queries() -> dict[str, Query]:
         "count_spread": lambda s, p: studies.count_spread(adapter.runs(s, p)),
         "divergences_after_noise": lambda s, p: _remaining(s, p).select("test_id", "method", "ordinal", "kind", "detail"),
         "divergences_by_kind": lambda s, p: _remaining(s, p).groupBy("kind").agg(F.count("*").alias("n")),
-        "manifest_gaps": lambda s, p: _gaps(s).select("scope", "assembly", "method", "base_state", "pr_state"),
-        "manifest_noise": lambda s, p: manifests.manifest_noise(manifests.merge_members(adapter.members(s)), manifests.merge_modules(adapter.modules(s)), _B),
-        "lifecycle": lambda s, p: _gaps(s).where(manifests.is_lifecycle()).select("method", "base_state", "pr_state"),
         "volume_gate": lambda s, p: checks.volume(adapter.runs(s, p), _matched(s, p), keys.noise_keys(_bases(s, p))),
         "orphans": lambda s, p: tree.orphans(_of(s, p, "pr").where("call_id % 7 <> 0")).select("test_id", "call_id", "parent_call_id"),
         "descendant_counts": _descendants,
@@ -141,7 +138,7 @@ def queries() -> dict[str, Query]:
         "top_untested": lambda s, p: _nodes(s, p).where("classification <> 'collateral' AND untested").groupBy("method", "attribution").agg(F.count("*").alias("call_sites")).orderBy(F.desc("call_sites"), "method").limit(50),
         "path_normalize": _paths,
         "declaring_type": lambda s, p: _documents(s, p, "doc_id", F.concat_ws(".", F.lit("App"), "lang", F.concat("source", F.lit("`1")), F.concat(F.lit("Run("), "lang", F.lit(".X)"))).alias("m")).select("doc_id", S.declaring_type(F.col("m")).alias("type"), S.simple_type(S.declaring_type(F.col("m"))).alias("simple"), S.short_member(F.col("m")).alias("short")),
-        "redact": lambda s, p: _documents(s, p, "doc_id", F.sha2(S.redact(F.col("text")), 256).alias("shown"), S.sensitive_name(F.element_at(F.split("text", " "), 1)).alias("sensitive")),
+        "redact": lambda s, p: _documents(s, p, "doc_id", F.sha2(S.redact(F.col("text")), 256).alias("shown"), S.sensitive_name(F.col("text")).alias("sensitive")),
         "sensitive_members": lambda s, p: _of(s, p, "base1").select("call_id", S.sensitive_name(F.concat("method", "args_rendered")).alias("sensitive"), S.digest_only_path(F.col("file_path"), ("src/click.py", "purchase.py")).alias("digest_only_path"), S.digest_only_type(S.declaring_type(F.col("method")), ("app",)).alias("digest_only_type")),
         "side_identifiers": lambda s, p: _documents(s, p, "doc_id", S.side_identifiers(F.concat(F.lit("+"), F.replace("text", F.lit(". "), F.lit("\n-")))).alias("i")).select("doc_id", F.array_join(F.array_sort("i"), " ").alias("identifiers")),
         "sha_digest": lambda s, p: _documents(s, p, "doc_id", S.sha_digest(F.col("text")).alias("digest"), F.length(S.truncate(F.col("text"))).cast("long").alias("rendered_chars")),
@@ -195,11 +192,20 @@ coll AS (SELECT DISTINCT k.test_id, k.method FROM dk k JOIN pr2 r ON r.test_id =
 nd AS (SELECT k.* FROM dk k LEFT JOIN coll c ON c.test_id = k.test_id AND c.method = k.method WHERE c.test_id IS NULL),
 bl AS (SELECT n.test_id, n.method, r.dt, r.dm FROM nd n JOIN pr2 r ON r.test_id = n.test_id AND r.method = n.method WHERE NOT n.unalignable),
 mk AS (SELECT test_id, method FROM kk WHERE bn IS NOT NULL AND pn IS NOT NULL AND NOT h AND confidence = 'Partial'),
+walk(call_id, route) AS (
+  SELECT b.call_id, [b.line_number] FROM b LEFT JOIN b u ON u.call_id = b.parent_call_id WHERE u.call_id IS NULL
+  UNION ALL SELECT b.call_id, list_append(w.route, b.line_number) FROM walk w JOIN b ON b.parent_call_id = w.call_id),
+met AS (
+  SELECT a.test_id, a.method, c.test_id AS dt, c.method AS dm, row_number() OVER (PARTITION BY a.test_id, a.method ORDER BY a.process, a.line_number, w.route) AS met_at
+  FROM up u JOIN b a ON a.call_id = u.anc JOIN b c ON c.call_id = u.call_id JOIN walk w ON w.call_id = c.call_id JOIN nd n ON n.test_id = a.test_id AND n.method = a.method AND NOT n.unalignable),
+sk AS (SELECT split_part(method, '.', 1) AS type, max(method || coalesce(' (' || skip_reason || ')', '')) AS text FROM mem WHERE run = 'base1' AND status = 'Skipped' AND skip_reason IS DISTINCT FROM 'Unobservable' GROUP BY 1),
 rs AS (
-  SELECT test_id, method, 2 AS r, 'SubtreeUnalignable' AS t FROM nd WHERE unalignable
-  UNION ALL SELECT n.test_id, n.method, 3, 'NodePartial' FROM nd n JOIN mk m ON m.test_id = n.test_id AND m.method = n.method
-  UNION ALL SELECT l.test_id, l.method, 4, 'DescendantPartial: ' || min(l.dm) FROM bl l JOIN mk m ON m.test_id = l.dt AND m.method = l.dm GROUP BY l.test_id, l.method
-  UNION ALL SELECT l.test_id, l.method, 6, 'DescendantSourceUnresolved: ' || min(l.dm || '=' || m.source_resolution) FROM bl l JOIN mem m ON m.method = l.dm AND m.run = 'base1'
+  SELECT test_id, method, 2 AS r, {SubtreeUnalignable} AS t FROM nd WHERE unalignable
+  UNION ALL SELECT n.test_id, n.method, 3, {NodePartial} FROM nd n JOIN mk m ON m.test_id = n.test_id AND m.method = n.method
+  UNION ALL SELECT l.test_id, l.method, 4, replace({DescendantPartial}, '%s', arg_min(l.dm, l.met_at)) FROM met l JOIN mk m ON m.test_id = l.dt AND m.method = l.dm GROUP BY l.test_id, l.method
+  UNION ALL SELECT l.test_id, l.method, 5, replace({DescendantSkipped}, '%s', arg_min(s.type || ' also declares ' || s.text, l.met_at))
+    FROM (SELECT test_id, method, dm, met_at FROM met UNION ALL SELECT test_id, method, method, 1000000000 FROM nd) l JOIN sk s ON s.type = split_part(l.dm, '.', 1) GROUP BY l.test_id, l.method
+  UNION ALL SELECT l.test_id, l.method, 6, replace({DescendantSourceUnresolved}, '%s', arg_min(l.dm || ' resolved its source as ' || chr(39) || m.source_resolution || chr(39), l.met_at)) FROM met l JOIN mem m ON m.method = l.dm AND m.run = 'base1'
     WHERE m.source_resolution NOT IN ('debugInfo', 'generatedState', 'sequencePoints', 'stateMachine') GROUP BY l.test_id, l.method),
 ra AS (SELECT test_id, method, string_agg(t, '|' ORDER BY r) AS reasons FROM rs GROUP BY test_id, method),
 ht AS (SELECT DISTINCT test_id FROM dv WHERE is_harness),
@@ -209,6 +215,8 @@ fr AS (SELECT k.test_id, k.method, k.path, CASE WHEN c.test_id IS NOT NULL THEN
   FROM dk k LEFT JOIN coll c ON c.test_id = k.test_id AND c.method = k.method LEFT JOIN ra ON ra.test_id = k.test_id AND ra.method = k.method
   LEFT JOIN ht ON ht.test_id = k.test_id LEFT JOIN sy ON sy.test_id = k.test_id AND sy.method = k.method
   LEFT JOIN (SELECT test_id, method, count(*) AS n FROM bl GROUP BY test_id, method) x ON x.test_id = k.test_id AND x.method = k.method)"""
+for _name, _text in frontier.REASON_TEXT.items():
+    _FRONTIER = _FRONTIER.replace("{" + _name + "}", adapter.quoted(_text))
 _FOUND = """
 fm AS (SELECT method, lower(min(attribution)) AS attribution, min(path) AS file_path, count(*) AS call_sites, CAST(sum(descendant_keys_compared) AS BIGINT) AS descendants_compared, CAST(sum(CASE WHEN untested THEN 1 ELSE 0 END) AS BIGINT) AS untested_call_sites, arg_min(classification, test_id) = 'frontier' AS verified
   FROM fr WHERE classification <> 'collateral' GROUP BY method),
@@ -257,9 +265,6 @@ def oracle_sql() -> dict[str, str]:
         "count_spread": _with(t, "mr AS (SELECT method, run, count(*) AS n FROM tr WHERE NOT is_harness GROUP BY method, run)", select="SELECT method, CASE WHEN count(*) < 4 THEN 0 ELSE min(n) END AS least, max(n) AS most, max(n) - CASE WHEN count(*) < 4 THEN 0 ELSE min(n) END AS spread FROM mr GROUP BY method"),
         "divergences_after_noise": noise("SELECT test_id, method, ordinal, kind, detail FROM rem"),
         "divergences_by_kind": noise("SELECT kind, count(*) AS n FROM rem GROUP BY kind"),
-        "manifest_gaps": _with(t, gap, select="SELECT 'member' AS scope, 'App' AS assembly, method, base_state, pr_state FROM gp UNION ALL SELECT 'assembly:sourcePartial', 'App', NULL, 'False', 'True'"),
-        "manifest_noise": "SELECT 'member' AS scope, 'App' AS assembly, 'App.flaky()' AS method",
-        "lifecycle": _with(t, gap, select="SELECT method, base_state, pr_state FROM gp WHERE (base_state = 'absent' AND pr_state = 'Patched') OR (base_state = 'Patched' AND pr_state = 'absent')"),
         "volume_gate": noise("""SELECT m.*, round(CASE WHEN base1_events = 0 THEN 100.0 ELSE abs(base1_events - base2_events) * 100.0 / base1_events END, 4) AS drift_percent,
           round(CASE WHEN matched_keys = 0 THEN 100.0 ELSE noise_keys * 100.0 / matched_keys END, 4) AS noise_percent, round(CASE WHEN base_paths = 0 THEN 0.0 ELSE shared_paths * 100.0 / base_paths END, 4) AS overlap_percent
           FROM (SELECT (SELECT count(*) FROM tr WHERE run = 'base1' AND NOT is_harness) AS base1_events, (SELECT count(*) FROM tr WHERE run = 'base2' AND NOT is_harness) AS base2_events, (SELECT count(*) FROM tr WHERE run = 'pr' AND NOT is_harness) AS pr_events,
@@ -279,7 +284,7 @@ def oracle_sql() -> dict[str, str]:
           CASE WHEN starts_with(x, '/_/') THEN substr(x, 4) WHEN starts_with(lower(x), 'c:/repo/') THEN substr(x, 9) ELSE x END AS relative
           FROM (SELECT page_id, replace({path}, '\\', '/') AS x FROM pages)""",
         "declaring_type": "SELECT doc_id, 'App.' || lang || '.' || source || '`1' AS type, source AS simple, source || '.Run' AS short FROM documents",
-        "redact": f"SELECT doc_id, sha256(CASE WHEN {creds} THEN '<redacted>' ELSE text END) AS shown, regexp_matches(lower(split_part(text, ' ', 1)), 'password|token|secret|key|ssn|email|auth|credential') AS sensitive FROM documents",
+        "redact": f"SELECT doc_id, sha256(CASE WHEN {creds} THEN '<redacted>' ELSE text END) AS shown, regexp_matches(lower(text), 'password|token|secret|key|ssn|email|auth|credential') AS sensitive FROM documents",
         "sensitive_members": tr("SELECT call_id, regexp_matches(lower(method || args_rendered), 'password|token|secret|key|ssn|email|auth|credential') AS sensitive, path IN ('src/click.py', 'src/purchase.py') AS digest_only_path, true AS digest_only_type FROM tr WHERE run = 'base1'"),
         "side_identifiers": """WITH l AS (SELECT doc_id, unnest(string_split('+' || replace(text, '. ', chr(10) || '-'), chr(10))) AS line FROM documents),
           w AS (SELECT DISTINCT doc_id, line[1] AS sign, unnest(regexp_extract_all(line, '[\\p{L}\\p{N}\\p{M}_]+')) AS i FROM l WHERE line[1] IN ('+', '-') AND NOT starts_with(line, '+++') AND NOT starts_with(line, '---')),

@@ -162,11 +162,11 @@ def first_added_lines(diff: DataFrame) -> DataFrame:
     return d.where(F.startswith("text", F.lit("+")) & ~F.startswith("text", F.lit("+++"))).groupBy("file").agg(F.min("line").cast("int").alias("line"))
 
 
-def to_lines(events: DataFrame) -> DataFrame:
-    """Canonical lines: the writer's field order, nulls and isHarness=false left out."""
+def to_lines(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Canonical lines (value, beside keep's columns): the writer's field order, nulls and isHarness=false left out."""
     inverse = {c: w for w, c in schema.EVENT_COLUMNS.items()}
     value = lambda c: F.when(F.col(c), True) if c == "is_harness" else F.col(c)
-    return events.select(F.to_json(F.struct(*[value(c).alias(w) for c, w in inverse.items()])).alias("value"))
+    return events.select(*keep, F.to_json(F.struct(*[value(c).alias(w) for c, w in inverse.items()])).alias("value"))
 
 
 def write_events(events: DataFrame, path: str) -> None:

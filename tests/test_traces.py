@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from calltrail.functions import digest
 from calltrail.functions import scalars as S
-from calltrail.operators import findings, keys, tree
+from calltrail.operators import findings, frontier, keys, studies, tree
 from calltrail.plans import analysis, artifacts, lookup
 from calltrail.sources import schema, traces
 from calltrail.streaming import ingest
@@ -221,3 +221,68 @@ def test_stored_tables_go_when_their_user_says_so(spark):
         assert kept.count() == 3
     with pytest.raises(Exception, match="(?i)not.?exist|not.?found"):
         spark.read.parquet(path)
+
+
+def _walk(children, roots):
+    order, size = {}, {}
+
+    def go(c):
+        order[c] = len(order)
+        size[c] = 1 + sum(go(d) for d in children.get(c, ()))
+        return size[c]
+
+    for r in roots:
+        go(r)
+    return {c: (order[c], size[c]) for c in order}
+
+
+@pytest.mark.parametrize("hot_rows", [3, 1_000_000])
+def test_labels_against_walking(spark, hot_rows):
+    parent = {i: (None if i % 37 == 0 else i - 1 if i < 30 else i // 3 if i % 2 else 40) for i in range(150)} | {200: 999, 201: 200, 300: 301, 301: 300, 302: 300}
+    # lines run against the ids, so that the order of siblings is the lines'
+    line = {c: 1000 - c for c in parent}
+    e = frame(spark, [event(call=c, parent=p, ordinal=c, line_number=line[c]) for c, p in parent.items()])
+    forest = {c: p if p in parent else None for c, p in parent.items() if c < 300}
+    children = {}
+    for c in sorted(forest, key=line.get):
+        if forest[c] is not None:
+            children.setdefault(forest[c], []).append(c)
+    want = _walk(children, sorted((c for c, p in forest.items() if p is None), key=line.get))
+    assert {r["call_id"]: (r["pre"], r["size"]) for r in tree.labels(e, hot_rows).collect()} == want
+
+
+def test_reasons_name_what_a_walk_meets_first(spark):
+    """Children are walked by their lines; the node's own type comes last; a category has one reason, with its whole text."""
+    calls = [(1, None, "App.node()", 9), (2, 1, "Zed.first()", 1), (3, 2, "Bob.deep()", 5), (4, 1, "Abe.later()", 2)]
+    base = frame(spark, [event(call=c, parent=p, method=m, line_number=n) for c, p, m, n in calls])
+    nodes = spark.createDataFrame([("T", "App.node()", False, False), ("T", "App.gone()", True, True), ("T", "App.count()", False, True)], "test_id string, method string, lifecycle boolean, unalignable boolean")
+    matched = spark.createDataFrame([("T", m, "Partial") for m in ("Abe.later()", "Bob.deep()")] + [("T", "App.node()", "Exact")], "test_id string, method string, confidence string")
+    rows = [("Abe.x()", "Skipped", "UnsupportedShape", None), ("App.own()", "Skipped", None, None), ("App.z()", "Skipped", "Unobservable", None), ("Abe.later()", "Patched", None, "none"), ("Zed.first()", "Patched", None, "guessed")]
+    members = spark.createDataFrame([("p", i, *r) for i, r in enumerate(rows)], "process string, line_number int, method string, status string, skip_reason string, source_resolution string")
+    got = {r["method"]: r["reasons"] for r in frontier.downgrade_reasons(nodes, frontier.descendants(nodes, base), matched, members).collect()}
+    text = frontier.REASON_TEXT
+    own = text["DescendantSkipped"].replace("%s", "App also declares App.own()")
+    assert got == {
+        "App.node()": [text["DescendantPartial"].replace("%s", "Bob.deep()"), text["DescendantSkipped"].replace("%s", "Abe also declares Abe.x() (UnsupportedShape)"), text["DescendantSourceUnresolved"].replace("%s", "Zed.first() resolved its source as 'guessed'")],
+        "App.gone()": [text["MemberLifecycle"], own], "App.count()": [text["SubtreeUnalignable"], own],
+    }
+
+
+def test_a_key_with_a_third_of_all_calls(spark):
+    """Spread over tasks it gives what one window gives."""
+    def side(run):
+        rows = [event(run, "T", "App.hot()", i, ordinal=i, value=str(i % 7 + (run == "pr" and i == 500))) for i in range(600)]
+        return frame(spark, rows + [event(run, f"T{i}", "App.cold()", 1000 + i, value="1") for i in range(1200)])
+
+    base, pr = side("base1"), side("pr")
+    for found in (lambda n: keys.compare(base, pr, n), lambda n: keys.matched_keys(base, pr, n), lambda n: keys.noise_keys(base.unionByName(pr), n), lambda n: keys.positions(base, n), lambda n: studies.order_instability(base, pr, n), lambda n: studies.entry_ordinals(base, n), lambda n: studies.first_roots(base, n)):
+        one, spread = found(1_000_000), found(50)
+        assert one.count() and one.exceptAll(spread).isEmpty() and spread.exceptAll(one).isEmpty()
+
+
+def test_multisets_are_told_apart_whatever_their_order(spark):
+    a = frame(spark, [event(call=i, ordinal=i, value=str(i % 3)) for i in range(30)])
+    rows = lambda df: {r["signature"] for r in studies.key_signatures(df).collect()}
+    assert rows(a) == rows(a.withColumn("ordinal", 29 - F.col("ordinal")).orderBy(F.desc("call_id")))
+    # the same values, other counts
+    assert rows(a) != rows(frame(spark, [event(call=i, ordinal=i, value=str(i % 3 if i else 1)) for i in range(30)]))
