@@ -6,7 +6,7 @@ The linear program (fewest sequences, fractions allowed, that hold all pieces) i
 it gets covered; a knapsack by dynamic programming finds the dearest configuration, and for every length the dearest one that it is in; those within a tolerance of the
 best are used a little more. Prices over the best configuration's value are a dual solution, so every round also gives a proven lower bound.
 Rounding takes whole multiples of the configurations, as far as there are pieces, and fits what is left, longest first, into the tightest place (which
-may be in a new sequence). Several thresholds of rounding are tried, and smaller steps of the weights, until a plan is within 0.01 % of the bound or the work is spent.
+may be in a new sequence). Several thresholds of rounding are tried, and smaller steps of the weights, until a plan is within 0.01 % of the bound, or (of over 100 lengths) one sequence, or the work is spent.
 
 The result is a list of patterns with multiplicities, made from the histogram on the driver. A piece's number among those of its length (``operators.scans``, so that a length of a
 third of all pieces is spread over tasks) then determines its sequence and offset by a binary search in the patterns' table; nothing is grouped.
@@ -289,8 +289,8 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[Pattern], float
     lengths, counts = np.array(list(rest)), np.array(list(rest.values()))
     bound, best, rounds, step = float((lengths * counts).sum() / capacity), None, 0, 0.1
     number = lambda ps: sum(n for _, n in ps)
-    good = lambda: number(best) <= max(np.ceil(bound - 1e-6), bound * (1 + ENOUGH))
-    most = WORK * 1000 // (capacity * (1 + len(lengths) // 1000)) + 10
+    good = lambda: number(best) <= max(np.ceil(bound - 1e-6) + (len(lengths) > 100), bound * (1 + ENOUGH))
+    most = WORK * 1000 // (capacity * (1 + len(lengths) // 100)) + 10
     # until the plan is proved to be good or the rounds of pricing have had their share of work
     while best is None or (not good() and rounds < most):
         for used, least in solve(lengths, counts, capacity, step):
