@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from calltrail import tables
 from calltrail.operators import checks, findings, frontier, keys, manifests, tree
 
 
@@ -30,6 +31,11 @@ class Divergences:
     manifest_noise: DataFrame
     measures: DataFrame
     refusals: DataFrame
+    #: rows of each step, counted by the pass that made it
+    steps: dict[str, Observation] = field(default_factory=dict)
+
+    def step_counts(self) -> list[tuple[str, int]]:
+        return [(name, seen.get["rows"]) for name, seen in self.steps.items()]
 
 
 @dataclass
@@ -52,18 +58,24 @@ def diff(events: DataFrame, members: DataFrame, modules: DataFrame, changed: Dat
     """events, members and modules of all runs in one table each, told apart by run."""
     of = lambda df, r: df.where(F.col("run") == r)
     base_events, pr_events = of(events, bases[0]), of(events, pr)
-    merged, mods = tree.stored(manifests.merge_members(members)), tree.stored(manifests.merge_modules(modules))
+    steps: dict[str, Observation] = {}
+
+    def step(name: str, df: DataFrame) -> DataFrame:
+        out, steps[name] = tables.counted(df)
+        return out
+
+    merged, mods = step("members", manifests.merge_members(members)), step("modules", manifests.merge_modules(modules))
     quiet = manifests.manifest_noise(merged, mods, bases)
-    gaps = tree.stored(manifests.without_manifest_noise(manifests.manifest_diff(of(merged, bases[0]), of(merged, pr), of(mods, bases[0]), of(mods, pr)), quiet))
-    noise = tree.stored(keys.noise_keys(events.where(F.col("run").isin(bases))))
-    found = tree.stored(keys.compare(base_events, pr_events))
+    gaps = step("gaps", manifests.without_manifest_noise(manifests.manifest_diff(of(merged, bases[0]), of(merged, pr), of(mods, bases[0]), of(mods, pr)), quiet))
+    noise = step("noise_keys", keys.noise_keys(events.where(F.col("run").isin(bases))))
+    found = step("divergences", keys.compare(base_events, pr_events))
     left = keys.without_noise(found, noise, manifests.gap_methods(gaps, changed, base_events, pr_events))
     born = manifests.lifecycle_divergences(gaps, base_events, pr_events, changed)
     missing = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in ("base_args", "pr_args", "base_return", "pr_return", "base_exception", "pr_exception")]
     born = born.select("test_id", "method", F.lit(-1).alias("ordinal"), "kind", "detail", F.lit("Exact").alias("confidence"), F.array().cast("array<string>").alias("markers"), "file_path", *missing, F.lit(False).alias("is_harness"))
-    matched = tree.stored(keys.matched_keys(base_events, pr_events))
+    matched = step("matched_keys", keys.matched_keys(base_events, pr_events))
     measures = checks.volume(events, matched, noise, bases[0], bases[1], pr)
-    return Divergences(tree.stored(left.unionByName(born)), found.where("is_harness"), matched, noise, gaps, quiet, measures, checks.volume_refusals(measures))
+    return Divergences(step("remaining", left.unionByName(born)), found.where("is_harness"), matched, noise, gaps, quiet, measures, checks.volume_refusals(measures), steps)
 
 
 def analyze(events: DataFrame, members: DataFrame, modules: DataFrame, changed: DataFrame, bases: list[str], pr: str = "pr", load: DataFrame | None = None, accounting: DataFrame | None = None) -> Analysis:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from calltrail import tables
 from calltrail.functions import scalars as S
-from calltrail.operators import checks, claims, findings, frontier, keys, manifests, studies, tree
-from calltrail.plans import adapter
-from calltrail.sources import traces
+from calltrail.operators import checks, claims, findings, frontier, keys, manifests, scopes, studies, tree
+from calltrail.plans import adapter, analysis
+from calltrail.sources import documents, traces
 
 _B = adapter.BASES
 
@@ -82,6 +82,32 @@ def _integrity(events: DataFrame) -> DataFrame:
     return studies.run_integrity(events, modules, expected_tests=1)
 
 
+def _host_names(spark, sf_dir):
+    """Hosts and their upper domains turned around, com.example.www, by the id with or without the path's first segment."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("host"), F.regexp_extract("url", "^[a-z]+://[^/]*/([^/?#.]*)", 1).alias("first"))
+    turned = F.array_join(F.reverse(F.split("host", r"[.]")), ".")
+    return p.select(F.when(F.col("page_id") % 3 == 0, turned).otherwise(F.concat(turned, F.lit("."), "first")).alias("name"))
+
+
+def _steps(spark, sf_dir):
+    """Rows of each step of a comparison, as the passes that made them counted."""
+    members, modules = adapter.members(spark), adapter.modules(spark)
+    d = analysis.diff(tables.stored(adapter.runs(spark, sf_dir)), members, modules, adapter.changed(spark), _B)
+    return spark.createDataFrame(d.step_counts(), "step string, rows long").where("step IN ('noise_keys', 'divergences', 'matched_keys')")
+
+
+def _document(spark, sf_dir):
+    """Customers written as one document and read back: names as text, balances that are no whole number by default, ids as they are or as text."""
+    path = f"{tables.shared_dir(spark)}/customers-{uuid.uuid4().hex}.json"
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    odd = F.col("c_custkey") % 2 == 0
+    rows = c.select(F.when(odd, F.col("c_custkey").cast("string")).alias("text_id"), F.when(~odd, F.col("c_custkey")).alias("id"), F.col("c_name").alias("name"), odd.alias("even"), F.split("c_name", "#").alias("words"))
+    documents.write_document({"customers": rows}, "customers/1", path)
+    row = documents.section(documents.read_document(spark, path, "customers/1"), "customers")
+    either = F.coalesce(documents.id_of("row", "id"), documents.id_of("row", "text_id"))
+    return row.select(either.alias("id"), documents.string_of("row", "name", "").alias("name"), documents.long_of("row", "name", -1).alias("no_number"), documents.bool_of("row", "even").alias("even"), F.size(documents.strings_of("row", "words")).alias("words"), documents.string_of("row", "id", "none").alias("no_text"))
+
+
 def _cited(spark, sf_dir):
     """Words of whole documents as citations about their source, of a kind that the word gives."""
     kinds = F.array(*map(F.lit, ("OBSERVATION", "DIFF", "CONSEQUENCE", "RELATED")))
@@ -156,6 +182,10 @@ def queries(walked, found) -> dict:
         "merged_modules": lambda s, p: _pages(s, p)[1].select("run", "assembly", "process", "instrumented", "source_unavailable", "source_partial"),
         "inferred_roots": _roots,
         "trace_lines": _trace_lines,
+        "collapsed_hosts": lambda s, p: scopes.collapsed(_host_names(s, p)),
+        "covering_hosts": lambda s, p: scopes.covering(_host_names(s, p)),
+        "step_counts": _steps,
+        "read_document": _document,
         "restated": _restated,
         "judged_claims": _judged,
         "manifest_accounting": lambda s, p: checks.manifest_violations(*_manifests(s, p)),
@@ -197,6 +227,8 @@ def oracle_sql(tr, noise, fr, fo) -> dict[str, str]:
       (SELECT count(*) FROM kk WHERE bn IS NOT NULL AND pn IS NOT NULL AND NOT h) AS mk, (SELECT count(*) FROM noise) AS nk, (SELECT count(DISTINCT path) FROM b WHERE NOT is_harness) AS bp, (SELECT count(DISTINCT path) FROM b WHERE NOT is_harness AND path IN (SELECT path FROM p WHERE NOT is_harness)) AS sp)"""
     page = lambda select: f"WITH {adapter.PAGE_SQL} {select}" if not select.startswith(",") else f"WITH {adapter.PAGE_SQL}{select}"
     flicker = " UNION ALL ".join(adapter.page_gap_sql(a, b) for i, a in enumerate(_B) for b in _B[i + 1 :])
+    hosts = """WITH h AS (SELECT DISTINCT name FROM (SELECT CASE WHEN page_id % 3 = 0 THEN turned ELSE turned || '.' || regexp_extract(url, '^[a-z]+://[^/]*/([^/?#.]*)', 1) END AS name
+      FROM (SELECT *, array_to_string(list_reverse(string_split(regexp_extract(url, '^[a-z]+://([^/]*)', 1), '.')), '.') AS turned FROM pages)) WHERE name <> '') """
     of_files = """, fm AS (SELECT DISTINCT c.path, m.assembly, m.method, m.status, m.skip_reason FROM pch c JOIN pmm m ON m.run = 'pr'
       AND (m.assembly = c.path OR regexp_replace(regexp_extract(c.path, '[^/]*$'), '[.][^.]*$', '') = regexp_extract(m.method, '^Ns[.](T[0-9]+)[.]', 1))) """
     cited = """WITH kinds AS (SELECT ['OBSERVATION', 'DIFF', 'CONSEQUENCE', 'RELATED'] AS kinds),
@@ -221,6 +253,10 @@ def oracle_sql(tr, noise, fr, fo) -> dict[str, str]:
           SELECT n.part, n.host, coalesce(array_to_string(arg_max(c.head, c.k), '/'), '') AS root FROM n LEFT JOIN c ON c.part = n.part AND c.host = n.host AND c.n = n.every GROUP BY n.part, n.host""",
         "trace_lines": tr("SELECT call_id, CAST(row_number() OVER (PARTITION BY process ORDER BY call_id) AS INTEGER) AS line_number FROM tr WHERE run = 'base1'"),
         "first_evidence": _after(fr(""), "fe AS (SELECT method, test_id, ordinal, kind, detail, row_number() OVER (PARTITION BY method, test_id ORDER BY ordinal, kind, detail) AS n FROM rem WHERE method IN (SELECT method FROM fr WHERE classification <> 'collateral'))", "SELECT method, test_id, ordinal, kind, detail FROM fe WHERE n = 1"),
+        "collapsed_hosts": hosts + "SELECT name FROM h WHERE NOT EXISTS (SELECT 1 FROM h q WHERE starts_with(h.name, q.name || '.'))",
+        "covering_hosts": hosts + "SELECT h.name, (SELECT arg_min(q.name, length(q.name)) FROM h q WHERE q.name = h.name OR starts_with(h.name, q.name || '.')) AS covers FROM h",
+        "step_counts": noise("SELECT 'noise_keys' AS step, count(*) AS rows FROM noise UNION ALL SELECT 'divergences', count(*) FROM dv UNION ALL SELECT 'matched_keys', count(*) FROM kk WHERE bn IS NOT NULL AND pn IS NOT NULL AND NOT h"),
+        "read_document": "SELECT c_custkey AS id, c_name AS name, -1 AS no_number, c_custkey % 2 = 0 AS even, CAST(len(string_split(c_name, '#')) AS INTEGER) AS words, 'none' AS no_text FROM customer",
         "restated": """WITH v AS (SELECT DISTINCT lower(array_to_string(string_split(text, ' ')[2:3], ' ')) AS value FROM benchmark)
           SELECT doc_id AS claim_id, value FROM documents, v WHERE value <> '' AND regexp_matches(lower(text), '(^|[^a-z0-9_])' || regexp_escape(value) || '($|[^a-z0-9_])')""",
         "judged_claims": cited + """, c AS (SELECT item_id AS claim_id, member, text AS why, list_transform(string_split(text, ' '), lambda w: kinds[length(w) % 4 + 1] || ': ' || w) AS wc FROM items, kinds),

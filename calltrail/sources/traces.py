@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from calltrail import tables
 from calltrail.functions import scalars as S
 from calltrail.sources import schema
 from calltrail.tables import stored
@@ -151,6 +154,23 @@ def changed_files(spark: SparkSession, path: str) -> DataFrame:
     return text.where("path <> ''").distinct()
 
 
+def changed_between(spark: SparkSession, left: str, right: str, glob: str = "*", skip: tuple[str, ...] = ("bin", "obj")) -> DataFrame:
+    """One column, path: files of the left folder that the right one lacks or has with other content, relative and with slashes; folders named as in skip are passed over.
+
+    Contents are hashed where they are read, so only paths and digests are joined. A file is a value, so it is under 2 GB.
+    """
+
+    def files(root: str) -> DataFrame:
+        base = tables.qualified(spark, root)
+        read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+        path = F.ltrim(F.substring(F.regexp_replace("path", r"^file:/+", "file:/"), len(re.sub(r"^file:/+", "file:/", base)) + 1, 1 << 16), F.lit("/"))
+        found = read.select(path.alias("path"), F.sha2("content", 256).alias("digest"))
+        return found.where(~F.exists(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), lambda x: x.isin(*skip)))
+
+    there = files(right).select("path", F.col("digest").alias("other"))
+    return files(left).join(there, "path", "left").where("other IS NULL OR other <> digest").select("path")
+
+
 def first_added_lines(diff: DataFrame) -> DataFrame:
     """(file, line) of the first added line of each file in a unified diff given as n, text."""
     w = Window.partitionBy(F.lit(0)).orderBy("n")  # one diff is one small text

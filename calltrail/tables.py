@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _folders: list[list[str]] = []
 
@@ -51,6 +54,61 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with its file system's scheme, without an end slash."""
+    fs, at = _fs(spark, path)
+    return str(fs.makeQualified(at).toString()).rstrip("/")
+
+
 def delete(spark: SparkSession, path: str) -> bool:
     fs, at = _fs(spark, path)
     return fs.delete(at, True)
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    fs, at = _fs(spark, old)
+    if not fs.rename(at, spark._jvm.org.apache.hadoop.fs.Path(new)):
+        raise OSError(f"{old} could not be renamed to {new}")
+
+
+def create_new(spark: SparkSession, path: str) -> bool:
+    """Makes an empty file; False if there is one already."""
+    fs, at = _fs(spark, path)
+    fs.mkdirs(at.getParent())
+    try:
+        return fs.createNewFile(at)
+    except Py4JJavaError as e:
+        if "AlreadyExists" not in e.java_exception.getClass().getName():
+            raise
+        return False
+
+
+def age_seconds(spark: SparkSession, path: str) -> float | None:
+    fs, at = _fs(spark, path)
+    return time.time() - fs.getFileStatus(at).getModificationTime() / 1000 if fs.exists(at) else None
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    fs, at = _fs(spark, path)
+    return sorted(str(s.getPath()) for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def merge(spark: SparkSession, folders: list[str], to: str) -> None:
+    """The files of folders, by name, as one file: a stream of bytes through this process, whatever their size."""
+    target, place = _fs(spark, to)
+    out = target.create(place, True)
+    try:
+        for path in (p for folder in folders for p in children(spark, folder)):
+            if not path.rsplit("/", 1)[-1].startswith(("_", ".")):
+                fs, at = _fs(spark, path)
+                source = fs.open(at)
+                spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16, False)
+                source.close()
+    finally:
+        out.close()
+
+
+def counted(df: DataFrame, **measures) -> tuple[DataFrame, Observation]:
+    """df as a stored table, and what the pass that wrote it counted: rows and further aggregates."""
+    seen = Observation()
+    return stored(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[m.alias(name) for name, m in measures.items()])), seen
