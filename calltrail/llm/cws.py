@@ -8,7 +8,7 @@ sample with a probability equal to their generalised Jaccard similarity, sum(min
 A fingerprint is ``samples`` numbers of 32 bits in hex; 0 stands for a text without words. Two such texts have a likeness of 1.
 
 Rows are dealt out once, by blocks of consecutive ids. A block's rows are ordered by (id, text), so repeated ids are rows of
-their own. The text that follows a block's last row comes from a table with one row per block; the order of blocks is
+their own (a text's words, the edited text's and the digest are one row's arrays until they are exploded, so a very long text must fit a task's memory a few times). The text that follows a block's last row comes from a table with one row per block; the order of blocks is
 found in groups of ``FAN`` numbers, that of the groups in groups again, ``LEVELS`` times, so that no window holds more, with dense ids or hashed ones. Word counts and
 sample minima are then aggregated inside the same partitions. Rows that share an id are one window's work (ids name documents).
 
@@ -91,11 +91,15 @@ def fingerprints(docs: DataFrame, samples: int = 24, key: str = "doc_id", text:
     # the edited text's digest travels as a third bag of one marked word
     texts = rows.select("block", "rn", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.array("text", "edited", F.sha2("edited", 256)).alias("variants"))
     each = bags(texts, keys).select(*keys, "variant", "term", F.xxhash64("term").alias("term_hash"), F.log(F.col("n").cast("double")).alias("log_weight"))
-    least = each.groupBy(*keys, "variant").agg(F.max(F.when(F.col("variant") == 2, F.col("term"))).alias("sha"), *[F.min(_sample(k)).alias(f"s{k}") for k in range(samples)])
+    # the digest as numbers: an aggregation of nothing but numbers needs no sort
+    quarter = lambda k: F.conv(F.substring("term", 1 + 16 * k, 16), 16, -10).cast("long")
+    sha = [F.max(F.when(F.col("variant") == 2, quarter(k))).alias(f"q{k}") for k in range(4)]
+    least = each.groupBy(*keys, "variant").agg(*sha, *[F.min(_sample(k)).alias(f"s{k}") for k in range(samples)])
     ids = F.array(*[F.col(f"s{k}").bitwiseAND(0xFFFFFFFF) for k in range(samples)])
     none = F.array_repeat(F.lit(0).cast("long"), samples)
     of = lambda v: F.coalesce(F.max(F.when(F.col("variant") == v, ids)), none)
-    table = written(least.groupBy(*keys).agg(F.max("sha").alias("edited_sha256"), of(0).alias("own"), of(1).alias("edited")), "fingerprints")
+    digest = F.concat(*[F.lpad(F.lower(F.hex(F.max(f"q{k}"))), 16, "0") for k in range(4)]).alias("edited_sha256")
+    table = written(least.groupBy(*keys).agg(digest, of(0).alias("own"), of(1).alias("edited")), "fingerprints")
     w = Window.partitionBy("block").orderBy("rn")
     linked = table.withColumn("lead", F.lead("own").over(w)).join(_links(table, "own", ["rn"]), "block", "left")
     hexed = lambda c: F.array_join(F.transform(c, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
