@@ -10,7 +10,7 @@ revisit, which has none, reports what its head says. A damaged gzip member or a
 Equal payloads of ``min_revisit_bytes`` or more are stored once: rows with a smaller page_id than the
 group's largest become revisit records, whose HTTP head keeps the payload's length. Null html counts as empty, a
 null URL is left out of the record, control characters in a URL are percent-encoded. Repeated rows are
-all written (equal rows at the largest page_id are all responses). A null page_id is always a response. A very long html is one record, which
+all written, and records of one page_id then share their WARC-Record-ID (equal rows at the largest page_id are all responses). A null page_id is always a response. A very long html is one record, which
 must fit a task's memory a few times. Extra columns are ignored, whatever their names;
 no rows, no archives.
 """
@@ -65,12 +65,23 @@ def parse(data: bytes) -> dict:
     return out | {"payload": payload, "declared": int(declared[1])}
 
 
+#: Payloads that occur more than once, up to which their table (about 100 bytes a row) is broadcast.
+MAX_BROADCAST_PAYLOADS = 1_000_000
+
+
 def with_revisits(pages: DataFrame, min_revisit_bytes: int = 1000) -> DataFrame:
-    """page_id, url, html, payload_digest, refers_to; only ids and digests are shuffled by digest, and each group is counted before it is joined."""
+    """page_id, url, html, payload_digest, refers_to.
+
+    Only ids and digests are shuffled: a payload that occurs several times is one row, with the page that holds it, and these rows are counted before they are broadcast. Past
+    ``MAX_BROADCAST_PAYLOADS`` they are joined by (page_id, payload_digest), which moves whole rows but no more for a payload that very many pages share.
+    """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).alias("html")).withColumn("payload_digest", F.sha1("html"))
     large = rows.where(F.octet_length("html") >= min_revisit_bytes).select("page_id", "payload_digest")
-    holders = large.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("least < refers_to").select("payload_digest", "refers_to")
-    revisits = large.join(holders, "payload_digest").where("page_id < refers_to").select("page_id", "payload_digest", "refers_to").distinct()
+    holders = written(large.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("least < refers_to").select("payload_digest", "refers_to"), "holders")
+    if holders.count() <= MAX_BROADCAST_PAYLOADS:
+        held = holders.withColumnRenamed("payload_digest", "_digest")
+        return rows.join(F.broadcast(held), (rows["payload_digest"] == held["_digest"]) & (rows["page_id"] < held["refers_to"]), "left").drop("_digest")
+    revisits = large.join(holders, "payload_digest").where("page_id < refers_to").distinct()
     return rows.join(revisits, ["page_id", "payload_digest"], "left")
 
 
