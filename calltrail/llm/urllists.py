@@ -11,7 +11,7 @@ captures is spread over its periods, and an entry with a long history meets each
 Functions of Spark SQL only.
 
 Null URL, or a URL without a host: never blocked. Null time: never blocked. Rows of the history with a null list, key, action or time are left
-out. Repeated captures give equal rows each. An empty history blocks nothing. Extra columns of captures are kept out.
+out. Repeated captures give equal rows each. Of entries that are equally specific the first by key, start and list is reported. An empty history blocks nothing. Extra columns of captures are kept out.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PERIOD_DAYS = 32
+MAX_BROADCAST_KEYS = 1_000_000
 _HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 _SEGMENT = r"^[a-z][a-z0-9+.-]*://[^/?#]*/([^/?#]+)"
 
@@ -53,6 +54,10 @@ def evaluate(captures: DataFrame, active: DataFrame, url: str = "url", at: str =
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     keys = F.when(F.length("segment") > 0, F.array_append(domains, F.concat_ws("/", "host", "segment"))).otherwise(domains)
     asked = asked.withColumn("key", F.explode(keys)).withColumn("period", _period(F.col("fetched_at")))
+    # every capture asks for its top-level domain; a key that no list has is dropped before anything is moved, where the lists' keys are few enough to be broadcast
+    listed = active.select("key").distinct()
+    if listed.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS:
+        asked = asked.join(F.broadcast(listed), "key", "left_semi")
     horizon = captures.agg(F.max(at)).first()[0]  # one value: periods after the last capture are not needed
     spans = active.where(F.col("valid_from") <= F.lit(horizon)).withColumn("until", F.least("valid_to", F.lit(horizon)))
     spans = spans.withColumn("period", F.explode(F.sequence(_period(F.col("valid_from")), _period(F.col("until"))))).select("list", "key", "period", "valid_from", "valid_to")
