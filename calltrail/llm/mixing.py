@@ -11,7 +11,7 @@ shared folder, so plans stay small and no step is computed twice.
 
 Targets of values that do not occur are left out and the others scaled up. A null source, language or topic is a value of its own,
 ``unknown``. Null or empty text has no tokens and is kept with its cell's probability (rate where the cell has no tokens). Extra columns are
-passed on; those called like a column of the result get the ending ``_in``. Repeated rows are counted and decided each; a null id is never kept. No rows, no output.
+passed on; those called like a column of the result get the ending ``_in``. Repeated rows are counted and decided each; a row without an id is drawn by its text. No rows, no output.
 """
 
 from __future__ import annotations
@@ -103,5 +103,7 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, powers: di
     p = factors.select(*DIMENSIONS, F.round(F.least(F.lit(1.0), F.col("factor") * rate), 6).alias("probability"))
     keys = [F.col(f"_mix.{d}") == F.col(f"_p.{d}") for d in DIMENSIONS]
     joined = rows.join(p.select(F.struct(*DIMENSIONS).alias("_p"), "probability"), keys[0] & keys[1] & keys[2], "left").drop("_p")
-    u = F.conv(F.substring(F.md5(F.col("_mix.doc_id").cast("string")), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    # a row without an id is drawn by its text
+    named = F.coalesce(F.col("_mix.doc_id").cast("string"), F.col("text"), F.lit(""))
+    u = F.conv(F.substring(F.md5(named), 1, 12), 16, 10).cast("double") / float(1 << 48)
     return joined.withColumn("kept", F.coalesce(u < F.col("probability"), F.lit(False)))

@@ -503,3 +503,8 @@ def test_blocks_of_sparse_ids_follow_each_other(spark):
     blocks = sorted({-(1 << 40), -5, 0, 1, 2, 4095, 4096, 1 << 30, (1 << 52) + 3, (1 << 52) + 4, -(1 << 60)})
     got = dict(map(tuple, cws.next_block(spark.createDataFrame([(b,) for b in blocks], "block long")).collect()))
     assert got == dict(zip(blocks, blocks[1:] + blocks[:1], strict=True))
+
+
+def test_rows_without_an_id_are_drawn_by_their_text(spark):
+    docs = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    assert 0.2 < mixing.mix(docs).where("kept").count() / 2000 < 0.4
