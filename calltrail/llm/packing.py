@@ -318,7 +318,7 @@ def places(patterns: list[Pattern]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pack(found: DataFrame, capacity: int = 4096, hot_rows: int = 1_000_000) -> DataFrame:
+def pack(found: DataFrame, capacity: int = 4096, hot_rows: int = 1_000) -> DataFrame:
     """Adds sequence_id and offset to pieces (a table that gives the same rows each time it is read)."""
     histogram = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if not histogram:
