@@ -6,7 +6,7 @@ get them as one column.
 
 Null text counts as empty: it is not toxic, but of no language, so the second stage rejects it, and so it does texts without a letter. Of rows that share a doc_id
 the third stage keeps one (the least by a hash of its text), and none where the id's document is a near copy of one with a smaller id; rows with a null id are kept
-there as they can't be named, and go in the last stage. Equal texts (ties) are settled by the smaller id. Very long texts are read whole. An empty table gives an empty table.
+there as they can't be named, and drawn by their text in the last stage. Equal texts (ties) are settled by the smaller id. Very long texts are read whole. An empty table gives an empty table.
 """
 
 from __future__ import annotations
