@@ -36,23 +36,20 @@ def diverged_keys(divergences: DataFrame) -> DataFrame:
     )
 
 
-def collateral_keys(keys: DataFrame, base_events: DataFrame) -> DataFrame:
-    """Alignable diverged keys with a diverged descendant, by marking upwards from every diverged call."""
-    calls = base_events.join(keys.select(*KEY), KEY, "left_semi")
-    marked = tree.marked_ancestors(base_events, calls)
-    above = base_events.join(marked, tree.CALL, "left_semi").select(*KEY).distinct()
+def collateral_keys(keys: DataFrame, base_events: DataFrame, order: DataFrame) -> DataFrame:
+    """Alignable diverged keys with a diverged call below one of theirs; order: tree.labels of the base events."""
+    calls = tree.stored(base_events.join(keys.select(*KEY), KEY, "left_semi").select(*tree.CALL, *KEY))
+    above = calls.join(tree.with_any_below(order, calls), tree.CALL, "left_semi").select(*KEY).distinct()
     return keys.where("NOT unalignable").select(*KEY).join(above, KEY, "left_semi")
 
 
-def descendants(nodes: DataFrame, base_events: DataFrame) -> DataFrame:
+def descendants(nodes: DataFrame, base_events: DataFrame, order: DataFrame) -> DataFrame:
     """(test_id, method, d_test_id, d_method, found_at): distinct keys below each alignable node's calls, and where a walk of these calls, as they were loaded, first meets each."""
     calls = base_events.join(nodes.where("NOT unalignable").select(*KEY), KEY, "left_semi")
-    below = tree.closure(base_events, calls, down=True)
-    order = tree.labels(base_events)
     origin = calls.select("run", "process", F.col("call_id").alias("origin"), "line_number", *KEY)
-    call = base_events.select("run", "process", "call_id", F.col("test_id").alias("d_test_id"), F.col("method").alias("d_method")).join(order, tree.CALL)
+    call = base_events.select(*tree.CALL, F.col("test_id").alias("d_test_id"), F.col("method").alias("d_method"))
     found_at = F.struct("process", "line_number", "pre")
-    return below.join(call, tree.CALL).join(origin, ["run", "process", "origin"]).groupBy(*KEY, "d_test_id", "d_method").agg(F.min(found_at).alias("found_at"))
+    return tree.below(order, calls).join(call, tree.CALL).join(origin, ["run", "process", "origin"]).groupBy(*KEY, "d_test_id", "d_method").agg(F.min(found_at).alias("found_at"))
 
 
 def downgrade_reasons(nodes: DataFrame, below: DataFrame, matched: DataFrame, members: DataFrame, strict_aliases: bool = False) -> DataFrame:
@@ -101,9 +98,10 @@ def frontier(divergences: DataFrame, harness_divergences: DataFrame, base_events
     Descendants come from the base run's tree only: a key that the base lacks has none and is a node.
     """
     keys = tree.stored(diverged_keys(divergences))
-    collateral = tree.stored(collateral_keys(keys, base_events))
+    order = tree.labels(base_events)
+    collateral = tree.stored(collateral_keys(keys, base_events, order))
     nodes = tree.stored(keys.join(collateral, KEY, "left_anti"))
-    below = tree.stored(descendants(nodes, base_events))
+    below = tree.stored(descendants(nodes, base_events, order))
     reasons = downgrade_reasons(nodes, below, matched, members, strict_aliases)
     compared = below.groupBy(*KEY).agg(F.count("*").alias("descendant_keys_compared"))
     line = base_events.join(keys.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.min_by("line", F.struct("process", "line_number")).alias("line"))

@@ -10,7 +10,7 @@ an interval of numbers, and the order in which a walk would discover calls is a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calltrail.operators import scans
@@ -86,6 +86,33 @@ def labels(events: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
     return pre.select(*CALL, "pre", "size")
 
 
+#: Numbers that one row is spread into at a time, and calls whose followers one window finds.
+SPAN = 4096
+
+
+def below(order: DataFrame, calls: DataFrame) -> DataFrame:
+    """(run, process, origin, call_id, pre) for every proper descendant of calls, by the intervals of labels: one equi-join, no rounds.
+
+    An interval is spread into its numbers in steps, so that no array grows with a subtree.
+    """
+    own = order.join(calls.select(*CALL).distinct(), CALL).where("size > 1")
+    steps = own.select("run", "process", F.col("call_id").alias("origin"), F.col("pre"), (F.col("pre") + F.col("size") - 1).alias("last"), F.explode(F.sequence(F.col("pre") + 1, F.col("pre") + F.col("size") - 1, F.lit(SPAN).cast("long"))).alias("from"))
+    numbers = steps.select("run", "process", "origin", F.explode(F.sequence("from", F.least(F.col("from") + SPAN - 1, "last"))).alias("pre"))
+    return numbers.join(order.select(*CALL, "pre"), ["run", "process", "pre"]).select("run", "process", "origin", "call_id", "pre")
+
+
+def with_any_below(order: DataFrame, calls: DataFrame) -> DataFrame:
+    """(run, process, call_id) of those of calls that have another one of them below: the next of them in depth-first order lies in the subtree.
+
+    Followers are found in spans of numbers, and past a span by a table of each span's first.
+    """
+    mine = order.join(calls.select(*CALL).distinct(), CALL).withColumn("span", F.floor(F.col("pre") / SPAN))
+    firsts = mine.groupBy("run", "process", "span").agg(F.min("pre").alias("first"))
+    firsts = firsts.select("run", "process", "span", F.lead("first").over(Window.partitionBy("run", "process").orderBy("span")).alias("later"))
+    inside = mine.withColumn("next", F.lead("pre").over(Window.partitionBy("run", "process", "span").orderBy("pre")))
+    return inside.join(firsts, ["run", "process", "span"]).where(F.coalesce("next", "later") < F.col("pre") + F.col("size")).select(*CALL)
+
+
 def marked_ancestors(events: DataFrame, start: DataFrame) -> DataFrame:
     """(run, process, call_id) of every proper ancestor of any of start's calls; each call is kept once."""
     jumps = _jumps(events)

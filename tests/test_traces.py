@@ -112,6 +112,11 @@ def test_only_the_lowest_change_is_a_finding(spark, tmp_path):
     assert run.get_untested_divergences().count() == 1
     assert run.get_call_path("App.inner()").count() == 3
     assert run.get_divergence("App.inner()").count() == 1
+    artifacts.export(spark, str(tmp_path / "out"), str(tmp_path / "findings.json"))
+    back = artifacts.imported(spark, str(tmp_path / "findings.json"))
+    same = [c for c in back.columns if c != "line"]
+    assert sorted(map(str, back.select(same).collect())) == sorted(map(str, a.members.select(same).collect()))
+    assert dict(map(tuple, spark.read.parquet(str(tmp_path / "out/steps")).collect()))["remaining"] == a.divergences.remaining.count()
 
 
 def test_refusals_are_not_clean_results(spark, tmp_path):
@@ -237,7 +242,8 @@ def _walk(children, roots):
 
 
 @pytest.mark.parametrize("hot_rows", [3, 1_000_000])
-def test_labels_against_walking(spark, hot_rows):
+def test_labels_against_walking(spark, hot_rows, monkeypatch):
+    monkeypatch.setattr(tree, "SPAN", 8)
     parent = {i: (None if i % 37 == 0 else i - 1 if i < 30 else i // 3 if i % 2 else 40) for i in range(150)} | {200: 999, 201: 200, 300: 301, 301: 300, 302: 300}
     # lines run against the ids, so that the order of siblings is the lines'
     line = {c: 1000 - c for c in parent}
@@ -248,7 +254,13 @@ def test_labels_against_walking(spark, hot_rows):
         if forest[c] is not None:
             children.setdefault(forest[c], []).append(c)
     want = _walk(children, sorted((c for c, p in forest.items() if p is None), key=line.get))
-    assert {r["call_id"]: (r["pre"], r["size"]) for r in tree.labels(e, hot_rows).collect()} == want
+    order = tree.labels(e, hot_rows)
+    assert {r["call_id"]: (r["pre"], r["size"]) for r in order.collect()} == want
+    under = {(a, d) for a in want for d in want if want[a][0] < want[d][0] < want[a][0] + want[a][1]}
+    assert {(r["origin"], r["call_id"]) for r in tree.below(order, e).collect()} == under
+    some = e.where("call_id % 7 = 0 OR call_id IN (40, 25)")
+    mine = {r["call_id"] for r in some.collect()}
+    assert {r["call_id"] for r in tree.with_any_below(order, some).collect()} == {a for a, d in under if a in mine and d in mine}
 
 
 def test_reasons_name_what_a_walk_meets_first(spark):
@@ -259,7 +271,7 @@ def test_reasons_name_what_a_walk_meets_first(spark):
     matched = spark.createDataFrame([("T", m, "Partial") for m in ("Abe.later()", "Bob.deep()")] + [("T", "App.node()", "Exact")], "test_id string, method string, confidence string")
     rows = [("Abe.x()", "Skipped", "UnsupportedShape", None), ("App.own()", "Skipped", None, None), ("App.z()", "Skipped", "Unobservable", None), ("Abe.later()", "Patched", None, "none"), ("Zed.first()", "Patched", None, "guessed")]
     members = spark.createDataFrame([("p", i, *r) for i, r in enumerate(rows)], "process string, line_number int, method string, status string, skip_reason string, source_resolution string")
-    got = {r["method"]: r["reasons"] for r in frontier.downgrade_reasons(nodes, frontier.descendants(nodes, base), matched, members).collect()}
+    got = {r["method"]: r["reasons"] for r in frontier.downgrade_reasons(nodes, frontier.descendants(nodes, base, tree.labels(base)), matched, members).collect()}
     text = frontier.REASON_TEXT
     own = text["DescendantSkipped"].replace("%s", "App also declares App.own()")
     assert got == {
