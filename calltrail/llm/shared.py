@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -61,8 +62,28 @@ def apart(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return docs.toDF(*out)
 
 
+#: Rows and bytes of an Arrow batch: with long texts, ten thousand rows would be very large.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bounds on Arrow batches to those of BATCH where they are higher; what a task holds then follows its largest row."""
+    for name, most in BATCH.items():
+        now = int(spark.conf.get(name, "0"))
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
+
+
+def trim() -> None:
+    """Gives memory that a worker has freed back to the machine; workers live long and run many stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The same rows in small batches, so that what is made of them stays small too."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+    trim()
