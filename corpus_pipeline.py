@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calltrail.llm import decontaminate, langid, minhash, mixing, toxicity
-from calltrail.llm.shared import apart, shared_dir, written
+from calltrail.llm.shared import apart, shared_dir, small_batches, written
 
 LEAST_LANGUAGE_SCORE = 0.1
 #: A mixture has no oracle: two classifiers, a sketch and a latent space come before it.
@@ -38,26 +38,31 @@ def _once(docs: DataFrame) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     return toxicity.score(docs, toxicity.fit(docs, labels)).where("predicted = 0").select("row.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = langid.fit(docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
     found = langid.identify(docs, model)
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return _once(_without(docs, minhash.near_duplicates(docs.select("doc_id", "text")).where("NOT kept")))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return _without(docs, decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sampled rows with topic and probability; columns of documents that are called so get the ending _in."""
+    small_batches(spark)
     kept = mixing.mix(docs).where("kept")
     names = [c for c in kept.columns if c not in ("_mix", "probability", "kept")]
     out = apart(kept.select(*names), ("topic",)).columns
