@@ -69,7 +69,7 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.execut
 def small_batches(spark: SparkSession) -> None:
     """Lowers the session's bounds on Arrow batches to those of BATCH where they are higher; what a task holds then follows its largest row."""
     for name, most in BATCH.items():
-        now = int(spark.conf.get(name, "0"))
+        now = int(spark.conf.get(name).rstrip("b"))
         if now <= 0 or now > most:
             spark.conf.set(name, str(most))
 
