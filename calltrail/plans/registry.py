@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from calltrail.functions import digest
 from calltrail.functions import scalars as S
 from calltrail.operators import checks, findings, frontier, keys, manifests, studies, tree
-from calltrail.plans import adapter, audits
+from calltrail.plans import adapter, audits, inputs
 from calltrail.sources import traces
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,7 +155,7 @@ def queries() -> dict[str, Query]:
         "labelled_share": lambda s, p: checks.labelled_share(_of(s, p, "base1")),
         "normalize_roundtrip": _parsed_back,
         "canonical_digest": _digests,
-    } | audits.queries(_walked, _found)
+    } | audits.queries(_walked, _found) | inputs.queries(_walked, _found)
 
 
 _COMPARE = """
@@ -305,4 +305,4 @@ def oracle_sql() -> dict[str, str]:
         "source_census": tr("SELECT run, resolution, count(*) AS events, count(DISTINCT method) AS methods FROM tr GROUP BY run, resolution"),
         "labelled_share": "SELECT count(*) AS events, count(*) AS labelled, CAST(100.0 AS DOUBLE) AS share_percent FROM events",
         "normalize_roundtrip": tr("SELECT test_id, method, call_id, parent_call_id, pos AS ordinal, return_rendered, is_harness, CAST(NULL AS VARCHAR) AS error FROM tr WHERE run = 'base1'"),
-    } | audits.oracle_sql(tr, noise, fr, fo)
+    } | audits.oracle_sql(tr, noise, fr, fo) | inputs.oracle_sql(tr, noise, fr, fo, audits._after)

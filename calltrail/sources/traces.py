@@ -23,8 +23,8 @@ class InputError(ValueError):
     """Input that cannot be analysed; raised instead of giving an empty result."""
 
 
-def lines(spark: SparkSession, path: str, glob: str = "*.ndjson", skip_manifests: bool = True) -> DataFrame:
-    """process (file stem), line_number (from 1), raw of every line that is not blank; a line ends with a line feed, a carriage return or both.
+def lines(spark: SparkSession, path: str, glob: str = "*.ndjson", skip_manifests: bool = True, by: str | None = None) -> DataFrame:
+    """process (file stem, or what the pattern by finds in the path), line_number (from 1), raw of every line that is not blank; a line ends with a line feed, a carriage return or both.
 
     Files are read in splits, so one of any size is many tasks' work and no value is larger than a line. Lines are written once with the split they come from and their place in
     the reading task, as a second reading may be split otherwise. A line's number is its place in the split plus the lines of the file's earlier splits, whose
@@ -39,7 +39,7 @@ def lines(spark: SparkSession, path: str, glob: str = "*.ndjson", skip_manifests
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     splits = stored(counts.select("file", "split", (before - F.col("first") + 1).alias("shift")))
     numbered = each.join(F.broadcast(splits) if splits.count() <= MAX_BROADCAST_SPLITS else splits, ["file", "split"])
-    return numbered.where(F.trim("value") != "").select(F.regexp_replace("name", r"(\.manifest)?\.ndjson$", "").alias("process"), (F.col("at") + F.col("shift")).cast("int").alias("line_number"), F.col("value").alias("raw"))
+    return numbered.where(F.trim("value") != "").select((F.regexp_extract("file", by, 1) if by else F.regexp_replace("name", r"(\.manifest)?\.ndjson$", "")).alias("process"), (F.col("at") + F.col("shift")).cast("int").alias("line_number"), F.col("value").alias("raw"))
 
 
 def parse_events(raw: DataFrame) -> DataFrame:
@@ -83,19 +83,26 @@ def canonical_resolution(value: Column) -> Column:
     return out
 
 
+def report(parsed: DataFrame, run: str, root: str = "") -> DataFrame:
+    """One row of a run's parsed lines: run, records, malformed, path counters."""
+    kind, ok = S.path_class(F.col("file_path"), F.lit(root)), F.col("error").isNull()
+    one = parsed.agg(F.count("*").alias("records"), F.count_if(~ok).alias("malformed"), *[F.count_if(ok & (kind == k)).alias(n) for k, n in (("normalized", "normalized"), ("relative", "relative"), ("still-absolute", "still_absolute"), ("missing", "missing"))])
+    return one.select(F.lit(run).alias("run"), "*")
+
+
 def load_report(spark: SparkSession, path: str, run: str, root: str = "") -> DataFrame:
     """One row: run, language, records, malformed, path counters."""
-    p = parse_events(lines(spark, path))
-    kind = S.path_class(F.col("file_path"), F.lit(root))
     language = read_manifest(spark, path).where("kind = 'run'").agg(F.min("language").alias("language"))
-    ok = F.col("error").isNull()
-    one = p.agg(F.count("*").alias("records"), F.count_if(~ok).alias("malformed"), *[F.count_if(ok & (kind == k)).alias(n) for k, n in (("normalized", "normalized"), ("relative", "relative"), ("still-absolute", "still_absolute"), ("missing", "missing"))])
-    return one.crossJoin(language).select(F.lit(run).alias("run"), "language", "records", "malformed", "normalized", "relative", "still_absolute", "missing")  # one row each
+    return report(parse_events(lines(spark, path)), run, root).crossJoin(language)  # one row each
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """All records of a run's manifests with process and line_number, and error for what the contract rules out."""
-    raw = lines(spark, path, "*.manifest.ndjson", skip_manifests=False)
+    return parse_manifest(lines(spark, path, "*.manifest.ndjson", skip_manifests=False))
+
+
+def parse_manifest(raw: DataFrame) -> DataFrame:
+    """The records of manifest lines (process, line_number, raw)."""
     strict = T.StructType([*schema.WIRE_MANIFEST.fields, T.StructField(_CORRUPT, T.StringType())])
     p = raw.withColumn("m", F.from_json("raw", strict, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})).select("process", "line_number", "raw", "m.*")
     known = lambda c, values: F.coalesce(F.col(c).isin(*values), F.lit(False))
@@ -171,15 +178,15 @@ def changed_between(spark: SparkSession, left: str, right: str, glob: str = "*",
     return files(left).join(there, "path", "left").where("other IS NULL OR other <> digest").select("path")
 
 
-def first_added_lines(diff: DataFrame) -> DataFrame:
-    """(file, line) of the first added line of each file in a unified diff given as n, text."""
-    w = Window.partitionBy(F.lit(0)).orderBy("n")  # one diff is one small text
-    d = diff.withColumn("file", F.last(F.when(F.startswith("text", F.lit("+++ b/")), F.substring("text", 7, 4096)), True).over(w)).withColumn("start", F.when(F.startswith("text", F.lit("@@")), F.regexp_extract("text", r"^@@ -\S+ \+(\d+)", 1).cast("int")))
+def first_added_lines(diffs: DataFrame) -> DataFrame:
+    """(diff, file, line) of the first added line of each file in unified diffs given as lines (diff, n, text); a diff is one task's work, a file's lines are numbered within it."""
+    w = Window.partitionBy("diff").orderBy("n")
+    d = diffs.withColumn("file", F.last(F.when(F.startswith("text", F.lit("+++ b/")), F.substring("text", 7, 4096)), True).over(w)).withColumn("start", F.when(F.startswith("text", F.lit("@@")), F.regexp_extract("text", r"^@@ -\S+ \+(\d+)", 1).cast("int")))
     d = d.withColumn("hunk", F.count("start").over(w)).withColumn("begin", F.last("start", True).over(w))
-    inside = Window.partitionBy("file", "hunk").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("diff", "file", "hunk").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     new = F.when(F.col("start").isNull() & ~F.startswith("text", F.lit("-")), 1).otherwise(0)
     d = d.withColumn("line", F.col("begin") + F.coalesce(F.sum(new).over(inside), F.lit(0)))
-    return d.where(F.startswith("text", F.lit("+")) & ~F.startswith("text", F.lit("+++"))).groupBy("file").agg(F.min("line").cast("int").alias("line"))
+    return d.where(F.startswith("text", F.lit("+")) & ~F.startswith("text", F.lit("+++"))).groupBy("diff", "file").agg(F.min("line").cast("int").alias("line"))
 
 
 def to_lines(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
