@@ -139,7 +139,7 @@ def queries() -> dict[str, Query]:
         "path_normalize": _paths,
         "declaring_type": lambda s, p: _documents(s, p, "doc_id", F.concat_ws(".", F.lit("App"), "lang", F.concat("source", F.lit("`1")), F.concat(F.lit("Run("), "lang", F.lit(".X)"))).alias("m")).select("doc_id", S.declaring_type(F.col("m")).alias("type"), S.simple_type(S.declaring_type(F.col("m"))).alias("simple"), S.short_member(F.col("m")).alias("short")),
         "redact": lambda s, p: _documents(s, p, "doc_id", F.sha2(S.redact(F.col("text")), 256).alias("shown"), S.sensitive_name(F.col("text")).alias("sensitive")),
-        "sensitive_members": lambda s, p: _of(s, p, "base1").select("call_id", S.sensitive_name(F.concat("method", "args_rendered")).alias("sensitive"), S.digest_only_path(F.col("file_path"), ("src/click.py", "purchase.py")).alias("digest_only_path"), S.digest_only_type(S.declaring_type(F.col("method")), ("app",)).alias("digest_only_type")),
+        "sensitive_members": lambda s, p: _of(s, p, "base1").select("call_id", S.sensitive_name(F.concat("method", "args_rendered")).alias("sensitive"), S.digest_only_path(F.col("file_path"), ("src/click.py", "purchase.py")).alias("digest_only_path"), S.digest_only_type(F.concat(S.declaring_type(F.col("method")), F.lit("."), F.substring_index(F.substring_index("method", "(", 1), ".", -1)), ("app.view", "App.cl", "app.error")).alias("digest_only_type")),
         "side_identifiers": lambda s, p: _documents(s, p, "doc_id", S.side_identifiers(F.concat(F.lit("+"), F.replace("text", F.lit(". "), F.lit("\n-")))).alias("i")).select("doc_id", F.array_join(F.array_sort("i"), " ").alias("identifiers")),
         "sha_digest": lambda s, p: _documents(s, p, "doc_id", S.sha_digest(F.col("text")).alias("digest"), F.length(S.truncate(F.col("text"))).cast("long").alias("rendered_chars")),
         "marker_classify": lambda s, p: _of(s, p, "base1").select("call_id", S.partial_markers(F.col("args_rendered"), F.col("return_rendered")).alias("m")).select("call_id", F.array_join("m", "|").alias("markers"), S.confidence(F.col("m")).alias("confidence")),
@@ -152,7 +152,7 @@ def queries() -> dict[str, Query]:
         "shape_differences": lambda s, p: studies.shape_differences(_of(s, p, "base1"), _of(s, p, "pr")).agg(F.count("*").alias("shapes"), F.coalesce(F.sum("left_tests"), F.lit(0)).alias("left_tests"), F.coalesce(F.sum("right_tests"), F.lit(0)).alias("right_tests")),
         "patched_vs_traced": lambda s, p: studies.patched_vs_traced(_of(s, p, "base1"), _members(s)),
         "source_census": lambda s, p: studies.source_census(adapter.runs(s, p)),
-        "labelled_share": lambda s, p: checks.labelled_share(_of(s, p, "base1")),
+        "labelled_share": lambda s, p: checks.labelled_share(_of(s, p, "base1").withColumn("test_id", F.when(F.col("call_id") % 37 == 0, "(no-test)").otherwise(F.col("test_id")))),
         "normalize_roundtrip": _parsed_back,
         "canonical_digest": _digests,
     } | audits.queries(_walked, _found) | inputs.queries(_walked, _found)
@@ -285,7 +285,7 @@ def oracle_sql() -> dict[str, str]:
           FROM (SELECT page_id, replace({path}, '\\', '/') AS x FROM pages)""",
         "declaring_type": "SELECT doc_id, 'App.' || lang || '.' || source || '`1' AS type, source AS simple, source || '.Run' AS short FROM documents",
         "redact": f"SELECT doc_id, sha256(CASE WHEN {creds} THEN '<redacted>' ELSE text END) AS shown, regexp_matches(lower(text), 'password|token|secret|key|ssn|email|auth|credential') AS sensitive FROM documents",
-        "sensitive_members": tr("SELECT call_id, regexp_matches(lower(method || args_rendered), 'password|token|secret|key|ssn|email|auth|credential') AS sensitive, path IN ('src/click.py', 'src/purchase.py') AS digest_only_path, true AS digest_only_type FROM tr WHERE run = 'base1'"),
+        "sensitive_members": tr("SELECT call_id, regexp_matches(lower(method || args_rendered), 'password|token|secret|key|ssn|email|auth|credential') AS sensitive, path IN ('src/click.py', 'src/purchase.py') AS digest_only_path, method IN ('App.view()', 'App.error()') AS digest_only_type FROM tr WHERE run = 'base1'"),
         "side_identifiers": """WITH l AS (SELECT doc_id, unnest(string_split('+' || replace(text, '. ', chr(10) || '-'), chr(10))) AS line FROM documents),
           w AS (SELECT DISTINCT doc_id, line[1] AS sign, unnest(regexp_extract_all(line, '[\\p{L}\\p{N}\\p{M}_]+')) AS i FROM l WHERE line[1] IN ('+', '-') AND NOT starts_with(line, '+++') AND NOT starts_with(line, '---')),
           k AS (SELECT doc_id, i, count(*) AS sides FROM w WHERE length(i) >= 4 AND regexp_full_match(i, '[A-Za-z_][A-Za-z0-9_]*') AND i NOT IN ('private', 'public', 'protected', 'internal', 'static', 'const', 'readonly', 'decimal', 'string', 'bool', 'true', 'false', 'return', 'class', 'record', 'struct', 'namespace') GROUP BY doc_id, i),
@@ -303,6 +303,6 @@ def oracle_sql() -> dict[str, str]:
           sc AS (SELECT s, sum(CASE WHEN run = 'base1' THEN 1 ELSE 0 END) AS l, sum(CASE WHEN run = 'pr' THEN 1 ELSE 0 END) AS r FROM sh GROUP BY s)""", select="SELECT count(*) AS shapes, CAST(coalesce(sum(l), 0) AS BIGINT) AS left_tests, CAST(coalesce(sum(r), 0) AS BIGINT) AS right_tests FROM sc WHERE l <> r"),
         "patched_vs_traced": tr("SELECT DISTINCT method, 'silent' AS state FROM mem WHERE run = 'base1' AND status = 'Patched' AND method NOT IN (SELECT method FROM tr WHERE run = 'base1') UNION ALL SELECT DISTINCT method, 'orphan' FROM tr WHERE run = 'base1' AND method NOT IN (SELECT method FROM mem WHERE run = 'base1' AND status = 'Patched')"),
         "source_census": tr("SELECT run, resolution, count(*) AS events, count(DISTINCT method) AS methods FROM tr GROUP BY run, resolution"),
-        "labelled_share": "SELECT count(*) AS events, count(*) AS labelled, CAST(100.0 AS DOUBLE) AS share_percent FROM events",
+        "labelled_share": "SELECT count(*) AS events, count(*) FILTER (event_id % 37 <> 0) AS labelled, round(count(*) FILTER (event_id % 37 <> 0) * 100.0 / count(*), 4) AS share_percent FROM events",
         "normalize_roundtrip": tr("SELECT test_id, method, call_id, parent_call_id, pos AS ordinal, return_rendered, is_harness, CAST(NULL AS VARCHAR) AS error FROM tr WHERE run = 'base1'"),
     } | audits.oracle_sql(tr, noise, fr, fo) | inputs.oracle_sql(tr, noise, fr, fo, audits._after)
