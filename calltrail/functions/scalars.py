@@ -145,7 +145,14 @@ def redact(text: Column) -> Column:
 
 
 def path_like(text: Column) -> Column:
-    return (F.length(text) > 2) & text.rlike(r"^[A-Za-z]:[\\/]|^/[^/]*/|^\\\\")
+    """Rooted on some system, with something below the root; text with a NUL is no path."""
+    return (F.length(text) > 2) & ~F.contains(text, F.lit("\x00")) & text.rlike(r"^\p{L}:[\\/]|^/[^/]*/|^\\\\")
+
+
+def string_text(text: Column, temp: str = "") -> Column:
+    """A string as a digest shows it: quoted, or without what differs between machines where it is a path."""
+    inside = F.startswith(F.lower(text), F.lit(temp.lower())) if temp else F.lit(False)
+    return F.when(path_like(text), F.when(inside, "<tempfile>").otherwise("<path>")).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
 
 
 def in_scope(value: Column, include: list[str], exclude: list[str] = (), sep: str = ".") -> Column:
@@ -168,6 +175,21 @@ def escape_cell(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
 
 
+def value_or_exception(value: Column, exception: Column) -> Column:
+    """What a call came to, as shown in a report."""
+    return F.when(exception.isNotNull(), F.concat(F.lit("exception "), code_text(exception))).otherwise(code_text(display_text(F.coalesce(value, F.lit("(not rendered)")))))
+
+
+def code_text(text: Column) -> Column:
+    return F.concat(F.lit("`"), F.replace(text, F.lit("`"), F.lit("'")), F.lit("`"))
+
+
+def invocation(method: Column, args: Column) -> Column:
+    """A member's own name with the arguments that were rendered."""
+    name = F.substring_index(F.substring_index(method, "(", 1), ".", -1)
+    return F.concat(name, F.lit("("), display_text(F.coalesce(args, F.lit("arguments not rendered"))), F.lit(")"))
+
+
 def duration_seconds(text: Column) -> Column:
     n = F.regexp_extract(text, r"^(\d+)[hd]$", 1)
     return F.when(n != "", n.cast("long") * F.when(F.endswith(text, F.lit("d")), 86400).otherwise(3600))

@@ -68,6 +68,18 @@ def members(nodes: DataFrame, divergences: DataFrame, base_events: DataFrame, pr
     )
 
 
+def reaching_files(ev: DataFrame) -> DataFrame:
+    """(method, changed_files): the edited files on the paths of a member's evidence."""
+    return ev.select("method", F.explode("changed_files_on_path").alias("path")).distinct().groupBy("method").agg(F.array_sort(F.collect_list("path")).alias("changed_files"))
+
+
+def observing_tests(divergences: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(method, test_id, reacted): the tests that observed each frontier member's change, and whether one of their assertions reacted."""
+    mine = nodes.where(_ATTRIBUTED).select("test_id", "method", (~F.col("untested")).alias("reacted"))
+    seen = divergences.select("test_id", "method").distinct().join(mine.select("method").distinct(), "method", "left_semi")
+    return seen.join(mine, KEY, "left").select("method", "test_id", F.coalesce("reacted", F.lit(False)).alias("reacted"))
+
+
 def summary(found: DataFrame) -> DataFrame:
     """Totals over members: by attribution, call sites, verified, untested, clean."""
     is_ = lambda a: F.col("attribution") == a

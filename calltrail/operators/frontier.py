@@ -150,6 +150,15 @@ def changed_file_coverage(changed: DataFrame, base_events: DataFrame, pr_events:
     return out.withColumn("exercised", (F.col("base_calls") + F.col("pr_calls")) > 0)
 
 
+def coverage_totals(coverage: DataFrame) -> DataFrame:
+    """One row over changed_file_coverage: sums of the files' own distinct counts."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return coverage.agg(
+        F.count("*").alias("edited_files"), F.count_if("exercised").alias("exercised_files"), total("members").alias("traced_members"), total("call_sites").alias("observed_call_sites"),
+        total("base_calls").alias("base_calls"), total("pr_calls").alias("pr_calls"), (total("base_calls") + total("pr_calls")).alias("total_calls"),
+    )
+
+
 def attribution_refusals(nodes: DataFrame, changed: DataFrame, base_events: DataFrame, members: DataFrame) -> DataFrame:
     """(code, message, observed, required) of gates that fail; empty means attribution can be trusted."""
     spark = nodes.sparkSession

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,6 +98,32 @@ def patched_vs_traced(events: DataFrame, members: DataFrame) -> DataFrame:
     return traced.join(patched, "method", "left_anti").withColumn("state", F.lit("orphan")).unionByName(patched.join(traced, "method", "left_anti").withColumn("state", F.lit("silent")))
 
 
+def root_composition(events: DataFrame, members: DataFrame) -> DataFrame:
+    """(run, method, calls, is_test_root): what the calls at depth 0 are; a method without a record is no test root."""
+    marked = members.groupBy("method").agg(F.bool_or(F.coalesce("is_test_root", F.lit(False))).alias("is_test_root"))
+    return events.where("call_depth = 0").groupBy("run", "method").agg(F.count("*").alias("calls")).join(marked, "method", "left").select("run", "method", "calls", F.coalesce("is_test_root", F.lit(False)).alias("is_test_root"))
+
+
+def process_audit(events: DataFrame, modules: DataFrame, members: DataFrame, writers: DataFrame) -> DataFrame:
+    """(process, problem, subject, observed, expected) for what does not add up in a process: module records that occur twice, traced calls of a module against its members' events, members without
+    a module, events without a member, written lines against events."""
+    row = lambda df, problem, subject, observed, expected: df.select("process", F.lit(problem).alias("problem"), subject.alias("subject"), observed.cast("long").alias("observed"), expected.cast("long").alias("expected"))
+    zero, one = F.lit(0), F.lit(1)
+    calls = events.groupBy("process", "method").agg(F.count("*").alias("calls"))
+    twice = modules.groupBy("process", "assembly").agg(F.count("*").alias("n")).where("n > 1")
+    owner = members.select("process", "assembly", "method").distinct()
+    traced = owner.join(calls, ["process", "method"]).groupBy("process", "assembly").agg(F.sum("calls").alias("calls"))
+    off = modules.groupBy("process", "assembly").agg(F.max("traced_calls").alias("traced_calls")).join(traced, ["process", "assembly"], "left").where("traced_calls <> coalesce(calls, 0)")
+    lone = members.select("process", "assembly").distinct().join(modules, ["process", "assembly"], "left_anti")
+    strange = calls.join(owner, ["process", "method"], "left_anti")
+    lines = writers.select("process", "written").join(calls.groupBy("process").agg(F.sum("calls").alias("calls")), "process", "left").where("written <> coalesce(calls, 0)")
+    parts = [
+        row(twice, "module recorded twice", F.col("assembly"), F.col("n"), one), row(off, "traced calls of a module", F.col("assembly"), F.coalesce("calls", zero), F.col("traced_calls")),
+        row(lone, "members without a module", F.col("assembly"), one, zero), row(strange, "events without a member", F.col("method"), F.col("calls"), zero), row(lines, "written lines", F.lit(""), F.coalesce("calls", zero), F.col("written")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def source_census(events: DataFrame) -> DataFrame:
     return events.groupBy("run", F.coalesce("resolution", F.lit("unresolved")).alias("resolution")).agg(F.count("*").alias("events"), F.count_distinct("method").alias("methods"))
 

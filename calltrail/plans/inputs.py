@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calltrail import tables
-from calltrail.operators import checks, findings, frontier, keys, manifests
+from calltrail.functions import scalars as S
+from calltrail.operators import checks, findings, frontier, keys, manifests, studies
 from calltrail.plans import adapter, artifacts, lookup
 from calltrail.plans.analysis import CALL_TREE, Analysis, Divergences
 from calltrail.sources import traces
@@ -114,6 +115,11 @@ def queries(walked, found) -> dict:
         "changed_files": _changed,
         "first_added_lines": _diffs,
         "divergences_after_gaps": lambda s, p: keys.without_noise(keys.compare(adapter.run(s, p, "base1"), adapter.run(s, p, "pr")), keys.noise_keys(adapter.runs(s, p, tuple(adapter.BASES))), _event_gaps(s, p)).select(*keys.KEY, "ordinal", "kind"),
+        "process_audit": _audit,
+        "shown_values": _shown,
+        "root_composition": lambda s, p: studies.root_composition(adapter.run(s, p, "base1").withColumn("call_depth", F.col("parent_call_id").isNotNull().cast("int")), adapter.members(s)),
+        "coverage_totals": lambda s, p: frontier.coverage_totals(frontier.changed_file_coverage(adapter.changed(s), adapter.run(s, p, "base1"), adapter.run(s, p, "pr"))),
+        "observing_tests": lambda s, p: findings.observing_tests(*reversed(walked(s, p)[:2])),
         "listed_divergences": lambda s, p: run(s, p).list_divergences("unexpected").select("method", "call_sites", "total_members", "total_call_sites", "truncated"),
         "listed_evidence": lambda s, p: run(s, p).get_divergence(_MEMBER).select("method", F.explode("evidence").alias("e"), "evidence_truncated").select("method", "e.test_id", "e.ordinal", "e.kind", "e.detail", "e.base_return", "e.pr_return", "evidence_truncated"),
         "listed_call_path": lambda s, p: run(s, p).get_call_path(_MEMBER).select("method", "test_id", "depth", "member"),
@@ -122,6 +128,24 @@ def queries(walked, found) -> dict:
     }
 
 
+def _audit(spark, sf_dir) -> DataFrame:
+    """The base run's processes with module, member and writer records made of their events, some of them by the id left out, doubled or off by one."""
+    e = adapter.run(spark, sf_dir, "base1").select(F.concat("process", F.lit("."), F.substring("test_id", 2, 3)).alias("process"), "method", "call_id")
+    n = e.groupBy("process", "method").agg(F.count("*").alias("n"))
+    members = n.where("n % 5 <> 0").select("process", F.concat(F.lit("M"), F.length("method").cast("string")).alias("assembly"), "method")
+    modules = members.join(n, ["process", "method"]).groupBy("process", "assembly").agg((F.sum("n") + (F.sum("n") % 7 == 0).cast("int")).alias("traced_calls")).where("traced_calls % 11 <> 0")
+    modules = modules.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("traced_calls") % 13 == 0).cast("int")))).drop("copy")
+    writers = n.groupBy("process").agg((F.sum("n") - (F.sum("n") % 3 == 0).cast("int")).alias("written"))
+    return studies.process_audit(e, modules, members, writers)
+
+
+def _shown(spark, sf_dir) -> DataFrame:
+    """Texts of a report over pages: their addresses as paths, as values and as invocations."""
+    p = _table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+:/", "").alias("u"))
+    given = F.expr("CASE page_id % 4 WHEN 0 THEN u WHEN 1 THEN concat('C:', u) WHEN 2 THEN concat('/tmp', u) ELSE substring(u, 2) END")
+    return p.select("page_id", S.string_text(given, "/tmp").alias("shown"), S.value_or_exception(F.when(F.col("page_id") % 3 > 0, F.col("u")), F.when(F.col("page_id") % 5 == 0, F.lit("IOError"))).alias("outcome"), S.invocation(F.concat(F.lit("A.B"), F.col("page_id").cast("string"), F.lit("(int)")), F.when(F.col("page_id") % 2 == 0, F.col("u"))).alias("call"))
+
+
 def _event_gaps(spark, sf_dir) -> DataFrame:
     """Methods of tests' users that other runs do not observe: a gap for every method that fewer than all users of an odd id call."""
     return adapter.run(spark, sf_dir, "base1").where("method = 'App.view()' OR call_id % 1000 = 7").select("method").distinct()
@@ -142,6 +166,24 @@ def oracle_sql(tr, noise, fr, fo, after) -> dict[str, str]:
         "changed_files": "SELECT DISTINCT trim(regexp_replace(url, '^[a-z]+://', '')) AS path FROM pages",
         "first_added_lines": "SELECT doc_id AS diff, 'x.cs' AS file, CAST(doc_id % 7 + 1 + len(string_split(text, chr(10))) AS INTEGER) AS line FROM documents UNION ALL SELECT doc_id, 'y.cs', 40 FROM documents",
         "divergences_after_gaps": after(noise(""), "eg AS (SELECT DISTINCT method FROM tr WHERE run = 'base1' AND (method = 'App.view()' OR call_id % 1000 = 7))", "SELECT test_id, method, ordinal, kind FROM rem WHERE method NOT IN (SELECT method FROM eg)"),
+        "process_audit": after(tr(""), """e AS (SELECT process || '.' || substr(test_id, 2, 3) AS process, method FROM tr WHERE run = 'base1'),
+          n AS (SELECT process, method, count(*) AS n FROM e GROUP BY ALL), mm AS (SELECT process, 'M' || length(method) AS assembly, method, n FROM n WHERE n % 5 <> 0),
+          mo AS (SELECT * FROM (SELECT process, assembly, sum(n) AS calls, sum(n) + CASE WHEN sum(n) % 7 = 0 THEN 1 ELSE 0 END AS traced FROM mm GROUP BY ALL) WHERE traced % 11 <> 0),
+          wr AS (SELECT process, sum(n) AS calls, sum(n) - CASE WHEN sum(n) % 3 = 0 THEN 1 ELSE 0 END AS written FROM n GROUP BY process),
+          au AS (SELECT process, 'module recorded twice' AS problem, assembly AS subject, 2 AS observed, 1 AS expected FROM mo WHERE traced % 13 = 0
+            UNION ALL SELECT process, 'traced calls of a module', assembly, calls, traced FROM mo WHERE calls <> traced
+            UNION ALL SELECT DISTINCT process, 'members without a module', assembly, 1, 0 FROM mm WHERE (process, assembly) NOT IN (SELECT (process, assembly) FROM mo)
+            UNION ALL SELECT process, 'events without a member', method, n, 0 FROM n WHERE n % 5 = 0
+            UNION ALL SELECT process, 'written lines', '', calls, written FROM wr WHERE calls <> written)""", "SELECT process, problem, subject, CAST(observed AS BIGINT) AS observed, CAST(expected AS BIGINT) AS expected FROM au"),
+        "shown_values": """WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+:/', '') AS u FROM pages),
+          g AS (SELECT *, CASE page_id % 4 WHEN 0 THEN u WHEN 1 THEN 'C:' || u WHEN 2 THEN '/tmp' || u ELSE substr(u, 2) END AS given FROM p)
+          SELECT page_id, CASE WHEN length(given) > 2 AND regexp_matches(given, '^[A-Za-z]:[/]|^/[^/]*/') THEN CASE WHEN starts_with(lower(given), '/tmp') THEN '<tempfile>' ELSE '<path>' END ELSE '"' || given || '"' END AS shown,
+            CASE WHEN page_id % 5 = 0 THEN 'exception `IOError`' WHEN page_id % 3 > 0 THEN '`' || u || '`' ELSE '`(not rendered)`' END AS outcome,
+            'B' || page_id || '(' || CASE WHEN page_id % 2 = 0 THEN u ELSE 'arguments not rendered' END || ')' AS call FROM g""",
+        "root_composition": after(tr(""), "rt AS (SELECT method, count(*) AS calls FROM tr WHERE run = 'base1' AND parent_call_id IS NULL GROUP BY method)", "SELECT 'base1' AS run, method, calls, method = 'App.signup()' AS is_test_root FROM rt"),
+        "coverage_totals": after(tr(""), "cf AS (SELECT c.path, x.run, x.test_id, x.method FROM changed c LEFT JOIN tr x ON x.path = c.path AND x.run IN ('base1', 'pr') AND NOT x.is_harness), pf AS (SELECT path, count(DISTINCT method) AS m, count(DISTINCT CASE WHEN method IS NOT NULL THEN test_id || '/' || method END) AS s, count(*) FILTER (run = 'base1') AS b, count(*) FILTER (run = 'pr') AS p FROM cf GROUP BY path)",
+          "SELECT count(*) AS edited_files, count(*) FILTER (b + p > 0) AS exercised_files, CAST(sum(m) AS BIGINT) AS traced_members, CAST(sum(s) AS BIGINT) AS observed_call_sites, CAST(sum(b) AS BIGINT) AS base_calls, CAST(sum(p) AS BIGINT) AS pr_calls, CAST(sum(b + p) AS BIGINT) AS total_calls FROM pf"),
+        "observing_tests": fr("SELECT DISTINCT r.method, r.test_id, coalesce(NOT f.untested AND f.classification <> 'collateral', false) AS reacted FROM rem r LEFT JOIN fr f ON f.test_id = r.test_id AND f.method = r.method WHERE r.method IN (SELECT method FROM fr WHERE classification <> 'collateral')"),
         "listed_divergences": fo("SELECT method, call_sites, count(*) OVER () AS total_members, CAST(sum(call_sites) OVER () AS BIGINT) AS total_call_sites, count(*) OVER () > 50 AS truncated FROM fo WHERE attribution = 'unexpected' ORDER BY call_sites DESC, method LIMIT 50"),
         "listed_evidence": after(fr(""), f"me AS (SELECT r.test_id, r.method, r.ordinal, r.kind, r.detail, CASE WHEN r.ordinal >= 0 THEN r.base_return END AS base_return, CASE WHEN r.ordinal >= 0 THEN r.pr_return END AS pr_return, row_number() OVER (ORDER BY r.test_id, r.ordinal, r.kind, r.detail) AS k, count(*) OVER () AS every FROM rem r WHERE r.method = '{_MEMBER}' AND r.method IN (SELECT method FROM fr WHERE classification <> 'collateral'))", "SELECT method, test_id, ordinal, kind, detail, base_return, pr_return, every > 5 AS evidence_truncated FROM me WHERE k <= 5"),
         "listed_call_path": after(tr("").replace("WITH ", "WITH RECURSIVE ", 1), f"b AS (SELECT * FROM tr WHERE run = 'base1'), {path}, f AS (SELECT * FROM b WHERE method = '{_MEMBER}' ORDER BY test_id, pos, process, line_number LIMIT 1)", "SELECT f.method, f.test_id, CAST(k - 1 AS INTEGER) AS depth, pp.path[k] AS member FROM f JOIN pp ON pp.call_id = f.call_id, unnest(range(1, len(pp.path) + 1)) u(k)"),
