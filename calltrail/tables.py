@@ -26,12 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def made(path: str) -> str:
+    """Says that a folder was made, so that an open scratch deletes it."""
+    for folders in _folders:
+        folders.append(path)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, read again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
-    for made in _folders:
-        made.append(path)
+    path = made(f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -39,13 +44,13 @@ def stored(df: DataFrame) -> DataFrame:
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes the tables that were stored inside it when it ends; results that are to outlive it must be written before."""
-    made: list[str] = []
-    _folders.append(made)
+    mine: list[str] = []
+    _folders.append(mine)
     try:
         yield
     finally:
-        _folders.remove(made)
-        for path in made:
+        _folders[:] = [f for f in _folders if f is not mine]
+        for path in mine:
             delete(spark, path)
 
 
