@@ -4,24 +4,18 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from calltrail import tables
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's name under spark.checkpoint.dir; a local one only where that is unset and one machine does all the work."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = Path(tempfile.gettempdir(), "calltrail-shared").as_uri()
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/calltrail-{uuid.uuid4().hex}"
+    """A new folder's name in the folder that driver and executors share; an open tables.scratch deletes it."""
+    return tables.made(f"{tables.shared_dir(spark)}/calltrail-{uuid.uuid4().hex}")
 
 
 @contextlib.contextmanager
