@@ -91,7 +91,8 @@ class Encoder:
             yield self._encode([blob])[0]
             return
         for part in _steps(blob):
-            words = part.lower().split()
+            # special tokens are found as they are written, before the tokenizer lowers the case
+            words = (part if b"<|" in part else part.lower()).split()
             try:
                 yield b"".join([self.known[w] for w in words])
             except KeyError:

@@ -194,7 +194,7 @@ def test_plans_hold_all_pieces_in_few_sequences():
 
 
 def test_packing_odd_rows(spark):
-    rows = [(1, "un deux"), (1, "un deux"), (None, "x"), (2, None), (3, ""), (4, " \t\n"), (5, "Wort " * 30_000), (6, "z" * 5000), (7, "it's <|endoftext|> \U0001f600 é.́ 0 10. a0. X!!!")]
+    rows = [(1, "un deux"), (1, "un deux"), (None, "x"), (2, None), (3, ""), (4, " \t\n"), (5, "Wort " * 30_000), (6, "z" * 5000), (8, "A<|EndOfText|>b <|ENDOFTEXT|> CATS'S He'LL."), (7, "it's <|endoftext|> \U0001f600 é.́ 0 10. a0. X!!!")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("piece", "ids", "offset", "length")})
     plain = Tokenizer.from_file(WORDS)
     packed = packing.pack_documents(docs, WORDS, capacity=64, by_words=True, with_ids=True)
