@@ -112,7 +112,7 @@ def _descendants(spark, sf_dir):
 def queries() -> dict[str, Query]:
     d = adapter.changed
     return {
-        "trace_summary": lambda s, p: studies.trace_summary(adapter.runs(s, p)).drop("max_depth"),
+        "trace_summary": lambda s, p: studies.trace_summary(adapter.runs(s, p).withColumn("call_depth", F.when(F.col("parent_call_id").isNull(), 0).otherwise(F.col("call_id") % 9).cast("int")).select("run", "process", "test_id", "method", "thread_id", "call_id", "parent_call_id", "call_depth", "exception_type")),
         "call_positions": lambda s, p: keys.positions(_of(s, p, "base1")).select("test_id", "method", "call_id", "pos"),
         "ordinal_gaps": lambda s, p: keys.ordinal_violations(_conversation_events(s, p).where("NOT (test_id LIKE '%7' AND ordinal = 1)")).select("test_id", "calls", "least", "most"),
         "key_compare": lambda s, p: _compare(s, p).where("ordinal < 0").select("test_id", "method", "kind", "detail", "confidence", "is_harness"),
@@ -248,7 +248,7 @@ def oracle_sql() -> dict[str, str]:
     creds = " OR ".join(f"regexp_matches(text, '{p}')" for p in S.CREDENTIALS.values())
     path = _path_sql_input().replace("\\\\", "\\")
     return {
-        "trace_summary": tr("SELECT run, count(*) AS events, count(DISTINCT test_id) AS tests, count(DISTINCT method) AS methods, count(DISTINCT thread_id) AS threads, CAST(sum(CASE WHEN parent_call_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS roots, count(exception_type) AS threw, count(*) - count(DISTINCT call_id) AS duplicate_call_ids FROM tr GROUP BY run"),
+        "trace_summary": tr("SELECT run, count(*) AS events, count(DISTINCT test_id) AS tests, count(DISTINCT method) AS methods, count(DISTINCT thread_id) AS threads, CAST(sum(CASE WHEN parent_call_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS roots, CAST(max(CASE WHEN parent_call_id IS NULL THEN 0 ELSE call_id % 9 END) AS INTEGER) AS max_depth, count(exception_type) AS threw, count(*) - count(DISTINCT (process, call_id)) AS duplicate_call_ids FROM tr GROUP BY run"),
         "call_positions": tr("SELECT test_id, method, call_id, pos FROM tr WHERE run = 'base1'"),
         "ordinal_gaps": "SELECT 'c' || CAST(conv_id AS VARCHAR) AS test_id, count(*) AS calls, CAST(min(turn) AS INTEGER) AS least, CAST(max(turn) AS INTEGER) AS most FROM conversations WHERE NOT (conv_id % 10 = 7 AND turn = 1) GROUP BY conv_id HAVING min(turn) <> 0 OR max(turn) <> count(*) - 1 OR count(DISTINCT turn) <> count(*)",
         "key_compare": cmp_("SELECT test_id, method, kind, detail, confidence, is_harness FROM lv"),
