@@ -4,6 +4,21 @@ from oracle import SF, assert_same
 from calltrail.plans import registry
 
 
+@pytest.fixture(scope="module", autouse=True)
+def walked_once():
+    """The queries of the frontier share one walk of the runs, whose results are tables; each alone would walk them again."""
+    kept, walk = {}, registry._walked
+
+    def once(spark, sf_dir):
+        if sf_dir not in kept:
+            kept[sf_dir] = walk(spark, sf_dir)
+        return kept[sf_dir]
+
+    registry._walked = once
+    yield
+    registry._walked = walk
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_agrees_with_sql(spark, name):
     assert_same(registry.queries()[name](spark, SF), registry.oracle_sql()[name])
