@@ -1,10 +1,10 @@
-"""What is dealt by test once is not moved again."""
+"""What is dealt by test once is not moved again, and questions store what they ask for only."""
 
 from oracle import SF, rows
 
 from calltrail import tables
 from calltrail.operators import keys
-from calltrail.plans import adapter
+from calltrail.plans import adapter, inputs
 
 
 def plan(df):
@@ -34,3 +34,10 @@ def test_keys_of_runs_dealt_by_test_are_not_moved(spark):
         name = events.inputFiles()[0].rsplit("/", 2)[-2]
         assert spark.catalog.tableExists(name)
     assert not spark.catalog.tableExists(name)
+
+
+def test_a_call_path_is_asked_without_a_walk(spark):
+    def walked(*_):
+        raise AssertionError("the frontier says nothing about the base run's calls")
+
+    assert inputs.queries(walked)["listed_call_path"](spark, SF).count() > 0
