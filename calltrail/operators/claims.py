@@ -84,7 +84,8 @@ def restated(claims: DataFrame, values: DataFrame) -> DataFrame:
     pairs = indexed.join(v.where("token IS NOT NULL"), ["member", "token"]).select("claim_id", "member", "value")
     odd = c.select("claim_id", "member").join(v.where("token IS NULL").select("member", "value"), "member").select("claim_id", "member", "value")
     inside = F.rlike("text", F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), F.replace("value", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?![A-Za-z0-9_])")))
-    return pairs.unionByName(odd).join(c.select("claim_id", "text"), "claim_id").where(inside).select("claim_id", "value").distinct()
+    # most pairs share a token only: a plain search comes before the pattern, which is made anew for each pair
+    return pairs.unionByName(odd).join(c.select("claim_id", "text"), "claim_id").where(F.contains("text", "value") & inside).select("claim_id", "value").distinct()
 
 
 def outcome_values(evidence: DataFrame, consequences: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from oracle import SF, rows
 
 from calltrail import tables
-from calltrail.operators import keys
+from calltrail.operators import claims, keys
 from calltrail.plans import adapter, inputs
 
 
@@ -41,3 +41,11 @@ def test_a_call_path_is_asked_without_a_walk(spark):
         raise AssertionError("the frontier says nothing about the base run's calls")
 
     assert inputs.queries(walked)["listed_call_path"](spark, SF).count() > 0
+
+
+def test_a_plain_search_comes_before_a_pattern_for_each_pair(spark):
+    docs = spark.createDataFrame([(1, 1, "a red fox"), (2, 1, "a red ox and a Red\tfox"), (3, 1, "red foxes")], "claim_id int, member int, text string")
+    found = claims.restated(docs, spark.createDataFrame([(1, "Red fox"), (1, "red"), (1, "\\Efox")], "member int, value string"))
+    assert sorted(map(tuple, found.collect())) == [(1, "red"), (1, "red fox"), (2, "red"), (3, "red")]
+    text = plan(found)
+    assert text.lower().index("contains(text") < text.lower().index("rlike")
