@@ -103,7 +103,8 @@ def analyze(events: DataFrame, members: DataFrame, modules: DataFrame, changed:
     if gates:
         return Analysis("refused", gates, 3 if any(g[0] == "ATTRIBUTION_UNOBSERVED" for g in gates) else 4, d)
     found = findings.members(nodes, d.remaining, base_events, pr_events)
-    evidence = tree.stored(findings.evidence(d.remaining, nodes, base_events, pr_events, changed))
-    effects = findings.consequences(evidence, d.remaining, nodes, base_events, pr_events, changed)
+    above = tree.Steps(base_events), tree.Steps(pr_events)
+    evidence = tree.stored(findings.evidence(d.remaining, nodes, base_events, pr_events, changed, above))
+    effects = findings.consequences(evidence, d.remaining, nodes, base_events, pr_events, changed, above)
     code = 1 if found.where("attribution = 'unexpected'").limit(1).count() else 0
     return Analysis("analyzed", [], code, d, nodes, found, evidence, effects, frontier.changed_file_coverage(changed, base_events, pr_events), base_events.select(*CALL_TREE), known, frontier.skip_reasons(changed, known))
