@@ -6,8 +6,8 @@ share is off by more than ``tolerance`` (or ``rounds`` are over, where the targe
 returned). A document is kept with probability min(1, rate * the product of its factors), where rate makes the expected tokens ``keep_share`` of all (cells that
 reach 1 hand their surplus to the others), decided by a hash of its id, so equal ids are decided alike on every run.
 
-Only the cells are iterated, not the documents, by aggregations and joins with tables of a row per value; each step's factors are a table in the
-shared folder, so plans stay small and no step is computed twice.
+Only the cells are iterated, not the documents: each carries its values' targets and factors, so that a round is one window a dimension and no join; each round's cells are a table
+in the shared folder, so plans stay small, no step is computed twice, and the driver keeps one small plan a round.
 
 Targets of values that do not occur are left out and the others scaled up. A null source, language or topic is a value of its own,
 ``unknown``. Null or empty text has no tokens and is kept with its cell's probability (rate where the cell has no tokens). Extra columns are
@@ -16,7 +16,7 @@ passed on; those called like a column of the result get the ending ``_in``. Repe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calltrail.llm.shared import apart, written
@@ -51,36 +51,35 @@ def calibrated(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 30
     """source, lang, topic, factor for each cell, the rate and the residual; targets have value and share (any scale) for each dimension."""
     cells = written(cells, "cells")
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    aims, factors = {}, {}
+    state = cells
     for d in DIMENSIONS:
         present = cells.where("tokens > 0").select(F.col(d).alias("value")).distinct()
         share = written(targets[d].join(present, "value", "left_semi"), f"share_{d}")
         mass = share.agg(F.sum("share")).first()[0] or 1.0
-        aims[d] = share.select(F.col("value").alias(d), (F.col("share") / mass * total).alias("aim"))
-        factors[d] = aims[d].select(d, F.lit(1.0).alias(f"f_{d}"))
-
-    def weighed(without: str | None = None) -> DataFrame:
-        """The cells with the product of the factors so far (0 where a value has no target)."""
-        out, product = cells, F.lit(1.0)
+        aims = share.select(F.col("value").alias(d), (F.col("share") / mass * total).alias(f"aim_{d}"))
+        # 0 where a value has no target
+        state = state.join(aims, d, "left").withColumns({f"f_{d}": F.when(F.col(f"aim_{d}").isNotNull(), 1.0).otherwise(0.0), f"off_{d}": F.lit(0.0)})
+    state = written(state, "state")
+
+    def product(without: str | None = None) -> Column:
+        """The factors of a cell so far."""
+        out = F.lit(1.0)
         for d in DIMENSIONS:
-            if d != without:
-                out = out.join(factors[d].select(d, f"f_{d}"), d, "left")
-                product = product * F.coalesce(f"f_{d}", F.lit(0.0))
-        return out.select(*DIMENSIONS, "tokens", product.alias("factor"))
+            out = out if d == without else out * F.col(f"f_{d}")
+        return out
 
     residual = 0.0
     for _ in range(rounds if total else 0):
         for d in DIMENSIONS:
-            now = weighed(d).groupBy(d).agg(F.sum(F.col("tokens") * F.col("factor")).alias("now"))
-            step = now.join(aims[d], d).join(factors[d].select(d, F.col(f"f_{d}").alias("last")), d)
-            new = F.when(F.col("now") > 0, F.col("aim") / F.col("now")).otherwise(0.0)
-            off = F.when((F.col("aim") > 0) & (F.col("now") > 0), F.abs(F.col("last") * F.col("now") / F.col("aim") - 1)).otherwise(0.0)
-            factors[d] = written(step.select(d, new.alias(f"f_{d}"), off.alias("off")), f"factor_{d}")
-        offs = [factors[d].select("off") for d in DIMENSIONS]
-        residual = float(offs[0].union(offs[1]).union(offs[2]).agg(F.max("off")).first()[0] or 0.0)
+            aim, now = F.col(f"aim_{d}"), F.sum(F.col("tokens") * product(d)).over(Window.partitionBy(d))
+            state = state.withColumn("now", now)
+            off = F.when((aim > 0) & (F.col("now") > 0), F.abs(F.col(f"f_{d}") * F.col("now") / aim - 1)).otherwise(0.0)
+            state = state.withColumn(f"off_{d}", off).withColumn(f"f_{d}", F.when(F.col("now") > 0, F.coalesce(aim / F.col("now"), F.lit(0.0))).otherwise(0.0)).drop("now")
+        state = written(state, "state")
+        residual = float(state.agg(F.max(F.greatest(*[f"off_{d}" for d in DIMENSIONS]))).first()[0] or 0.0)
         if residual <= tolerance:
             break
-    final = written(weighed().withColumn("factor", F.when(F.col("tokens") > 0, F.col("factor")).otherwise(1.0)), "calibrated")
+    final = written(state.select(*DIMENSIONS, "tokens", F.when(F.col("tokens") > 0, product()).otherwise(1.0).alias("factor")), "calibrated")
     rate = keep_share
     while True:  # each time more cells are full, or the rate is found
         full, rest = final.agg(F.sum(F.when(F.col("factor") * rate >= 1, F.col("tokens")).otherwise(0)).cast("double"), F.sum(F.when(F.col("factor") * rate < 1, F.col("tokens") * F.col("factor")).otherwise(0.0)).cast("double")).first()
