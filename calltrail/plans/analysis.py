@@ -98,12 +98,12 @@ def analyze(events: DataFrame, members: DataFrame, modules: DataFrame, changed:
         return Analysis("refused", [tuple(r) for r in refusals], 4, d)
     base_events, pr_events = of(events, bases[0]), of(events, pr)
     known = tree.stored(of(manifests.merge_members(members), bases[0]))
-    nodes = tree.stored(frontier.attribute(frontier.frontier(d.remaining, d.harness, base_events, d.matched, known), changed))
+    above = tree.Steps(base_events), tree.Steps(pr_events)
+    nodes = tree.stored(frontier.attribute(frontier.frontier(d.remaining, d.harness, base_events, d.matched, known, steps=above[0]), changed))
     gates = [tuple(r) for r in frontier.attribution_refusals(nodes, changed, base_events, known).collect()]
     if gates:
         return Analysis("refused", gates, 3 if any(g[0] == "ATTRIBUTION_UNOBSERVED" for g in gates) else 4, d)
     found = findings.members(nodes, d.remaining, base_events, pr_events)
-    above = tree.Steps(base_events), tree.Steps(pr_events)
     evidence = tree.stored(findings.evidence(d.remaining, nodes, base_events, pr_events, changed, above))
     effects = findings.consequences(evidence, d.remaining, nodes, base_events, pr_events, changed, above)
     code = 1 if found.where("attribution = 'unexpected'").limit(1).count() else 0
