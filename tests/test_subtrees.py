@@ -1,12 +1,12 @@
-"""The frontier numbers the nodes' subtrees only, with what numbering the whole run gives."""
+"""The frontier numbers the nodes' subtrees only, with what numbering the whole run gives; questions about evidence walk what they read."""
 
 from oracle import SF
 from test_moved import same
 from test_traces import event, frame
 
 from calltrail import tables
-from calltrail.operators import frontier, tree
-from calltrail.plans import registry
+from calltrail.operators import findings, frontier, tree
+from calltrail.plans import adapter, audits, registry
 
 
 def _diverged(spark, rows):
@@ -51,3 +51,16 @@ def test_only_subtrees_of_nodes_are_numbered(spark, monkeypatch):
     with tables.scratch(spark):
         calls = registry._walked(spark, SF)[2].count()
         assert len(numbered) == 1 and numbered[0] < calls / 10
+
+def test_questions_walk_the_runs_that_they_read(spark, monkeypatch):
+    with tables.scratch(spark):
+        walked = registry._walked(spark, SF)
+        nodes, left, base, pr = walked
+        ev = tables.stored(findings.evidence(left, nodes, base, pr, adapter.changed(spark)))
+        asked, paths = [], findings._paths
+        monkeypatch.setattr(findings, "_paths", lambda rows, events, name, above: asked.append(name) or paths(rows, events, name, above))
+        known = audits.queries(lambda *_: walked, None)
+        for name, whose in (("argument_values", []), ("observations", [])):
+            asked.clear()
+            same(known[name](spark, SF), getattr(findings, name)(ev))
+            assert asked == whose
