@@ -60,7 +60,7 @@ def test_questions_walk_the_runs_that_they_read(spark, monkeypatch):
         asked, paths = [], findings._paths
         monkeypatch.setattr(findings, "_paths", lambda rows, events, name, above: asked.append(name) or paths(rows, events, name, above))
         known = audits.queries(lambda *_: walked, None)
-        for name, whose in (("argument_values", []), ("observations", [])):
+        for name, whose in (("argument_values", []), ("observations", []), ("distinct_paths", ["base_path"])):
             asked.clear()
             same(known[name](spark, SF), getattr(findings, name)(ev))
             assert asked == whose
