@@ -8,11 +8,15 @@ each left out of the counts in turn and shrunk towards the parent by ``PRIOR`` s
 parent's prediction, so a symbol is scored in the state of the longest suffix that is a node.
 
 The corpus is cut into blocks of about ``block_tokens`` words, in file order. For each order (words, then contexts of one word, of two, ...) a block
-sends every distinct gram once, with its training count, to the bucket of its context's hash; a bucket sums the
+sends every distinct gram once, with its training count, to the bucket of its context's number; a bucket sums the
 blocks, tests its contexts, and answers each block with the sums, in the order asked. So what is shuffled are
 distinct grams per block, never one row per occurrence, and a task holds one block or one bucket, whose number
 follows the bytes of text. Answers are a table in the shared folder, partitioned by block, which the next pass reads for its own block.
 
+Buckets give numbers to what they sum: to words by falling frequency, and to grams that are contexts of the next order by their order. Requests name contexts and
+symbols by these, sorted and as differences, and travel as byte planes that are packed each; so they are small, and no two contexts can be taken for one. An answer
+leaves out counts that nobody asks of it: those of rare grams after contexts that are no nodes.
+
 How often a context occurs in all is known from the order before. One that would fill a bucket is dealt over several by symbol; each of
 these adds up its part of the context's gain and of its d, and the parts are summed in one small table (a row per such context, of which there are fewer than
 four a bucket) that every task reads. So each context meets the same test with the same numbers, whatever the number of buckets, blocks or partitions.
@@ -36,7 +40,6 @@ from calltrail.llm.shared import shared_dir, without_leftovers, written
 from calltrail.llm.text import mix, word_hashes
 
 END = np.uint64(0x5851F42D4C957F2D)
-_TAG = np.uint64((1 << 40) - 1)
 #: Symbols of the parent's prediction that the divergence test mixes in.
 PRIOR = 4.0
 #: Answer for a context whose test is in the table of dealt contexts.
@@ -57,6 +60,39 @@ def _unpack(payload: bytes, lengths: list[int], *types) -> list[np.ndarray]:
     return out
 
 
+def _squeezed(*arrays: np.ndarray) -> tuple[bytes, list[int]]:
+    """_pack of unsigned integers, byte by byte of their width: planes of zeros are left out, others packed where that makes them smaller."""
+    out, codec = [], pa.Codec("zstd")
+    for a in arrays:
+        width = (int(a.max()).bit_length() + 7) // 8 if len(a) else 0
+        planes = a.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width]
+        parts = [b"" if not x.any() else min((x.tobytes(), codec.compress(x.tobytes(), asbytes=True)), key=len) for x in planes]
+        out += [bytes([width]), np.array([len(x) for x in parts], "<u4").tobytes(), *parts]
+    return b"".join(out), [len(a) for a in arrays]
+
+
+def _spread(payload: bytes, lengths: list[int]) -> list[np.ndarray]:
+    """The arrays of _squeezed, as 64-bit ones."""
+    out, at, codec = [], 0, pa.Codec("zstd")
+    for n in lengths:
+        width = payload[at]
+        sizes = np.frombuffer(payload, "<u4", width, at + 1)
+        at += 1 + 4 * width
+        planes = np.zeros((8, n), np.uint8)
+        for k, size in enumerate(sizes.tolist()):
+            if size:
+                part = payload[at : at + size]
+                planes[k] = np.frombuffer(part if size == n else codec.decompress(part, decompressed_size=n, asbytes=True), np.uint8)
+            at += size
+        out.append(np.ascontiguousarray(planes.T).view("<u8").reshape(n).astype(np.uint64, copy=False))
+    return out
+
+
+def _steps(rising: np.ndarray) -> np.ndarray:
+    """Differences of rising numbers, the first from 0."""
+    return np.diff(rising, prepend=rising.dtype.type(0))
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True))
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.list_(pa.int64()))], _REQUEST_NAMES)
@@ -123,94 +159,97 @@ class Block:
 def _words_asked(block: Block) -> list[tuple]:
     counts = np.bincount(block.ranks, block.trained, len(block.words)).astype(np.uint32)
     at = block.spans(block.words % np.uint64(block.buckets))
-    return [(block.key, k, *_pack(block.words[lo:hi], counts[lo:hi])) for k, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if hi > lo]
-
-
-def _halves(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The upper 48 bits, in two parts: with the bucket they tell a million contexts apart, but for one pair in 500 buckets."""
-    return (hashes >> np.uint64(16)).astype(np.uint32), (hashes >> np.uint64(48)).astype(np.uint16)
+    return [(block.key, k, *_squeezed(_steps(block.words[lo:hi]), counts[lo:hi])) for k, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if hi > lo]
 
 
 class Grams:
     """The distinct (context, symbol) pairs of a block, ordered by bucket; where says which one a position has (-1: none)."""
 
-    def __init__(self, block: Block, at: np.ndarray, context: np.ndarray, hashes: np.ndarray, totals: np.ndarray, share: float, parent: np.ndarray):
-        """at: positions; context: the number of each one's context; hashes, totals: of all contexts; share: most tokens of one bucket's part of a context; parent: ln P."""
-        m = np.int64(len(block.words))
-        key = context.astype(np.int64) * m + block.ranks[at]
+    def __init__(self, block: Block, at: np.ndarray, context: np.ndarray, numbers: np.ndarray, totals: np.ndarray, share: float, parent: np.ndarray, symbol: np.ndarray, symbols: np.ndarray):
+        """at: positions; context: the place of each one's context in numbers and totals; share: most tokens of one bucket's part of a context; parent: ln P; symbol: the places of all tokens in symbols. numbers and symbols rise."""
+        m = np.int64(len(symbols))
+        key = context.astype(np.int64) * m + symbol[at]
         order = np.argsort(key)
         key = key[order]
         new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
         first = order[new]
-        self.context, symbol = np.divmod(key[new], m)
-        self.tag = mix(block.words[symbol] + np.uint64(1)) & _TAG
-        own = hashes[self.context]
+        self.context, named = np.divmod(key[new], m)
+        self.symbol = symbols[named]
+        own = mix(numbers + np.uint64(1))[self.context]
         fan = np.maximum(1, np.ceil(totals[self.context] / share)).astype(np.uint64)
-        self.bucket = np.where(fan > 1, mix(own + mix(self.tag % fan)), own) % np.uint64(block.buckets)
+        self.bucket = np.where(fan > 1, mix(own + mix(self.symbol % fan)), own) % np.uint64(block.buckets)
         by_bucket = np.argsort(self.bucket.astype(np.uint16 if block.buckets < 1 << 16 else np.int64), kind="stable")
         place = np.empty(len(by_bucket), np.int64)
         place[by_bucket] = np.arange(len(by_bucket))
         self.where = np.full(len(block.ranks), -1, np.int32)
         self.where[at[order]] = place[np.cumsum(new) - 1]
-        self.block, self.bucket, self.context, self.tag, self.dealt = block, self.bucket[by_bucket], self.context[by_bucket], self.tag[by_bucket], fan[by_bucket] > 1
-        self.hash, self.total, self.parent = own[by_bucket], totals[self.context], parent[first[by_bucket]]
+        self.block, self.bucket, self.context, self.symbol, self.dealt = block, self.bucket[by_bucket], self.context[by_bucket], self.symbol[by_bucket], fan[by_bucket] > 1
+        self.number, self.total, self.parent = numbers[self.context], totals[self.context], parent[first[by_bucket]]
         self.count = np.bincount(self.where[at], block.trained[at], len(place)).astype(np.uint32)
         # where a context's grams begin in a bucket
         self.starts = np.flatnonzero(np.concatenate([[True], (self.context[1:] != self.context[:-1]) | (self.bucket[1:] != self.bucket[:-1])])) if len(place) else np.zeros(0, np.int64)
 
-    def keys(self) -> np.ndarray:
-        """Hashes of the grams, as contexts of the next order."""
-        return mix(self.hash * np.uint64(3) + self.tag)
-
     def asked(self) -> list[tuple]:
         at, out = self.block.spans(self.bucket), []
         level = np.clip(np.round(-2048 * self.parent), 0, 65535).astype(np.uint16)
-        sizes = np.diff(np.append(self.starts, len(self.bucket))).astype(np.uint32)
+        sizes = np.diff(np.append(self.starts, len(self.bucket))).astype(np.uint64)
         spans = np.searchsorted(self.starts, at)
+        step = _steps(self.symbol)
+        step[self.starts] = self.symbol[self.starts]
         for k in np.flatnonzero(np.diff(at)).tolist():
             lo, hi = at[k], at[k + 1]
-            s, tag = self.starts[spans[k] : spans[k + 1]], self.tag[lo:hi]
-            out.append((self.block.key, k, *_pack(*_halves(self.hash[s]), sizes[spans[k] : spans[k + 1]] | (self.dealt[s].astype(np.uint32) << np.uint32(31)), (tag & np.uint64(0xFFFFFFFF)).astype(np.uint32), (tag >> np.uint64(32)).astype(np.uint8), level[lo:hi], self.count[lo:hi])))
+            s, n = self.starts[spans[k] : spans[k + 1]], self.count[lo:hi]
+            # grams of held-out texts only need no level: n log n of nothing is nothing
+            out.append((self.block.key, k, *_squeezed(_steps(self.number[s]), sizes[spans[k] : spans[k + 1]] * np.uint64(2) + self.dealt[s], step[lo:hi], level[lo:hi][n > 0], n)))
         return out
 
 
 def _sum_words(table: pa.Table) -> pa.Table:
-    """A bucket's answers to each block: the words' counts; block -1 carries the number of tokens and of known words."""
-    parts = [_unpack(p, n, np.uint64, np.uint32) for p, n in zip(table.column("payload").to_pylist(), table.column("lengths").to_pylist(), strict=True)]
-    words, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    """A bucket's answers to each block: the words' counts and places by falling frequency; block -1 carries the number of tokens and of known words."""
+    parts = [_spread(p, n) for p, n in zip(table.column("payload").to_pylist(), table.column("lengths").to_pylist(), strict=True)]
+    words, at = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
     total = np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
+    place = np.empty(len(words), np.uint64)
+    place[np.argsort(-total, kind="stable")] = np.arange(len(words), dtype=np.uint64)
     ends = np.cumsum([len(p[0]) for p in parts])
     bucket = table.column("bucket")[0].as_py()
-    rows = [(b, bucket, *_pack(total[at[e - len(p[0]) : e]])) for b, p, e in zip(table.column("block").to_pylist(), parts, ends.tolist(), strict=True)]
+    rows = [(b, bucket, *_squeezed(total[at[e - len(p[0]) : e]], place[at[e - len(p[0]) : e]])) for b, p, e in zip(table.column("block").to_pylist(), parts, ends.tolist(), strict=True)]
     return pa.Table.from_batches([_batch([*rows, (-1, bucket, b"", [int(total.sum()), int((total > 0).sum())])])])
 
 
-def _sum_grams(least_gain: float):
-    """A bucket's answers to each block: d of each context it asked for (0: no node) and each gram's count; block -1 carries its part of dealt contexts."""
+def _sum_grams(least_gain: float, least_count: int | None):
+    """A bucket's answers to each block: d of each context it asked for (0: no node), each gram's count (0 where it is of no use), and the places of those seen least_count times among all such grams (None: nobody asks on); block -1 carries its part of dealt contexts."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [_unpack(p, n, np.uint32, np.uint16, np.uint32, np.uint32, np.uint8, np.uint16, np.uint32) for p, n in zip(table.column("payload").to_pylist(), table.column("lengths").to_pylist(), strict=True)]
+        parts = [_spread(p, n) for p, n in zip(table.column("payload").to_pylist(), table.column("lengths").to_pylist(), strict=True)]
         join = lambda k: np.concatenate([p[k] for p in parts])
-        contexts, at, c = np.unique(join(0).astype(np.uint64) | (join(1).astype(np.uint64) << np.uint64(32)), return_index=True, return_inverse=True)
-        sizes = join(2)
-        dealt = sizes[at] >> np.uint32(31) > 0
-        owner = np.repeat(c, sizes & np.uint32(0x7FFFFFFF))
-        tag = join(3).astype(np.uint64) | (join(4).astype(np.uint64) << np.uint64(32))
-        _, first, gram = np.unique((owner.astype(np.uint64) << np.uint64(40)) | tag, return_index=True, return_inverse=True)
-        n = np.bincount(gram, join(6))
+        contexts, at, c = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_index=True, return_inverse=True)
+        sizes = join(1)
+        dealt, sizes = sizes[at] % np.uint64(2) > 0, (sizes // np.uint64(2)).astype(np.int64)
+        owner = np.repeat(c, sizes)
+        symbol, begin = np.cumsum(join(2)), np.cumsum(sizes) - sizes
+        # sums run on from one context to the next and around 2**64
+        symbol -= np.repeat(np.where(begin > 0, symbol[begin - 1], np.uint64(0)), sizes)
+        _, first, gram = np.unique((owner.astype(np.uint64) << np.uint64(40)) | symbol, return_index=True, return_inverse=True)
+        count = join(4)
+        n, level = np.bincount(gram, count), np.zeros(len(first), np.uint16)
+        level[gram[count > 0]] = join(3)
         s = owner[first]
         # n can be 0 where only held-out texts have the gram
         different, total = np.bincount(s, n > 0, len(contexts)), np.bincount(s, n, len(contexts))
-        parent = np.exp(join(5)[first] / -2048.0)
+        parent = np.exp(level / -2048.0)
         # the gain but for what all symbols of a context have in common
         part = np.bincount(s, n * (np.log(np.maximum(n - 1, 0) + PRIOR * parent) - np.log(parent)), len(contexts))
         gain = part - total * np.log(np.maximum(total - 1, 0) + PRIOR)
         d = np.where(dealt, _DEALT, np.where(gain >= least_gain, np.maximum(different, 1), 0)).astype(np.uint32)
-        counts, bucket = n[gram].astype(np.int64), table.column("bucket")[0].as_py()
+        often = n >= least_count if least_count is not None else np.zeros(len(n), bool)
+        place = np.cumsum(often, dtype=np.uint64) - np.uint64(1)
+        counts, bucket = np.where(often | (d[s] > 0), n, 0).astype(np.int64), table.column("bucket")[0].as_py()
         rows, i, j = [], 0, 0
         for b, p in zip(table.column("block").to_pylist(), parts, strict=True):
-            rows.append((b, bucket, *_pack(d[c[i : i + len(p[0])]], counts[j : j + len(p[3])])))
-            i, j = i + len(p[0]), j + len(p[3])
+            mine = gram[j : j + len(p[2])]
+            rows.append((b, bucket, *_squeezed(d[c[i : i + len(p[0])]], counts[mine], _steps(place[mine[often[mine]]]))))
+            i, j = i + len(p[0]), j + len(p[2])
         if dealt.any():
             rows.append((-1, bucket, *_pack(contexts[dealt], part[dealt], different[dealt], total[dealt])))
         return pa.Table.from_batches([_batch(rows)])
@@ -226,7 +265,7 @@ def _dealt_parts(batches):
 
 
 def _dealt_contexts(folder: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and d of the contexts that were dealt over buckets."""
+    """Numbers (sorted) and d of the contexts that were dealt over buckets."""
     where, path = fs.FileSystem.from_uri(folder)
     parts = []
     for info in where.get_file_info(fs.FileSelector(path, allow_not_found=True)):
@@ -234,21 +273,25 @@ def _dealt_contexts(folder: str) -> tuple[np.ndarray, np.ndarray]:
             with where.open_input_file(info.path) as f:
                 parts.append(pq.ParquetFile(f).read(["context", "d"]))
     t = pa.concat_tables(parts) if parts else pa.table({"context": pa.array([], pa.int64()), "d": pa.array([], pa.int64())})
-    hashes, d = t.column("context").to_numpy().view(np.uint64), t.column("d").to_numpy()
-    order = np.argsort(hashes)
-    return hashes[order], d[order]
+    numbers, d = t.column("context").to_numpy().view(np.uint64), t.column("d").to_numpy()
+    order = np.argsort(numbers)
+    return numbers[order], d[order]
 
 
-def _answers(folder: str, block: int, *types) -> list[np.ndarray]:
-    """A block's answers, its buckets in order."""
+def _answers(folder: str, block: int) -> tuple[list[list[np.ndarray]], list[int]]:
+    """A block's answers and their buckets, in the order of these."""
     where, path = fs.FileSystem.from_uri(folder)
     rows = []
     for info in where.get_file_info(fs.FileSelector(f"{path}/block={block}", allow_not_found=True)):
         if info.is_file and info.base_name.endswith(".parquet"):
             with where.open_input_file(info.path) as f:
                 rows += pq.ParquetFile(f).read(["bucket", "payload", "lengths"]).to_pylist()
-    parts = [_unpack(r["payload"], r["lengths"], *types) for r in sorted(rows, key=lambda r: r["bucket"])]
-    return [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, t) for k, t in enumerate(types)]
+    rows.sort(key=lambda r: r["bucket"])
+    return [_spread(r["payload"], r["lengths"]) for r in rows], [r["bucket"] for r in rows]
+
+
+def _joined(arrays: list[np.ndarray], kind: type) -> np.ndarray:
+    return np.concatenate([a.astype(kind, copy=False) for a in arrays]) if arrays else np.zeros(0, kind)
 
 
 @dataclass
@@ -268,12 +311,26 @@ class Walk:
     totals: Totals
     least_count: int
 
+    def _numbers(self, places: list[np.ndarray], buckets: list[int]) -> np.ndarray:
+        """What buckets number from 0 each, as numbers that no other bucket gives."""
+        return _joined([p * np.uint64(self.block.buckets) + np.uint64(k) for p, k in zip(places, buckets, strict=True)], np.uint64)
+
     def words(self, answer: str) -> None:
-        self.c = _answers(answer, self.block.key, np.int64)[0]
+        parts, buckets = _answers(answer, self.block.key)
+        self.c = _joined([p[0] for p in parts], np.int64)
         self.p = self.totals.root(self.c)[self.block.ranks]
         self.depth = np.zeros(len(self.p), np.uint8)
-        # the number, hash and count of the contexts of the next order, by the position of their last word
-        self.context, self.hashes, self.seen = self.block.ranks.view(np.int32), self.block.words, self.c
+        place = self._next(self.c, self._numbers([p[1] for p in parts], buckets))
+        self.symbol, self.symbols = place[self.block.ranks], self.numbers
+        self.context = self.symbol
+
+    def _next(self, seen: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """Takes what has these counts and numbers as the next order's contexts; returns the place of each."""
+        order = np.argsort(numbers)
+        self.numbers, self.seen = numbers[order], seen[order]
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        return place
 
     def grams(self) -> Grams:
         """Those of the next order: a context ends right before each position, in the same text."""
@@ -284,16 +341,16 @@ class Walk:
         context = self.context[at - 1]
         often = self.seen[context] >= self.least_count
         at, context = at[often], context[often]
-        return Grams(self.block, at, context, self.hashes, self.seen, self.totals.tokens / (4 * self.block.buckets), self.p[at])
+        return Grams(self.block, at, context, self.numbers, self.seen, self.totals.tokens / (4 * self.block.buckets), self.p[at], self.symbol, self.symbols)
 
     def take(self, grams: Grams, answer: str, dealt: str) -> None:
         """Moves tokens whose context is a node from their parent's prediction to the node's, and goes on to the next order."""
-        d_of, n = _answers(answer, self.block.key, np.uint32, np.int64)
+        parts, buckets = _answers(answer, self.block.key)
+        d_of, n = _joined([p[0] for p in parts], np.int64), _joined([p[1] for p in parts], np.int64)
         large, d_large = _dealt_contexts(dealt)
-        hashes, d_of = grams.hash[grams.starts] >> np.uint64(16), d_of.astype(np.int64)
         ask = np.flatnonzero(d_of == _DEALT)
         if len(ask):
-            d_of[ask] = d_large[np.searchsorted(large, hashes[ask])]
+            d_of[ask] = d_large[np.searchsorted(large, grams.number[grams.starts[ask]])]
         d = np.repeat(d_of, np.diff(np.append(grams.starts, len(grams.bucket))))
         at = np.flatnonzero(grams.where >= 0)
         g = grams.where[at]
@@ -301,7 +358,13 @@ class Walk:
         at, g = at[node], g[node]
         self.p[at] = np.log((n[g] + d[g] * np.exp(self.p[at])) / (grams.total[g] + d[g]))
         self.depth[at] += 1
-        self.context, self.hashes, self.seen = grams.where, grams.keys(), n
+        # only grams that were seen often are contexts, and have numbers
+        often = np.flatnonzero(n >= self.least_count)
+        numbers = self._numbers([np.cumsum(p[2]) for p in parts], buckets)
+        place = np.full(len(n) + 1, -1, np.int32)
+        if len(numbers):
+            place[often] = self._next(n[often], numbers)
+        self.context = place[grams.where]
 
 
 def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", max_depth: int = 3, least_count: int = 8, least_gain: float = 2.0, block_tokens: int = 1_500_000, files: bool = False) -> DataFrame:
@@ -388,7 +451,8 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
         return ask
 
     for k in range(1, max_depth + 1):
-        answer = answered(blocks.mapInArrow(asking(tuple(known)), REQUEST).groupBy("bucket").applyInArrow(_sum_grams(least_gain), REQUEST), f"counts_{k}")
+        summed = _sum_grams(least_gain, least_count if k < max_depth else None)
+        answer = answered(blocks.mapInArrow(asking(tuple(known)), REQUEST).groupBy("bucket").applyInArrow(summed, REQUEST), f"counts_{k}")
         parts = spark.read.schema(REQUEST).parquet(answer).where("block = -1").select("payload", "lengths")
         large = parts.mapInArrow(_dealt_parts, "context long, part double, different double, total double").groupBy("context").agg(F.sum("part").alias("part"), F.sum("different").cast("long").alias("d"), F.sum("total").alias("total"))
         gain = F.col("part") - F.col("total") * F.log(F.greatest(F.col("total") - 1, F.lit(0.0)) + PRIOR)
