@@ -38,12 +38,15 @@ from pyspark.sql import functions as F
 
 from calltrail.llm.shared import shared_dir, without_leftovers, written
 from calltrail.llm.text import mix, word_hashes
+from calltrail.tables import delete
 
 END = np.uint64(0x5851F42D4C957F2D)
 #: Symbols of the parent's prediction that the divergence test mixes in.
 PRIOR = 4.0
 #: Answer for a context whose test is in the table of dealt contexts.
 _DEALT = np.uint32(0xFFFFFFFF)
+#: In the place of a bucket: a block's state, and its words, which are deleted once they are answered.
+STATE, WORDS = -1, -2
 REQUEST = "block long, bucket int, payload binary, lengths array<long>"
 _REQUEST_NAMES = ["block", "bucket", "payload", "lengths"]
 
@@ -100,18 +103,19 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 @dataclass
 class Block:
-    """One block's texts as ranks in its distinct words, which are ordered by bucket, then hash."""
+    """One block's texts as places of its distinct words, which are ordered by bucket, then hash."""
 
     key: int
     buckets: int
     ids: np.ndarray
     held: np.ndarray
     offsets: np.ndarray
-    words: np.ndarray
+    n_words: int
     ranks: np.ndarray
 
     @classmethod
-    def of(cls, key: int, buckets: int, ids: list, held: list, hashes: list[np.ndarray]) -> Block:
+    def of(cls, key: int, buckets: int, ids: list, held: list, hashes: list[np.ndarray]) -> tuple[Block, np.ndarray]:
+        """The block and its words' hashes, which only the first requests need."""
         n = np.array([len(h) + 1 for h in hashes], np.int64)
         offsets = np.concatenate([[0], np.cumsum(n)])
         flat = np.empty(offsets[-1], np.uint64)
@@ -120,32 +124,30 @@ class Block:
         inner[offsets[1:] - 1] = False
         flat[inner] = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         words, ranks = np.unique(flat, return_inverse=True)
-        return cls.by_bucket(key, buckets, np.array(ids, object), np.array(held, bool), offsets, words, ranks)
-
-    @classmethod
-    def by_bucket(cls, key: int, buckets: int, ids, held, offsets, words: np.ndarray, ranks: np.ndarray) -> Block:
         order = np.lexsort((words, words % np.uint64(buckets)))
         place = np.empty(len(order), np.uint32)
         place[order] = np.arange(len(order))
-        return cls(key, buckets, ids, held, offsets, words[order], place[ranks])
+        return cls(key, buckets, np.array(ids, object), np.array(held, bool), offsets, len(words), place[ranks]), words[order]
 
     def state(self) -> tuple:
-        """A row that holds the block; words by falling frequency and their ranks byte by byte, which compresses best."""
+        """A row that holds the block; words are numbered by falling frequency, then place, and tokens written byte by byte, which compresses best."""
         ids = np.array([0 if i is None else i for i in self.ids], np.int64)
         null = np.array([i is None for i in self.ids], np.uint8)
-        seen = np.bincount(self.ranks, minlength=len(self.words))
-        order = np.argsort(-seen, kind="stable")
-        place = np.empty(len(order), np.uint32)
-        place[order] = np.arange(len(order))
-        planes = place[self.ranks].view(np.uint8).reshape(-1, 4).T.ravel()
-        payload, lengths = _pack(ids, null, self.held.astype(np.uint8), self.offsets, self.words[order], planes)
-        return self.key, -1, payload, lengths
+        order = np.argsort(-np.bincount(self.ranks, minlength=self.n_words), kind="stable")
+        number = np.empty(len(order), np.uint32)
+        number[order] = np.arange(len(order))
+        planes = number[self.ranks].view(np.uint8).reshape(-1, 4).T.ravel()
+        # places rise within a frequency, so most of their differences are small; they are taken modulo 2**32
+        steps = _steps(order.astype(np.uint32)).view(np.uint8).reshape(-1, 4).T.ravel()
+        payload, lengths = _pack(ids, null, self.held.astype(np.uint8), self.offsets, steps, planes)
+        return self.key, STATE, payload, lengths
 
     @classmethod
     def back(cls, key: int, buckets: int, payload: bytes, lengths: list[int]) -> Block:
-        ids, null, held, offsets, words, planes = _unpack(payload, lengths, np.int64, np.uint8, np.uint8, np.int64, np.uint64, np.uint8)
-        ranks = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
-        return cls.by_bucket(key, buckets, np.array([None if x else i for i, x in zip(ids.tolist(), null.tolist(), strict=True)], object), held.astype(bool), offsets, words, ranks)
+        ids, null, held, offsets, steps, planes = _unpack(payload, lengths, np.int64, np.uint8, np.uint8, np.int64, np.uint8, np.uint8)
+        whole = lambda x: np.ascontiguousarray(x.reshape(4, -1).T).view(np.uint32).ravel()
+        order = np.cumsum(whole(steps), dtype=np.uint32)
+        return cls(key, buckets, np.array([None if x else i for i, x in zip(ids.tolist(), null.tolist(), strict=True)], object), held.astype(bool), offsets, len(order), order[whole(planes)])
 
     @property
     def trained(self) -> np.ndarray:
@@ -156,10 +158,16 @@ class Block:
         return np.searchsorted(bucket, np.arange(self.buckets + 1))
 
 
-def _words_asked(block: Block) -> list[tuple]:
-    counts = np.bincount(block.ranks, block.trained, len(block.words)).astype(np.uint32)
-    at = block.spans(block.words % np.uint64(block.buckets))
-    return [(block.key, k, *_squeezed(_steps(block.words[lo:hi]), counts[lo:hi])) for k, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if hi > lo]
+def _words_of(block: Block, words: np.ndarray) -> tuple:
+    """A row with all that a block asks about its words."""
+    counts = np.bincount(block.ranks, block.trained, len(words)).astype(np.uint32)
+    return block.key, WORDS, *_pack(words, counts)
+
+
+def _words_asked(key: int, buckets: int, payload: bytes, lengths: list[int]) -> list[tuple]:
+    words, counts = _unpack(payload, lengths, np.uint64, np.uint32)
+    at = np.searchsorted(words % np.uint64(buckets), np.arange(buckets + 1))
+    return [(key, k, *_squeezed(_steps(words[lo:hi]), counts[lo:hi])) for k, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if hi > lo]
 
 
 class Grams:
@@ -388,9 +396,9 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
         def flush():
             nonlocal part, size, ids, held, hashes
             key_of = int(mix(np.array([np.int64(at).view(np.uint64) + np.uint64(part)], np.uint64))[0] >> np.uint64(2))
-            block = Block.of(key_of, buckets, ids, held, hashes)
+            block, words = Block.of(key_of, buckets, ids, held, hashes)
             part, size, ids, held, hashes = part + 1, 0, [], [], []
-            return _batch([block.state()])
+            return _batch([block.state(), _words_of(block, words)])
 
         for b in batches:
             key_col, split, out = b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(2).to_pylist()
@@ -408,9 +416,9 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
         if ids:
             yield flush()
 
-    def stored(df: DataFrame, name: str) -> str:
+    def stored(df: DataFrame, name: str, *by: str) -> str:
         with without_leftovers(spark):
-            df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+            df.write.partitionBy(*by).option("compression", "zstd").parquet(f"{folder}/{name}")
         return f"{folder}/{name}"
 
     def answered(df: DataFrame, name: str) -> str:
@@ -419,16 +427,20 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
             df.repartition("block").write.partitionBy("block").option("compression", "zstd").parquet(f"{folder}/{name}")
         return f"{folder}/{name}"
 
-    encoded = spark.read.schema(REQUEST).parquet(stored(rows.mapInArrow(encode, REQUEST), "blocks"))
-    blocks = encoded.select("block", "payload", "lengths")
+    encoded = stored(rows.mapInArrow(encode, REQUEST), "blocks", "bucket")
+    held_as = lambda kind: spark.read.schema("block long, payload binary, lengths array<long>").parquet(f"{encoded}/bucket={kind}")
+    # without rows there are no such folders
+    some = spark.read.schema(REQUEST).parquet(encoded).head(1)
+    blocks, asked = (held_as(STATE), held_as(WORDS)) if some else [spark.createDataFrame([], "block long, payload binary, lengths array<long>")] * 2
 
     def ask_words(batches):
         for b in batches:
             for i in range(b.num_rows):
-                yield _batch(_words_asked(Block.back(b.column(0)[i].as_py(), buckets, b.column(1)[i].as_py(), b.column(2)[i].as_py())))
+                yield _batch(_words_asked(b.column(0)[i].as_py(), buckets, b.column(1)[i].as_py(), b.column(2)[i].as_py()))
 
-    a0 = answered(blocks.mapInArrow(ask_words, REQUEST).groupBy("bucket").applyInArrow(_sum_words, REQUEST), "word_counts")
-    sums = spark.read.schema(REQUEST).parquet(f"{a0}/block=-1").agg(F.sum(F.element_at("lengths", 1)), F.sum(F.element_at("lengths", 2))).first() if encoded.head(1) else (0, 0)
+    a0 = answered(asked.mapInArrow(ask_words, REQUEST).groupBy("bucket").applyInArrow(_sum_words, REQUEST), "word_counts")
+    sums = spark.read.schema(REQUEST).parquet(f"{a0}/block=-1").agg(F.sum(F.element_at("lengths", 1)), F.sum(F.element_at("lengths", 2))).first() if some else (0, 0)
+    delete(spark, f"{encoded}/bucket={WORDS}")
     totals = Totals(int(sums[0] or 0), int(sums[1] or 0))
     known: list[tuple[str, str]] = []
 
